@@ -75,7 +75,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -30, 30)))
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 12, epochs: int = 12, rate: float = 1.0, seed: int = 1) -> Model:
+def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 12, epochs: int = 6, rate: float = 0.2, seed: int = 1) -> Model:
     """Stochastic gradient descent on the softmax loss, one document at a time, rate falling to zero; classes weigh the same."""
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, dim)) - 0.5) / dim).astype(np.float32)
@@ -99,7 +99,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 12, epochs: i
             out -= step * np.outer(mean, p)
             bias -= 0.1 * step * p
             # a text has thousands of features of small weight: the rate of the vectors is scaled up to that
-            vectors[idx] -= (step * min(200.0, 1 / float(weight @ weight))) * np.outer(weight, back)
+            vectors[idx] -= (step * min(20.0, 1 / float(weight @ weight))) * np.outer(weight, back)
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 

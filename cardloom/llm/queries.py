@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import langid, license_scan, quality, sharding, sketch, urlfilter
+from . import bpe, decontam, jaccard, langid, license_scan, quality, sharding, sketch, urlfilter
 from .common import read, tune
 
 
@@ -25,6 +25,11 @@ def op3_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op4_merge_replay(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    tune(spark)
+    return bpe.encode_and_check(read(spark, sf_dir, "documents"), bpe.load_ranks(public_tokenizers.path(ranks)), public_tokenizers.PATTERN)
+
+
 def op5_sorted_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return urlfilter.judge(read(spark, sf_dir, "pages"))
@@ -41,13 +46,26 @@ def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return jaccard.link_classes(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_virtual_slots": op1_virtual_slots,
     "op2_crf_language": op2_crf_language,
     "op3_bottom_k": op3_bottom_k,
+    "op4_merge_replay": op4_merge_replay,
     "op5_sorted_digests": op5_sorted_digests,
     "op7_license_digests": op7_license_digests,
     "op8_subword_quality": op8_subword_quality,
+    "op9_spaced_seeds": op9_spaced_seeds,
+    "op10_prefix_join": op10_prefix_join,
 }
 
 #: DuckDB SQL with the same rows, where SQL can express the operator.
