@@ -86,23 +86,20 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     of the range below it, so no task sees more than one range. NULL ids come last; equal ids follow one
     another by text.
     """
-    spark = docs.sparkSession
-    key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
-    ids = docs.select(key["id"].alias("id"))
+    docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    ids = docs.select("id")
     found = ids.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], 10000), F.min("id")).first()
     cuts = sorted({*(found[0] or [])} - {found[1]})  # at most ``buckets`` numbers
-    bucket = F.lit(0)
-    for lo in (cuts[i : i + 32] for i in range(0, len(cuts), 32)):
-        bucket = bucket + sum((F.when(key["id"] >= c, 1).otherwise(0) for c in lo), F.lit(0))
-    keyed = docs.withColumns({"id": key["id"], "bucket": bucket.cast("int")})
-    tops = ids.withColumn("bucket", bucket.cast("int")).groupBy("bucket").agg(F.max("id").alias("id")).collect()
+    bucket = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("id")))
+    keyed = docs.withColumn("bucket", bucket)
+    tops = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("id").alias("id")).collect()
     order = sorted(tops, key=lambda r: -r["bucket"])
     if not order:
-        return docs.withColumns({"next_text": F.col("text"), "next_sketch": F.col("sketch")})
+        return docs.withColumns({"next_text": F.col("text"), "next_sketch": F.col("sketch")}).drop("id")
     # the first row of each range also stands, as a guest, at the end of the range above it
     host = {r["id"]: order[i - 1]["bucket"] for i, r in enumerate(order)}
-    to = F.create_map(*[F.lit(x) for pair in host.items() for x in pair])
-    guests = keyed.where(F.col("id").isin(list(host))).withColumn("bucket", to[F.col("id")].cast("int"))
+    moved = docs.sparkSession.createDataFrame(list(host.items()), "id long, bucket int")  # one row for each range
+    guests = keyed.where(F.col("id").isin(list(host))).drop("bucket").join(F.broadcast(moved), "id")
     first = Window.partitionBy("id").orderBy("text")
     guests = guests.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").withColumn("guest", F.lit(1))
     both = keyed.withColumn("guest", F.lit(0)).unionByName(guests)
