@@ -46,8 +46,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(bytes, offsets)`` of a string column; NULL counts as an empty text."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """``(bytes, offsets)`` of a string or binary column; NULL counts as an empty text."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

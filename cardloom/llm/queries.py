@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, langid, license_scan, quality, sharding, sketch, urlfilter
+from . import bpe, decontam, jaccard, langid, license_scan, quality, sharding, sketch, suffix, urlfilter
 from .common import read, tune
 
 
@@ -35,6 +35,11 @@ def op5_sorted_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages"))
 
 
+def op6_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return suffix.removal(read(spark, sf_dir, "documents"))
+
+
 def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return license_scan.scan(read(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ QUERIES = {
     "op3_bottom_k": op3_bottom_k,
     "op4_merge_replay": op4_merge_replay,
     "op5_sorted_digests": op5_sorted_digests,
+    "op6_suffix_family": op6_suffix_family,
     "op7_license_digests": op7_license_digests,
     "op8_subword_quality": op8_subword_quality,
     "op9_spaced_seeds": op9_spaced_seeds,
