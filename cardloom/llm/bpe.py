@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytetext import lists
+
 #: Most distinct words a task keeps with their ids; beyond, it starts anew.
 KEPT_WORDS = 300_000
 _SHIFT = 20
@@ -212,8 +214,23 @@ def encode_and_check(docs: DataFrame, tokens: list[bytes], pattern: str) -> Data
 
 
 def encode(docs: DataFrame, tokens: list[bytes], pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` for each row of ``docs``."""
-    return _over_texts(docs, lambda e, texts: [(len(ids), ids.astype(np.int64).tolist()) for ids in e.encode_batch(texts)], "doc_id long, n_tokens long, ids array<int>", tokens, pattern)
+    """``docs`` with its own columns, and ``n_tokens``, ``token_ids`` and ``decodes`` (the ids give the text's bytes back) after them."""
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, pattern))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(*shared.value)
+        for batch in batches:
+            at = 0
+            for part in _stretches(batch.column("text")):
+                ids = encoder.encode_batch(part)
+                begin = np.cumsum([0, *map(len, ids)])
+                good = [encoder.decode(i) == t.encode() for i, t in zip(ids, part, strict=True)]
+                own = batch.slice(at, len(part))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.diff(begin)), lists(np.concatenate(ids).astype(np.int32), begin, pa.int32()), pa.array(good)], names=[*batch.schema.names, "n_tokens", "token_ids", "decodes"])
+                at += len(part)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{schema}, n_tokens long, token_ids array<int>, decodes boolean")
 
 
 def decode(encoded: DataFrame, tokens: list[bytes]) -> DataFrame:

@@ -134,8 +134,8 @@ def link_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Data
 
     Returns ``doc_id, n_shingles, component_id`` (the smallest doc_id reachable). A NULL text, or one without
     words, has no shingle and is its own component; a text of fewer words than a shingle has one shingle of
-    them all. Equal sets are linked; repeated rows are each returned; ids must not be NULL; an empty table
-    gives no row; very long texts take part whole.
+    them all. Equal sets are linked; repeated rows are each returned; a row without an id gets the class of rows
+    with an equal set, else NULL; an empty table gives no row; very long texts take part whole.
     """
     docs = docs.select("doc_id", "text")
     table = cut(prefixes(docs, words, percent), "prefixes")
@@ -179,6 +179,6 @@ def link_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Data
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with their own columns, of the smallest ``doc_id`` of each component."""
+    """``docs``, with its own columns: the row of the smallest ``doc_id`` of each component (one of repeated rows), and rows without an id."""
     kept = link_classes(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -61,6 +61,11 @@ def fragments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int =
     return text, start - off[text], end - start, grams[at], whole
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``cardloom_key``, by which spans find their text again: the id, or a hash of the text where there is none."""
+    return docs.withColumn("cardloom_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), F.col("text"))))
+
+
 def _fragment_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,9 +221,9 @@ def _counted(bodies: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: int = HOT, batch_bytes: int = 1 << 20) -> DataFrame:
-    """``doc_id, spans``: the byte ranges (``start``, ``stop``) of each text that repeated windows cover, as found (they may overlap)."""
+    """``cardloom_key, cardloom_spans`` for ``cardloom_key, text``: the byte ranges (``start``, ``stop``) of each text that repeated windows cover, as found (they may overlap)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("cardloom_key").alias("doc_id"), "text")
     rows = _fragment_rows(docs, length, k)
     # fragments by digest, then anchors by their fragments: both are partial sums before the shuffle
     seen = rows.groupBy("anchor", "whole").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first", "windows")).alias("place"))
@@ -239,7 +244,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot:
     found = _fragment_rows(docs, length, k).join(verdicts, "whole").select("doc_id", "first", F.explode("runs").alias("run"))
     start = F.col("first") + F.col("run.skip")
     spans = found.select("doc_id", F.struct(start.alias("start"), (start + F.col("run.windows") - 1 + length).alias("stop")).alias("span"))
-    out = cut(spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), "spans")
+    out = cut(spans.groupBy(F.col("doc_id").alias("cardloom_key")).agg(F.collect_list("span").alias("cardloom_spans")), "spans")
     drop_table(verdicts)
     return out
 
@@ -260,23 +265,24 @@ def removal(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: int = H
     """What stays of each row of ``docs`` (``doc_id``, ``text``; others are ignored).
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``. NULL counts as empty; texts under ``length``
-    bytes stay whole; matches never cross texts; strings are judged on the input. Ids must be unique and not
-    NULL; an empty table gives no row; very long texts are taken whole.
+    bytes stay whole; matches never cross texts; strings are judged on the input. Repeated rows count as texts of
+    their own, so both lose all that is long enough; rows without an id are told apart by their text; different
+    texts must have different ids. An empty table gives no row; very long texts are taken whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column("text"))
             raw, out = data.tobytes(), []
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
+            for i, spans in enumerate(batch.column("cardloom_spans").to_pylist()):
                 text = raw[off[i] : off[i + 1]]
                 kept, removed, runs = _kept(text, spans)
                 out.append((len(text), removed, runs, hashlib.sha256(kept).hexdigest()))
             columns = zip(*out, strict=True) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    spans = repeated_spans(docs, length, k, hot)
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    docs = _keyed(docs.select("doc_id", "text"))
+    return docs.join(repeated_spans(docs, length, k, hot), "cardloom_key", "left").select("doc_id", "text", "cardloom_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: int = HOT) -> DataFrame:
@@ -297,5 +303,5 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: int
                 columns["n_chars"] = pa.array([len(t) if t is not None else n for t, n in zip(texts, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    spans = repeated_spans(docs, length, k, hot).withColumnRenamed("spans", "cardloom_spans")
-    return docs.join(spans, "doc_id", "left").mapInArrow(run, docs.schema)
+    keyed = _keyed(docs)
+    return keyed.join(repeated_spans(keyed, length, k, hot), "cardloom_key", "left").select(*[keyed[n] for n in names], "cardloom_spans").mapInArrow(run, docs.schema)
