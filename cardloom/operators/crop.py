@@ -18,6 +18,15 @@ MIN_GAP = 8
 GAP_SHARE = 0.015
 LARGEST = 0.90
 _PAGE = ["job_id", "page_number"]
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator of one row, so that later uses do not copy their expressions."""
+    names = df.columns
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*names, F.explode(F.array(made)).alias("made")).select(*names, *[f"made.{n}" for n in columns])
+
+
 PROFILE = "job_id long, page_number long, width long, height long, row_ink array<boolean>, col_ink array<boolean>, hist array<long>"
 
 
@@ -49,8 +58,9 @@ def ink_profile(images: DataFrame) -> DataFrame:
 
 def text_raster(lines: DataFrame, width: int = 120, height: int = 80) -> DataFrame:
     """The profile of a page on which character ``c`` of line ``i`` is ink at column ``c`` on rows ``4i`` and ``4i + 1``."""
-    blank = F.filter(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.when((c < F.length("text")) & (F.substring(F.col("text"), c + 1, F.lit(1)) != " "), c)), lambda c: c.isNotNull())
-    marked = lines.select(*_PAGE, "line_index", blank.alias("cols"))
+    chars = F.slice(F.split("text", ""), 1, width)
+    blank = F.filter(F.transform(chars, lambda ch, i: F.when(ch != " ", i)), lambda x: x.isNotNull())
+    marked = _once(lines.select(*_PAGE, "line_index", "text"), cols=blank)
     marked = marked.where(F.size("cols") > 0)
     per_page = marked.groupBy(*_PAGE).agg(F.array_distinct(F.flatten(F.collect_list("cols"))).alias("cols"), F.collect_list("line_index").alias("rows"), F.sum(F.size("cols") * 2).alias("inked"))
     dark = F.col("inked")
@@ -106,29 +116,30 @@ def gutters(profiles: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
     """
     w, h, seed = F.col("width"), F.col("height"), F.col("seed")
     rounded = lambda x: F.bround(x).cast("long")
-    pad_x, pad_y = rounded(w * PAD), rounded(h * PAD)
-    out = profiles.withColumn("seed", union_of(F.col("boxes"))).withColumns(
-        {
-            "l": rounded(seed["left"] * w) - pad_x, "r": rounded(right(seed) * w) + pad_x, "t": rounded(seed["top"] * h) - pad_y, "b": rounded(bottom(seed) * h) + pad_y,
-            "gap_x": F.greatest(F.lit(min_gap).cast("long"), rounded(w * GAP_SHARE)), "gap_y": F.greatest(F.lit(min_gap).cast("long"), rounded(h * GAP_SHARE)),
-        }
+    pad_x, pad_y, names = rounded(w * PAD), rounded(h * PAD), profiles.columns
+    out = _once(profiles, seed=union_of(F.col("boxes")))
+    out = _once(
+        out, l=rounded(seed["left"] * w) - pad_x, r=rounded(right(seed) * w) + pad_x, t=rounded(seed["top"] * h) - pad_y, b=rounded(bottom(seed) * h) + pad_y,
+        gap_x=F.greatest(F.lit(min_gap).cast("long"), rounded(w * GAP_SHARE)), gap_y=F.greatest(F.lit(min_gap).cast("long"), rounded(h * GAP_SHARE)),
     )
     out = out.withColumns({"l": F.greatest(F.lit(0), F.least("l", w - 1)), "t": F.greatest(F.lit(0), F.least("t", h - 1))})
-    out = out.withColumns({"r": F.greatest(F.col("l") + 1, F.least("r", w)), "b": F.greatest(F.col("t") + 1, F.least("b", h))})
-    return out.withColumns(
-        {
-            "left_px": expand_up(F.col("col_ink"), F.col("l"), F.col("gap_x")), "right_px": expand_down(F.col("col_ink"), F.col("r"), F.col("gap_x")),
-            "top_px": expand_up(F.col("row_ink"), F.col("t"), F.col("gap_y")), "bottom_px": expand_down(F.col("row_ink"), F.col("b"), F.col("gap_y")),
-        }
-    ).drop("l", "r", "t", "b", "gap_x", "gap_y", "seed")
+    out = _once(out.drop("seed"), r1=F.greatest(F.col("l") + 1, F.least("r", w)), b1=F.greatest(F.col("t") + 1, F.least("b", h)))
+    out = _once(
+        out, left_px=expand_up(F.col("col_ink"), F.col("l"), F.col("gap_x")), right_px=expand_down(F.col("col_ink"), F.col("r1"), F.col("gap_x")),
+        top_px=expand_up(F.col("row_ink"), F.col("t"), F.col("gap_y")), bottom_px=expand_down(F.col("row_ink"), F.col("b1"), F.col("gap_y")),
+    )
+    return out.select(*names, "left_px", "right_px", "top_px", "bottom_px")
 
 
 def derive_crop(profiles: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
     """``job_id, page_number, crop_box``: the page where there are no boxes, the paper is dark or the crop would be most of it."""
-    edges = gutters(profiles.withColumn("median", median_luma(F.col("hist"))), min_gap)
+    edges = gutters(_once(profiles, median=median_luma(F.col("hist"))), min_gap)
     w, h = F.col("width"), F.col("height")
     unit = lambda x, hi: F.greatest(F.lit(0.0), F.least(hi, x))
     left, top = unit(F.col("left_px") / w, F.lit(1.0)), unit(F.col("top_px") / h, F.lit(1.0))
-    wide, tall = unit((F.col("right_px") - F.col("left_px")) / w, 1.0 - left), unit((F.col("bottom_px") - F.col("top_px")) / h, 1.0 - top)
+    edges = _once(edges, left=left, top=top)
+    left, top = F.col("left"), F.col("top")
+    edges = _once(edges, wide=unit((F.col("right_px") - F.col("left_px")) / w, 1.0 - left), tall=unit((F.col("bottom_px") - F.col("top_px")) / h, 1.0 - top))
+    wide, tall = F.col("wide"), F.col("tall")
     usable = (F.size("boxes") > 0) & (F.col("median") >= LIGHT_FROM) & (wide > 0) & (tall > 0) & (wide * tall <= LARGEST)
     return edges.select(*_PAGE, F.when(F.coalesce(usable, F.lit(False)), box(left, top, wide, tall)).otherwise(full_page()).alias("crop_box"))

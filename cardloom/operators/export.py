@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import deck_id, html_escape
 
@@ -22,7 +23,7 @@ def card_media(job: Column, card: Column) -> Column:
     return F.format_string("sb-job%d-card%d.png", job, card)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def four_places(x: pd.Series) -> pd.Series:
     """A number with four decimals, rounded on its exact binary value (the built-in formatter rounds its shortest decimal)."""
     return x.map(lambda v: None if pd.isna(v) else f"{v:.4f}")

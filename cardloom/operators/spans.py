@@ -85,7 +85,8 @@ def gate(refs: DataFrame, lines: DataFrame, cover: DataFrame) -> DataFrame:
         F.min("confident").alias("confident"), F.min("whole").alias("whole_line"),
         F.min(F.col("n_words").isNotNull()).alias("known"), F.sum(F.col("n_words") - F.least("masked", "n_words")).alias("left_over"), parts.alias("parts"),
     )
-    out = flags.withColumn("text", F.array_join(F.transform("parts", lambda p: p["text"]), " "))
+    # a generator of one row: the text is put together once, not for each rule
+    out = flags.withColumn("text", F.explode(F.array(F.array_join(F.transform("parts", lambda p: p["text"]), " "))))
     out = out.select(
         *_SPAN, "text", F.filter(F.transform("parts", lambda p: p["box"]), lambda b: b.isNotNull()).alias("boxes"), "confident", "whole_line",
         (F.col("known") & (F.coalesce("left_over", F.lit(0)) >= MIN_CONTEXT_WORDS)).alias("enough_context"),
