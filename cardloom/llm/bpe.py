@@ -72,8 +72,8 @@ class Merges:
         at = np.flatnonzero(rank >= 0)
         at = at[np.argsort(rank[at], kind="stable")]
         kinds, starts = np.unique(rank[at], return_index=True)
-        for kind, positions in zip(kinds.tolist(), np.split(at, starts[1:]), strict=True):
-            index[kind] = positions.tolist()
+        for kind, lo, hi in zip(kinds.tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)], strict=False):
+            index[kind] = at[lo:hi].tolist()
         queue = sorted(index)
         pairs = self.pairs
         while queue:
