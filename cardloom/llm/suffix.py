@@ -10,8 +10,8 @@ it, by its content alone, so equal windows have anchors that are equal and at th
    fragment is sent once to the partition of its anchor and goes, batch by batch, into a :class:`Family`:
    a new batch gets a suffix array, is merge-scanned against the arrays of the existing levels for common
    prefixes of ``length`` bytes, and levels of equal size are merged, so there are only logarithmically many.
-   An anchor with more fragments than ``hot`` is not kept in one place: its windows are counted one by one by
-   their digests, with partial sums before the shuffle.
+   An anchor with more fragments than ``hot`` is not kept in one place: they go through the same steps as texts of
+   their own with a longer anchor, down to windows that are their own anchors.
 3. Every occurrence of a fragment takes over its repeated windows; their bytes are cut out of the texts.
 """
 
@@ -29,12 +29,13 @@ from .bytetext import Hasher, U, buffers, mix, pieces
 from .common import cut, drop_table
 
 LENGTH = 200
-ANCHOR = 100
+#: Sizes of the anchors; the later ones only for what shares a hot anchor of the one before. A window is its own last anchor.
+ANCHORS = (100, 184, 200)
 #: Different fragments of one anchor that are still compared in one partition.
 HOT = 200
 
 
-def fragments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
+def fragments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = ANCHORS[0]) -> tuple[np.ndarray, ...]:
     """``(text, first window, windows, anchor hash, fragment hash)`` of the fragments of each text."""
     n, none = len(data), tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     windows = n - length + 1
@@ -202,43 +203,32 @@ def _bodies(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     return docs.join(lists, "doc_id").select("text", "wanted").mapInArrow(run, "anchor long, hot boolean, whole long, body binary")
 
 
-def _counted(bodies: DataFrame, length: int) -> DataFrame:
-    """The same for hot anchors: each window is counted by its digest, over all partitions."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, hot: int = HOT, batch_bytes: int = 1 << 20) -> DataFrame:
+    """``cardloom_key, cardloom_spans`` for ``cardloom_key, text``: the byte ranges (``start``, ``stop``) of each text that repeated windows cover, as found (they may overlap).
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, _, data, off in pieces(batch.column("body")):
-                hashes = Hasher(data).every(length)
-                count = np.maximum(np.diff(off) - length + 1, 0)
-                own = np.repeat(np.arange(len(count)), count)
-                skip = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-                names = batch.column("whole").to_numpy()[lo:]
-                yield pa.RecordBatch.from_arrays([pa.array(names[own], pa.int64()), pa.array(skip.astype(np.int32)), pa.array(hashes[off[:-1][own] + skip].view(np.int64))], names=["whole", "skip", "digest"])
-
-    windows = bodies.select("whole", "body").mapInArrow(split, "whole long, skip int, digest long")
-    twice = windows.groupBy("digest").count().where("count > 1").select("digest")
-    return windows.join(twice, "digest", "left_semi").select("whole", "skip", F.lit(1).alias("windows"))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: int = HOT, batch_bytes: int = 1 << 20) -> DataFrame:
-    """``cardloom_key, cardloom_spans`` for ``cardloom_key, text``: the byte ranges (``start``, ``stop``) of each text that repeated windows cover, as found (they may overlap)."""
-    spark = docs.sparkSession
+    ``anchors`` are k-mer sizes, growing to ``length``: the fragments of a hot anchor are taken as texts in their
+    own right with the next size, so their windows spread over many anchors.
+    """
+    spark, k = docs.sparkSession, min(anchors[0], length)
     docs = docs.select(F.col("cardloom_key").alias("doc_id"), "text")
     rows = _fragment_rows(docs, length, k)
     # fragments by digest, then anchors by their fragments: both are partial sums before the shuffle
     seen = rows.groupBy("anchor", "whole").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first", "windows")).alias("place"))
     kinds = cut(seen, "fragments")
-    anchors = kinds.groupBy("anchor").agg(F.sum("times").alias("all_times"), F.count("*").alias("kinds")).where("all_times > 1")
-    repeated = cut(kinds.join(anchors, "anchor").select("anchor", "whole", "times", "place.*", "kinds"), "repeated")
+    groups = kinds.groupBy("anchor").agg(F.sum("times").alias("all_times"), F.count("*").alias("kinds")).where("all_times > 1")
+    repeated = cut(kinds.join(groups, "anchor").select("anchor", "whole", "times", "place.*", "kinds"), "repeated")
     drop_table(kinds)
+    verdict = repeated.where("times > 1").select("whole", F.lit(0).alias("skip"), F.col("windows").cast("int").alias("windows"))
     wanted = repeated.where("kinds > 1").select("doc_id", "anchor", (F.col("kinds") > hot).alias("hot"), "whole", "first", "windows")
     bodies = cut(_bodies(wanted, docs, length), "bodies")
-    cold = bodies.where("not hot")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    edges = _compared(cold.repartition(partitions, "anchor"), length, batch_bytes).unionByName(_counted(bodies.where("hot"), length))
-    whole = repeated.where("times > 1").select("whole", F.lit(0).alias("skip"), F.col("windows").cast("int").alias("windows"))
-    part = edges.join(whole.select("whole"), "whole", "left_anti")
-    verdicts = cut(whole.unionByName(part).groupBy("whole").agg(F.collect_list(F.struct("skip", "windows")).alias("runs")), "verdicts")
+    edges = _compared(bodies.where("not hot").repartition(partitions, "anchor"), length, batch_bytes)
+    if len(anchors) > 1 and not bodies.where("hot").isEmpty():
+        inner = repeated_spans(bodies.where("hot").select(F.col("whole").alias("cardloom_key"), F.col("body").alias("text")), length, anchors[1:], hot, batch_bytes)
+        inner = inner.select(F.col("cardloom_key").alias("whole"), F.explode("cardloom_spans").alias("s"))
+        edges = edges.unionByName(inner.select("whole", F.col("s.start").alias("skip"), (F.col("s.stop") - F.col("s.start") - length + 1).alias("windows")))
+    part = edges.join(verdict.select("whole"), "whole", "left_anti")
+    verdicts = cut(verdict.unionByName(part).groupBy("whole").agg(F.collect_list(F.struct("skip", "windows")).alias("runs")), "verdicts")
     drop_table(bodies)
     drop_table(repeated)
     found = _fragment_rows(docs, length, k).join(verdicts, "whole").select("doc_id", "first", F.explode("runs").alias("run"))
@@ -261,7 +251,7 @@ def _kept(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
     return b"".join(parts), int((stops - starts).sum()), len(starts)
 
 
-def removal(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: int = HOT) -> DataFrame:
+def removal(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, hot: int = HOT) -> DataFrame:
     """What stays of each row of ``docs`` (``doc_id``, ``text``; others are ignored).
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``. NULL counts as empty; texts under ``length``
@@ -282,10 +272,10 @@ def removal(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: int = H
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     docs = _keyed(docs.select("doc_id", "text"))
-    return docs.join(repeated_spans(docs, length, k, hot), "cardloom_key", "left").select("doc_id", "text", "cardloom_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.join(repeated_spans(docs, length, anchors, hot), "cardloom_key", "left").select("doc_id", "text", "cardloom_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: int = HOT) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, hot: int = HOT) -> DataFrame:
     """``docs`` with its own columns and the repeated bytes taken out of ``text`` (broken characters at the cuts go
     as well; ``n_chars``, if there, is brought up to date)."""
     names = docs.columns
@@ -304,4 +294,4 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot: int
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
     keyed = _keyed(docs)
-    return keyed.join(repeated_spans(keyed, length, k, hot), "cardloom_key", "left").select(*[keyed[n] for n in names], "cardloom_spans").mapInArrow(run, docs.schema)
+    return keyed.join(repeated_spans(keyed, length, anchors, hot), "cardloom_key", "left").select(*[keyed[n] for n in names], "cardloom_spans").mapInArrow(run, docs.schema)
