@@ -143,11 +143,16 @@ def link_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Data
     reps = cut(table.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("grp").alias("grp")), "reps")
     groups = reps.groupBy("grp").agg(F.min("rep").alias("head"), F.count("*").alias("members"))
     heads = table.join(groups.select(F.col("head").alias("doc_id"), "grp"), ["doc_id", "grp"], "left_semi").dropDuplicates(["doc_id"])
-    tokens = heads.select(F.col("doc_id").alias("head"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("place", "token"))
-    leaders = tokens.groupBy("token").agg(F.min(F.struct("place", "head", "n")).alias("lead"), F.count("*").alias("groups")).where("groups > 1")
-    shared = cut(tokens.join(leaders, "token").select("token", "head", "n", "place", F.col("lead.head").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.place").alias("lead_place")), "shared")
-
-    stars = shared.where(F.col("head") != F.col("lead")).where(_could_link("n", "lead_n", "place", "lead_place", percent)).select(F.col("lead").alias("a"), F.col("head").alias("b"))
+    tokens = heads.select(F.col("doc_id").alias("head"), "n_shingles", F.posexplode("prefix").alias("place", "token"))
+    # size and place in one number: three longs a row are all that is shuffled
+    tokens = tokens.select("token", "head", (F.shiftleft("n_shingles", 32) + F.col("place")).alias("at"))
+    leaders = tokens.groupBy("token").agg(F.min("head").alias("lead"), F.max("head").alias("last")).where("lead <> last").select("token", "lead")
+    shared = cut(tokens.join(leaders, "token").select("token", "head", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("place"), "lead"), "shared")
+    whole_table, table = table, cut(table.select("doc_id", "n_shingles", "d1", "d2"), "digests")
+    drop_table(whole_table)
+
+    first = shared.where(F.col("head") == F.col("lead")).select("token", F.col("n").alias("lead_n"), F.col("place").alias("lead_place"))
+    stars = shared.where(F.col("head") != F.col("lead")).join(first, "token").where(_could_link("n", "lead_n", "place", "lead_place", percent)).select(F.col("lead").alias("a"), F.col("head").alias("b"))
     inner = reps.join(groups.where("members > 1"), "grp").where(F.col("rep") != F.col("head")).select(F.col("head").alias("a"), F.col("rep").alias("b"))
     pairs = cut(stars.unionByName(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
