@@ -30,9 +30,11 @@ def canonical(text: Column) -> Column:
     """The canonical form; NULL counts as empty."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, " ")
     out = F.trim(F.regexp_replace(F.lower(out), "[^0-9a-z\\x{80}-\\x{10ffff}]+", " "))
+    # with doubled blanks every word has its own at both ends, so neighbours are replaced as well
+    out = F.concat(F.lit(" "), F.replace(out, F.lit(" "), F.lit("  ")), F.lit(" "))
     for spelling, standard in SPELLINGS:
-        out = F.regexp_replace(out, f"\\b{spelling}\\b", standard)
-    return out
+        out = F.replace(out, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {standard.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
