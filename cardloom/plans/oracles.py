@@ -271,4 +271,19 @@ ORACLE: dict[str, str] = {
  SELECT {_deck("'Deck ' || job_id")} AS deck_id, 1607392321::BIGINT AS model_id, job_id, card_id, 'sb-job' || job_id || '-card' || card_id || '.png' AS media, '<img src="sb-job' || job_id || '-card' || card_id || '.png">' AS image, 'Fill in the blank' AS header, {_escape('text')} AS back_extra
  FROM c WHERE job_id % 4 <> 0 AND card_id % 5 <> 0 AND span_ord % 7 <> 3""",
     "page_errors": f"WITH {WORDS} SELECT job_id, page_number, CASE WHEN n_items >= 3 THEN n_items * 2 END AS result, CASE WHEN n_items < 3 THEN 'ValueError: page with ' || n_items || ' lines' END AS error FROM pages",
+    "apply_edits": f"""WITH RECURSIVE base AS (SELECT DISTINCT user_id AS card_id, CASE user_id % 4 WHEN 0 THEN 'basic' WHEN 1 THEN 'cloze' WHEN 2 THEN 'diagram' ELSE 'text_occlusion' END AS note_type FROM events),
+ log AS (SELECT user_id AS card_id, event_type AS e, (props::JSON->>'$.k')::BIGINT AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+ fold AS (SELECT card_id, 0 AS n, note_type, CASE WHEN note_type <> 'cloze' THEN 'front' END AS front, CASE WHEN note_type <> 'cloze' THEN 'back' END AS back, CASE WHEN note_type = 'cloze' THEN '{{{{c1::term}}}} is key' END AS cloze_text,
+   false AS is_deleted, 0::BIGINT AS applied, 0::BIGINT AS refused, NULL::VARCHAR AS last_reason FROM base
+  UNION ALL SELECT f.card_id, f.n + 1, CASE WHEN ok AND NOT occ THEN kind ELSE f.note_type END,
+   CASE WHEN NOT ok THEN f.front WHEN occ OR kind = 'basic' THEN nf END, CASE WHEN NOT ok THEN f.back WHEN occ OR kind = 'basic' THEN nb END,
+   CASE WHEN NOT ok OR occ THEN f.cloze_text WHEN kind = 'cloze' THEN nc END,
+   f.is_deleted OR (l.e = 'error' AND l.k % 10 = 0 AND NOT f.is_deleted), f.applied + ((ok OR del) AND NOT f.is_deleted)::BIGINT, f.refused + (reason IS NOT NULL)::BIGINT, coalesce(reason, f.last_reason)
+  FROM fold f JOIN log l ON l.card_id = f.card_id AND l.n = f.n + 1,
+   LATERAL (SELECT f.note_type IN ('diagram', 'text_occlusion') AS occ, CASE l.e WHEN 'purchase' THEN 'cloze' WHEN 'signup' THEN 'basic' ELSE f.note_type END AS kind, l.e = 'error' AND l.k % 10 = 0 AS del,
+     CASE WHEN l.e IN ('click', 'signup') THEN 'v' || l.k ELSE f.front END AS nf, CASE WHEN l.e IN ('view', 'signup') THEN 'v' || l.k ELSE f.back END AS nb,
+     CASE WHEN l.e = 'purchase' THEN CASE WHEN l.k % 2 = 0 THEN '{{{{c1::v' || l.k || '}}}}' ELSE 'v' || l.k END ELSE f.cloze_text END AS nc) a,
+   LATERAL (SELECT CASE WHEN f.is_deleted THEN 'Card not found.' WHEN l.e = 'error' AND NOT del THEN 'Occlusion geometry cannot be edited.' WHEN del THEN NULL WHEN occ AND kind <> f.note_type THEN 'Card cannot change to this note type.'
+     ELSE {_violation("kind", "nf", "nb", "nc")} END AS reason) b, LATERAL (SELECT reason IS NULL AND NOT del AS ok) c)
+ SELECT card_id, note_type, front, back, cloze_text, is_deleted, applied, refused, last_reason FROM fold f WHERE n = (SELECT max(n) FROM log l WHERE l.card_id = f.card_id)""",
 }
