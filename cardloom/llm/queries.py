@@ -78,9 +78,10 @@ QUERIES = {
 def _canonical(x: str) -> str:
     """The canonical form of a license text in DuckDB."""
     out = f"trim(regexp_replace(lower(regexp_replace(coalesce({x}, ''), '(?im)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*$', ' ', 'g')), '[^0-9a-z\\x{{80}}-\\x{{10ffff}}]+', ' ', 'g'))"
+    out = f"(' ' || replace({out}, ' ', '  ') || ' ')"
     for spelling, standard in license_scan.SPELLINGS:
-        out = f"regexp_replace({out}, '\\b{spelling}\\b', '{standard}', 'g')"
-    return out
+        out = f"replace({out}, ' {spelling.replace(' ', '  ')} ', ' {standard.replace(' ', '  ')} ')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 _RULES = ", ".join(f"('{v}', '{r[: r.index('/')]}', '{r[r.index('/') :]}', '{r}')" for v, r in urlfilter.RULES)
