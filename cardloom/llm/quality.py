@@ -28,10 +28,14 @@ THRESHOLD = 0.3
 
 
 def features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(text of each feature, bucket)``, first for words, then for each n-gram length; the n-grams stay within a text."""
+    """``(text of each feature, bucket)``, first for words, then for pairs of words, then for each n-gram length; all stay within a text."""
     hasher = Hasher(data)
     starts, ends, first = word_bounds(data, off)
-    yield np.repeat(np.arange(len(off) - 1), np.diff(first)), (hasher.at(starts, ends) % U(BUCKETS)).astype(np.int64)
+    words, own = hasher.at(starts, ends), np.repeat(np.arange(len(off) - 1), np.diff(first))
+    yield own, (words % U(BUCKETS)).astype(np.int64)
+    # pairs count as one of two features: a word twice running, or another word
+    inside = own[1:] == own[:-1]
+    yield own[1:][inside], np.where(words[1:] == words[:-1], BUCKETS - 1, BUCKETS - 2)[inside]
     chars = char_starts(data)
     owner = np.searchsorted(off, chars[:-1], "right") - 1
     for n in GRAMS:
