@@ -11,6 +11,7 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import cards, crop, edits, export, labels, masks, options, progress, providers, spans
 from ..sources import corpus as c
+from ..sources.scratch import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -271,7 +272,7 @@ def accept_spans(s: SparkSession, d: str) -> DataFrame:
 
 
 def _text_pending(s: SparkSession, d: str) -> DataFrame:
-    return spans.text_occlusions(_accepted(s, d))
+    return spans.text_occlusions(cut(_accepted(s, d), "accepted"))
 
 
 @query
@@ -343,9 +344,9 @@ def page_prompts(s: SparkSession, d: str) -> DataFrame:
 # --- masks -----------------------------------------------------------------------------------------------------
 
 
-def _profiles(s: SparkSession, d: str) -> DataFrame:
+def _profiles(s: SparkSession, d: str, found: DataFrame) -> DataFrame:
     raster = crop.text_raster(c.page_lines(s, d))
-    boxes = _label_boxes(s, d).groupBy(*_PAGE).agg(F.array_sort(F.collect_list("box")).alias("boxes"))
+    boxes = found.groupBy(*_PAGE).agg(F.array_sort(F.collect_list("box")).alias("boxes"))
     hint = labels.page_flags(_passes(s, d)[1]).select(*_PAGE, "diagram_box")
     both = raster.join(boxes, _PAGE).join(hint, _PAGE)
     return both.withColumn("boxes", F.concat("boxes", F.filter(F.array("diagram_box"), lambda b: b.isNotNull()))).drop("diagram_box")
@@ -353,8 +354,9 @@ def _profiles(s: SparkSession, d: str) -> DataFrame:
 
 def _diagram_pending(s: SparkSession, d: str) -> DataFrame:
     flagged = labels.page_flags(_passes(s, d)[1]).where("is_labeled_diagram").select(*_PAGE)
-    found = _label_boxes(s, d).join(flagged, _PAGE, "left_semi")
-    return labels.diagram_occlusions(found, crop.derive_crop(_profiles(s, d), 2))
+    boxes = cut(_label_boxes(s, d), "label-boxes")
+    crops = cut(crop.derive_crop(_profiles(s, d, boxes), 2), "crops")
+    return labels.diagram_occlusions(boxes.join(flagged, _PAGE, "left_semi"), crops)
 
 
 @query
@@ -436,12 +438,12 @@ def ink_profile(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def gutter_edges(s: SparkSession, d: str) -> DataFrame:
-    return crop.gutters(_profiles(s, d), 2).select(*_PAGE, "left_px", "right_px", "top_px", "bottom_px")
+    return crop.gutters(_profiles(s, d, _label_boxes(s, d)), 2).select(*_PAGE, "left_px", "right_px", "top_px", "bottom_px")
 
 
 @query
 def derive_crop(s: SparkSession, d: str) -> DataFrame:
-    return crop.derive_crop(_profiles(s, d), 2).select(*_PAGE, *_flat("crop_box"))
+    return crop.derive_crop(_profiles(s, d, _label_boxes(s, d)), 2).select(*_PAGE, *_flat("crop_box"))
 
 
 @query
