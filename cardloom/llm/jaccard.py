@@ -158,7 +158,8 @@ def link_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Data
 
     # whole sets only of documents that some prefix shingle ties to another
     tied = shared.select(F.col("head").alias("doc_id")).unionByName(inner.select(F.col("a").alias("doc_id"))).unionByName(inner.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(set_table(docs.join(tied, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
+    # repeated ids go before the sets are made, while the rows are still together by id
+    sets = cut(set_table(docs.join(tied, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
     links = cut(verified(pairs, sets, percent).select("a", "b"), "links")
     found = components(links)
 
