@@ -26,10 +26,15 @@ SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "
 COPYRIGHT_LINE = "(?im)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*$"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; NULL counts as empty."""
+def cleaned(text: Column) -> Column:
+    """Lower-cased words without copyright lines; line breaks stay, all else between words is a blank. NULL counts as empty."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, " ")
-    out = F.trim(F.regexp_replace(F.lower(out), "[^0-9a-z\\x{80}-\\x{10ffff}]+", " "))
+    return F.regexp_replace(F.lower(out), "[^0-9a-z\\n\\x{80}-\\x{10ffff}]+", " ")
+
+
+def spelled(clean: Column) -> Column:
+    """The canonical form of a cleaned text or of one of its lines."""
+    out = F.trim(F.regexp_replace(clean, "[ \\n]+", " "))
     # with doubled blanks every word has its own at both ends, so neighbours are replaced as well
     out = F.concat(F.lit(" "), F.replace(out, F.lit(" "), F.lit("  ")), F.lit(" "))
     for spelling, standard in SPELLINGS:
@@ -37,6 +42,10 @@ def canonical(text: Column) -> Column:
     return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
+def canonical(text: Column) -> Column:
+    return spelled(cleaned(text))
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
@@ -52,15 +61,20 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
 
     Returns ``doc_id, text_sha256, text_license, line_licenses, n_license_lines``: the license whose entire text
     the document is (else NULL), and the licenses that are the entire text of a line, sorted, with the number
-    of such lines. NULL and empty texts match nothing; repeated rows are each returned. Lines are filtered by
-    the join before anything is shuffled when the license table is small, which its fixed size makes it.
+    of such lines. NULL and empty texts match nothing; repeated rows are each returned. Texts are
+    cleaned once, whole and lines are joined in the same pass, and only matches and one row a document are shuffled.
     """
     table = F.broadcast(known_table(docs.sparkSession, known))  # as many rows as the parameter has
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    lines = keyed.select("row", F.explode(F.split("text", "\\n")).alias("line"))
-    found = lines.select("row", digest(F.col("line")).alias("digest")).join(table, "digest")
-    per_row = found.groupBy("row").agg(F.sort_array(F.collect_set("license")).alias("line_licenses"), F.count("*").alias("n_license_lines"))
-    whole = keyed.select("row", "doc_id", digest(F.col("text")).alias("text_sha256")).join(table.withColumnRenamed("license", "text_license").withColumnRenamed("digest", "text_sha256"), "text_sha256", "left")
-    return whole.join(per_row, "row", "left").select(
-        "doc_id", "text_sha256", "text_license", F.coalesce(F.array_join("line_licenses", ","), F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines")
-    )
+    # one-row generators: the costly expressions are worked out once
+    clean = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(F.array(cleaned(F.col("text")))).alias("clean"))
+    parts = clean.select("row", "doc_id", F.posexplode(F.concat(F.array("clean"), F.split("clean", "\\n"))).alias("part", "body"))
+    digests = parts.select("row", "doc_id", "part", F.explode(F.array(F.sha2(spelled(F.col("body")).cast("binary"), 256))).alias("digest"))
+    whole = F.col("part") == 0
+    kept = digests.join(table, "digest", "left").where(whole | F.col("license").isNotNull())
+    line = F.when(~whole, F.col("license"))
+    return kept.groupBy("row", "doc_id").agg(
+        F.max(F.when(whole, F.col("digest"))).alias("text_sha256"),
+        F.max(F.when(whole, F.col("license"))).alias("text_license"),
+        F.array_join(F.sort_array(F.collect_set(line)), ",").alias("line_licenses"),
+        F.count(line).alias("n_license_lines"),
+    ).drop("row")

@@ -98,7 +98,7 @@ ORACLE: dict[str, str] = {
  SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1""",
     "op7_license_digests": f"""WITH known AS (SELECT sha256({_canonical("t")}) AS digest, arg_min(k, i) AS license FROM (VALUES {_KNOWN}) v(i, k, t) GROUP BY 1),
  whole AS (SELECT doc_id, sha256({_canonical("text")}) AS text_sha256 FROM documents),
- lines AS (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) < 400),
+ lines AS (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
  found AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(license))), ',') AS line_licenses, count(*) AS n FROM lines JOIN known USING (digest) GROUP BY doc_id)
  SELECT doc_id, text_sha256, license AS text_license, coalesce(line_licenses, '') AS line_licenses, coalesce(n, 0)::BIGINT AS n_license_lines FROM whole LEFT JOIN known ON digest = text_sha256 LEFT JOIN found USING (doc_id)""",
     "op10_prefix_join": """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
