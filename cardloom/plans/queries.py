@@ -91,7 +91,8 @@ def _turn_cards(s: SparkSession, d: str) -> DataFrame:
 
 
 def _decks(s: SparkSession, d: str) -> DataFrame:
-    return c.line_cards(s, d).select("job_id").distinct().withColumn("page_count", F.lit(5).cast("long"))
+    """Decks with as many pages as their longest document has."""
+    return c.line_cards(s, d).groupBy("job_id").agg(F.max("source_page").alias("page_count"))
 
 
 @query
