@@ -22,6 +22,8 @@ MASKS = ("1111011", "110110011", "1011010101", "1100101011", "111111")
 WORDS = 12
 #: ... if at least this share of its words is equal.
 IDENTITY = 0.8
+#: Score of a changed word, where an equal one has 1, at which that share adds up to 0.
+_MISS = -round(IDENTITY / (1 - IDENTITY))
 #: Items of fewer words cannot be told from chance and never match.
 SHORTEST = 6
 #: Most bytes of benchmark text that are held by every task at a time; more items are done in further blocks.
@@ -97,21 +99,24 @@ class Seeds:
         return out
 
     def _verify(self, words: np.ndarray, lo: int, hi: int, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """The stretch of the diagonal with the best score (1 for an equal word, -2 for another), if it is an overlap."""
+        """The longest stretch of the diagonal with at least ``IDENTITY`` equal words, if it is an overlap.
+
+        No other stretch that is similar enough has more equal words, so the test misses none.
+        """
         begin, end = int(self.first[item]), int(self.first[item + 1])
         start, stop = max(begin, lo - diagonal), min(end, hi - diagonal)
         same = words[start + diagonal : stop + diagonal] == self.words[start:stop]
-        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-        floor = np.minimum.accumulate(total)
-        right = int(np.argmax(total - floor))
-        left = int(np.flatnonzero(total[: right + 1] == floor[right])[-1])
-        # single substitutions further out still belong to it while the whole stays similar enough
-        equal = np.concatenate([[0], np.cumsum(same)])
-        if equal[-1] >= IDENTITY * len(same):
-            left, right = 0, len(same)
-        n, k = right - left, int(equal[right] - equal[left])
+        # similar enough is a sum of 0 or more, and each end goes with the first begin that is not above it
+        total = np.concatenate([[0], np.cumsum(np.where(same, 1, _MISS))])
+        first = np.searchsorted(-np.minimum.accumulate(total), -total)
+        right = int(np.argmax(np.arange(len(total)) - first))
+        left = int(first[right])
+        if right - left < len(same) and same[left:right].any():  # changed words at its ends are not part of it
+            at = np.flatnonzero(same[left:right])
+            left, right = left + int(at[0]), left + int(at[-1]) + 1
+        n, k = right - left, int(same[left:right].sum())
         need = min(WORDS, end - begin)
-        return (start + diagonal + left, n, k) if end - begin >= SHORTEST and k >= need and k >= IDENTITY * n else None
+        return (start + diagonal + left, n, k) if end - begin >= SHORTEST and k >= need else None
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
