@@ -2,15 +2,19 @@
 
 Known license texts and corpus texts are brought to one canonical form (case, punctuation, copyright lines and
 equivalent spellings taken away), digested, and matched by a hash join on the digest of the entire text. A
-document is matched as a whole, and so is each of its lines, since short notices stand on lines of their own.
+document is matched as a whole, and so is each of its lines and of its paragraphs between blank lines, since short
+notices stand on lines of their own or are wrapped.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Known notices, by SPDX-like id. A parameter of :func:`scan`.
+#: Known notices, by SPDX-like id; :func:`bodies` has the entire texts.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -22,14 +26,25 @@ KNOWN = (
 )
 #: Equivalent spellings, applied to the lower-cased words in this order.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("v", "version"), ("ver", "version"), ("copyright holder", "copyright owner"))
-#: A line that only states a copyright.
-COPYRIGHT_LINE = "(?im)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*$"
+#: Headings that a text has or lacks, with and without the reservation below its copyright lines.
+TITLES = {
+    "MIT": ("", "MIT License", "The MIT License", "The MIT License (MIT)"),
+    "BSD-2-Clause": ("", "BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("", "BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"),
+}
+RESERVED = ("", "All rights reserved.")
+END = "END OF TERMS AND CONDITIONS"
+#: A line that only states a copyright, not one on which a sentence of a text goes on with these words.
+COPYRIGHT_LINE = (
+    "(?im)^[ \\t]*(copyright(?![a-z,.;\"”-]|[ \\t]*$|[ \\t]+(holders?|owners?|ownership|notices?|licen[cs]es?|statements?|laws?|interests?|treaty|treaties|permissions?|disclaimers?|doctrines?"
+    "|the[ \\t]+(software|library|program|work)|and|or|on|in|is|are|if|to|for|as)\\b)|\\(c\\)(?![ \\t]+(you|under)\\b)|©)[^\\n]*$"
+)
 
 
 def cleaned(text: Column) -> Column:
     """Lower-cased words without copyright lines; line breaks stay, all else between words is a blank. NULL counts as empty."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, " ")
-    return F.regexp_replace(F.lower(out), "[^0-9a-z\\n\\x{80}-\\x{10ffff}]+", " ")
+    return F.regexp_replace(F.lower(out), "[[^0-9a-z\\n\\x{80}-\\x{10ffff}][\\x{80}-\\x{10ffff}&&[\\p{P}\\p{S}\\p{Z}]]]+", " ")
 
 
 def spelled(clean: Column) -> Column:
@@ -50,24 +65,43 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_table(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """License digests; the first of several with one canonical form stands for it."""
+def bodies() -> list[tuple[str, str]]:
+    """The entire texts in ``licenses``: with the headings they come with, with and without clause numbers and what follows their end."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        body = path.read_text(encoding="utf-8")
+        forms = {body, body.replace("https://", "http://")}
+        if END in body:
+            forms |= {f[: f.index(END) + len(END)] for f in forms} | {f[: f.index(END)] for f in forms}
+        if path.stem in TITLES:
+            forms |= {re.sub(r"(?m)^\d\. ", "", f) for f in forms}
+        for title in TITLES.get(path.stem, ("",)):
+            for reserved in RESERVED if path.stem in TITLES else ("",):
+                out += [(path.stem, f"{title}\n\n{reserved}\n\n{f}") for f in sorted(forms)]
+    return out
+
+
+def known_table(spark: SparkSession, known=None) -> DataFrame:
+    """License digests of the known texts (all notices and bodies by default); the first of several with one canonical form stands for it."""
+    known = (*KNOWN, *bodies()) if known is None else known
     rows = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(known)], "place int, license string, body string")
     return rows.groupBy(digest(F.col("body")).alias("digest")).agg(F.min_by("license", "place").alias("license"))
 
 
-def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known=None) -> DataFrame:
     """Licenses of each row (``doc_id``, ``text``; others are ignored).
 
     Returns ``doc_id, text_sha256, text_license, line_licenses, n_license_lines``: the license whose entire text
-    the document is (else NULL), and the licenses that are the entire text of a line, sorted, with the number
-    of such lines. NULL and empty texts match nothing; repeated rows are each returned. Texts are
+    the document is (else NULL), and the licenses that are the entire text of a line or of a paragraph of several
+    lines, sorted, with the number of such lines and paragraphs. NULL and empty texts match nothing; repeated rows are each returned. Texts are
     cleaned once, whole and lines are joined in the same pass, and only matches and one row a document are shuffled.
     """
     table = F.broadcast(known_table(docs.sparkSession, known))  # as many rows as the parameter has
     # one-row generators: the costly expressions are worked out once
     clean = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(F.array(cleaned(F.col("text")))).alias("clean"))
-    parts = clean.select("row", "doc_id", F.posexplode(F.concat(F.array("clean"), F.split("clean", "\\n"))).alias("part", "body"))
+    paragraphs = F.split("clean", "\\n *\\n[ \\n]*")
+    wrapped = F.filter(paragraphs, lambda p: (F.size(paragraphs) > 1) & (F.instr(F.btrim(p, F.lit(" \n")), "\n") > 0))
+    parts = clean.select("row", "doc_id", F.posexplode(F.concat(F.array("clean"), F.split("clean", "\\n"), wrapped)).alias("part", "body"))
     digests = parts.select("row", "doc_id", "part", F.explode(F.array(F.sha2(spelled(F.col("body")).cast("binary"), 256))).alias("digest"))
     whole = F.col("part") == 0
     kept = digests.join(table, "digest", "left").where(whole | F.col("license").isNotNull())
