@@ -22,8 +22,6 @@ from .common import held_out, sample_order
 BUCKETS = 1 << 18
 #: Most documents of each language that the model is fitted on.
 SAMPLE = 150
-#: Most languages that are learned (the most frequent ones).
-LANGUAGES = 64
 UNKNOWN = "und"
 _SCALE = 6.0
 _STEP = 64
@@ -203,7 +201,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` whole documents of each language, chosen by a hash of the id among those with a
     language and not held out. Without any, the only language is ``und``."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~held_out())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 1)))
     # a first cut by hash leaves about twice the sample of each language to be ranked
