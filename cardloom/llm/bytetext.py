@@ -137,6 +137,12 @@ def shingles(words: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np.ndarr
     return out, begin
 
 
+def gather(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches ``values[begin[i] : begin[i] + sizes[i]]``, one after the other."""
+    end = np.cumsum(sizes)
+    return values[np.repeat(begin - (end - sizes), sizes) + np.arange(end[-1] if len(end) else 0)]
+
+
 def lists(values: np.ndarray, begin: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow list column of ``values`` cut at ``begin``."""
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values, kind))

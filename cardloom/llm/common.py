@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import cut, drop_table, shared_dir
 
-__all__ = ["cut", "drop_table", "held_out", "read", "sample_order", "shared_dir", "ship", "tune"]
+__all__ = ["cut", "drop_table", "held_out", "read", "sample_order", "shared_dir", "ship", "tune", "without"]
 
 #: Rows in one Arrow batch handed to Python. Texts may be long, so batches stay small.
 ARROW_ROWS = 512
@@ -45,6 +45,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without the columns whose names clash with ``names`` (case does not count)."""
+    taken = {n.lower() for n in names}
+    return docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in taken])
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of the documents that no model learns from (NULL ids count as held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

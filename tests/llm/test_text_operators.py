@@ -208,3 +208,16 @@ def test_pipeline_decisions_take_effect(spark, tmp_path):
     assert shared not in out[213].text and shared not in out[214].text and out[213].decodes and out[213].n_tokens == len(out[213].token_ids)
     assert out[5].token_ids == OFFICIAL.encode_ordinary(good[5])
     assert len(corpus_pipeline.STAGES) == 5 and base64
+
+
+def test_chunks_split_only_where_no_token_goes_on():
+    texts = ["a b", " a  b c", "x .. y", "don't 's 'll", "café été да нет", "a  b", "　 x 　y   z", "日本 語 x", "1 2 3  ", "a é", " ", "q\n r \n\n s", "\U0001f600 \U0001f600 a", "x\x85 y", "  a  "]
+    for kept in (1, 1000):
+        encoder = bpe.Encoder(TOKENS, public_tokenizers.PATTERN, kept_words=kept)
+        assert [x.tolist() for x in encoder.encode_batch(texts)] == [OFFICIAL.encode_ordinary(t) for t in texts]
+
+
+def test_encoded_columns_replace_clashing_ones(spark):
+    clashing = docs(spark, ["a b", None]).selectExpr("*", "1 AS N_TOKENS", "'x' AS token_ids")
+    out = bpe.encode(clashing, TOKENS, public_tokenizers.PATTERN)
+    assert out.columns[-3:] == ["n_tokens", "token_ids", "decodes"] and sorted(r.n_tokens for r in out.collect()) == [0, 2]
