@@ -13,6 +13,7 @@ pattern, and only words not met before are replayed; all else is integer arrays.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
@@ -222,7 +223,11 @@ class Encoder:
             self.chunks = Pool()
             new = need
         if new:
-            self._learn(sorted(new))
+            gc.disable()  # no cycles are made, and a search for some would go through all kept words again and again
+            try:
+                self._learn(sorted(new))
+            finally:
+                gc.enable()
         for (_, off), (chunks, back, starts) in zip(parts, cut, strict=True):
             slot = np.fromiter(map(self.chunks.slots.__getitem__, chunks), np.int64, len(chunks))
             ids, counts = self.chunks.of(slot[back])
