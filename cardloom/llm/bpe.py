@@ -31,7 +31,7 @@ from .common import without
 #: Most distinct words, and distinct chunks, that a task keeps with their ids; beyond, it starts anew.
 KEPT_WORDS = 300_000
 #: Bytes of text whose words are replayed together.
-STRETCH = 16 << 20
+STRETCH = 8 << 20
 _SHIFT = 20
 #: ASCII characters that are seen, first bytes of characters of two and three bytes that no Unicode space has, and inner bytes.
 _VISIBLE, _PAIR, _TRIPLE, _INNER = (np.zeros(256, bool) for _ in range(4))
