@@ -44,16 +44,17 @@ class DigestArray:
 
     @classmethod
     def build(cls, rules: Iterable[tuple[str, str]]) -> DigestArray:
-        """The last of repeated entries holds."""
+        """From ``(verdict, entry)``; the last of repeated entries holds."""
         last = {entry.encode(): verdict for verdict, entry in rules}
-        order = sorted(last, key=lambda e: (xxhash.xxh64_intdigest(e), e))
-        keys = np.array([xxhash.xxh64_intdigest(e) for e in order], np.uint64)
+        digest = {e: xxhash.xxh64_intdigest(e) for e in last}
+        order = sorted(last, key=lambda e: (digest[e], e))
         offsets = np.cumsum([0, *map(len, order)]).astype(np.int64)
-        return cls(keys, offsets, np.frombuffer(b"".join(order), np.uint8), np.array([last[e] == "block" for e in order], np.uint8))
+        return cls(np.array([digest[e] for e in order], np.uint64), offsets, np.frombuffer(b"".join(order), np.uint8), np.array([last[e] == "block" for e in order], np.uint8))
 
-    @property
-    def nbytes(self) -> int:
-        return self.keys.nbytes + self.offsets.nbytes + len(self.strings) + len(self.verdicts)
+    @staticmethod
+    def size(entries: Iterable[str]) -> int:
+        """Bytes of the array of these entries, known before it is built: each has its key, offset, verdict and string."""
+        return sum(17 + len(e.encode()) for e in entries)
 
     def save(self, path: str) -> None:
         with open(path, "wb") as f:
@@ -123,14 +124,16 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, most_bytes
     it decides, and an unlisted url is allowed.
 
     Returns ``page_id, host, path, rule, verdict``. A NULL url, or one without ``://``, has an empty host and
-    path, no rule and the default verdict. Repeated rows are each judged; an empty table gives no row.
+    path, no rule and the default verdict. Repeated rows are each judged, urls of any length whole; of repeated
+    entries the last holds; an empty table gives no row. ``most_bytes`` decides how the array is looked up, not what is found.
     """
-    rules = list(rules)
+    last = {entry: verdict for verdict, entry in rules}  # the last of repeated entries holds, on either way
+    rules = [(verdict, entry) for entry, verdict in last.items()]
     host, path = host_and_path()
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    index = DigestArray.build(rules)
-    if index.nbytes > most_bytes:
+    if DigestArray.size(last) > most_bytes:
         return judge_by_join(urls, rules)
+    index = DigestArray.build(rules)
     name = f"digests-{uuid.uuid4().hex}.bin"
     folder = tempfile.mkdtemp(prefix="spark-")  # only the driver reads it: Spark serves the file to the executors
     index.save(os.path.join(folder, name))
@@ -156,8 +159,9 @@ def judge_by_join(urls: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFram
     labels = F.split("host", "\\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     heads = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
-    keyed = urls.withColumn("row", F.monotonically_increasing_id())
-    probes = keyed.where("host <> ''").select("row", F.explode(F.flatten(F.transform(hosts, lambda h: F.transform(heads, lambda p: F.concat(h, p))))).alias("entry"))
+    # a verdict depends on host and path alone: each pair is looked up once
+    each = urls.where("host <> ''").select("host", "path").distinct()
+    probes = each.select("host", "path", F.explode(F.flatten(F.transform(hosts, lambda h: F.transform(heads, lambda p: F.concat(h, p))))).alias("entry"))
     hits = probes.withColumn("digest", F.xxhash64("entry")).join(table, ["digest", "entry"])
-    best = hits.groupBy("row").agg(F.max_by(F.struct("entry", "rule_verdict"), F.length("entry")).alias("hit"))
-    return keyed.join(best, "row", "left").select("page_id", "host", "path", F.col("hit.entry").alias("rule"), F.coalesce("hit.rule_verdict", F.lit(UNLISTED)).alias("verdict"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("entry", "rule_verdict"), F.length("entry")).alias("hit"))
+    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("hit.entry").alias("rule"), F.coalesce("hit.rule_verdict", F.lit(UNLISTED)).alias("verdict"))
