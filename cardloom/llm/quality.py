@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and character 3- to 5-grams are hashed into a table of learned vectors; a document is the average of its
+Words, pairs of words and character 3- to 5-grams are hashed into a table of learned vectors; a document is the average of its
 vectors, and a softmax layer on it gives the class. The model is trained by plain stochastic gradient descent
 in numpy on a bounded sample of labelled documents. For scoring, table and output layer fold into one number
 per bucket, so every whole text costs one lookup per word and n-gram.
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytetext import Hasher, U, char_starts, lists, pieces, word_bounds
+from .bytetext import Hasher, U, char_starts, lists, mix, pieces, word_bounds
 from .common import held_out, sample_order
 
 BUCKETS = 1 << 17
@@ -33,9 +33,8 @@ def features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
     starts, ends, first = word_bounds(data, off)
     words, own = hasher.at(starts, ends), np.repeat(np.arange(len(off) - 1), np.diff(first))
     yield own, (words % U(BUCKETS)).astype(np.int64)
-    # pairs count as one of two features: a word twice running, or another word
     inside = own[1:] == own[:-1]
-    yield own[1:][inside], np.where(words[1:] == words[:-1], BUCKETS - 1, BUCKETS - 2)[inside]
+    yield own[1:][inside], (mix(words[:-1] * U(3) + words[1:])[inside] % U(BUCKETS)).astype(np.int64)
     chars = char_starts(data)
     owner = np.searchsorted(off, chars[:-1], "right") - 1
     for n in GRAMS:
@@ -114,7 +113,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     labelled documents of both classes the model gives the share of class 1 (0.5 if there is none at all).
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    ranked = known.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(*sample_order())))
+    counts = dict(known.groupBy("label").count().collect())  # two classes
+    # a first cut by hash leaves about twice the sample of each class to be ranked
+    share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, (2.0 * sample + 50) / n))]) if counts else F.create_map(F.lit(0), F.lit(0.0))
+    near = known.where(F.pmod(F.xxhash64(F.lit("cut"), "doc_id"), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20))
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(*sample_order())))
     chosen = ranked.where(F.col("n") <= sample).select("doc_id", "label")  # at most 2 * sample rows
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     rows = texts.select("label", "text").mapInArrow(_bags, "label int, buckets array<int>, weights array<float>").toArrow()
