@@ -32,4 +32,6 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-    return edges.select(F.col("x").alias("node"), F.col("y").alias("component")).unionByName(edges.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct())
+    out = cut(edges.select(F.col("x").alias("node"), F.col("y").alias("component")).unionByName(edges.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct()), "components")
+    drop_table(edges)
+    return out
