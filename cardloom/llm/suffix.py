@@ -4,14 +4,15 @@ A byte goes if some string of ``length`` bytes that covers it starts anywhere el
 of the corpus is not needed: each window of ``length`` bytes picks one anchor, the smallest hashed ``k``-mer in
 it, by its content alone, so equal windows have anchors that are equal and at the same offset.
 
-1. Neighbouring windows with one anchor form a fragment. Fragments are counted by the digest of their bytes and
-   by anchor: an anchor that occurs once rules its windows out, a fragment that occurs twice is repeated whole.
-2. What is left are anchors with several different fragments (the edges of repeated passages). Each such
-   fragment is sent once to the partition of its anchor and goes, batch by batch, into a :class:`Family`:
-   a new batch gets a suffix array, is merge-scanned against the arrays of the existing levels for common
-   prefixes of ``length`` bytes, and levels of equal size are merged, so there are only logarithmically many.
-   An anchor with more fragments than ``hot`` is not kept in one place: they go through the same steps as texts of
-   their own with a longer anchor, down to windows that are their own anchors.
+1. Neighbouring windows with one anchor form a fragment. An anchor that occurs once rules its windows out.
+2. Fragments with equal anchor and digest are folded before the shuffle. The bytes of each fragment that is left, and
+   of a second copy of it if it has any, go to the partition of their anchor, and there, batch by batch, into a
+   :class:`Family`: a new batch gets a suffix array of its anchors, is merge-scanned against the arrays of the existing
+   levels for long matches, and levels of equal size are merged, so there are only logarithmically many. The family
+   alone decides what is repeated, on bytes: a window is, if two fragments share what it has on both sides of the anchor.
+   An anchor with more different fragments than ``hot`` is not kept in one place: they go through the same steps as
+   texts of their own with a longer anchor, down to windows that are their own anchors. ``hot`` bounds the work of a
+   task and changes no result.
 3. Every occurrence of a fragment takes over its repeated windows; their bytes are cut out of the texts.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import Hasher, U, buffers, mix, pieces
+from .bytetext import Hasher, U, buffers, gather, mix, pieces
 from .common import cut, drop_table
 
 LENGTH = 200
@@ -33,11 +34,16 @@ LENGTH = 200
 ANCHORS = (100, 184, 200)
 #: Different fragments of one anchor that are still compared in one partition.
 HOT = 200
+#: Bytes of fragments that one family takes in, and that one of its batches has.
+FAMILY_BYTES = 24 << 20
+BATCH_BYTES = 4 << 20
+#: By which spans find their row again: the id, and a hash of id and text.
+KEY = ("cardloom_id", "cardloom_key")
 
 
 def fragments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = ANCHORS[0]) -> tuple[np.ndarray, ...]:
-    """``(text, first window, windows, anchor hash, fragment hash)`` of the fragments of each text."""
-    n, none = len(data), tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+    """``(text, first window, windows, offset of the anchor, anchor hash, fragment hash)`` of the fragments of each text."""
+    n, none = len(data), tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     windows = n - length + 1
     if windows <= 0:
         return none
@@ -58,87 +64,137 @@ def fragments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int =
     use = start + length <= off[text + 1]
     start, end, text = start[use], end[use], text[use]
     at = anchor[start]
-    whole = hasher.at(start, end - 1 + length) ^ mix(((at - start) * 1024 + 7).astype(np.uint64))
-    return text, start - off[text], end - start, grams[at], whole
+    return text, start - off[text], end - start, at - start, grams[at], _digest(hasher, start, end - 1 + length, at - start)
+
+
+def _digest(hasher: Hasher, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Digest of a fragment: its bytes and where its anchor is."""
+    return hasher.at(start, end) ^ mix((place * 1024 + 7).astype(np.uint64))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``cardloom_key``, by which spans find their text again: the id, or a hash of the text where there is none."""
-    return docs.withColumn("cardloom_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), F.col("text"))))
+    return docs.withColumns({KEY[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), KEY[1]: F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"))})
 
 
 def _fragment_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """A row for each fragment; ``place`` holds first window, number of windows and offset of the anchor."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            keys = [batch.column(c).to_numpy() for c in KEY]
             for lo, _, data, off in pieces(batch.column("text")):
-                text, first, count, anchor, whole = fragments(data, off, length, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + text], pa.int64()), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], names=["doc_id", "first", "windows", "anchor", "whole"])
+                text, first, count, at, anchor, whole = fragments(data, off, length, k)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[lo + text], pa.int64()) for x in keys], pa.array(first << 32 | count << 16 | at, pa.int64()), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], names=[*KEY, "place", "anchor", "whole"])
+
+    return docs.select(*KEY, "text").mapInArrow(run, f"{KEY[0]} long, {KEY[1]} long, place long, anchor long, whole long")
+
+
+def _contexts(text: np.ndarray, at: np.ndarray, size: np.ndarray, width: int, step: int) -> np.ndarray:
+    """Up to ``width`` bytes from each place on (``step`` 1) or back from it (-1), then their number, as sortable strings."""
+    size = np.minimum(size, width)
+    out = np.zeros((len(at), width + 2), np.uint8)
+    for lo in range(0, len(at), 8192):  # in parts: places take eight times the space of bytes
+        reach = np.arange(width)
+        inside = reach < size[lo : lo + 8192, None]
+        out[lo : lo + 8192, :width][inside] = text[((at[lo : lo + 8192, None] if step > 0 else at[lo : lo + 8192, None] - 1) + step * reach)[inside]]
+    out[:, width], out[:, width + 1] = size >> 8, size & 255
+    return out.view(f"S{width + 2}").ravel()
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, first int, windows short, anchor long, whole long")
+def _common(strings: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each string from :func:`_contexts` with the one before it; 0 for the first."""
+    rows = np.frombuffer(strings.tobytes(), np.uint8).reshape(len(strings), strings.itemsize)
+    size = rows[:, -2].astype(np.int64) << 8 | rows[:, -1]
+    differs = rows[1:, :-2] != rows[:-1, :-2]
+    reach = np.where(differs.any(1), differs.argmax(1), strings.itemsize) if differs.shape[1] else np.zeros(len(differs), np.int64)
+    return np.concatenate([[0], np.minimum(reach, np.minimum(size[1:], size[:-1]))])[: len(rows)]
 
 
 class Level:
-    """A suffix array: starts of windows in ``text`` in the order of their bytes, and whether each is known to be repeated."""
-
-    def __init__(self, text: bytes, fragment: np.ndarray, starts: np.ndarray, keys: np.ndarray, repeated: np.ndarray):
-        self.text, self.fragment, self.starts, self.keys, self.repeated = text, fragment, starts, keys, repeated
-
-    @classmethod
-    def build(cls, text: bytes, fragment: np.ndarray, starts: np.ndarray, length: int) -> Level:
-        """Suffix array of a new batch; neighbours in it with a common prefix of ``length`` are repeated."""
-        view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), length)[starts]
-        keys = np.ascontiguousarray(view).view(f"S{length}").ravel()
-        order = np.argsort(keys, kind="stable")
-        level = cls(text, fragment[order], starts[order], keys[order], np.zeros(len(order), bool))
-        same = level.keys[1:] == level.keys[:-1]
-        level.repeated[1:] |= same
-        level.repeated[:-1] |= same
-        return level
-
-    def scan(self, other: Level) -> None:
-        """Merge-scan of two arrays: windows that stand in both are repeated in both."""
-        lo, hi = np.searchsorted(other.keys, self.keys), np.searchsorted(other.keys, self.keys, "right")
-        found = hi > lo
-        self.repeated |= found
-        edge = np.zeros(len(other.keys) + 1, np.int64)
-        np.add.at(edge, lo[found], 1)
-        np.add.at(edge, hi[found], -1)
-        other.repeated |= np.cumsum(edge[:-1]) > 0
-
-    def merge(self, other: Level) -> Level:
-        """One array out of two."""
-        at = np.searchsorted(self.keys, other.keys, "right")
-        fields = [np.insert(getattr(self, name), at, getattr(other, name) + add) for name, add in (("fragment", 0), ("starts", len(self.text)))]
-        return Level(self.text + other.text, fields[0], fields[1], np.insert(self.keys, at, other.keys), np.insert(self.repeated, at, other.repeated))
+    """A suffix array: anchors in ``text`` in the order of the bytes from them on. ``low`` and ``high`` bound each one's
+    fragment; ``group`` tells equal anchors at a glance; ``entry`` is the fragment's number in the family."""
+
+    FIELDS = ("at", "low", "high", "group", "entry")
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, entry: np.ndarray):
+        self.text, self.at, self.low, self.high, self.group, self.entry = text, at, low, high, group, entry
+
+    def take(self, order: np.ndarray) -> Level:
+        return Level(self.text, *(getattr(self, f)[order] for f in self.FIELDS))
+
+    def suffixes(self, length: int) -> np.ndarray:
+        return _contexts(self.text, self.at, self.high - self.at, length, 1)
+
+    def whole_windows(self, length: int, k: int) -> np.ndarray:
+        """Which windows around its anchor each entry has, by the number of their bytes before the anchor."""
+        before = np.arange(length - k + 1)
+        return (before <= (self.at - self.low)[:, None]) & (length - before <= (self.high - self.at)[:, None])
+
+    def merge(self, other: Level, length: int) -> Level:
+        """One array out of two, in order."""
+        place = np.searchsorted(self.suffixes(length), other.suffixes(length), "right")
+        add = (len(self.text), len(self.text), len(self.text), 0, 0)
+        return Level(np.concatenate([self.text, other.text]), *(np.insert(getattr(self, f), place, getattr(other, f) + a) for f, a in zip(self.FIELDS, add, strict=True)))
+
+    def repeated(self, length: int, k: int) -> np.ndarray:
+        """Which windows of each entry are repeated in the array, by the number of their bytes before the anchor."""
+        n, width = len(self.at), length - k
+        left, right, own = self.at - self.low, np.minimum(self.high - self.at, length), self.whole_windows(length, k)
+        suffixes, before = self.suffixes(length), _contexts(self.text, self.at, left, width, -1)
+        common = _common(suffixes)
+        group = np.cumsum(common < k)
+        # equal fragments are repeated whole; then one of each stands for them
+        same = np.concatenate([[False], (common[1:] == right[1:]) & (common[1:] == right[:-1])])[:n]
+        _, back = np.unique(before, return_inverse=True)
+        _, first, body, copies = np.unique(np.cumsum(~same) * (n + 1) + back, return_index=True, return_inverse=True, return_counts=True)
+        out = own & (copies[body] > 1)[:, None]
+        some = np.sort(first)
+        some = some[(np.bincount(group[some], minlength=int(group[-1]) + 1 if n else 1)[group[some]] > 1)]
+        if not len(some):
+            return out
+        # classes of equal bytes after and before the anchor, to every depth, from the common prefixes of neighbours
+        reach = np.concatenate([[0], np.minimum.reduceat(common[: some[-1] + 1], some[:-1] + 1)]) if len(some) > 1 else np.zeros(1, np.int64)
+        order = np.argsort(before[some], kind="stable")
+        behind, m = _common(before[some][order]), len(some)
+        found, class_before = np.zeros((m, width + 1), bool), np.empty(m, np.int64)
+        for j in range(width + 1):
+            class_before[order] = np.cumsum(behind < j)
+            keys = np.cumsum(reach < length - j) * (m + 1) + class_before
+            keys[~own[some, j]] = -1 - np.flatnonzero(~own[some, j])
+            by = np.argsort(keys)
+            twin = np.flatnonzero(keys[by][1:] == keys[by][:-1])
+            found[by[twin], j] = found[by[twin + 1], j] = True
+        shared = np.zeros((len(first), width + 1), bool)
+        shared[body[some]] = found
+        return out | (shared[body] & own)
 
 
 class Family:
     """Levels of suffix arrays whose sizes grow geometrically."""
 
-    def __init__(self, length: int = LENGTH):
-        self.length, self.levels = length, []
-
-    def add(self, ids: np.ndarray, texts: list[bytes]) -> None:
-        """Take in a batch of texts; every window of ``length`` bytes of each is a suffix of the index."""
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        count = np.maximum(sizes - self.length + 1, 0)
-        begin = np.cumsum(sizes) - sizes
-        starts = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        if not len(starts):
-            return
-        new = Level.build(b"".join(texts), np.repeat(ids, count), starts, self.length)
-        for level in self.levels:
-            new.scan(level)
+    def __init__(self, length: int = LENGTH, k: int = ANCHORS[0]):
+        self.length, self.k, self.levels = length, k, []
+        self.windows = np.zeros((0, length - k + 1), bool)
+
+    def add(self, texts: list[bytes], anchors: np.ndarray, groups: np.ndarray, copied: np.ndarray) -> None:
+        """Take in a batch of fragments with the offsets of their anchors; ``copied`` ones stand for several equal rows."""
+        sizes, base = np.fromiter(map(len, texts), np.int64, len(texts)), len(self.windows)
+        low = np.cumsum(sizes) - sizes
+        new = Level(np.frombuffer(b"".join(texts), np.uint8), low + anchors, low, low + sizes, groups, np.arange(base, base + len(texts)))
+        self.windows = np.concatenate([self.windows, new.whole_windows(self.length, self.k) & copied[:, None]])
+        new = new.take(np.argsort(new.suffixes(self.length), kind="stable"))
+        self._mark(new)
+        for level in self.levels:  # merge-scan: what the batch has in common with a level
+            ours, theirs = np.isin(new.group, level.group), np.isin(level.group, new.group)
+            if ours.any():
+                self._mark(level.take(np.flatnonzero(theirs)).merge(new.take(np.flatnonzero(ours)), self.length))
         self.levels.append(new)
-        while len(self.levels) > 1 and len(self.levels[-1].keys) >= len(self.levels[-2].keys):
+        while len(self.levels) > 1 and len(self.levels[-1].at) >= len(self.levels[-2].at):
             last = self.levels.pop()
-            self.levels[-1] = self.levels[-1].merge(last)
+            self.levels[-1] = self.levels[-1].merge(last, self.length)
 
-    def repeated(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """``(text id, start in the level's text)`` of the repeated windows."""
-        for level in self.levels:
-            yield level.fragment[level.repeated], level.starts[level.repeated]
+    def _mark(self, level: Level) -> None:
+        self.windows[level.entry] |= level.repeated(self.length, self.k)
 
 
 def _runs(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,90 +207,102 @@ def _runs(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return ids[begin], at[begin], np.diff(np.append(begin, len(ids)))
 
 
-def _compared(bodies: DataFrame, length: int, batch_bytes: int) -> DataFrame:
-    """``whole, skip, windows``: runs of repeated windows within the fragments of each partition, by its family."""
+def _compared(bodies: DataFrame, length: int, k: int, batch_bytes: int) -> DataFrame:
+    """``anchor, whole, skip, windows``: runs of repeated windows within the fragments of each partition, by its family."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, names, begins = Family(length), [], [0]
-        texts: list[bytes] = []
-        size = 0
+        family, held, size = Family(length, k), [], 0
+        anchors, wholes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def flush() -> None:
-            nonlocal texts, size
-            first = len(begins) - 1 - len(texts)
-            family.add(np.arange(first, first + len(texts)), texts)
-            texts, size = [], 0
+            nonlocal held, size
+            part = pa.Table.from_batches(held).combine_chunks().to_batches()
+            for batch in part:
+                group, whole, place = (batch.column(c).to_numpy() for c in ("anchor", "whole", "place"))
+                family.add(batch.column("body").to_pylist(), place & 65535, group, batch.column("copied").to_numpy(zero_copy_only=False))
+                anchors.append(group)
+                wholes.append(whole)
+                places.append(place & 65535)
+            held, size = [], 0
 
         for batch in batches:
-            names.append(batch.column("whole").to_numpy())
-            for value in batch.column("body"):
-                texts.append(value.as_py())
-                begins.append(begins[-1] + len(texts[-1]))
-                size += len(texts[-1])
-                if size >= batch_bytes:
-                    flush()
-        flush()
-        whole, begin = np.concatenate(names) if names else np.zeros(0, np.int64), np.array(begins)
-        base = 0
-        for level, (ids, starts) in zip(family.levels, family.repeated(), strict=True):
-            # a level's text is that of consecutive fragments
-            at, first, count = _runs(ids, starts + base - begin[ids])
-            base += len(level.text)
-            yield pa.RecordBatch.from_arrays([pa.array(whole[at], pa.int64()), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names=["whole", "skip", "windows"])
-
-    return bodies.select("whole", "body").mapInArrow(run, "whole long, skip int, windows int")
+            held.append(batch)
+            size += batch.column("body").nbytes
+            if size >= batch_bytes:
+                flush()
+        if held:
+            flush()
+        entry, before = np.nonzero(family.windows)
+        place = np.concatenate(places)
+        at, first, count = _runs(entry, place[entry] - before)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)[at], pa.int64()) for x in (anchors, wholes)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names=["anchor", "whole", "skip", "windows"])
+
+    return bodies.select("anchor", "whole", "place", "copied", "body").mapInArrow(run, "anchor long, whole long, skip int, windows int")
 
 
 def _bodies(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """``anchor, hot, whole, body``: the bytes of each wanted fragment, cut out of the text it was seen in."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "hot", "whole", "first", "windows")).alias("wanted"))
+    """``anchor, hot, whole, place, copied, body``: the bytes of each wanted fragment, cut out of a text it was seen in."""
+    fields = {"anchor": "long", "hot": "boolean", "whole": "long", "place": "long", "copied": "boolean"}
+    lists = wanted.groupBy(KEY[1]).agg(F.collect_list(F.struct(*fields)).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = buffers(batch.column("text"))
-            raw, out = data.tobytes(), []
-            for i, wanted in enumerate(batch.column("wanted").to_pylist()):
-                for w in wanted:
-                    start = int(off[i]) + w["first"]
-                    out.append((w["anchor"], w["hot"], w["whole"], raw[start : start + w["windows"] - 1 + length]))
-            anchor, hot, whole, body = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(hot, pa.bool_()), pa.array(whole, pa.int64()), pa.array(body, pa.binary())], names=["anchor", "hot", "whole", "body"])
-
-    return docs.join(lists, "doc_id").select("text", "wanted").mapInArrow(run, "anchor long, hot boolean, whole long, body binary")
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, hot: int = HOT, batch_bytes: int = 1 << 20) -> DataFrame:
-    """``cardloom_key, cardloom_spans`` for ``cardloom_key, text``: the byte ranges (``start``, ``stop``) of each text that repeated windows cover, as found (they may overlap).
+            for lo, hi, data, off in pieces(batch.column("text"), 1 << 20):
+                part = batch.column("wanted").slice(lo, hi - lo)
+                row = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
+                columns = dict(zip(fields, part.flatten().flatten(), strict=True))
+                place = columns["place"].to_numpy()
+                start, size = off[row] + (place >> 32), (place >> 16 & 65535) - 1 + length
+                # a text with the same key that is another text does not have the fragment
+                good = np.flatnonzero(start + size <= off[row + 1])
+                digest = _digest(Hasher(data), start[good], (start + size)[good], (place & 65535)[good])
+                good = good[digest.view(np.int64) == columns["whole"].to_numpy()[good]]
+                end = np.cumsum(size[good])
+                body = pa.BinaryArray.from_buffers(pa.binary(), len(good), [None, pa.py_buffer(np.concatenate([[0], end]).astype(np.int32)), pa.py_buffer(gather(data, start[good], size[good]))])
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(good)) for c in columns.values()), body], names=[*fields, "body"])
+
+    schema = ", ".join(f"{n} {t}" for n, t in fields.items())
+    return docs.join(lists, KEY[1]).dropDuplicates(list(KEY)).select("text", "wanted").mapInArrow(run, f"{schema}, body binary")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, hot: int = HOT, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``KEY, cardloom_spans`` for ``KEY, text``: the byte ranges (``start``, ``stop``) of each text that repeated windows cover, as found (they may overlap).
 
     ``anchors`` are k-mer sizes, growing to ``length``: the fragments of a hot anchor are taken as texts in their
     own right with the next size, so their windows spread over many anchors.
     """
-    spark, k = docs.sparkSession, min(anchors[0], length)
-    docs = docs.select(F.col("cardloom_key").alias("doc_id"), "text")
+    k = min(anchors[0], length)
+    docs = docs.select(*KEY, "text")
     rows = _fragment_rows(docs, length, k)
     # fragments by digest, then anchors by their fragments: both are partial sums before the shuffle
-    seen = rows.groupBy("anchor", "whole").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first", "windows")).alias("place"))
-    kinds = cut(seen, "fragments")
+    seen = F.struct(F.col(KEY[1]), F.col("place"))
+    kinds = cut(rows.groupBy("anchor", "whole").agg(F.count("*").alias("times"), F.min(seen).alias("one"), F.max(seen).alias("two")).withColumn("two", F.when(F.col("times") > 1, F.col("two"))), "fragments")
     groups = kinds.groupBy("anchor").agg(F.sum("times").alias("all_times"), F.count("*").alias("kinds")).where("all_times > 1")
-    repeated = cut(kinds.join(groups, "anchor").select("anchor", "whole", "times", "place.*", "kinds"), "repeated")
+    repeated = kinds.join(groups, "anchor")
+    # of copies the first and the last are compared; equal rows have one place, and count as copies
+    places = F.array_distinct(F.array_compact(F.array("one", "two")))
+    wanted = repeated.select("anchor", "whole", (F.col("kinds") > hot).alias("hot"), ((F.col("times") > 1) & (F.col("one") == F.col("two"))).alias("copied"), F.explode(places).alias("at"))
+    wanted = cut(wanted.select("anchor", "whole", "hot", "copied", "at.*"), "wanted")
     drop_table(kinds)
-    verdict = repeated.where("times > 1").select("whole", F.lit(0).alias("skip"), F.col("windows").cast("int").alias("windows"))
-    wanted = repeated.where("kinds > 1").select("doc_id", "anchor", (F.col("kinds") > hot).alias("hot"), "whole", "first", "windows")
     bodies = cut(_bodies(wanted, docs, length), "bodies")
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    edges = _compared(bodies.where("not hot").repartition(partitions, "anchor"), length, batch_bytes)
+    drop_table(wanted)
+    size = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    edges = _compared(bodies.where("not hot").repartition(1 + size // FAMILY_BYTES, "anchor"), length, k, batch_bytes)
+    inner = None
     if len(anchors) > 1 and not bodies.where("hot").isEmpty():
-        inner = repeated_spans(bodies.where("hot").select(F.col("whole").alias("cardloom_key"), F.col("body").alias("text")), length, anchors[1:], hot, batch_bytes)
-        inner = inner.select(F.col("cardloom_key").alias("whole"), F.explode("cardloom_spans").alias("s"))
-        edges = edges.unionByName(inner.select("whole", F.col("s.start").alias("skip"), (F.col("s.stop") - F.col("s.start") - length + 1).alias("windows")))
-    part = edges.join(verdict.select("whole"), "whole", "left_anti")
-    verdicts = cut(verdict.unionByName(part).groupBy("whole").agg(F.collect_list(F.struct("skip", "windows")).alias("runs")), "verdicts")
+        again = bodies.where("hot").select(F.col("anchor").alias(KEY[0]), F.col("whole").alias(KEY[1]), F.col("body").alias("text"))
+        copies = bodies.where("hot and copied").select(F.col("anchor").alias(KEY[0]), F.col("whole").alias(KEY[1]), F.col("body").alias("text"))
+        inner = repeated_spans(again.unionByName(copies), length, anchors[1:], hot, batch_bytes)
+        runs = inner.select(F.col(KEY[0]).alias("anchor"), F.col(KEY[1]).alias("whole"), F.explode("cardloom_spans").alias("s"))
+        edges = edges.unionByName(runs.select("anchor", "whole", F.col("s.start").alias("skip"), (F.col("s.stop") - F.col("s.start") - length + 1).alias("windows")))
+    verdicts = cut(edges.groupBy("anchor", "whole").agg(F.collect_set(F.struct("skip", "windows")).alias("runs")), "verdicts")
     drop_table(bodies)
-    drop_table(repeated)
-    found = _fragment_rows(docs, length, k).join(verdicts, "whole").select("doc_id", "first", F.explode("runs").alias("run"))
+    if inner is not None:
+        drop_table(inner)
+    found = _fragment_rows(docs, length, k).join(verdicts, ["anchor", "whole"]).select(*KEY, F.shiftright("place", 32).cast("int").alias("first"), F.explode("runs").alias("run"))
     start = F.col("first") + F.col("run.skip")
-    spans = found.select("doc_id", F.struct(start.alias("start"), (start + F.col("run.windows") - 1 + length).alias("stop")).alias("span"))
-    out = cut(spans.groupBy(F.col("doc_id").alias("cardloom_key")).agg(F.collect_list("span").alias("cardloom_spans")), "spans")
+    spans = found.select(*KEY, F.struct(start.alias("start"), (start + F.col("run.windows") - 1 + length).alias("stop")).alias("span"))
+    out = cut(spans.groupBy(*KEY).agg(F.collect_list("span").alias("cardloom_spans")), "spans")
     drop_table(verdicts)
     return out
 
@@ -256,8 +324,8 @@ def removal(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = AN
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``. NULL counts as empty; texts under ``length``
     bytes stay whole; matches never cross texts; strings are judged on the input. Repeated rows count as texts of
-    their own, so both lose all that is long enough; rows without an id are told apart by their text; different
-    texts must have different ids. An empty table gives no row; very long texts are taken whole.
+    their own, so both lose all that is long enough; rows are told apart by id and text. An empty table gives no row;
+    very long texts are taken whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +340,7 @@ def removal(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = AN
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     docs = _keyed(docs.select("doc_id", "text"))
-    return docs.join(repeated_spans(docs, length, anchors, hot), "cardloom_key", "left").select("doc_id", "text", "cardloom_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.join(repeated_spans(docs, length, anchors, hot), list(KEY), "left").select("doc_id", "text", "cardloom_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, hot: int = HOT) -> DataFrame:
@@ -294,4 +362,4 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...]
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
     keyed = _keyed(docs)
-    return keyed.join(repeated_spans(keyed, length, anchors, hot), "cardloom_key", "left").select(*[keyed[n] for n in names], "cardloom_spans").mapInArrow(run, docs.schema)
+    return keyed.join(repeated_spans(keyed, length, anchors, hot), list(KEY), "left").select(*[keyed[n] for n in names], "cardloom_spans").mapInArrow(run, docs.schema)

@@ -75,11 +75,11 @@ def test_contamination_tolerates_substitutions_and_leaves_clean_texts(spark):
     host = lambda passage: " ".join(words(rng, 60) + passage + words(rng, 60))
     texts = [host(items[0]), host(changed), host(items[0][10:30]), host(items[1]), host([w.upper() + "," for w in items[2]]), host(items[3]), host(items[4]), host([]), host(items[0][:6]), None, "", " ".join(items[1]), host(words(rng, 20000) + items[1])]
     benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(90, None), (91, ""), (1, " ".join(items[1]))], "item_id long, text string")
-    want = [[0], [0], [0], [1], [2], [3], [], [], [], [], [], [1], [1]]
-    for block in (1 << 20, 150):
-        out = {r.doc_id: (r.contaminated, r.item_ids) for r in decontam.contamination(docs(spark, texts), benchmark, block).collect()}
+    want = [[0], [0], [0], [1], [2], [3], [4], [], [], [], [], [1], [1]]
+    for bits in (26, 4):
+        out = {r.doc_id: (r.contaminated, r.item_ids) for r in decontam.contamination(docs(spark, texts), benchmark, bits).collect()}
         assert out == {i: (bool(w), w) for i, w in enumerate(want)}
-    kept = decontam.keep_clean(docs(spark, texts), benchmark, 150)
+    kept = decontam.keep_clean(docs(spark, texts), benchmark, 4)
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, w in enumerate(want) if not w] and kept.columns == docs(spark, []).columns
     none = decontam.contamination(docs(spark, texts), benchmark.limit(0))
     assert none.where("contaminated").count() == 0 and none.count() == len(texts)
@@ -178,17 +178,41 @@ def test_suffix_removal_equals_brute_force(spark, hot):
     assert sorted(r.n_removed for r in loose) == [0, 250]
 
 
-def test_family_merges_levels_geometrically():
+def test_family_decides_every_window_and_merges_levels_geometrically():
     rng = np.random.default_rng(9)
-    texts = [bytes(rng.integers(97, 100, 40).astype(np.uint8)) for _ in range(60)]
-    family = suffix.Family(6)
-    for i in range(0, 60, 4):
-        family.add(np.arange(i, i + 4), texts[i : i + 4])
-    count = Counter(t[i : i + 6] for t in texts for i in range(35))
-    found = sum(len(ids) for ids, _ in family.repeated())
-    assert found == sum(n for n in count.values() if n > 1) and len(family.levels) <= 5
-    sizes = [len(level.keys) for level in family.levels]
-    assert sizes == sorted(sizes, reverse=True) and all((a.keys[1:] >= a.keys[:-1]).all() for a in family.levels)
+    length, k = 6, 3
+    anchor = np.frombuffer(b"".join(bytes(rng.integers(97, 99, 3).astype(np.uint8)) for _ in range(200)), np.uint8).reshape(-1, 3)
+    texts, places = [], []
+    for a in anchor:  # the anchor with up to three bytes before and after it
+        before, after = (bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(0, 4, 2))
+        texts.append(before + a.tobytes() + after)
+        places.append(len(before))
+    groups = np.array([int.from_bytes(a.tobytes()) for a in anchor])
+    family = suffix.Family(length, k)
+    for i in range(0, 200, 8):
+        family.add(texts[i : i + 8], np.array(places[i : i + 8]), groups[i : i + 8], np.zeros(8, bool))
+    windows = [(e, j, t[p - j : p - j + length]) for e, (t, p) in enumerate(zip(texts, places, strict=True)) for j in range(length - k + 1) if p - j >= 0 and p - j + length <= len(t)]
+    count = Counter((j, w) for _, j, w in windows)
+    want = np.zeros((200, length - k + 1), bool)
+    for e, j, w in windows:
+        want[e, j] = count[j, w] > 1
+    assert np.array_equal(family.windows, want) and want.any() and not want.all()
+    sizes = [len(level.at) for level in family.levels]
+    assert sizes == sorted(sizes, reverse=True) and len(sizes) <= 6 and sum(sizes) == 200
+    for level in family.levels:  # suffixes stand in order
+        ends = [level.text[a:h].tobytes()[:length] for a, h in zip(level.at, level.high, strict=True)]
+        assert ends == sorted(ends)
+
+
+def test_different_texts_under_one_id_keep_their_own_bytes(spark):
+    rng = np.random.default_rng(18)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    copied, alone = text(500), text(509)
+    rows = [copied, alone, copied, "z" * 50 + copied[100:420]]
+    out = suffix.removal(docs(spark, rows, [5, 5, 6, None])).collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in out) == sorted((b[0], b[1]) for b in repeats(rows, 200))
+    twice = suffix.removal(docs(spark, [copied, copied, alone], [5, 5, 5])).collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in twice) == [(500, 500), (500, 500), (509, 0)]
 
 
 def test_pipeline_decisions_take_effect(spark, tmp_path):
