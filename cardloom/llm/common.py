@@ -9,9 +9,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut, drop_table, shared_dir
+from ..sources.scratch import cut, drop_path, drop_table, scratch_path, shared_dir
 
-__all__ = ["cut", "drop_table", "held_out", "read", "sample_order", "shared_dir", "ship", "tune", "without"]
+__all__ = ["cut", "drop_path", "drop_table", "held_out", "read", "sample_order", "scratch_path", "shared_dir", "ship", "tune", "without"]
 
 #: Rows in one Arrow batch handed to Python. Texts may be long, so batches stay small.
 ARROW_ROWS = 512

@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, jaccard, langid, license_scan, quality, sharding, sketch, suffix, urlfilter
-from .common import read, tune
+from .common import drop_path, read, scratch_path, tune
 
 
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return sharding.shard(read(spark, sf_dir, "documents"))
+    store = scratch_path(spark, "slot-map")
+    out = sharding.shard(read(spark, sf_dir, "documents"), store=store)
+    drop_path(store)  # the places are part of the plan by now
+    return out
 
 
 def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:

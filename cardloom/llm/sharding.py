@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots.
 
-A record belongs to one of thousands of virtual slots for ever: ``hash(doc_id) mod slots``. Only the map from
+A record belongs to one of thousands of virtual slots for ever: ``hash(id, text) mod slots``. Only the map from
 slot to shard changes, and every change makes a new version of it. Bytes are summed per slot (a table of at
 most ``slots`` rows), and the map is made, or edited, from those sums alone; records are never compared with
 one another, so a hot source or a group of copies spreads over all slots.
@@ -9,22 +9,20 @@ one another, so a hot source or a group of copies spreads over all slots.
 from __future__ import annotations
 
 import heapq
-import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
-
 SLOTS = 8192
 #: Bytes that a record costs besides its text.
 OVERHEAD = 8
 
 
-def virtual_slot(key: str = "doc_id", slots: int = SLOTS) -> Column:
-    """Virtual slot of a record; a NULL key has a slot as well."""
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int")
+def virtual_slot(key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> Column:
+    """Virtual slot of a record. The text counts as well, so the records of an id that many share spread over all slots."""
+    return F.pmod(F.xxhash64(F.col(key).isNull(), F.col(key), F.col(text)), F.lit(slots)).cast("int")
 
 
 def record_bytes(text: str = "text") -> Column:
@@ -106,27 +104,61 @@ class SlotMap:
         return SlotMap(owner, self.load, new + 1, self.version + 1, edits)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.version, slot, shard, self.load[slot]) for slot, shard in enumerate(self.owner)]
-        return spark.createDataFrame(rows, "version int, virtual_slot int, shard int, slot_bytes long")
+        rows = [(self.version, slot, shard, self.load[slot], self.shards) for slot, shard in enumerate(self.owner)]
+        return spark.createDataFrame(rows, "version int, virtual_slot int, shard int, slot_bytes long, shards int")
 
     def store(self, spark: SparkSession, path: str) -> DataFrame:
         """Keep this version beside the earlier ones under ``path`` and return it as a table."""
         self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={self.version}")
         return spark.read.parquet(f"{path}/version={self.version}")
 
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+        """A version of the map under ``path``, the last one by default; None if there is none."""
+        try:
+            table = spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        version = table.agg(F.max("version")).first()[0] if version is None else version
+        rows = table.where(F.col("version") == version).select("virtual_slot", "shard", "slot_bytes", "shards").orderBy("virtual_slot").collect()  # a row for each slot
+        return cls([r["shard"] for r in rows], [r["slot_bytes"] for r in rows], rows[0]["shards"], version) if rows else None
+
 
 def slot_loads(records: DataFrame, slots: int = SLOTS) -> list[tuple[int, int, int]]:
     """``(slot, bytes, rows)`` of the slots in use: at most ``slots`` rows reach the driver, however many records there are."""
     return [tuple(r) for r in records.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect()]
 
 
+def current_map(spark: SparkSession, load: list[int], shards: int, store: str | None) -> SlotMap:
+    """The map for these sums: the stored one, edited where it has become uneven and grown to more shards, or else a
+    balanced one. A version that has changed is stored beside the earlier ones."""
+    last = SlotMap.stored(spark, store) if store else None
+    if last is None:
+        chosen = SlotMap.balanced(load, shards)
+    elif len(last.owner) != len(load) or last.shards > shards:
+        raise ValueError(f"the stored map has {len(last.owner)} slots and {last.shards} shards; slots are fixed, and shards can only be added")
+    else:
+        chosen = SlotMap(last.owner, load, last.shards, last.version)
+        while chosen.shards < shards:
+            chosen = chosen.grow()
+        edited = chosen.rebalance(load)
+        if edited.edits:
+            chosen = edited
+    if store and (last is None or chosen.version != last.version):
+        chosen.store(spark, store)
+    return chosen
+
+
 def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, store: str | None = None) -> DataFrame:
     """Each row of ``docs`` (``doc_id``, ``text``; others are ignored) with its shard, by near-equal bytes.
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version``. ``slot`` is
     the row's place in its shard, from 0 without gaps, by virtual slot, then ``doc_id``. A NULL text has size 8
-    and the checksum of an empty one; NULL ids share a virtual slot; rows with equal ids are placed one after
-    the other; an empty table gives no row. Each row gets one place, repeated rows too.
+    and the checksum of an empty one; rows without an id are told apart by their text; an empty table gives no row. Each
+    row gets one place; repeated rows share a slot and follow one another. ``store`` is the folder of the map's versions:
+    the last one is taken and edited for the present bytes. Without it the map is made for this table alone.
     """
     spark = docs.sparkSession
     records = docs.select(
@@ -139,8 +171,7 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, store: str | No
     load, rows = [0] * slots, [0] * slots
     for slot, size, n in sums:
         load[slot], rows[slot] = size, n
-    chosen = SlotMap.balanced(load, shards)
-    chosen.store(spark, store or f"{shared_dir(spark)}/cardloom-slot-map-{uuid.uuid4().hex}")
+    chosen = current_map(spark, load, shards, store)
     before, offset = [0] * shards, [0] * slots
     for slot, owner in enumerate(chosen.owner):
         offset[slot] = before[owner]
