@@ -7,6 +7,8 @@ built-in Spark functions: one scan, no Python.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,40 +80,55 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """Each row (``doc_id``, ``text``, ``sketch``) with the text and sketch of the next one by descending
-    ``doc_id``; the last one's next is the first.
+def _longs(values: list[int]) -> Column:
+    """Numbers as one array constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
-    Ids are cut into ``buckets`` ranges of about equal counts, and each range's window also sees the first row
-    of the range below it, so no task sees more than one range. NULL ids come last; equal ids follow one
-    another by text.
-    """
-    docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    ids = docs.select("id")
-    found = ids.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], 10000), F.min("id")).first()
-    cuts = sorted({*(found[0] or [])} - {found[1]})  # at most ``buckets`` numbers
-    bucket = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("id")))
-    keyed = docs.withColumn("bucket", bucket)
-    tops = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("id").alias("id")).collect()
-    order = sorted(tops, key=lambda r: -r["bucket"])
-    if not order:
-        return docs.withColumns({"next_text": F.col("text"), "next_sketch": F.col("sketch")}).drop("id")
-    # the first row of each range also stands, as a guest, at the end of the range above it
-    host = {r["id"]: order[i - 1]["bucket"] for i, r in enumerate(order)}
-    moved = docs.sparkSession.createDataFrame(list(host.items()), "id long, bucket int")  # one row for each range
-    guests = keyed.where(F.col("id").isin(list(host))).drop("bucket").join(F.broadcast(moved), "id")
-    first = Window.partitionBy("id").orderBy("text")
-    guests = guests.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").withColumn("guest", F.lit(1))
-    both = keyed.withColumn("guest", F.lit(0)).unionByName(guests)
-    down = Window.partitionBy("bucket").orderBy("guest", F.desc("id"), "text")
-    return (
-        both.withColumns({"next_text": F.lead("text").over(down), "next_sketch": F.lead("sketch").over(down)})
-        .where("guest = 0")
-        .drop("id", "bucket", "guest")
-    )
 
+def _range_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are not above the value, found in two steps of about the square root of their number."""
+    width = max(1, math.isqrt(len(cuts)))
+    blocks = F.split(F.lit(";".join(",".join(map(str, cuts[i : i + width])) for i in range(0, len(cuts), width))), ";")
+    block = F.size(F.filter(_longs(cuts[::width]), lambda c: c <= value))
+    inner = F.split(F.get(blocks, block - 1), ",").cast("array<bigint>")
+    return F.when(block > 0, (block - 1) * width + F.size(F.filter(F.coalesce(inner, _longs([])), lambda c: c <= value))).otherwise(0) if cuts else F.lit(0)
 
-def fingerprints(docs: DataFrame, k: int = K, bucket_rows: int = 2000, most_buckets: int = 400) -> DataFrame:
+
+def with_next(docs: DataFrame, made: Column, bucket_rows: int, most_buckets: int) -> DataFrame:
+    """Each row (``doc_id``, ``text``) with ``sketch`` (``made``, an expression of its text) and with ``next_text, next_sketch``
+    of the next row by descending ``doc_id``; the last one's next is the first.
+
+    Ids are cut into ranges of about ``bucket_rows`` rows, as many as ``most_buckets`` (the numbers the driver holds);
+    beyond that ranges grow. A range of a single id is cut further by a hash of the text. Each range's window also sees
+    the first row of the one after it, so no task sees more than one range. NULL ids come last; equal ids follow one
+    another by that hash, then by text.
+    """
+    spark = docs.sparkSession
+    keyed = docs.withColumns({"id": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
+    buckets = max(1, min(most_buckets, docs.count() // bucket_rows))
+    found = keyed.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], max(10000, 4 * buckets)), F.min("id")).first()
+    cuts = sorted({*(found[0] or [])} - {found[1]})
+    keyed = keyed.withColumn("range", _range_of(F.col("id"), cuts).cast("int"))
+    sizes = keyed.groupBy("range").agg(F.count("*").alias("n"), (F.min("id") == F.max("id")).alias("single")).collect()  # a row for each range
+    parts = [1] * (len(cuts) + 1)
+    for r in sizes:
+        parts[r["range"]] = max(1, r["n"] // bucket_rows) if r["single"] else 1
+    share = (F.col("tie").cast("double") + 2.0**63) / 2.0**64
+    keyed = keyed.withColumn("part", F.floor(F.least(share, F.lit(1 - 1e-12)) * F.get(_longs(parts), F.col("range"))).cast("int"))
+    tops = keyed.groupBy("range", "part").agg(F.max(F.struct("id", F.bitwise_not("tie").alias("back"))).alias("top")).collect()  # likewise
+    order = sorted(tops, key=lambda r: (-r["range"], r["part"]))
+    # the first row of each range also stands, as a guest, at the end of the one before it
+    moved = [(r["top"]["id"], ~r["top"]["back"], order[i - 1]["range"], order[i - 1]["part"]) for i, r in enumerate(order)]
+    hosts = spark.createDataFrame(moved, "id long, tie long, range int, part int")
+    guests = keyed.select("id", "tie", "text").join(F.broadcast(hosts), ["id", "tie"]).groupBy("range", "part").agg(F.min("text").alias("text"))
+    own = keyed.withColumn("guest", F.lit(0))
+    both = own.unionByName(guests.withColumn("guest", F.lit(1)), allowMissingColumns=True).withColumn("sketch", made)
+    down = Window.partitionBy("range", "part").orderBy("guest", F.desc("id"), "tie", "text")
+    rows = both.withColumns({"next_text": F.lead("text").over(down), "next_sketch": F.lead("sketch").over(down)})
+    return rows.where("guest = 0").drop("id", "tie", "range", "part", "guest")
+
+
+def fingerprints(docs: DataFrame, k: int = K, bucket_rows: int = 2000, most_buckets: int = 1 << 16) -> DataFrame:
     """The fingerprint of each text and of its edited text (the last ``floor(n/3)`` code points replaced by the
     first as many, or all, of the next document).
 
@@ -121,9 +138,7 @@ def fingerprints(docs: DataFrame, k: int = K, bucket_rows: int = 2000, most_buck
     returned; an empty table gives no row; other columns of ``docs`` are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    base = docs.select("doc_id", text).withColumn("sketch", sketch(F.col("text"), k))
-    rows = docs.count()
-    paired = with_next(base, max(1, min(most_buckets, rows // bucket_rows)))
+    paired = with_next(docs.select("doc_id", text), sketch(F.col("text"), k), bucket_rows, most_buckets)
     n = F.length("text")
     m = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - m), F.substring(F.col("next_text"), F.lit(1), m))
