@@ -137,6 +137,31 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
+def slopes(unary: np.ndarray, change: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the negative log-likelihood of the labels ``seen`` (sequence, word): by each word's scores, and by the
+    transitions (summed). They are what the model expects, by forward-backward, less what was seen."""
+    n, length, k = unary.shape
+    psi, move = np.exp(unary - unary.max(2, keepdims=True)), np.exp(change - change.max())
+    alpha, beta = np.empty_like(psi), np.ones_like(psi)
+    v = np.full((n, k), 1 / k)
+    for t in range(length):
+        v = v @ move * psi[:, t]  # any language may come before the first word
+        v = v / v.sum(1, keepdims=True)
+        alpha[:, t] = v
+    for t in range(length - 2, -1, -1):
+        v = (psi[:, t + 1] * beta[:, t + 1]) @ move.T
+        beta[:, t] = v / v.sum(1, keepdims=True)
+    p = alpha * beta
+    p /= p.sum(2, keepdims=True)
+    pair = alpha[:, :-1, :, None] * move * (psi * beta)[:, 1:, None, :]
+    start = move * (psi[:, 0] * beta[:, 0])[:, None, :]
+    pair = (pair / pair.sum((2, 3), keepdims=True)).sum((0, 1)) + (start / start.sum((1, 2), keepdims=True)).sum(0)
+    np.subtract.at(pair, (seen[:, :-1].ravel(), seen[:, 1:].ravel()), 1)
+    np.subtract.at(pair.T, seen[:, 0], (move / move.sum(0)).T[seen[:, 0]])
+    p.reshape(-1, k)[np.arange(n * length), seen.ravel()] -= 1
+    return p, pair
+
+
 def fit(texts: list[tuple[str, bytes]], languages: list[str], epochs: int = 4, length: int = 64, batch: int = 128, rate: float = 0.5, seed: int = 3) -> Model:
     """Train by adaptive stochastic gradient on the exact CRF gradient.
 
@@ -169,23 +194,7 @@ def fit(texts: list[tuple[str, bytes]], languages: list[str], epochs: int = 4, l
             feature = bucket[np.repeat(begin[used], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
             word = np.repeat(np.arange(len(used)), count)
             unary = _unary(weights, word, feature, len(used))[local].reshape(*at.shape, k)
-            psi, move = np.exp(unary - unary.max(2, keepdims=True)), np.exp(change - change.max())
-            alpha, beta = np.empty_like(psi), np.ones_like(psi)
-            v = np.full((len(at), k), 1 / k)
-            for t in range(length):
-                v = v @ move * psi[:, t]
-                v = v / v.sum(1, keepdims=True)
-                alpha[:, t] = v
-            for t in range(length - 2, -1, -1):
-                v = (psi[:, t + 1] * beta[:, t + 1]) @ move.T
-                beta[:, t] = v / v.sum(1, keepdims=True)
-            p = alpha * beta
-            p /= p.sum(2, keepdims=True)
-            pair = alpha[:, :-1, :, None] * move * (psi * beta)[:, 1:, None, :]
-            pair = (pair / pair.sum((2, 3), keepdims=True)).sum((0, 1))
-            seen = label[at]
-            np.subtract.at(pair, (seen[:, :-1].ravel(), seen[:, 1:].ravel()), 1)
-            p.reshape(-1, k)[np.arange(p.shape[0] * length), seen.ravel()] -= 1
+            p, pair = slopes(unary, change, label[at])
             error = np.stack([np.bincount(local.ravel(), p[:, :, j].ravel(), len(used)) for j in range(k)], 1) * (_SCALE / np.maximum(count, 1))[:, None]
             touched, slot = np.unique(feature, return_inverse=True)
             slope = np.stack([np.bincount(slot, error[word, j], len(touched)) for j in range(k)], 1) / len(at)
