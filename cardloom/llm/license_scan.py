@@ -14,6 +14,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Known notices, by SPDX-like id; :func:`bodies` has the entire texts.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -105,6 +107,7 @@ def scan(docs: DataFrame, known=None) -> DataFrame:
     digests = parts.select("row", "doc_id", "part", F.explode(F.array(F.sha2(spelled(F.col("body")).cast("binary"), 256))).alias("digest"))
     whole = F.col("part") == 0
     kept = digests.join(table, "digest", "left").where(whole | F.col("license").isNotNull())
+    kept = cut(kept, "licenses")  # row numbers hold for one reading of the table only: they are written with what they number
     line = F.when(~whole, F.col("license"))
     return kept.groupBy("row", "doc_id").agg(
         F.max(F.when(whole, F.col("digest"))).alias("text_sha256"),
