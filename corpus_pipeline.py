@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cardloom.llm import bpe, decontam, jaccard, quality, suffix
-from cardloom.llm.common import cut, read, tune
+from cardloom.llm.common import cut, drop_table, read, tune
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -24,7 +24,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand anywhere else too are cut out of the texts."""
+    """Passages that stand anywhere else too are cut out of the texts, at every place where they stand."""
     tune(spark)
     return suffix.cut_repeats(docs)
 
@@ -57,5 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        kept = cut(stage(spark, docs, sf_dir), name)
+        drop_table(docs)
+        docs = kept
     return docs
