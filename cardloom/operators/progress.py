@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +34,24 @@ def with_boundaries(rows: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.coalesce(F.sum("weight").over(earlier), F.lit(0.0)))
 
 
-def state(events: DataFrame, total: int = 10) -> DataFrame:
-    """Counters after each event (``job_id, n, stage_ord, kind``): a stage event resets to 0 of ``total``, an advance adds one.
+def state(events: DataFrame) -> DataFrame:
+    """Counters after each event (``job_id, n, stage_ord, kind, total, amount``): a stage event enters its stage at 0 of
+    ``total`` (NULL: unknown), unless the total is 0 or less, which skips the stage; an advance adds ``amount`` (one if NULL).
 
-    Adds ``completed, stage_total``. One running sum for each deck's stage.
+    ``stage_ord`` becomes that of the stage a deck is in (NULL before the first); adds ``completed, stage_total`` and
+    ``skipped``. Running sums of one window for each deck.
     """
-    run = Window.partitionBy("job_id", "stage_ord").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("completed", F.sum(F.when(F.col("kind") == "advance", 1).otherwise(0)).over(run).cast("long")).withColumn("stage_total", F.lit(total).cast("long"))
+    run = Window.partitionBy("job_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    enters = (F.col("kind") == "stage") & F.coalesce(F.col("total") > 0, F.lit(True))
+    amount = F.when(F.col("kind") == "advance", F.coalesce("amount", F.lit(1))).otherwise(0)
+    # what was added up before a stage was entered does not count for it
+    marked = events.withColumns({"enters": enters, "added": F.sum(amount).over(run)})
+    last = F.last(F.when(F.col("enters"), F.struct("stage_ord", "total", "added")), ignorenulls=True).over(run)
+    rows = marked.withColumn("last", last)
+    return rows.withColumns({
+        "stage_ord": F.col("last.stage_ord"), "completed": (F.col("added") - F.coalesce("last.added", F.lit(0))).cast("long"), "stage_total": F.col("last.total").cast("long"),
+        "skipped": (F.col("kind") == "stage") & ~F.col("enters"),
+    }).drop("last", "enters", "added")
 
 
 def percent(status: Column, weight: Column, start: Column, completed: Column, total: Column) -> Column:
@@ -76,14 +91,45 @@ def falls(percents: DataFrame) -> DataFrame:
     return percents.withColumn("fell", F.coalesce(F.col("percent") < F.max("percent").over(before), F.lit(False)).cast("int")).groupBy("job_id").agg(F.count("*").alias("events"), F.sum("fell").alias("falls"))
 
 
+#: Least time between two commits of a deck's progress within a stage.
+COMMIT_MICROS = 1_000_000
+
+
+def commits(stage: list[bool], micros: list[int], last: int | None) -> tuple[list[bool], int | None]:
+    """Which of a deck's events, in order, are committed, and when the last one was: a stage always, an advance once
+    enough time has passed since the last commit, whichever it was."""
+    out = []
+    for entered, now in zip(stage, micros, strict=True):
+        due = entered or last is None or now - last >= COMMIT_MICROS
+        out.append(due)
+        last = now if due else last
+    return out, last
+
+
 def throttled(states: DataFrame) -> DataFrame:
-    """At most one state of a deck in each second, the last, besides every stage change.
+    """The states that are committed (:func:`commits`); skipped stages are not.
 
-    ``states`` has ``job_id, ts, n, kind, stage_ord, completed``; works on streams with a watermark as well.
+    ``states`` has ``job_id, ts, n, kind, stage_ord, completed, skipped``. Each commit depends on the one before, so a deck's
+    events are read in order; tasks stream over sorted rows and hold no more than the time of the last commit.
     """
-    last = states.where("kind = 'advance'").groupBy("job_id", F.window("ts", "1 second")).agg(F.max_by(F.struct("n", "stage_ord", "completed"), "n").alias("s"))
-    ticks = last.select("job_id", "s.n", "s.stage_ord", "s.completed", F.lit("advance").alias("kind"))
-    return ticks.unionByName(states.where("kind = 'stage'").select("job_id", "n", "stage_ord", "completed", "kind"))
+    names = ["job_id", "n", "stage_ord", "completed", "kind"]
+    rows = states.where("not skipped").select(*names, F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    schema = rows.drop("micros").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, last = None, None
+        for batch in batches:
+            jobs, kinds, micros = (batch.column(c).to_pylist() for c in ("job_id", "kind", "micros"))
+            keep: list[bool] = []
+            for key, group in groupby(range(len(jobs)), jobs.__getitem__):
+                rows_ = list(group)
+                last = last if key == job else None
+                due, last = commits([kinds[i] == "stage" for i in rows_], [micros[i] for i in rows_], last)
+                job = key
+                keep += due
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names).filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition("job_id").sortWithinPartitions("job_id", "n").mapInArrow(run, schema)
 
 
 def job_status(jobs: DataFrame) -> DataFrame:

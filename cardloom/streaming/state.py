@@ -9,30 +9,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE_OUT = "job_id long, n long, stage_ord long, kind string, ts timestamp, completed long, stage_total long"
+from ..operators.progress import commits
 
+STATE_OUT = "job_id long, n long, stage_ord long, kind string, ts timestamp, completed long, stage_total long, skipped boolean"
+NONE = -1
 
-def progress_stream(events: DataFrame, total: int = 10) -> DataFrame:
-    """Counters after each event of a deck; the state of a deck is its stage and counter."""
+
+def progress_stream(events: DataFrame) -> DataFrame:
+    """Counters after each event of a deck, as ``progress.state``; the state of a deck is its stage, counter and total (-1: none)."""
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stage, done = state.get if state.exists else (-1, 0)
-        rows = pd.concat(list(batches)).sort_values("n")
+        stage, done, total = state.get if state.exists else (NONE, 0, NONE)
         out = []
-        for r in rows.itertuples():
-            stage, done = (r.stage_ord, 0) if r.kind == "stage" else (stage, done + 1)
-            out.append((key[0], r.n, r.stage_ord, r.kind, r.ts, done, total))
-        state.update((stage, done))
-        yield pd.DataFrame(out, columns=["job_id", "n", "stage_ord", "kind", "ts", "completed", "stage_total"])
+        for r in pd.concat(list(batches)).sort_values("n").itertuples():
+            skipped = r.kind == "stage" and not pd.isna(r.total) and r.total <= 0
+            if r.kind == "advance":
+                done += 1 if pd.isna(r.amount) else int(r.amount)
+            elif not skipped:
+                stage, done, total = int(r.stage_ord), 0, NONE if pd.isna(r.total) else int(r.total)
+            out.append((key[0], r.n, None if stage == NONE else stage, r.kind, r.ts, done, None if total == NONE else total, skipped))
+        state.update((stage, done, total))
+        rows = pd.DataFrame(out, columns=["job_id", "n", "stage_ord", "kind", "ts", "completed", "stage_total", "skipped"])
+        yield rows.astype({"stage_ord": "Int64", "stage_total": "Int64"})
+
+    chosen = events.select("job_id", "n", "stage_ord", "kind", "ts", "total", "amount")
+    return chosen.groupBy("job_id").applyInPandasWithState(step, STATE_OUT, "stage long, done long, total long", "append", GroupStateTimeout.NoTimeout)
 
-    chosen = events.select("job_id", "n", "stage_ord", "kind", "ts")
-    return chosen.groupBy("job_id").applyInPandasWithState(step, STATE_OUT, "stage long, done long", "append", GroupStateTimeout.NoTimeout)
 
+def throttled_stream(states: DataFrame) -> DataFrame:
+    """The states that are committed, as ``progress.throttled``; the state of a deck is the time of its last commit."""
+
+    def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("n")
+        due, last = commits((rows.kind == "stage").tolist(), rows.micros.tolist(), state.get[0] if state.exists else None)
+        if last is not None:
+            state.update((last,))
+        yield rows[due][["job_id", "n", "stage_ord", "completed", "kind"]].astype({"stage_ord": "Int64"})
 
-def throttled_stream(states: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """The last advance of a deck in each second; the watermark bounds the state, later rows are dropped."""
-    marked = states.withWatermark("ts", late).where("kind = 'advance'")
-    return marked.groupBy("job_id", F.window("ts", "1 second")).agg(F.max_by(F.struct("n", "stage_ord", "completed"), "n").alias("s")).select("job_id", "s.n", "s.stage_ord", "s.completed")
+    rows = states.where("not skipped").select("job_id", "n", "stage_ord", "completed", "kind", F.unix_micros("ts").alias("micros"))
+    return rows.groupBy("job_id").applyInPandasWithState(step, "job_id long, n long, stage_ord long, completed long, kind string", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 EDIT_OUT = "card_id long, seq long, note_type string, front string, back string, cloze_text string, is_deleted boolean, reason string"
