@@ -88,8 +88,16 @@ def resized(width: Column, height: Column, limit: int) -> tuple[Column, Column]:
     return fit(width), fit(height)
 
 
-def overlapping_pairs(boxes: DataFrame, key: list[str], ident: str) -> DataFrame:
-    """Pairs of one page's boxes that overlap: ``key, a, b`` with ``a < b``. The page is the equi key, so the plan is a hash or merge join."""
-    left = boxes.select(*key, F.col(ident).alias("a"), F.col("box").alias("box_a"))
-    other = boxes.select(*key, F.col(ident).alias("b"), F.col("box").alias("box_b"))
-    return left.join(other, key).where(F.col("a") < F.col("b")).where(overlaps(F.col("box_a"), F.col("box_b"))).select(*key, "a", "b")
+def overlapping_pairs(boxes: DataFrame, key: list[str], ident: str, bands: int = 20) -> DataFrame:
+    """Pairs of one page's boxes that overlap: ``key, a, b`` with ``a < b``.
+
+    A page is cut into ``bands`` across, and boxes meet in the first band that both reach, so a box is compared with
+    those of its own height only. Page and band are the equi key: the plan is a hash or merge join.
+    """
+    b = F.col("box")
+    first, last = F.floor(b["top"] * bands).cast("int"), F.floor(bottom(b) * bands).cast("int")
+    rows = boxes.select(*key, F.col(ident).alias("ident"), "box", first.alias("first"), F.explode(F.sequence(first, last)).alias("band"))
+    left = rows.select(*key, "band", F.col("ident").alias("a"), F.col("box").alias("box_a"), F.col("first").alias("first_a"))
+    other = rows.select(*key, "band", F.col("ident").alias("b"), F.col("box").alias("box_b"), F.col("first").alias("first_b"))
+    met = left.join(other, [*key, "band"]).where((F.col("a") < F.col("b")) & (F.greatest("first_a", "first_b") == F.col("band")))
+    return met.where(overlaps(F.col("box_a"), F.col("box_b"))).select(*key, "a", "b")

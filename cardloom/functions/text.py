@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column
@@ -72,22 +73,23 @@ def word_pieces(text: Column) -> Column:
     return F.split(text, f"(?<={SPACE})(?=[^\\s\\x1c-\\x1f\\x85\\p{{Z}}])")
 
 
+def line_word_offsets(text: Column) -> Column:
+    """``array<struct<char_start, char_length>>`` of the words of a line, row-local: meant for lines, not for whole documents."""
+
+    def places(pieces: Column) -> Column:
+        placed = F.transform(pieces, lambda p, i: F.struct(F.length(F.array_join(F.slice(pieces, F.lit(1), i), "")).cast("long").alias("char_start"), F.length(strip(p)).cast("long").alias("char_length")))
+        return F.filter(placed, lambda p: p["char_length"] > 0)
+
+    # a one-element array binds the pieces once
+    return F.get(F.transform(F.array(word_pieces(text)), places), F.lit(0))
+
+
 class WordSpans:
     """Table function: ``(char_start, char_length)`` of each word, for use in ``LATERAL word_spans(text)``."""
 
     def eval(self, text: str) -> Iterator[tuple[int, int]]:
-        if text is None:
-            return
-        start = None
-        for i, c in enumerate(text):
-            if c.isspace():
-                if start is not None:
-                    yield start, i - start
-                    start = None
-            elif start is None:
-                start = i
-        if start is not None:
-            yield start, len(text) - start
+        for word in re.finditer(r"\S+", text or ""):
+            yield word.start(), word.end() - word.start()
 
 
 def register_word_spans(spark) -> None:

@@ -1,4 +1,4 @@
-"""Card drafts: field rules, validity, near-duplicate removal, page groups, rule-based generation, listings."""
+"""Card drafts: field rules, validity, near-duplicate removal, page groups, rule-based drafts, listings."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def is_occlusion(note_type: str = "note_type") -> Column:
 
 
 def violation(note_type: str = "note_type", front: str = "front", back: str = "back", cloze_text: str = "cloze_text") -> Column:
-    """What breaks the rules of a card's type, or NULL."""
+    """What breaks the rules of a card's type, or NULL. The messages are fixed values."""
     kind = F.col(note_type)
     out = F.when((kind == "basic") & is_blank(F.col(front)), "Basic cards require a non-empty 'front'.")
     out = out.when((kind == "basic") & is_blank(F.col(back)), "Basic cards require a non-empty 'back'.")
@@ -49,9 +49,10 @@ def dedupe(drafts: DataFrame, order: list[str], deck: str = "job_id") -> DataFra
     Only the rank-one filter is on the window, so tasks drop later copies before the shuffle, a hot key included.
     """
     keyed = drafts.withColumn("key", dedup_key())
-    first = F.row_number().over(Window.partitionBy(deck, "key").orderBy(*order))
-    once = keyed.where("key <> ''").withColumn("place", first).where("place = 1").drop("place")
-    return once.unionByName(keyed.where("key = ''")).drop("key")
+    # drafts without a key are each a group of their own
+    alone = F.when(F.col("key") == "", F.struct(*order))
+    first = F.row_number().over(Window.partitionBy(deck, "key", alone).orderBy(*order))
+    return keyed.withColumn("place", first).where("place = 1").drop("place", "key")
 
 
 def page_groups(pages: DataFrame, size: int = PAGES_PER_GROUP) -> DataFrame:
@@ -60,29 +61,32 @@ def page_groups(pages: DataFrame, size: int = PAGES_PER_GROUP) -> DataFrame:
     return keyed.groupBy("job_id", "group_no").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("pages"))
 
 
-def generate_cards(groups: DataFrame) -> DataFrame:
-    """Rule-based generator: three cards for each chunk of five pages of a group (``job_id, deck_name, group_no, pages``).
+def draft_cards(groups: DataFrame) -> DataFrame:
+    """Rule-based drafts: three cards for each chunk of five pages of a group (``job_id, deck_name, group_no, pages``), asking
+    for the first word of the chunk, for its last one, and leaving a gap for the first in the words around it.
 
     Returns drafts with ``group_no`` and ``ord``, their order within the group.
     """
     chunks = groups.select("job_id", "deck_name", "group_no", "pages", F.explode(F.sequence(F.lit(0), F.floor((F.size("pages") - 1) / PAGES_PER_CHUNK).cast("int"))).alias("chunk"))
     part = F.slice("pages", F.col("chunk") * PAGES_PER_CHUNK + 1, F.lit(PAGES_PER_CHUNK))
-    placed = chunks.select("job_id", "deck_name", "group_no", "chunk", F.element_at(part, 1)["page_number"].alias("first"), F.element_at(part, -1)["page_number"].alias("last"))
-    none = F.lit(None).cast("string")
-
-    def card(n: int, kind: str, front: Column, back: Column, cloze: Column, page: Column, image: Column) -> Column:
-        return F.struct(F.lit(n).alias("n"), F.lit(kind).alias("note_type"), front.alias("front"), back.alias("back"), cloze.alias("cloze_text"), page.alias("source_page"), image.alias("needs_page_image"))
-
-    def fact(n: int, page: Column) -> tuple[Column, Column]:
-        return F.concat(F.lit(f"[mock] What is fact #{n} on page "), page, F.lit(" of "), F.col("deck_name"), F.lit("?")), F.concat(F.lit(f"[mock] Fact #{n} from page "), page, F.lit("."))
-
-    first, last = F.col("first"), F.col("last")
+    ends = chunks.select("job_id", "deck_name", "group_no", "chunk", F.element_at(part, 1).alias("a"), F.element_at(part, -1).alias("b"))
+    opening = F.substring_index("a.text", " ", 8)
+    words = ends.select(
+        "job_id", "deck_name", "group_no", "chunk", F.col("a.page_number").alias("first"), F.col("b.page_number").alias("last"),
+        F.substring_index("a.text", " ", 1).alias("opens"), F.substring_index("b.text", " ", -1).alias("closes"), opening.alias("opening"),
+    )
+    none, deck = F.lit(None).cast("string"), F.col("deck_name")
+
+    def card(n: int, kind: str, front: Column, back: Column, cloze: Column, page: str, image: Column) -> Column:
+        return F.struct(F.lit(n).alias("n"), F.lit(kind).alias("note_type"), front.alias("front"), back.alias("back"), cloze.alias("cloze_text"), F.col(page).alias("source_page"), image.alias("needs_page_image"))
+
+    gap = F.concat(F.lit("{{c1::"), F.col("opens"), F.lit("}}"), F.substring(F.col("opening"), F.length("opens") + 1, F.length("opening")))
     three = F.array(
-        card(0, "basic", *fact(1, first), none, first, F.col("chunk") == 0),
-        card(1, "basic", *fact(2, last), none, last, F.lit(False)),
-        card(2, "cloze", none, none, F.concat(F.lit("[mock] The key term on page "), first, F.lit(" is {{c1::mock term}}.")), first, F.lit(False)),
+        card(0, "basic", F.concat(F.lit("Which word opens page "), F.col("first"), F.lit(" of "), deck, F.lit("?")), F.col("opens"), none, "first", F.col("chunk") == 0),
+        card(1, "basic", F.concat(F.lit("Which word closes page "), F.col("last"), F.lit(" of "), deck, F.lit("?")), F.col("closes"), none, "last", F.lit(False)),
+        card(2, "cloze", none, none, gap, "first", F.lit(False)),
     )
-    cards = placed.select("job_id", "group_no", "chunk", F.explode(three).alias("c"))
+    cards = words.select("job_id", "group_no", "chunk", F.explode(three).alias("c"))
     return cards.select("job_id", "group_no", (F.col("chunk") * 3 + F.col("c.n")).cast("long").alias("ord"), "c.note_type", "c.front", "c.back", "c.cloze_text", "c.source_page", "c.needs_page_image")
 
 

@@ -1,15 +1,16 @@
-"""Crops from ink: histogram median, ink profiles, blank gutters and the crop of a page."""
+"""Crops from ink: page images, ink profiles, histogram median, blank gutters and the crop of a page."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.geometry import bottom, box, full_page, right, union_of
+from ..functions.geometry import box, full_page
 
 INK_BELOW = 230
 LIGHT_FROM = 128
@@ -18,15 +19,6 @@ MIN_GAP = 8
 GAP_SHARE = 0.015
 LARGEST = 0.90
 _PAGE = ["job_id", "page_number"]
-
-
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns behind a generator of one row, so that later uses do not copy their expressions."""
-    names = df.columns
-    made = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select(*names, F.explode(F.array(made)).alias("made")).select(*names, *[f"made.{n}" for n in columns])
-
-
 PROFILE = "job_id long, page_number long, width long, height long, row_ink array<boolean>, col_ink array<boolean>, hist array<long>"
 
 
@@ -40,36 +32,48 @@ def read_page_images(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def text_images(lines: DataFrame, rows: int = 20, pitch: int = 4) -> DataFrame:
+    """Grey images of pages from their lines (``line_index, text``), whole lines on pages as wide as their longest.
+
+    A character is a pixel, its code the luminance (that of ``?`` beyond Latin-1), on the first two of the ``pitch`` rows of
+    its line; spaces and all else are white. Columns as of :func:`read_page_images`.
+    """
+    page = lines.groupBy(*_PAGE).agg(F.max(F.length("text")).cast("int").alias("width"), F.map_from_entries(F.collect_list(F.struct(F.col("line_index").cast("int").alias("i"), "text"))).alias("by_line"))
+    white = lambda n: F.repeat(F.lit("\u00ff"), n)
+
+    def band(i: Column) -> Column:
+        text = F.coalesce(F.element_at("by_line", i), F.lit(""))
+        plain = F.regexp_replace(F.translate(text, " ", "\u00ff"), "[^\\x00-\\xff]", "?")
+        row = F.rpad(plain, F.col("width"), "\u00ff")
+        return F.concat(row, row, white(F.col("width") * (pitch - 2)))
+
+    pixels = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), band), "")
+    return page.where("width > 0").select(*_PAGE, F.col("width").cast("long").alias("width"), F.lit(rows * pitch).cast("long").alias("height"), F.lit(1).alias("channels"), F.encode(pixels, "ISO-8859-1").alias("data"))
+
+
 def ink_profile(images: DataFrame) -> DataFrame:
     """Rows and columns with ink, and the luminance histogram, of each image (``read_page_images``)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                pixels = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels).astype(np.int64)
-                grey = pixels[:, :, 0] if r.channels == 1 else (pixels[:, :, 2] * 299 + pixels[:, :, 1] * 587 + pixels[:, :, 0] * 114 + 500) // 1000
+            w, h, c = (batch.column(n).to_numpy() for n in ("width", "height", "channels"))
+            rows, cols, counts = [], [], []
+            for i, data in enumerate(batch.column("data")):
+                pixels = np.frombuffer(data.as_buffer(), np.uint8).reshape(h[i], w[i], c[i])
+                grey = pixels[:, :, 0] if c[i] == 1 else (pixels[:, :, 2].astype(np.int64) * 299 + pixels[:, :, 1].astype(np.int64) * 587 + pixels[:, :, 0].astype(np.int64) * 114 + 500) // 1000
                 ink = grey < INK_BELOW
-                out.append((r.job_id, r.page_number, r.width, r.height, ink.any(1).tolist(), ink.any(0).tolist(), np.bincount(grey.ravel(), minlength=256).tolist()))
-            yield pd.DataFrame(out, columns=["job_id", "page_number", "width", "height", "row_ink", "col_ink", "hist"])
-
-    return images.mapInPandas(run, PROFILE)
-
-
-def text_raster(lines: DataFrame, width: int = 120, height: int = 80) -> DataFrame:
-    """The profile of a page on which character ``c`` of line ``i`` is ink at column ``c`` on rows ``4i`` and ``4i + 1``."""
-    chars = F.slice(F.split("text", ""), 1, width)
-    blank = F.filter(F.transform(chars, lambda ch, i: F.when(ch != " ", i)), lambda x: x.isNotNull())
-    marked = _once(lines.select(*_PAGE, "line_index", "text"), cols=blank)
-    marked = marked.where(F.size("cols") > 0)
-    per_page = marked.groupBy(*_PAGE).agg(F.array_distinct(F.flatten(F.collect_list("cols"))).alias("cols"), F.collect_list("line_index").alias("rows"), F.sum(F.size("cols") * 2).alias("inked"))
-    dark = F.col("inked")
-    return per_page.select(
-        *_PAGE, F.lit(width).cast("long").alias("width"), F.lit(height).cast("long").alias("height"),
-        F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: (y % 4 < 2) & F.array_contains("rows", F.floor(y / 4))).alias("row_ink"),
-        F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.array_contains("cols", x)).alias("col_ink"),
-        F.concat(F.array(dark), F.array_repeat(F.lit(0).cast("long"), 254), F.array(F.lit(width * height) - dark)).alias("hist"),
-    )
+                rows.append(ink.any(1))
+                cols.append(ink.any(0))
+                counts.append(np.bincount(grey.ravel(), minlength=256))
+            out = [_lists(x, t) for x, t in ((rows, pa.bool_()), (cols, pa.bool_()), (counts, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (*_PAGE, "width", "height")), *out], names=[*_PAGE, "width", "height", "row_ink", "col_ink", "hist"])
+
+    return images.mapInArrow(run, PROFILE)
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    begin = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
 def median_luma(hist: Column) -> Column:
@@ -85,61 +89,80 @@ def median_luma(hist: Column) -> Column:
     return F.aggregate(hist, start, step, lambda a: a["found"])
 
 
-def _first_gap(ink: Column, gap: Column) -> Column:
-    """Index at which the first run of ``gap`` blanks begins, or -1."""
-    start = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("at"), F.lit(-1).cast("long").alias("found"))
+def _median(hist: np.ndarray) -> int:
+    """The same on an array."""
+    return int(np.searchsorted(np.cumsum(hist), hist.sum() // 2))
 
-    def step(a: Column, x: Column) -> Column:
-        run = F.when(x, F.lit(0).cast("long")).otherwise(a["run"] + 1)
-        found = F.when((a["found"] < 0) & (run >= gap), a["at"] + 1 - gap).otherwise(a["found"])
-        return F.struct(run.alias("run"), (a["at"] + 1).alias("at"), found.alias("found"))
-
-    return F.aggregate(ink, start, step, lambda a: a["found"])
 
-
-def expand_up(ink: Column, start: Column, gap: Column) -> Column:
+def _up(ink: np.ndarray, start: int, gap: int) -> int:
     """From ``start`` towards 0: the inner side of the first blank run of ``gap``; 0 without one."""
-    at = _first_gap(F.reverse(F.slice(ink, F.lit(1), start.cast("int"))), gap)
-    return F.when(at >= 0, start - at).otherwise(F.lit(0)).cast("long")
+    at = _first_gap(ink[:start][::-1], gap)
+    return start - at if at >= 0 else 0
 
 
-def expand_down(ink: Column, start: Column, gap: Column) -> Column:
+def _down(ink: np.ndarray, start: int, gap: int) -> int:
     """From ``start`` towards the end: the inner side of the first blank run of ``gap``; the end without one."""
-    at = _first_gap(F.slice(ink, start.cast("int") + 1, F.greatest(F.size(ink) - start.cast("int"), F.lit(0))), gap)
-    return F.when(at >= 0, start + at).otherwise(F.size(ink)).cast("long")
+    at = _first_gap(ink[start:], gap)
+    return start + at if at >= 0 else len(ink)
+
+
+def _first_gap(ink: np.ndarray, gap: int) -> int:
+    """Index at which the first run of ``gap`` blanks begins, or -1: the inked places in front of long enough runs tell."""
+    edges = np.concatenate([[-1], np.flatnonzero(ink), [len(ink)]])
+    long = np.flatnonzero(np.diff(edges) > gap)
+    return int(edges[long[0]]) + 1 if len(long) else -1
+
+
+def _edges(ink: np.ndarray, low: float, high: float, size: int, min_gap: int) -> tuple[int, int]:
+    """Edges of the crop along one axis of ``size`` pixels, from the seed's edges in shares; halves round to even."""
+    pad, gap = round(size * PAD), max(min_gap, round(size * GAP_SHARE))
+    start = max(0, min(round(low * size) - pad, size - 1))
+    stop = max(start + 1, min(round(high * size) + pad, size))
+    return _up(ink, start, gap), _down(ink, stop, gap)
+
+
+def _seed(boxes: list[dict]) -> dict | None:
+    """The box around all boxes; None without any, or without extent."""
+    if not boxes:
+        return None
+    left, top = min(b["left"] for b in boxes), min(b["top"] for b in boxes)
+    width, height = max(b["left"] + b["width"] for b in boxes) - left, max(b["top"] + b["height"] for b in boxes) - top
+    return {"left": left, "top": top, "right": left + width, "bottom": top + height} if width > 0 and height > 0 else None
 
 
 def gutters(profiles: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
-    """Edges of the crop of each page in pixels, from its label boxes and hint (``boxes`` with the hint among them).
+    """Edges of the crop of each page in pixels, from its label boxes and hint (``boxes`` with the hint among them), and
+    the page's ``median`` luminance: one pass over the pages.
 
-    ``profiles`` has ``width, height, row_ink, col_ink, boxes``. Adds ``left_px, right_px, top_px, bottom_px``.
+    ``profiles`` has ``width, height, row_ink, col_ink, hist, boxes``. Adds ``left_px, right_px, top_px, bottom_px``
+    (NULL without a seed) and ``median``.
     """
-    w, h, seed = F.col("width"), F.col("height"), F.col("seed")
-    rounded = lambda x: F.bround(x).cast("long")
-    pad_x, pad_y, names = rounded(w * PAD), rounded(h * PAD), profiles.columns
-    out = _once(profiles, seed=union_of(F.col("boxes")))
-    out = _once(
-        out, l=rounded(seed["left"] * w) - pad_x, r=rounded(right(seed) * w) + pad_x, t=rounded(seed["top"] * h) - pad_y, b=rounded(bottom(seed) * h) + pad_y,
-        gap_x=F.greatest(F.lit(min_gap).cast("long"), rounded(w * GAP_SHARE)), gap_y=F.greatest(F.lit(min_gap).cast("long"), rounded(h * GAP_SHARE)),
-    )
-    out = out.withColumns({"l": F.greatest(F.lit(0), F.least("l", w - 1)), "t": F.greatest(F.lit(0), F.least("t", h - 1))})
-    out = _once(out.drop("seed"), r1=F.greatest(F.col("l") + 1, F.least("r", w)), b1=F.greatest(F.col("t") + 1, F.least("b", h)))
-    out = _once(
-        out, left_px=expand_up(F.col("col_ink"), F.col("l"), F.col("gap_x")), right_px=expand_down(F.col("col_ink"), F.col("r1"), F.col("gap_x")),
-        top_px=expand_up(F.col("row_ink"), F.col("t"), F.col("gap_y")), bottom_px=expand_down(F.col("row_ink"), F.col("b1"), F.col("gap_y")),
-    )
-    return out.select(*names, "left_px", "right_px", "top_px", "bottom_px")
+    added = ("left_px", "right_px", "top_px", "bottom_px", "median")
+    profiles = profiles.drop(*added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            w, h = batch.column("width").to_pylist(), batch.column("height").to_pylist()
+            for i, boxes in enumerate(batch.column("boxes").to_pylist()):
+                rows, cols, hist = (batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("row_ink", "col_ink", "hist"))
+                seed = _seed(boxes or [])
+                x = _edges(cols, seed["left"], seed["right"], w[i], min_gap) if seed else (None, None)
+                y = _edges(rows, seed["top"], seed["bottom"], h[i], min_gap) if seed else (None, None)
+                out.append((*x, *y, _median(hist)))
+            columns = zip(*out, strict=True) if out else [[]] * len(added)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, *added])
+
+    return profiles.mapInArrow(run, T.StructType([*profiles.schema, *(T.StructField(n, T.LongType()) for n in added)]))
 
 
 def derive_crop(profiles: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
     """``job_id, page_number, crop_box``: the page where there are no boxes, the paper is dark or the crop would be most of it."""
-    edges = gutters(_once(profiles, median=median_luma(F.col("hist"))), min_gap)
     w, h = F.col("width"), F.col("height")
     unit = lambda x, hi: F.greatest(F.lit(0.0), F.least(hi, x))
-    left, top = unit(F.col("left_px") / w, F.lit(1.0)), unit(F.col("top_px") / h, F.lit(1.0))
-    edges = _once(edges, left=left, top=top)
+    edges = gutters(profiles, min_gap).withColumns({"left": unit(F.col("left_px") / w, F.lit(1.0)), "top": unit(F.col("top_px") / h, F.lit(1.0))})
     left, top = F.col("left"), F.col("top")
-    edges = _once(edges, wide=unit((F.col("right_px") - F.col("left_px")) / w, 1.0 - left), tall=unit((F.col("bottom_px") - F.col("top_px")) / h, 1.0 - top))
+    edges = edges.withColumns({"wide": unit((F.col("right_px") - F.col("left_px")) / w, 1.0 - left), "tall": unit((F.col("bottom_px") - F.col("top_px")) / h, 1.0 - top)})
     wide, tall = F.col("wide"), F.col("tall")
-    usable = (F.size("boxes") > 0) & (F.col("median") >= LIGHT_FROM) & (wide > 0) & (tall > 0) & (wide * tall <= LARGEST)
+    usable = F.col("left_px").isNotNull() & (F.size("boxes") > 0) & (F.col("median") >= LIGHT_FROM) & (wide > 0) & (tall > 0) & (wide * tall <= LARGEST)
     return edges.select(*_PAGE, F.when(F.coalesce(usable, F.lit(False)), box(left, top, wide, tall)).otherwise(full_page()).alias("crop_box"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box, full_page, union_box
+from ..functions.geometry import full_page, union_box
 from .masks import occlusion_is_valid
 
 _PAGE = ["job_id", "page_number"]
@@ -17,14 +17,16 @@ def merge_passes(groups: DataFrame, items: DataFrame) -> DataFrame:
 
     ``groups`` has ``job_id, page_number, pass, group_ord, item_indices, label_text``; ``items`` has ``job_id,
     page_number, n_items``. Returns ``job_id, page_number, label_ord, indices, label_text``; the order is that of
-    first appearance. The subset test has the page as its equi key.
+    first appearance. The subset test is an equi join as well.
     """
     known = groups.join(items, _PAGE).withColumn("indices", F.array_sort(F.array_distinct(F.filter("item_indices", lambda i: (i >= 0) & (i < F.col("n_items"))))))
     first = F.struct("pass", "group_ord")
     kept = known.where(F.size("indices") > 0).groupBy(*_PAGE, "indices").agg(F.min(first).alias("seen"), F.min_by("label_text", first).alias("label_text"))
-    other = kept.select(*_PAGE, F.col("indices").alias("larger"))
-    strict = (F.size(F.array_except("indices", "larger")) == 0) & (F.size("indices") < F.size("larger"))
-    left = kept.join(other, [kept[c] == other[c] for c in _PAGE] + [strict], "left_anti")
+    # a larger set that holds a set holds its first index: sets meet by page and that index only
+    smaller = kept.withColumn("item", F.element_at("indices", 1))
+    other = kept.select(*_PAGE, F.col("indices").alias("larger"), F.explode("indices").alias("item"))
+    strict = (F.size("indices") < F.size("larger")) & (F.size(F.array_except("indices", "larger")) == 0)
+    left = smaller.join(other, [smaller[c] == other[c] for c in (*_PAGE, "item")] + [strict], "left_anti")
     return left.select(*_PAGE, (F.col("seen.pass") * 1_000_000 + F.col("seen.group_ord")).cast("long").alias("label_ord"), "indices", "label_text")
 
 
@@ -46,15 +48,19 @@ def low_yield(flags: DataFrame, boxes: DataFrame, items: DataFrame) -> DataFrame
     return both.where(F.col("n_labels") <= F.greatest(F.lit(1), F.floor(F.col("n_items") / 10))).select(*_PAGE, "n_labels", "n_items")
 
 
-#: Fixed values of the rule-based detector: hint, then labels with their boxes.
-DETECTED_HINT = (0.15, 0.05, 0.6, 0.9)
-DETECTED_LABELS = (("[mock] Structure A", (0.2, 0.1, 0.15, 0.05)), ("[mock] Structure B", (0.2, 0.75, 0.15, 0.05)))
+#: Labels that the rule-based detector takes from a page.
+LABELS_PER_PAGE = 2
 
 
-def detect_labels(pages: DataFrame) -> DataFrame:
-    """Rule-based detector: the same two labels and hint for each page. ``job_id, page_number, label_ord, label_text, box, diagram_box``."""
-    found = F.array(*[F.struct(F.lit(i).cast("long").alias("label_ord"), F.lit(text).alias("label_text"), box(*b).alias("box")) for i, (text, b) in enumerate(DETECTED_LABELS)])
-    return pages.select(*_PAGE, F.explode(found).alias("l")).select(*_PAGE, "l.*", box(*DETECTED_HINT).alias("diagram_box"))
+def detect_labels(lines: DataFrame) -> DataFrame:
+    """Rule-based detector: the first words of a page, in reading order, that begin with a capital, as labels with their boxes.
+
+    ``lines`` has ``job_id, page_number, line_index, words``. Returns ``job_id, page_number, label_ord, label_text, box``.
+    """
+    named = F.filter(F.transform("words", lambda w, i: F.struct((F.col("line_index") * 1000 + i).alias("at"), w["text"].alias("label_text"), w["box"].alias("box"))), lambda w: w["label_text"].rlike("^\\p{Lu}"))
+    words = lines.select(*_PAGE, F.explode(F.slice(named, 1, LABELS_PER_PAGE)).alias("w")).select(*_PAGE, "w.*")
+    ranked = words.withColumn("n", F.row_number().over(Window.partitionBy(*_PAGE).orderBy("at"))).where(F.col("n") <= LABELS_PER_PAGE)
+    return ranked.select(*_PAGE, (F.col("n") - 1).cast("long").alias("label_ord"), "label_text", "box")
 
 
 def diagram_occlusions(labels: DataFrame, crops: DataFrame) -> DataFrame:

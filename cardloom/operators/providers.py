@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .cards import generate_cards
+from ..sources.corpus import text_layer
+from .cards import draft_cards
 from .labels import detect_labels
 from .spans import select_spans
 
@@ -30,30 +32,38 @@ def provider(kind: str, name: str) -> Provider:
     return found
 
 
-register("cards", "rules", generate_cards)
+register("cards", "rules", draft_cards)
 register("labels", "rules", detect_labels)
 register("spans", "rules", select_spans)
+register("ocr", "layer", text_layer)
 
 
-def best_effort(rows: DataFrame, step: Callable[[dict], object], schema: str) -> DataFrame:
-    """Apply ``step`` (a row as a dict to a value) page by page; a failure costs that page only.
+def best_effort(rows: DataFrame, step: Callable[[dict], object], schema: str, recoverable: tuple[type[Exception], ...] = (ValueError, KeyError, ArithmeticError)) -> DataFrame:
+    """Apply ``step`` (a row as a dict to a value) page by page; a ``recoverable`` failure costs that page only.
 
-    ``schema`` is the type of the value. Returns ``rows`` with ``result`` and ``error``, one of them NULL; pages
-    with an error are what a quarantine table is made of.
+    ``schema`` is the type of the value. Returns ``rows`` with ``result``, ``error`` (one of them NULL) and ``fatal``: the
+    error is not a recoverable one and fails the whole deck (:func:`failed_jobs`). Pages with an error are what a quarantine
+    table is made of.
     """
-    names = rows.columns
+    names = [n for n in rows.columns if n not in ("result", "error", "fatal")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            result, error = [], []
+            result, error, fatal = [], [], []
             for row in batch.to_dict("records"):
                 try:
-                    result.append(step(row))
-                    error.append(None)
-                except Exception as e:  # noqa: BLE001  the policy: any failure of a provider drops its page
-                    result.append(None)
-                    error.append(f"{type(e).__name__}: {e}")
-            yield batch.assign(result=pd.Series(result, index=batch.index, dtype=object), error=pd.Series(error, index=batch.index, dtype=object))
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.select(*names).mapInPandas(run, f"{kept}, result {schema}, error string")
+                    found, why, stops = step(row), None, False
+                except Exception as e:  # noqa: BLE001  the policy: no failure of a provider ends the job of the cluster
+                    found, why, stops = None, f"{type(e).__name__}: {e}", not isinstance(e, recoverable)
+                result.append(found)
+                error.append(why)
+                fatal.append(stops)
+            yield batch.assign(result=pd.Series(result, index=batch.index, dtype=object), error=pd.Series(error, index=batch.index, dtype=object), fatal=fatal)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    return rows.select(*names).mapInPandas(run, f"{kept}, result {schema}, error string, fatal boolean")
+
+
+def failed_jobs(pages: DataFrame) -> DataFrame:
+    """``job_id, error_message`` of the decks that a fatal error of a page (:func:`best_effort`) fails: that of the first such page."""
+    return pages.where("fatal").groupBy("job_id").agg(F.min_by("error", "page_number").alias("error_message"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import full_page, overlaps, union_box
+from ..functions.geometry import full_page, overlaps, union_of
 from ..functions.text import SPACE, is_stopwords_only, normalize_text, strip
 
 MIN_CONFIDENCE = 0.5
@@ -41,23 +41,45 @@ def candidates(lines: DataFrame, most: int = MOST_WORDS) -> DataFrame:
 
 
 def ref_lines(refs: DataFrame, lines: DataFrame) -> DataFrame:
-    """References with their line's ``text, confidence, n_words``; NULL where there is no such line."""
-    return refs.join(lines.select(*_LINE, F.col("text").alias("line_text"), "confidence", "n_words"), _LINE, "left")
+    """References with their line's ``text, confidence, n_words, words``; NULL where there is no such line."""
+    return refs.join(lines.select(*_LINE, F.col("text").alias("line_text"), "confidence", "n_words", "words"), _LINE, "left")
 
 
-def ref_words(refs: DataFrame, words: DataFrame) -> DataFrame:
-    """The words that lie whole within each reference. The line is the equi key; containment is checked on its words only."""
-    inside = (F.col("w.char_start") >= F.col("r.char_start")) & (F.col("w.char_start") + F.col("w.char_length") <= F.col("r.char_start") + F.col("r.char_length"))
-    on = [F.col(f"r.{c}") == F.col(f"w.{c}") for c in _LINE]
-    return refs.alias("r").join(words.alias("w"), [*on, inside]).select(
-        *[F.col(f"r.{c}") for c in [*_SPAN, "ref_ord", "line_index"]], F.col("w.word_index"), F.col("w.text").alias("word"), F.col("w.box").alias("box")
-    )
+def raw_texts(refs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The characters of its line that each reference names, whole words or not: ``ref_text``; NULL where there is no such line."""
+    return ref_lines(refs, lines).select(*_SPAN, "ref_ord", "line_index", ref_text(F.col("line_text"), F.col("char_start"), F.col("char_length")).alias("ref_text"))
 
 
-def covers(covered: DataFrame) -> DataFrame:
-    """What each reference covers (``ref_words``): ``n_covered``, its words in order as ``text``, and ``box`` around them."""
-    words = F.array_sort(F.collect_list(F.struct("word_index", "word")))
-    return covered.groupBy(*_SPAN, "ref_ord", "line_index").agg(F.count("*").alias("n_covered"), F.array_join(F.transform(words, lambda w: w["word"]), " ").alias("text"), union_box(F.col("box")).alias("box"))
+def placed(refs: DataFrame, lines: DataFrame) -> DataFrame:
+    """References with their line's ``confidence, n_words`` and ``covered``: its words that lie whole within the
+    reference, as ``array<struct<word_index, word, box>>``, NULL where there is no such line.
+
+    A line is a row that holds its words, so references are joined with lines once and all else is row-local.
+    """
+    indexed = F.transform("words", lambda w, i: F.struct(i.cast("long").alias("word_index"), w["text"].alias("word"), w["box"].alias("box"), w["char_start"].alias("from"), (w["char_start"] + w["char_length"]).alias("to")))
+    inside = F.filter(indexed, lambda w: (w["from"] >= F.col("char_start")) & (w["to"] <= F.col("char_start") + F.col("char_length")))
+    # a generator of one row: the covered words are found once, not for each use
+    return ref_lines(refs, lines).select(*_SPAN, "ref_ord", "line_index", "confidence", "n_words", F.explode(F.array(inside)).alias("covered"))
+
+
+def ref_words(refs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The words that lie whole within each reference: ``word_index, word, box``."""
+    rows = placed(refs, lines).select(*_SPAN, "ref_ord", "line_index", F.explode("covered").alias("w"))
+    return rows.select(*_SPAN, "ref_ord", "line_index", "w.word_index", "w.word", "w.box")
+
+
+def _cover_text() -> Column:
+    return F.array_join(F.transform("covered", lambda w: w["word"]), " ")
+
+
+def _cover_box() -> Column:
+    return union_of(F.transform("covered", lambda w: w["box"]))
+
+
+def covers(refs: DataFrame, lines: DataFrame) -> DataFrame:
+    """What each reference covers, if anything: ``n_covered``, its words in order as ``text``, and ``box`` around them."""
+    some = placed(refs, lines).where(F.size("covered") > 0)
+    return some.select(*_SPAN, "ref_ord", "line_index", F.size("covered").cast("long").alias("n_covered"), _cover_text().alias("text"), _cover_box().alias("box"))
 
 
 def span_text(cover: DataFrame) -> DataFrame:
@@ -71,20 +93,27 @@ def span_boxes(cover: DataFrame) -> DataFrame:
     return cover.where("box is not null").select(*_SPAN, "ref_ord", "line_index", "box")
 
 
-def gate(refs: DataFrame, lines: DataFrame, cover: DataFrame) -> DataFrame:
+def gate(refs: DataFrame, lines: DataFrame) -> DataFrame:
     """The rules of each span, a flag each: ``confident, whole_line, enough_context, fits, only_stopwords`` with ``text``,
-    ``boxes`` and ``passes``. What the references cover (``covers``) is joined once and summed by line, then by span."""
-    placed = ref_lines(refs, lines).join(cover, [*_SPAN, "ref_ord", "line_index"], "left").withColumn("n_covered", F.coalesce("n_covered", F.lit(0)))
-    per_line = placed.groupBy(*_SPAN, "line_index").agg(
+    ``boxes`` and ``passes``. References meet their lines in one join, and a span gathers its few references in one group."""
+    rows = placed(refs, lines)
+    n_covered = F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long")
+    text = F.when(n_covered > 0, _cover_text())
+    part = F.struct("ref_ord", text.alias("text"), F.when(n_covered > 0, _cover_box()).alias("box"), "line_index", "n_words", n_covered.alias("n_covered"))
+    all_parts = F.array_sort(F.collect_list(part))
+    flags = rows.groupBy(*_SPAN).agg(
         F.min(F.coalesce(F.col("confidence") >= MIN_CONFIDENCE, F.lit(False))).alias("confident"),
-        F.min(F.coalesce((F.col("n_words") > 0) & (F.col("n_covered") >= F.col("n_words")), F.lit(False))).alias("whole"),
-        F.max("n_words").alias("n_words"), F.sum("n_covered").alias("masked"), F.collect_list(F.struct("ref_ord", "text", "box")).alias("parts"),
-    )
-    parts = F.filter(F.array_sort(F.flatten(F.collect_list("parts"))), lambda p: p["text"].isNotNull())
-    flags = per_line.groupBy(*_SPAN).agg(
-        F.min("confident").alias("confident"), F.min("whole").alias("whole_line"),
-        F.min(F.col("n_words").isNotNull()).alias("known"), F.sum(F.col("n_words") - F.least("masked", "n_words")).alias("left_over"), parts.alias("parts"),
+        F.min(F.coalesce((F.col("n_words") > 0) & (n_covered >= F.col("n_words")), F.lit(False))).alias("whole_line"),
+        F.min(F.col("n_words").isNotNull()).alias("known"), all_parts.alias("refs"),
     )
+
+    def left_over(parts: Column) -> Column:
+        """Words of the span's lines that stay in sight; each line counts once, less what all references cover of it."""
+        touched = F.array_distinct(F.transform(parts, lambda p: F.struct(p["line_index"].alias("line_index"), p["n_words"].alias("n_words"))))
+        hidden = lambda line: F.aggregate(F.filter(parts, lambda p: p["line_index"] == line["line_index"]), F.lit(0).cast("long"), lambda a, p: a + p["n_covered"])
+        return F.aggregate(touched, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["n_words"] - F.least(hidden(x), x["n_words"]), F.lit(0)))
+
+    flags = flags.withColumn("left_over", left_over(F.col("refs"))).withColumn("parts", F.filter("refs", lambda p: p["text"].isNotNull())).drop("refs")
     # a generator of one row: the text is put together once, not for each rule
     out = flags.withColumn("text", F.explode(F.array(F.array_join(F.transform("parts", lambda p: p["text"]), " "))))
     out = out.select(
@@ -108,15 +137,22 @@ def select_spans(lines: DataFrame) -> DataFrame:
     Returns ``job_id, page_number, span_ord, ref_ord, line_index, char_start, char_length, text``.
     """
     sure = lines.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.size("tokens") > 1))
+    # each token is looked at once: its words, its characters, and whether it is stop words only
+    words = lambda t: F.size(F.filter(F.split(t, f"{SPACE}+"), lambda w: w != ""))
+    flags = F.transform("tokens", lambda t: F.struct(words(t).alias("words"), F.length(F.replace(t, F.lit(" "), F.lit(""))).alias("chars"), is_stopwords_only(t).alias("stop")))
+    flagged = sure.select(*_LINE, "tokens", F.explode(F.array(flags)).alias("flags"))
     n = F.size("tokens")
 
     def runs(count: int) -> Column:
         indexes = F.when(n - count >= 1, F.sequence(F.lit(1), n - count)).otherwise(F.array().cast("array<int>"))
-        made = F.transform(indexes, lambda i: F.struct(i.alias("start"), F.lit(count).alias("count"), F.array_join(F.slice("tokens", i + 1, F.lit(count)), " ").alias("text")))
-        return F.filter(made, lambda r: fitting_size(r["text"]) & ~is_stopwords_only(r["text"]))
+        of = lambda i, k: F.get("flags", i + k)
+        total = lambda i, name: sum((of(i, k)[name] for k in range(1, count)), of(i, 0)[name])
+        stop = lambda i: of(i, 0)["stop"] & of(i, 1)["stop"] if count > 1 else of(i, 0)["stop"]
+        fit = F.filter(indexes, lambda i: total(i, "words").between(1, MOST_WORDS) & (total(i, "chars") >= MIN_CHARS) & ~stop(i))
+        return F.transform(F.slice(fit, 1, 1), lambda i: F.struct(i.alias("start"), F.lit(count).alias("count"), F.array_join(F.slice("tokens", i + 1, F.lit(count)), " ").alias("text")))
 
     # a generator of at most one row keeps the optimiser from copying the choice into each of its uses
-    found = sure.select(*_LINE, "tokens", F.explode(F.slice(F.concat(runs(2), runs(1)), 1, 1)).alias("best"))
+    found = flagged.select(*_LINE, "tokens", F.explode(F.slice(F.concat(runs(2), runs(1)), 1, 1)).alias("best"))
     return found.select(
         *_PAGE, F.col("line_index").alias("span_ord"), F.lit(0).cast("long").alias("ref_ord"), "line_index",
         (F.length(F.array_join(F.slice("tokens", F.lit(1), F.col("best.start")), " ")) + 1).cast("long").alias("char_start"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -17,8 +17,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 _PAGE = ["job_id", "page_number"]
 _SPAN = [*_PAGE, "span_ord"]
-#: Decks of more pages are refused by the queries that exercise the limit.
-LIMIT = 20
 
 
 def query(f: Query) -> Query:
@@ -40,7 +38,7 @@ def page_lines(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def page_limit(s: SparkSession, d: str) -> DataFrame:
-    return options.page_limit(c.pages(s, d), LIMIT)
+    return options.page_limit(c.pages(s, d))
 
 
 @query
@@ -57,7 +55,7 @@ def upload_admission(s: SparkSession, d: str) -> DataFrame:
         "page_id", F.when(k % 7 == 0, "   ").otherwise(F.col("url")).alias("deck_name"), F.when(k % 3 == 0, "application/pdf").otherwise("text/html").alias("content_type"),
         F.when(k % 4 == 1, F.concat("url", F.lit(".PDF"))).otherwise(F.col("url")).alias("filename"), F.octet_length(body).alias("size"), F.substring(body, 1, 5).alias("head"),
     )
-    return options.admission(up, 5000).select("page_id", "reason")
+    return options.admission(up).select("page_id", "reason")
 
 
 @query
@@ -74,10 +72,23 @@ def normalize_text(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def word_offsets(s: SparkSession, d: str) -> DataFrame:
-    lines = c.page_lines(s, d).select(*_PAGE, "line_index", F.posexplode(t.word_pieces(F.concat(F.lit("  "), "text"))).alias("place", "piece"))
-    before = Window.partitionBy(*_PAGE, "line_index").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines.withColumn("char_start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("long"))
-    return rows.where(~t.is_blank(F.col("piece"))).select(*_PAGE, "line_index", "char_start", F.length(t.strip(F.col("piece"))).cast("long").alias("char_length"))
+    found = t.line_word_offsets(F.concat(F.lit("  "), "text"))
+    return c.page_lines(s, d).select(*_PAGE, "line_index", F.explode(found).alias("w")).select(*_PAGE, "line_index", "w.*")
+
+
+@query
+def word_spans(s: SparkSession, d: str) -> DataFrame:
+    """The table function, for each turn of a conversation."""
+    t.register_word_spans(s)
+    return s.sql("SELECT conv_id, turn, char_start, char_length FROM {turns}, LATERAL word_spans(text)", turns=c.read(s, d, "conversations"))
+
+
+@query
+def recognised_lines(s: SparkSession, d: str) -> DataFrame:
+    """Lines of pages, read by the recogniser that takes the text layer."""
+    rows = providers.provider("ocr", "layer")(c.pages(s, d))
+    last = F.element_at("words", -1)
+    return rows.select(*_PAGE, "line_index", "text", "confidence", "n_words", last["char_start"].alias("last_start"), last["box"]["left"].alias("last_left"))
 
 
 # --- cards ---------------------------------------------------------------------------------------------------
@@ -87,12 +98,13 @@ def _turn_cards(s: SparkSession, d: str) -> DataFrame:
     """A user turn with the assistant turn after it."""
     after = Window.partitionBy("conv_id").orderBy("turn", "text")
     conv = c.read(s, d, "conversations").withColumns({"next_role": F.lead("role").over(after), "next_text": F.lead("text").over(after)})
-    return conv.where("role = 'user' and next_role = 'assistant'").select(F.col("conv_id").cast("string").alias("job_id"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_no"), F.lit("basic").alias("note_type"), F.col("text").alias("front"), F.col("next_text").alias("back"), F.lit(None).cast("string").alias("cloze_text"), (F.col("turn") + 1).alias("source_page"), F.lit(False).alias("needs_page_image"))
+    return conv.where("role = 'user' and next_role = 'assistant'").select(F.col("conv_id").cast("string").alias("job_id"), F.col("conv_id").alias("doc_id"), F.lit(None).cast("string").alias("source"), F.col("turn").alias("line_no"), F.lit("basic").alias("note_type"), F.col("text").alias("front"), F.col("next_text").alias("back"), F.lit(None).cast("string").alias("cloze_text"), (F.col("turn") + 1).alias("source_page"), F.lit(False).alias("needs_page_image"))
 
 
 def _decks(s: SparkSession, d: str) -> DataFrame:
-    """Decks with as many pages as their longest document has."""
-    return c.line_cards(s, d).groupBy("job_id").agg(F.max("source_page").alias("page_count"))
+    """Decks with as many pages, of twenty lines, as their longest document has."""
+    lines = F.regexp_count("text", F.lit("\n")) + 1
+    return c.read(s, d, "documents").groupBy(F.col("lang").alias("job_id")).agg((F.floor((F.max(lines) - 1) / 20) + 1).cast("long").alias("page_count"))
 
 
 @query
@@ -122,7 +134,7 @@ def dedupe_cards(s: SparkSession, d: str) -> DataFrame:
 def cards_per_source(s: SparkSession, d: str) -> DataFrame:
     """The flagship: cards without near duplicates, by source."""
     kept = cards.dedupe(cards.valid_drafts(c.line_cards(s, d), _decks(s, d)), ["doc_id", "line_no"])
-    return kept.join(c.read(s, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("cards"), F.sum(F.when(F.col("note_type") == "cloze", 1).otherwise(0)).alias("cloze_cards"))
+    return kept.groupBy("source").agg(F.count("*").alias("cards"), F.sum(F.when(F.col("note_type") == "cloze", 1).otherwise(0)).alias("cloze_cards"))
 
 
 def _groups(s: SparkSession, d: str) -> DataFrame:
@@ -135,7 +147,7 @@ def generate_cards(s: SparkSession, d: str) -> DataFrame:
 
 
 def _jobs(s: SparkSession, d: str) -> DataFrame:
-    return options.page_limit(c.pages(s, d), LIMIT).where("error_message is null").select("job_id", "page_count")
+    return options.page_limit(c.pages(s, d)).where("error_message is null").select("job_id", "page_count")
 
 
 def _images(s: SparkSession, d: str) -> DataFrame:
@@ -201,13 +213,17 @@ def _refs(s: SparkSession, d: str) -> DataFrame:
 
     i, start, size = F.col("line_index"), F.col("char_start"), F.col("char_length")
     kinds = F.array(one(i, 0, i, start, size), one(i + 100, 0, i, start + 1, size), one(i + 200, 0, 99, start, size)).cast(ref)
-    chosen = spans.select_spans(_lines(s, d)).select(*_PAGE, F.explode(kinds).alias("r"))
+    chosen = _selected(s, d).select(*_PAGE, F.explode(kinds).alias("r"))
     last, first = F.length(F.element_at("tokens", -1)), F.length(F.element_at("tokens", 1))
     ends = F.array(one(i + 300, 0, i, F.length(F.array_join("tokens", " ")) - last, last), one(i + 299, 1, i, 0, first)).cast(ref)
     pairs = c.line_tokens(s, d).select(*_PAGE, F.explode(ends).alias("r")).where("r.span_ord >= 300")
     return chosen.unionByName(pairs).select(*_PAGE, "r.*")
 
 
+def _selected(s: SparkSession, d: str) -> DataFrame:
+    return providers.provider("spans", "rules")(_lines(s, d))
+
+
 @query
 def candidate_spans(s: SparkSession, d: str) -> DataFrame:
     rows = spans.candidates(c.line_tokens(s, d))
@@ -216,11 +232,16 @@ def candidate_spans(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def ref_words(s: SparkSession, d: str) -> DataFrame:
-    return spans.ref_words(_refs(s, d), c.page_words(s, d)).select(*_SPAN, "ref_ord", "line_index", "word_index", "word")
+    return spans.ref_words(_refs(s, d), c.page_lines(s, d)).select(*_SPAN, "ref_ord", "line_index", "word_index", "word")
+
+
+@query
+def raw_ref_texts(s: SparkSession, d: str) -> DataFrame:
+    return spans.raw_texts(_refs(s, d), c.page_lines(s, d))
 
 
 def _covers(s: SparkSession, d: str) -> DataFrame:
-    return spans.covers(spans.ref_words(_refs(s, d), c.page_words(s, d)))
+    return spans.covers(_refs(s, d), c.page_lines(s, d))
 
 
 @query
@@ -239,7 +260,7 @@ def confident_spans(s: SparkSession, d: str) -> DataFrame:
 
 
 def _gate(s: SparkSession, d: str) -> DataFrame:
-    return spans.gate(_refs(s, d), c.page_lines(s, d), _covers(s, d))
+    return spans.gate(_refs(s, d), c.page_lines(s, d))
 
 
 @query
@@ -249,12 +270,12 @@ def span_gate(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def select_spans(s: SparkSession, d: str) -> DataFrame:
-    return spans.select_spans(_lines(s, d)).select(*_PAGE, "line_index", "char_start", "char_length", "text")
+    return _selected(s, d).select(*_PAGE, "line_index", "char_start", "char_length", "text")
 
 
 def _overlap_boxes(s: SparkSession, d: str) -> DataFrame:
-    """Boxes of a page that overlap in places: every fourth word, widened over its neighbours and the line below."""
-    w = c.page_words(s, d).where("word_index % 4 = 1")
+    """Boxes of a page that overlap in places: its words, widened over their neighbours and the line below."""
+    w = c.page_words(s, d)
     return w.select(*_PAGE, (F.col("line_index") * 8 + F.col("word_index")).alias("ident"), g.box(F.col("box.left"), F.col("box.top"), F.when(F.col("char_length") > 4, F.lit(0.6)).otherwise(F.lit(0.1)), F.when(F.col("char_length") % 2 == 0, F.lit(0.07)).otherwise(F.lit(0.05))).alias("box"))
 
 
@@ -291,13 +312,16 @@ def _items(s: SparkSession, d: str) -> DataFrame:
 
 def _passes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Two classifier passes of each page, and their page rows."""
-    lines = c.page_lines(s, d).where("line_index % 4 = 0 and (page_number % 5 <> 0 or line_index = 0)").select(*_PAGE, F.col("line_index").alias("i"), "text")
-    i = F.col("i")
+    # every line names its block of four up to itself; on every fifth page all lines name the first line
+    i = F.col("line_index")
+    block = F.when(F.col("page_number") % 5 == 0, F.lit(0)).otherwise(i - i % 4).cast("long")
+    lines = c.page_lines(s, d).select(*_PAGE, i.alias("i"), block.alias("b"), F.when(F.col("page_number") % 5 == 0, F.lit(0)).otherwise(i).cast("long").alias("own"), "text")
+    i, b, own = F.col("i"), F.col("b"), F.col("own")
 
-    def one(p: int, n: int, items: list, mark: str):
-        return F.struct(F.lit(p).cast("long").alias("pass"), (i * 10 + n).alias("group_ord"), F.array(*items).alias("item_indices"), F.concat(F.lit(mark), "text").alias("label_text"))
+    def one(p: int, n: int, items: Column, mark: str):
+        return F.struct(F.lit(p).cast("long").alias("pass"), (i * 10 + n).alias("group_ord"), items.alias("item_indices"), F.concat(F.lit(mark), "text").alias("label_text"))
 
-    made = F.array(one(0, 0, [i, i + 1], "a "), one(1, 1, [i], "b "), one(1, 2, [i + 2], "c "), one(1, 3, [i + 2, F.lit(99).cast("long")], "d "))
+    made = F.array(one(0, 0, F.sequence(b, own), "a "), one(1, 1, F.array(own), "b "), one(1, 2, F.array(b, own), "c "), one(1, 3, F.array(own, F.lit(99).cast("long")), "d "))
     groups = lines.select(*_PAGE, F.explode(made).alias("g")).select(*_PAGE, "g.*")
     pages = c.pages(s, d).select(*_PAGE, F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("pass"))
     hint = F.when((F.col("pass") == 1) & (F.col("page_number") % 2 == 0), g.box(0.1, 0.1, 0.8, 0.8))
@@ -334,19 +358,20 @@ def low_yield_pages(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def detect_labels(s: SparkSession, d: str) -> DataFrame:
-    return providers.provider("labels", "rules")(_shortlist(s, d)).select(*_PAGE, "label_ord", "label_text", *_flat("box"))
+    lines = c.page_lines(s, d).select(*_PAGE, "line_index", "words").join(_shortlist(s, d), _PAGE, "left_semi")
+    return providers.provider("labels", "rules")(lines).select(*_PAGE, "label_ord", "label_text", *_flat("box"))
 
 
 @query
 def page_prompts(s: SparkSession, d: str) -> DataFrame:
-    return labels.item_prompt(c.page_lines(s, d)).select(*_PAGE, F.length("prompt").cast("long").alias("prompt_chars"), "span_prompt")
+    return labels.item_prompt(c.page_lines(s, d)).select(*_PAGE, F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), "span_prompt")
 
 
 # --- masks -----------------------------------------------------------------------------------------------------
 
 
 def _profiles(s: SparkSession, d: str, found: DataFrame) -> DataFrame:
-    raster = crop.text_raster(c.page_lines(s, d))
+    raster = crop.ink_profile(crop.text_images(c.page_lines(s, d)))
     boxes = found.groupBy(*_PAGE).agg(F.array_sort(F.collect_list("box")).alias("boxes"))
     hint = labels.page_flags(_passes(s, d)[1]).select(*_PAGE, "diagram_box")
     both = raster.join(boxes, _PAGE).join(hint, _PAGE)
@@ -428,13 +453,16 @@ def occlusion_validity(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def page_median_luma(s: SparkSession, d: str) -> DataFrame:
-    return crop.text_raster(c.page_lines(s, d)).select(*_PAGE, F.get("hist", F.lit(0)).alias("inked"), crop.median_luma(F.col("hist")).alias("median"))
+    profile = crop.ink_profile(crop.text_images(c.page_lines(s, d)))
+    inked = F.aggregate(F.slice("hist", 1, crop.INK_BELOW), F.lit(0).cast("long"), lambda a, x: a + x)
+    return profile.select(*_PAGE, inked.alias("inked"), crop.median_luma(F.col("hist")).alias("median"))
 
 
 @query
 def ink_profile(s: SparkSession, d: str) -> DataFrame:
     ones = lambda a: F.size(F.filter(a, lambda x: x)).cast("long")
-    return crop.text_raster(c.page_lines(s, d)).select(*_PAGE, ones("row_ink").alias("rows_with_ink"), ones("col_ink").alias("cols_with_ink"))
+    profile = crop.ink_profile(crop.text_images(c.page_lines(s, d)))
+    return profile.select(*_PAGE, "width", "height", ones("row_ink").alias("rows_with_ink"), ones("col_ink").alias("cols_with_ink"))
 
 
 @query
@@ -487,13 +515,13 @@ def upgrade_occlusions(s: SparkSession, d: str) -> DataFrame:
 @query
 def stage_boundaries(s: SparkSession, d: str) -> DataFrame:
     """What is done when a deck enters each of its stages."""
-    entered = c.progress_events(s, d).where("kind = 'stage'")
+    entered = c.progress_events(s, d).where("kind = 'stage' and coalesce(total > 0, true)")
     return entered.join(F.broadcast(progress.stages(s)), entered["stage_ord"] == F.col("ord")).select("job_id", "stage", "weight", F.col("start").alias("boundary"))
 
 
 @query
 def progress_state(s: SparkSession, d: str) -> DataFrame:
-    return progress.state(c.progress_events(s, d)).select("job_id", "n", "stage_ord", "completed", "stage_total")
+    return progress.state(c.progress_events(s, d)).select("job_id", "n", "stage_ord", "completed", "stage_total", "skipped")
 
 
 @query
@@ -503,7 +531,7 @@ def job_progress(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def progress_monotone(s: SparkSession, d: str) -> DataFrame:
-    st = progress.state(c.progress_events(s, d)).join(F.broadcast(progress.stages(s)), F.col("stage_ord") == F.col("ord"))
+    st = progress.state(c.progress_events(s, d)).join(F.broadcast(progress.stages(s)), F.col("stage_ord") == F.col("ord"), "left")
     return progress.falls(st.select("job_id", "n", progress.percent(F.lit("processing"), F.col("weight"), F.col("start"), F.col("completed"), F.col("stage_total")).alias("percent")))
 
 
@@ -519,7 +547,7 @@ def eta_labels(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def job_status(s: SparkSession, d: str) -> DataFrame:
-    jobs = options.page_limit(c.pages(s, d), LIMIT).select("job_id", F.when(F.col("job_id") % 17 == 0, "File is not a valid PDF.").alias("reason"), F.col("error_message").alias("page_error"), F.when(F.col("job_id") % 13 == 1, "boom").alias("stage_error"), (F.col("job_id") % 3 != 0).alias("started"), (F.col("job_id") % 3 == 1).alias("finished"))
+    jobs = options.page_limit(c.pages(s, d)).select("job_id", F.when(F.col("job_id") % 17 == 0, "File is not a valid PDF.").alias("reason"), F.col("error_message").alias("page_error"), F.when(F.col("job_id") % 13 == 1, "boom").alias("stage_error"), (F.col("job_id") % 3 != 0).alias("started"), (F.col("job_id") % 3 == 1).alias("finished"))
     return progress.job_status(jobs)
 
 
@@ -608,3 +636,17 @@ def page_errors(s: SparkSession, d: str) -> DataFrame:
         return row["n_items"] * 2
 
     return providers.best_effort(_items(s, d), step, "long").select(*_PAGE, "result", "error")
+
+
+@query
+def job_failures(s: SparkSession, d: str) -> DataFrame:
+    """Decks that a fatal error fails; errors that cost a page only do not count."""
+
+    def step(row: dict) -> int:
+        if row["n_items"] < 3:
+            raise ValueError("short page")
+        if row["n_items"] == 7:
+            raise RuntimeError(f"page {row['page_number']} cannot be read")
+        return row["n_items"]
+
+    return providers.failed_jobs(providers.best_effort(_items(s, d), step, "long"))

@@ -33,23 +33,42 @@ def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _placed(tokens: Column, line_index: Column) -> Column:
+    """The words of a line with their places: ``array<struct<text, char_start, char_length, box>>``."""
+
+    def word(w: Column, i: Column) -> Column:
+        start = F.length(F.array_join(F.slice(tokens, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)
+        return F.struct(w.alias("text"), _long(start).alias("char_start"), _long(F.length(w)).alias("char_length"), box(i / 8.0, line_index / 20.0, F.lit(0.9 / 8.0), F.lit(0.04)).alias("box"))
+
+    return F.transform(tokens, word)
+
+
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``job_id, page_number, line_index, text, box, confidence, n_words``."""
+    """``job_id, page_number, line_index, text, box, confidence, n_words, tokens, words``."""
     return line_tokens(spark, sf_dir).select(
         "job_id", "page_number", "line_index", F.array_join("tokens", " ").alias("text"),
         box(F.lit(0.0), F.col("line_index") / 20.0, F.lit(1.0), F.lit(0.04)).alias("box"),
         ((3 + (F.col("job_id") + F.col("line_no")) % 8) / 10.0).alias("confidence"), _long(F.size("tokens")).alias("n_words"),
+        "tokens", _placed(F.col("tokens"), F.col("line_index")).alias("words"),
+    )
+
+
+def text_layer(pages: DataFrame) -> DataFrame:
+    """Recognition from the text layer of pages (``job_id, page_number, text``): their lines, read for sure, as in :func:`page_lines`."""
+    tokens = pages.select("job_id", "page_number", F.filter(F.split("text", "\\s+"), lambda w: w != "").alias("all"))
+    last = F.floor((F.size("all") - 1) / LINE_WORDS).cast("int")
+    rows = tokens.where(F.size("all") > 0).select("job_id", "page_number", "all", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    lines = rows.select("job_id", "page_number", _long(F.col("at")).alias("line_index"), F.slice("all", F.col("at") * LINE_WORDS + 1, F.lit(LINE_WORDS)).alias("tokens"))
+    return lines.select(
+        "job_id", "page_number", "line_index", F.array_join("tokens", " ").alias("text"), box(F.lit(0.0), F.col("line_index") / 20.0, F.lit(1.0), F.lit(0.04)).alias("box"),
+        F.lit(1.0).alias("confidence"), _long(F.size("tokens")).alias("n_words"), "tokens", _placed(F.col("tokens"), F.col("line_index")).alias("words"),
     )
 
 
 def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``job_id, page_number, line_index, word_index, text, char_start, char_length, box``."""
-    words = line_tokens(spark, sf_dir).select("job_id", "page_number", "line_index", "tokens", F.posexplode("tokens").alias("word_index", "text"))
-    before = F.when(F.col("word_index") > 0, F.length(F.array_join(F.slice("tokens", F.lit(1), F.col("word_index")), " ")) + 1).otherwise(0)
-    return words.select(
-        "job_id", "page_number", "line_index", _long(F.col("word_index")).alias("word_index"), "text", _long(before).alias("char_start"),
-        _long(F.length("text")).alias("char_length"), box(F.col("word_index") / 8.0, F.col("line_index") / 20.0, F.lit(0.9 / 8.0), F.lit(0.04)).alias("box"),
-    )
+    words = page_lines(spark, sf_dir).select("job_id", "page_number", "line_index", F.posexplode("words").alias("word_index", "w"))
+    return words.select("job_id", "page_number", "line_index", _long(F.col("word_index")).alias("word_index"), "w.*")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,13 +80,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One draft for each line of a document's text: ``job_id`` (the language), ``doc_id, line_no, note_type, front, back, cloze_text, source_page, needs_page_image``."""
+    """One draft for each line of a document's text: ``job_id`` (the language), ``doc_id, source, line_no, note_type, front, back, cloze_text, source_page, needs_page_image``."""
     docs = read(spark, sf_dir, "documents")
     lines = docs.select(F.col("lang").alias("job_id"), "doc_id", "source", F.posexplode(F.split("text", "\\n")).alias("line_no", "line"))
     basic = F.length("line") % 2 == 0
     head = F.substring_index("line", " ", 1)
     return lines.select(
-        "job_id", "doc_id", _long(F.col("line_no")).alias("line_no"), F.when(basic, "basic").otherwise("cloze").alias("note_type"),
+        "job_id", "doc_id", "source", _long(F.col("line_no")).alias("line_no"), F.when(basic, "basic").otherwise("cloze").alias("note_type"),
         F.when(basic, F.col("line")).alias("front"), F.when(basic, F.col("source")).alias("back"),
         F.when(~basic, F.concat(F.lit("{{c1::"), head, F.lit("}}"), F.substring(F.col("line"), F.length(head) + 1, F.length("line")))).alias("cloze_text"),
         _long(F.floor(F.col("line_no") / 20) + 1).alias("source_page"), (F.col("line_no") % 10 == 0).alias("needs_page_image"),
@@ -84,8 +103,13 @@ def raw_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``job_id, ts, event_id, n, stage_ord, kind``: per job, eleven events to a stage; the first enters it with a total of ten, the others advance it by one."""
+    """``job_id, ts, event_id, event_type, n, stage_ord, kind, total, amount``: per job, eleven events to a stage; the first
+    enters it with a total (from 0, which skips the stage, to 11, or unknown), the others advance it by one to three."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     events = read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", F.row_number().over(order).alias("n"))
     stage = F.least(F.lit(5), F.floor((F.col("n") - 1) / 11)).cast("long")
-    return events.select("job_id", "ts", "event_id", "event_type", _long(F.col("n")).alias("n"), stage.alias("stage_ord"), F.when((F.col("n") - 1 == stage * 11), "stage").otherwise("advance").alias("kind"))
+    enters, k = F.col("n") - 1 == stage * 11, F.col("event_id")
+    return events.select(
+        "job_id", "ts", "event_id", "event_type", _long(F.col("n")).alias("n"), stage.alias("stage_ord"), F.when(enters, "stage").otherwise("advance").alias("kind"),
+        F.when(enters & (k % 13 < 12), _long(k % 13)).alias("total"), F.when(~enters, _long(1 + k % 3)).alias("amount"),
+    )

@@ -59,13 +59,14 @@ def test_dedupe_shares_one_key_space_ignores_backs_and_keeps_empty_keys(spark):
 
 
 def test_groups_and_rule_based_cards(spark):
-    pages = spark.createDataFrame([(1, p, f"t{p}") for p in range(1, 13)], "job_id long, page_number long, text string")
+    pages = spark.createDataFrame([(1, p, f"open{p} " + "mid " * 9 + f"end{p}") for p in range(1, 13)], "job_id long, page_number long, text string")
     groups = cards.page_groups(pages)
     assert sorted((r.group_no, len(r.pages)) for r in groups.collect()) == [(0, 10), (1, 2)]
-    made = cards.generate_cards(groups.withColumn("deck_name", F.lit("D"))).orderBy("group_no", "ord").collect()
+    made = cards.draft_cards(groups.withColumn("deck_name", F.lit("D"))).orderBy("group_no", "ord").collect()
     assert len(made) == 9 and [r.source_page for r in made] == [1, 5, 1, 6, 10, 6, 11, 12, 11]
     assert [r.needs_page_image for r in made] == [True, False, False, False, False, False, True, False, False]
-    assert made[2].cloze_text == "[mock] The key term on page 1 is {{c1::mock term}}."
+    assert (made[0].front, made[0].back, made[1].back) == ("Which word opens page 1 of D?", "open1", "end5") and made[2].cloze_text == "{{c1::open1}}" + " mid" * 7
+    assert all(r.violation is None for r in spark.createDataFrame(made).select(cards.violation().alias("violation")).collect())
     assert sorted(r.page_number for r in cards.flagged_pages(groups).collect()) == [1, 11]
 
 

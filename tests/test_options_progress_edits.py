@@ -33,9 +33,9 @@ def test_options(spark, payload, expected):
 
 def test_legacy_occlusions(spark):
     b = '{"left":0.1,"top":0.2,"width":0.3,"height":0.4}'
-    rows = [(f'{{"direction":"identify","label":"Aorta","crop_box":{b},"label_box":{b},"mask_boxes":[{b}]}}',), (f'{{"kind":"text","labels":["a"],"label":"b","crop_box":{b},"target_boxes":[{b}],"mask_boxes":[]}}',)]
+    rows = [(f'{{"direction":"identify","label":"Ridge","crop_box":{b},"label_box":{b},"mask_boxes":[{b}]}}',), (f'{{"kind":"text","labels":["a"],"label":"b","crop_box":{b},"target_boxes":[{b}],"mask_boxes":[]}}',)]
     out = [r.o for r in spark.createDataFrame(rows, "x string").select(options.upgrade_occlusion(F.col("x")).alias("o")).collect()]
-    assert (out[0].kind, out[0].labels, len(out[0].target_boxes)) == ("diagram", ["Aorta"], 1) and (out[1].kind, out[1].labels) == ("text", ["a"])
+    assert (out[0].kind, out[0].labels, len(out[0].target_boxes)) == ("diagram", ["Ridge"], 1) and (out[1].kind, out[1].labels) == ("text", ["a"])
 
 
 def test_page_limit_and_schema_merge(spark):
@@ -61,9 +61,16 @@ def test_eta_labels(spark):
 
 
 def events(spark):
+    """Per deck: stages with totals of 4, none (skipped), unknown and 2, and advances of one to three; gaps of 0.3 s."""
     start = dt.datetime(2024, 1, 1)
-    rows = [(j, n, (n - 1) // 4, "stage" if (n - 1) % 4 == 0 else "advance", start + dt.timedelta(milliseconds=300 * n)) for j in (1, 2) for n in range(1, 13)]
-    return spark.createDataFrame(rows, "job_id long, n long, stage_ord long, kind string, ts timestamp")
+    steps = [("advance", None, 2), ("stage", 4, None), ("advance", None, 1), ("advance", None, None), ("advance", None, 3), ("stage", 0, None), ("advance", None, 1), ("stage", None, None), ("advance", None, 2), ("advance", None, 2), ("advance", None, 1), ("advance", None, 1), ("stage", 2, None), ("advance", None, 2)]
+    rows, stage = [], -1
+    for j in (1, 2):
+        stage = -1
+        for n, (kind, total, amount) in enumerate(steps, 1):
+            stage += kind == "stage"
+            rows.append((j, n, max(stage, 0), kind, start + dt.timedelta(milliseconds=300 * n), total, amount))
+    return spark.createDataFrame(rows, "job_id long, n long, stage_ord long, kind string, ts timestamp, total long, amount long")
 
 
 def run_stream(spark, tmp_path, df, build, name):
@@ -76,20 +83,34 @@ def run_stream(spark, tmp_path, df, build, name):
     return spark.table(name)
 
 
+def test_counters_follow_totals_and_amounts_and_skip_empty_stages(spark):
+    got = [(r.stage_ord, r.completed, r.stage_total, r.skipped) for r in progress.state(events(spark)).where("job_id = 1").orderBy("n").collect()]
+    no = False
+    assert got == [(None, 2, None, no), (0, 0, 4, no), (0, 1, 4, no), (0, 2, 4, no), (0, 5, 4, no), (0, 5, 4, True), (0, 6, 4, no), (2, 0, None, no), (2, 2, None, no), (2, 4, None, no), (2, 5, None, no), (2, 6, None, no), (3, 0, 2, no), (3, 2, 2, no)]
+
+
 def test_progress_stream_equals_batch(spark, tmp_path):
     batch = progress.state(events(spark))
     stream = run_stream(spark, tmp_path, events(spark), streams.progress_stream, "progress_stream")
-    pick = lambda df: sorted((r.job_id, r.n, r.completed, r.stage_total) for r in df.collect())
+    pick = lambda df: sorted((r.job_id, r.n, r.stage_ord or -1, r.completed, r.stage_total or -1, r.skipped) for r in df.collect())
     assert pick(stream) == pick(batch)
     assert progress.falls(batch.select("job_id", "n", F.col("n").cast("double").alias("percent"))).where("falls > 0").count() == 0
 
 
-def test_throttled_stream_emits_closed_windows_of_the_batch(spark, tmp_path):
-    states = progress.state(events(spark)).select("job_id", "n", "stage_ord", "kind", "ts", "completed")
-    batch = {(r.job_id, r.n) for r in progress.throttled(states).where("kind = 'advance'").collect()}
-    stream = run_stream(spark, tmp_path, states, lambda df: streams.throttled_stream(df, "0 seconds"), "throttled_stream")
-    found = {(r.job_id, r.n) for r in stream.collect()}
-    assert found and found <= batch
+def test_commits_are_a_second_apart_but_for_stages():
+    seconds = [0, 950, 1050, 1900, 2050, 2100]
+    due, last = progress.commits([True] + [False] * 5, [1000 * s for s in seconds], None)
+    assert [s for s, d in zip(seconds, due, strict=True) if d] == [0, 1050, 2050] and last == 2_050_000
+    assert progress.commits([False, True, False], [0, 10, 1_000_009], None)[0] == [True, True, False]
+    assert progress.commits([False], [5], 4)[0] == [False]
+
+
+def test_throttled_stream_equals_batch(spark, tmp_path):
+    states = progress.state(events(spark)).select("job_id", "n", "stage_ord", "kind", "ts", "completed", "skipped")
+    pick = lambda df: sorted((r.job_id, r.n, r.stage_ord or -1, r.completed, r.kind) for r in df.collect())
+    batch = pick(progress.throttled(states))
+    assert [n for j, n, *_ in batch if j == 1] == [1, 2, 7, 8, 12, 13]  # event 6, a skipped stage, and what comes too soon are not committed
+    assert pick(run_stream(spark, tmp_path, states, streams.throttled_stream, "throttled_stream")) == batch
 
 
 LOG = "card_id long, seq long, op string, patch map<string,string>"
@@ -185,5 +206,25 @@ def test_providers(spark):
             raise RuntimeError("no")
         return "fine"
 
-    out = {r.page_number: (r.result, r.error) for r in providers.best_effort(rows, step, "string").collect()}
-    assert out == {1: ("fine", None), 2: (None, "RuntimeError: no")}
+    out = {r.page_number: (r.result, r.error, r.fatal) for r in providers.best_effort(rows, step, "string").collect()}
+    assert out == {1: ("fine", None, False), 2: (None, "RuntimeError: no", True)}
+    assert [tuple(r) for r in providers.failed_jobs(providers.best_effort(rows, step, "string")).collect()] == [(1, "RuntimeError: no")]
+    calm = providers.best_effort(rows.withColumn("error", F.lit("old")), step, "string", (RuntimeError,))
+    assert {r.page_number: (r.error, r.fatal) for r in calm.collect()} == {1: (None, False), 2: ("RuntimeError: no", False)} and providers.failed_jobs(calm).count() == 0
+
+
+def test_recogniser_and_uploads(spark, tmp_path):
+    pages = spark.createDataFrame([(1, 1, " ".join(f"w{i}" for i in range(11))), (1, 2, "")], "job_id long, page_number long, text string")
+    lines = providers.provider("ocr", "layer")(pages).orderBy("line_index").collect()
+    assert [(r.line_index, r.n_words, r.confidence) for r in lines] == [(0, 8, 1.0), (1, 3, 1.0)] and [w.char_start for w in lines[1].words] == [0, 3, 6]
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 rest")
+    (tmp_path / "b.pdf").write_bytes(b"hello")
+    found = options.admission(options.read_uploads(spark, str(tmp_path)))
+    assert {r.filename: r.reason for r in found.collect()} == {"a.pdf": None, "b.pdf": "File is not a valid PDF."}
+
+
+def test_text_images_hold_whole_lines(spark):
+    lines = spark.createDataFrame([(1, 1, 0, "ab " + "x" * 300), (1, 1, 2, "\u4e2d")], "job_id long, page_number long, line_index long, text string")
+    row = crop.ink_profile(crop.text_images(lines)).first()
+    assert (row.width, row.height) == (303, 80) and [i for i, x in enumerate(row.row_ink) if x] == [0, 1, 8, 9]
+    assert sum(row.col_ink) == 302 and row.hist[ord("x")] == 600 and row.hist[ord("?")] == 2 and sum(row.hist) == 303 * 80

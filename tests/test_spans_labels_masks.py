@@ -27,24 +27,24 @@ def test_flips(spark):
 
 
 def test_sizes_and_raw_text(spark):
-    rows = spark.createDataFrame([("renal corpuscle",), ("ab",), ("a b",), ("a b c d e f",), ("abc",), ("",)], "x string")
+    rows = spark.createDataFrame([("glacier valley",), ("ab",), ("a b",), ("a b c d e f",), ("abc",), ("",)], "x string")
     assert [r[0] for r in rows.select(spans.fitting_size(F.col("x"))).collect()] == [True, False, False, False, True, False]
     cut = spark.createDataFrame([("hello world", -2, 7), ("hello world", 5, 4), ("hello", 9, 3)], "x string, s int, n int").select(spans.ref_text(F.col("x"), F.col("s"), F.col("n")))
     assert [r[0] for r in cut.collect()] == ["hello", "wor", ""]
 
 
-LINE = "The renal corpuscle filters blood inside the nephron unit"
+LINE = "Every glacier valley collects snow during the winter months"
 
 
 def page(spark, texts, confidence=0.9):
-    lines = spark.createDataFrame([(1, 1, i, x, x.split(), confidence, len(x.split())) for i, x in enumerate(texts)], "job_id long, page_number long, line_index long, text string, tokens array<string>, confidence double, n_words long")
-    words = []
+    rows = []
     for i, x in enumerate(texts):
-        at = 0
+        words, at = [], 0
         for k, w in enumerate(x.split()):
-            words.append((1, 1, i, k, w, at, len(w), (k / 10, i / 10, 0.09, 0.04)))
+            words.append((w, at, len(w), (k / 10, i / 10, 0.09, 0.04)))
             at += len(w) + 1
-    return lines, spark.createDataFrame(words, f"job_id long, page_number long, line_index long, word_index long, text string, char_start long, char_length long, box {BOX}")
+        rows.append((1, 1, i, x, x.split(), confidence, len(words), words))
+    return spark.createDataFrame(rows, f"job_id long, page_number long, line_index long, text string, tokens array<string>, confidence double, n_words long, words array<struct<text:string,char_start:bigint,char_length:bigint,box:{BOX}>>")
 
 
 def refs(spark, rows):
@@ -52,35 +52,47 @@ def refs(spark, rows):
 
 
 def test_gate_and_acceptance(spark):
-    lines, words = page(spark, [LINE, "Short line here", LINE, "of the and to in is it"])
-    span = refs(spark, [(1, 1, 0, 0, 0, 4, 15), (1, 1, 1, 0, 0, 0, len(LINE)), (1, 1, 2, 0, 1, 0, 5), (1, 1, 3, 0, 9, 0, 5), (1, 1, 4, 0, 2, 4, 15), (1, 1, 5, 0, 2, 20, 7), (1, 1, 6, 0, 3, 3, 7), (1, 1, 7, 0, 0, 10, 17)])
-    cover = spans.covers(spans.ref_words(span, words))
-    rows = {r.span_ord: r for r in spans.gate(span, lines, cover).collect()}
-    assert rows[0].passes and rows[0].text == "renal corpuscle"
+    lines = page(spark, [LINE, "Short line here", LINE, "of the and to in is it"])
+    span = refs(spark, [(1, 1, 0, 0, 0, 6, 14), (1, 1, 1, 0, 0, 0, len(LINE)), (1, 1, 2, 0, 1, 0, 5), (1, 1, 3, 0, 9, 0, 5), (1, 1, 4, 0, 2, 6, 14), (1, 1, 5, 0, 2, 21, 8), (1, 1, 6, 0, 3, 3, 7), (1, 1, 7, 0, 0, 10, 20)])
+    rows = {r.span_ord: r for r in spans.gate(span, lines).collect()}
+    assert rows[0].passes and rows[0].text == "glacier valley"
     assert rows[1].whole_line and not rows[1].passes
     assert not rows[2].enough_context  # two words are left of three
     assert not rows[3].confident and not rows[3].enough_context and rows[3].text == ""
     assert rows[6].only_stopwords and not rows[6].passes
-    assert rows[7].text == "corpuscle filters"  # the half-covered word is left out
-    kept = {r.span_ord for r in spans.accept_spans(spans.gate(span, lines, cover).where("passes")).collect()}
+    assert rows[7].text == "valley collects"  # the half-covered word is left out
+    kept = {r.span_ord for r in spans.accept_spans(spans.gate(span, lines).where("passes")).collect()}
     assert kept == {0, 5}  # 4 repeats an answer, 7 overlaps span 0
-    out = spans.text_occlusions(spans.accept_spans(spans.gate(span, lines, cover).where("passes"))).orderBy("ord").first()
-    assert out.front == "Fill in the blank" and out.occlusion.labels == ["renal corpuscle"] and out.occlusion.crop_box.width == 1.0
+    out = spans.text_occlusions(spans.accept_spans(spans.gate(span, lines).where("passes"))).orderBy("ord").first()
+    assert out.front == "Fill in the blank" and out.occlusion.labels == ["glacier valley"] and out.occlusion.crop_box.width == 1.0
 
 
 def test_phrase_across_lines_has_a_box_for_each(spark):
-    _, words = page(spark, [LINE, LINE])
-    span = refs(spark, [(1, 1, 0, 0, 0, 53, 4), (1, 1, 0, 1, 1, 0, 3)])
-    cover = spans.covers(spans.ref_words(span, words))
-    assert spans.span_boxes(cover).count() == 2 and spans.span_text(cover).first().text == "unit The"
+    span = refs(spark, [(1, 1, 0, 0, 0, 53, 6), (1, 1, 0, 1, 1, 0, 5)])
+    cover = spans.covers(span, page(spark, [LINE, LINE]))
+    assert spans.span_boxes(cover).count() == 2 and spans.span_text(cover).first().text == "months Every"
+
+
+def test_raw_texts_and_words_of_references(spark):
+    lines = page(spark, [LINE, "one two"])
+    span = refs(spark, [(1, 1, 0, 0, 0, 8, 14), (1, 1, 1, 0, 1, 3, 40), (1, 1, 2, 0, 7, 0, 4)])
+    assert {r.span_ord: r.ref_text for r in spans.raw_texts(span, lines).collect()} == {0: "acier valley c", 1: "two", 2: None}
+    assert {(r.span_ord, r.word_index, r.word) for r in spans.ref_words(span, lines).collect()} == {(0, 2, "valley"), (1, 1, "two")}
+
+
+def test_left_over_words_count_each_line_once(spark):
+    lines = page(spark, ["a1 b1 c1 d1 e1 f1", "a2 b2 c2"])
+    span = refs(spark, [(1, 1, 0, 0, 0, 0, 2), (1, 1, 0, 1, 0, 3, 2), (1, 1, 0, 2, 1, 0, 8), (1, 1, 1, 0, 0, 0, 8)])
+    rows = {r.span_ord: r for r in spans.gate(span, lines).collect()}
+    assert rows[0].enough_context and rows[0].text == "a1 b1 a2 b2 c2" and not rows[0].whole_line  # four of six words are left
+    assert not rows[1].enough_context and rows[1].text == "a1 b1 c1"
 
 
 def test_cap_of_five_a_page(spark):
-    lines, words = page(spark, [f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i}" for i in range(8)])
+    lines = page(spark, [f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i}" for i in range(8)])
     chosen = spans.select_spans(lines)
     assert [r.text for r in chosen.orderBy("line_index").collect()][0] == "beta0 gamma0"
-    cover = spans.covers(spans.ref_words(chosen, words))
-    gate = spans.gate(chosen.drop("text"), lines, cover).where("passes")
+    gate = spans.gate(chosen.drop("text"), lines).where("passes")
     assert [r.span_ord for r in spans.accept_spans(gate).orderBy("span_ord").collect()] == [0, 1, 2, 3, 4]
     by_window = {(r.line_index, r.text) for r in spans.best_ranked(spans.candidates(lines)).collect()}
     assert by_window == {(r.line_index, r.text) for r in chosen.collect()}
@@ -104,15 +116,15 @@ def occlusion(label, left, masks_):
 
 
 def test_grouping_merges_once_per_kind_and_page(spark):
-    rows = [(1, 1, i, "diagram", "What is this?", occlusion(n, x, (0.1, 0.3, 0.5))) for i, (n, x) in enumerate((("Aorta", 0.1), ("Vena cava", 0.3), ("Artery", 0.5)))]
+    rows = [(1, 1, i, "diagram", "What is this?", occlusion(n, x, (0.1, 0.3, 0.5))) for i, (n, x) in enumerate((("Ridge", 0.1), ("River bed", 0.3), ("Delta", 0.5)))]
     pending = spark.createDataFrame(rows, f"job_id long, page_number long, ord long, note_type string, front string, occlusion {masks.OCCLUSION}")
     opts = "job_id long, diagram_mask_grouping string, text_mask_grouping string"
     same = masks.group_masks(pending, spark.createDataFrame([(1, "individual", "individual")], opts)).orderBy("bucket_ord").collect()
     assert [r.bucket_ord for r in same] == [0, 1, 2]
     one = masks.group_masks(pending, spark.createDataFrame([(1, "grouped", "individual")], opts)).collect()
-    assert len(one) == 1 and one[0].front == "Name all labeled parts" and one[0].occlusion.labels == ["Aorta", "Vena cava", "Artery"] and len(one[0].occlusion.mask_boxes) == 3
+    assert len(one) == 1 and one[0].front == "Name all labeled parts" and one[0].occlusion.labels == ["Ridge", "River bed", "Delta"] and len(one[0].occlusion.mask_boxes) == 3
     card = masks.occlusion_cards(pending).orderBy("ord").first()
-    assert card.back == "Aorta" and '"kind":"diagram"' in card.occlusion_json
+    assert card.back == "Ridge" and '"kind":"diagram"' in card.occlusion_json
     plan = masks.composition_plan(pending.where("ord = 0"), 100, 100).orderBy("z").collect()
     assert [(r.side, r.fill) for r in plan] == [("question", masks.MASK_COLOR)] * 3 + [("question", masks.HIGHLIGHT_FILL)] + [("answer", masks.MASK_COLOR)] * 2
 
@@ -121,3 +133,12 @@ def test_occlusion_validity(spark):
     rows = [(occlusion(" ", 0.1, ()),), (occlusion("x", 0.1, ()),), (occlusion("x", 0.95, ()),)]
     df = spark.createDataFrame(rows, f"o {masks.OCCLUSION}")
     assert [r[0] for r in df.select(masks.occlusion_is_valid(F.col("o"))).collect()] == [False, True, False]
+
+
+def test_box_pairs_meet_once_whatever_their_height(spark):
+    rng = __import__("random").Random(4)
+    rows = [(1, i, rng.random(), rng.random(), rng.random() * 0.5 + 0.01, rng.random() * 0.6 + 0.01) for i in range(60)]
+    df = spark.createDataFrame(rows, "job_id long, ident long, l double, t double, w double, h double").select("job_id", "ident", g.box(F.col("l"), F.col("t"), F.col("w"), F.col("h")).alias("box"))
+    meet = lambda a, b: min(a[2] + a[4], b[2] + b[4]) > max(a[2], b[2]) and min(a[3] + a[5], b[3] + b[5]) > max(a[3], b[3])
+    want = sorted((a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and meet(a, b))
+    assert sorted((r.a, r.b) for r in g.overlapping_pairs(df, ["job_id"], "ident").collect()) == want
