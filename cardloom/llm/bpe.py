@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
@@ -31,7 +32,7 @@ from .common import without
 #: Most distinct words, and distinct chunks, that a task keeps with their ids; beyond, it starts anew.
 KEPT_WORDS = 300_000
 #: Bytes of text whose words are replayed together.
-STRETCH = 8 << 20
+STRETCH = 4 << 20
 _SHIFT = 20
 #: ASCII characters that are seen, first bytes of characters of two and three bytes that no Unicode space has, and inner bytes.
 _VISIBLE, _PAIR, _TRIPLE, _INNER = (np.zeros(256, bool) for _ in range(4))
@@ -72,24 +73,27 @@ class Merges:
         begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         last = np.zeros(n + 1, bool)
         last[begin[1:][sizes > 0] - 1] = True
-        symbol: list[int] = self.bytes[data].tolist()
-        after = np.where(last[:n], -1, np.arange(1, n + 1)).tolist()
-        before = np.concatenate([[-1], np.where(last[: n - 1], -1, np.arange(n - 1))]).tolist() if n else []
-        # the inverted index: token id that a pair makes -> positions of such pairs, in order
-        index: dict[int, list[int]] = {}
+        # compact arrays, as lists of numbers would take ten times the space
+        symbol = array("i", self.bytes[data].astype(np.int32).tobytes())
+        after = array("i", np.where(last[:n], -1, np.arange(1, n + 1)).astype(np.int32).tobytes())
+        before = array("i", np.concatenate([[-1], np.where(last[: n - 1], -1, np.arange(n - 1))]).astype(np.int32).tobytes()) if n else array("i")
+        # the inverted index: token id that a pair makes -> positions of such pairs; those of byte pairs lie sorted in ``at``
         rank = self.byte_pairs[data[:-1], data[1:]] if n > 1 else np.zeros(0, np.int64)
         rank[last[: n - 1]] = -1
         at = np.flatnonzero(rank >= 0)
-        at = at[np.argsort(rank[at], kind="stable")]
-        kinds, starts = np.unique(rank[at], return_index=True)
-        for kind, lo, hi in zip(kinds.tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)], strict=False):
-            index[kind] = at[lo:hi].tolist()
-        queue = sorted(index)
+        at = at[np.argsort(rank[at], kind="stable")].astype(np.int32)
+        kinds, starts = np.unique(rank[rank >= 0], return_counts=True)
+        ends = np.cumsum(starts)
+        stretches = {k: at[hi - size : hi] for k, size, hi in zip(kinds.tolist(), starts.tolist(), ends.tolist(), strict=True)}
+        index: dict[int, list[int]] = {}
+        queue = sorted(stretches)
         pairs = self.pairs
         while queue:
             made = heappop(queue)
-            positions = index.pop(made, None)
-            if positions is None:
+            positions = index.pop(made, [])
+            if made in stretches:
+                positions += stretches.pop(made).tolist()
+            if not positions:
                 continue
             positions.sort()
             held: int = -1  # rest of a word that must wait for a lower-ranked pair that has come up in it
@@ -129,7 +133,7 @@ class Merges:
                             heappush(queue, k)
                         if k < made:
                             held = int(begin[np.searchsorted(begin, p, "right")]) - 1
-        flat = np.array(symbol, np.int64)
+        flat = np.frombuffer(symbol, np.int32)
         alive = flat >= 0
         return flat[alive], np.concatenate([[0], np.cumsum(alive)])[begin].astype(np.int64)
 
@@ -248,7 +252,7 @@ class Encoder:
         return self.decoded(ids)[0].tobytes()
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], most: int = STRETCH) -> Iterator[pa.RecordBatch]:
+def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Batches put together until they hold about ``most`` bytes of text."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -267,7 +271,7 @@ Encoded = tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 
 def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[Encoded]:
     """``(rows, bytes, offsets, ids, their begins, decoded bytes, their begins)`` for runs of rows."""
-    for stretch in _stretches(batches):
+    for stretch in _stretches(batches, STRETCH):
         parts = list(pieces(stretch.column("text"), 1 << 20))
         for (lo, hi, data, off), (ids, begin) in zip(parts, encoder.encode([part[2:] for part in parts]), strict=True):
             decoded, token = encoder.decoded(ids)
