@@ -33,8 +33,9 @@ def features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
     starts, ends, first = word_bounds(data, off)
     words, own = hasher.at(starts, ends), np.repeat(np.arange(len(off) - 1), np.diff(first))
     yield own, (words % U(BUCKETS)).astype(np.int64)
+    # a pair is hashed by the difference of its words' hashes: a word and itself make one pair, whichever word it is
     inside = own[1:] == own[:-1]
-    yield own[1:][inside], (mix(words[:-1] * U(3) + words[1:])[inside] % U(BUCKETS)).astype(np.int64)
+    yield own[1:][inside], (mix(words[1:] - words[:-1])[inside] % U(BUCKETS)).astype(np.int64)
     chars = char_starts(data)
     owner = np.searchsorted(off, chars[:-1], "right") - 1
     for n in GRAMS:

@@ -98,7 +98,7 @@ def test_quality_scores_equal_a_plain_loop(spark):
     def plain(text):
         words, total = [hashed(w.encode()) for w in (text or "").split()], []
         total += [w % quality.BUCKETS for w in words]
-        total += [int(quality.mix(np.array([(a * 3 + b) % (1 << 64)], np.uint64))[0]) % quality.BUCKETS for a, b in itertools.pairwise(words)]
+        total += [int(quality.mix(np.array([(b - a) % (1 << 64)], np.uint64))[0]) % quality.BUCKETS for a, b in itertools.pairwise(words)]
         total += [hashed((text or "")[i : i + n].encode()) % quality.BUCKETS for n in quality.GRAMS for i in range(len(text or "") - n + 1)]
         return 1 / (1 + np.exp(-(float(np.mean(model.table[total])) if total else 0.0) - model.bias))
 
