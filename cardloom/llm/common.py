@@ -13,8 +13,9 @@ from ..sources.scratch import cut, drop_path, drop_table, scratch_path, shared_d
 
 __all__ = ["cut", "drop_path", "drop_table", "held_out", "read", "sample_order", "scratch_path", "shared_dir", "ship", "tune", "without"]
 
-#: Rows in one Arrow batch handed to Python. Texts may be long, so batches stay small.
+#: Most rows, and bytes, in one Arrow batch handed to Python. Texts may be long, so batches stay small.
 ARROW_ROWS = 512
+ARROW_BYTES = "4m"
 
 
 _shipped: set[str] = set()
@@ -38,6 +39,7 @@ def tune(spark: SparkSession) -> None:
     """Small Arrow batches, and shuffle files that go away when the action that wrote them ends."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 

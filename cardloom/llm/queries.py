@@ -6,31 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, jaccard, langid, license_scan, quality, sharding, sketch, suffix, urlfilter
+from ..sources.corpus import spread
 from .common import drop_path, read, scratch_path, tune
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     store = scratch_path(spark, "slot-map")
-    out = sharding.shard(read(spark, sf_dir, "documents"), store=store)
+    out = sharding.shard(_docs(spark, sf_dir), store=store)
     drop_path(store)  # the places are part of the plan by now
     return out
 
 
 def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
     return langid.predict(docs.select("doc_id", "text"), langid.train(docs))
 
 
 def op3_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return sketch.fingerprints(read(spark, sf_dir, "documents"))
+    return sketch.fingerprints(_docs(spark, sf_dir))
 
 
 def op4_merge_replay(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     tune(spark)
-    return bpe.encode_and_check(read(spark, sf_dir, "documents"), bpe.load_ranks(public_tokenizers.path(ranks)), public_tokenizers.PATTERN)
+    return bpe.encode_and_check(_docs(spark, sf_dir), bpe.load_ranks(public_tokenizers.path(ranks)), public_tokenizers.PATTERN)
 
 
 def op5_sorted_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,28 +45,28 @@ def op5_sorted_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return suffix.removal(read(spark, sf_dir, "documents"))
+    return suffix.removal(_docs(spark, sf_dir))
 
 
 def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return license_scan.scan(read(spark, sf_dir, "documents"))
+    return license_scan.scan(_docs(spark, sf_dir))
 
 
 def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontam.contamination(_docs(spark, sf_dir), read(spark, sf_dir, "benchmark"))
 
 
 def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return jaccard.link_classes(read(spark, sf_dir, "documents"))
+    return jaccard.link_classes(_docs(spark, sf_dir))
 
 
 QUERIES = {

@@ -35,8 +35,8 @@ ANCHORS = (100, 184, 200)
 #: Different fragments of one anchor that are still compared in one partition.
 HOT = 200
 #: Bytes of fragments that one family takes in, and that one of its batches has.
-FAMILY_BYTES = 24 << 20
-BATCH_BYTES = 4 << 20
+FAMILY_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: By which spans find their row again: the id, and a hash of id and text.
 KEY = ("cardloom_id", "cardloom_key")
 
@@ -247,7 +247,7 @@ def _bodies(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in pieces(batch.column("text"), 1 << 20):
+            for lo, hi, data, off in pieces(batch.column("text")):
                 part = batch.column("wanted").slice(lo, hi - lo)
                 row = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
                 columns = dict(zip(fields, part.flatten().flatten(), strict=True))
