@@ -78,15 +78,15 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 def median_luma(hist: Column) -> Column:
     """The smallest value whose running count reaches half the total, the half rounded down."""
-    total = F.aggregate(hist, F.lit(0).cast("long"), lambda a, x: a + x)
-    half = F.floor(total / 2)
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("at"), F.lit(-1).cast("long").alias("found"))
+    half = F.floor(F.aggregate(hist, F.lit(0).cast("long"), lambda a, x: a + x) / 2)
 
-    def step(a: Column, x: Column) -> Column:
-        found = F.when((a["found"] < 0) & (a["sum"] + x >= half), a["at"] + 1).otherwise(a["found"])
-        return F.struct((a["sum"] + x).alias("sum"), (a["at"] + 1).alias("at"), found.alias("found"))
+    def walk(h: Column) -> Column:
+        # running count and number of values so far in one number
+        step = lambda a, x: F.when(F.shiftright(a, 9) >= h, a).otherwise(a + F.shiftleft(x, 9) + 1)
+        return F.greatest(F.aggregate(hist, F.lit(0).cast("long"), step).bitwiseAND(511) - 1, F.lit(0))
 
-    return F.aggregate(hist, start, step, lambda a: a["found"])
+    # a one-element array binds the half: else it would be summed up again for each value
+    return F.get(F.transform(F.array(half), walk), F.lit(0))
 
 
 def _median(hist: np.ndarray) -> int:

@@ -116,10 +116,10 @@ def gate(refs: DataFrame, lines: DataFrame) -> DataFrame:
     flags = flags.withColumn("left_over", left_over(F.col("refs"))).withColumn("parts", F.filter("refs", lambda p: p["text"].isNotNull())).drop("refs")
     # a generator of one row: the text is put together once, not for each rule
     out = flags.withColumn("text", F.explode(F.array(F.array_join(F.transform("parts", lambda p: p["text"]), " "))))
-    out = out.select(
+    rules = F.struct(fitting_size(F.col("text")).alias("fits"), is_stopwords_only(F.col("text")).alias("only_stopwords"), (F.col("known") & (F.coalesce("left_over", F.lit(0)) >= MIN_CONTEXT_WORDS)).alias("enough_context"))
+    out = out.withColumn("rule", F.explode(F.array(rules))).select(
         *_SPAN, "text", F.filter(F.transform("parts", lambda p: p["box"]), lambda b: b.isNotNull()).alias("boxes"), "confident", "whole_line",
-        (F.col("known") & (F.coalesce("left_over", F.lit(0)) >= MIN_CONTEXT_WORDS)).alias("enough_context"),
-        fitting_size(F.col("text")).alias("fits"), is_stopwords_only(F.col("text")).alias("only_stopwords"),
+        F.col("rule.enough_context").alias("enough_context"), F.col("rule.fits").alias("fits"), F.col("rule.only_stopwords").alias("only_stopwords"),
     )
     return out.withColumn("passes", F.col("confident") & F.col("fits") & ~F.col("whole_line") & F.col("enough_context") & ~F.col("only_stopwords"))
 

@@ -19,13 +19,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose scan has fewer tasks than there are cores, dealt out over them: one small file is one task, however
+    much work its rows are. What is dealt out is bounded by a file split for each core; larger tables stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _long(c: Column) -> Column:
     return c.cast("long")
 
 
 def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``job_id, line_no, page_number, line_index, tokens``, a row for each line."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.filter(F.split("text", "\\s+"), lambda w: w != "").alias("all"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("job_id"), F.filter(F.split("text", "\\s+"), lambda w: w != "").alias("all"))
     lines = docs.where(F.size("all") > 0).select("job_id", "all", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / LINE_WORDS).cast("int"))).alias("line_no"))
     return lines.select(
         "job_id", _long(F.col("line_no")).alias("line_no"), _long(F.floor(F.col("line_no") / PAGE_LINES) + 1).alias("page_number"),
@@ -73,7 +80,7 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``job_id, page_number, text``, a row for each page, 1-indexed."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.filter(F.split("text", "\\s+"), lambda w: w != "").alias("all"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("job_id"), F.filter(F.split("text", "\\s+"), lambda w: w != "").alias("all"))
     size = LINE_WORDS * PAGE_LINES
     rows = docs.where(F.size("all") > 0).select("job_id", "all", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / size).cast("int"))).alias("p"))
     return rows.select("job_id", _long(F.col("p") + 1).alias("page_number"), F.array_join(F.slice("all", F.col("p") * size + 1, F.lit(size)), " ").alias("text"))
@@ -81,7 +88,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One draft for each line of a document's text: ``job_id`` (the language), ``doc_id, source, line_no, note_type, front, back, cloze_text, source_page, needs_page_image``."""
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     lines = docs.select(F.col("lang").alias("job_id"), "doc_id", "source", F.posexplode(F.split("text", "\\n")).alias("line_no", "line"))
     basic = F.length("line") % 2 == 0
     head = F.substring_index("line", " ", 1)
