@@ -50,13 +50,18 @@ def cleaned(text: Column) -> Column:
 
 
 def spelled(clean: Column) -> Column:
-    """The canonical form of a cleaned text or of one of its lines."""
-    out = F.trim(F.regexp_replace(clean, "[ \\n]+", " "))
-    # with doubled blanks every word has its own at both ends, so neighbours are replaced as well
-    out = F.concat(F.lit(" "), F.replace(out, F.lit(" "), F.lit("  ")), F.lit(" "))
-    for spelling, standard in SPELLINGS:
-        out = F.replace(out, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {standard.replace(' ', '  ')} "))
-    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+    """The canonical form of a cleaned text or of one of its lines. Only texts with some of the spellings are gone over for each."""
+    some = "(^| )(" + "|".join(spelling for spelling, _ in SPELLINGS) + ")( |$)"
+
+    def standard(text: Column) -> Column:
+        # with doubled blanks every word has its own at both ends, so neighbours are replaced as well
+        out = F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
+        for spelling, word in SPELLINGS:
+            out = F.replace(out, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {word.replace(' ', '  ')} "))
+        return F.when(text.rlike(some), F.trim(F.replace(out, F.lit("  "), F.lit(" ")))).otherwise(text)
+
+    # a one-element array binds the text once
+    return F.get(F.transform(F.array(F.trim(F.regexp_replace(clean, "[ \\n]+", " "))), standard), F.lit(0))
 
 
 def canonical(text: Column) -> Column:
