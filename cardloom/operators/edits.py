@@ -39,7 +39,7 @@ def apply_edit(s: Column, e: Column) -> Column:
     patched = _state(
         note_type=merged["note_type"], front=F.when(cloze & ~occluded, F.lit(None)).otherwise(merged["front"]), back=F.when(cloze & ~occluded, F.lit(None)).otherwise(merged["back"]),
         cloze_text=F.when(basic, F.lit(None)).when(occluded, s["cloze_text"]).otherwise(merged["cloze_text"]),
-        needs_page_image=F.when(~occluded & F.map_contains_key(patch, "needs_page_image"), patch["needs_page_image"].cast("boolean")).otherwise(s["needs_page_image"]),
+        needs_page_image=F.when(~occluded & F.map_contains_key(patch, "needs_page_image"), patch["needs_page_image"].try_cast("boolean")).otherwise(s["needs_page_image"]),
         is_deleted=s["is_deleted"], applied=s["applied"] + 1, refused=s["refused"], last_reason=s["last_reason"],
     )
     same = {f: s[f] for f in FIELDS}

@@ -50,11 +50,14 @@ def throttled_stream(states: DataFrame) -> DataFrame:
     return rows.groupBy("job_id").applyInPandasWithState(step, "job_id long, n long, stage_ord long, completed long, kind string", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-EDIT_OUT = "card_id long, seq long, note_type string, front string, back string, cloze_text string, is_deleted boolean, reason string"
+EDIT_OUT = "card_id long, seq long, note_type string, front string, back string, cloze_text string, needs_page_image boolean, is_deleted boolean, reason string"
+#: Texts that count as true and as false; any other is NULL.
+_FLAGS = {**dict.fromkeys(("t", "true", "y", "yes", "1"), True), **dict.fromkeys(("f", "false", "n", "no", "0"), False)}
 
 
 def edits_stream(edits: DataFrame) -> DataFrame:
-    """Cards from a log of ``card_id, seq, op, patch``: ``create`` sets a card, ``patch`` and ``delete`` change it. One output row for each edit, with the reason if it was refused."""
+    """Cards from a log of ``card_id, seq, op, patch``: ``create`` sets a card, ``patch`` and ``delete`` change it, as
+    ``edits.apply_edits``. One output row for each edit, with the reason if it was refused."""
 
     def blank(x: object) -> bool:
         return x is None or not str(x).strip()
@@ -62,12 +65,13 @@ def edits_stream(edits: DataFrame) -> DataFrame:
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import re
 
-        kind, front, back, cloze, gone = state.get if state.exists else (None, None, None, None, True)
+        kind, front, back, cloze, image, gone = state.get if state.exists else (None, None, None, None, False, True)
         out = []
         for r in pd.concat(list(batches)).sort_values("seq").itertuples():
             patch, reason = dict(r.patch or {}), None
             if r.op == "create":
                 kind, front, back, cloze, gone = patch.get("note_type"), patch.get("front"), patch.get("back"), patch.get("cloze_text"), False
+                image = _FLAGS.get(str(patch.get("needs_page_image", "false")).strip().lower())
             elif gone:
                 reason = "Card not found."
             elif "occlusion" in patch:
@@ -86,9 +90,12 @@ def edits_stream(edits: DataFrame) -> DataFrame:
                 elif k != "cloze" and blank(b):
                     reason = f"{'Basic' if k == 'basic' else 'Occlusion'} cards require a non-empty 'back'."
                 else:
+                    if "needs_page_image" in patch and kind not in fixed:
+                        image = _FLAGS.get(str(patch["needs_page_image"]).strip().lower())
                     kind, front, back, cloze = (k, f, b, cloze if k in fixed else None) if k != "cloze" else (k, None, None, c)
-            out.append((key[0], r.seq, kind, front, back, cloze, gone, reason))
-        state.update((kind, front, back, cloze, gone))
-        yield pd.DataFrame(out, columns=["card_id", "seq", "note_type", "front", "back", "cloze_text", "is_deleted", "reason"]).astype({"front": object, "back": object, "cloze_text": object, "reason": object})
+            out.append((key[0], r.seq, kind, front, back, cloze, image, gone, reason))
+        state.update((kind, front, back, cloze, image, gone))
+        rows = pd.DataFrame(out, columns=["card_id", "seq", "note_type", "front", "back", "cloze_text", "needs_page_image", "is_deleted", "reason"])
+        yield rows.astype({"front": object, "back": object, "cloze_text": object, "needs_page_image": object, "reason": object})
 
-    return edits.groupBy("card_id").applyInPandasWithState(step, EDIT_OUT, "kind string, front string, back string, cloze string, gone boolean", "append", GroupStateTimeout.NoTimeout)
+    return edits.groupBy("card_id").applyInPandasWithState(step, EDIT_OUT, "kind string, front string, back string, cloze string, image boolean, gone boolean", "append", GroupStateTimeout.NoTimeout)

@@ -115,8 +115,8 @@ def test_throttled_stream_equals_batch(spark, tmp_path):
 
 LOG = "card_id long, seq long, op string, patch map<string,string>"
 EDITS = [
-    (1, 1, "patch", {"front": "new"}), (1, 2, "patch", {"note_type": "cloze", "cloze_text": "bad"}), (1, 3, "patch", {"note_type": "cloze", "cloze_text": "{{c1::x}}"}), (1, 4, "patch", {"note_type": "diagram"}),
-    (2, 1, "patch", {"back": "named"}), (2, 2, "patch", {"note_type": "basic"}), (2, 3, "patch", {"occlusion": "x"}), (2, 4, "patch", {"front": " "}), (3, 1, "delete", {}), (3, 2, "patch", {"front": "late"}), (9, 1, "patch", {"front": "nobody"}),
+    (1, 1, "patch", {"front": "new", "needs_page_image": "true"}), (1, 2, "patch", {"note_type": "cloze", "cloze_text": "bad"}), (1, 3, "patch", {"note_type": "cloze", "cloze_text": "{{c1::x}}"}), (1, 4, "patch", {"note_type": "diagram"}),
+    (2, 1, "patch", {"back": "named", "needs_page_image": "true"}), (4, 1, "patch", {"needs_page_image": "yes"}), (4, 2, "patch", {"needs_page_image": "perhaps"}), (2, 2, "patch", {"note_type": "basic"}), (2, 3, "patch", {"occlusion": "x"}), (2, 4, "patch", {"front": " "}), (3, 1, "delete", {}), (3, 2, "patch", {"front": "late"}), (9, 1, "patch", {"front": "nobody"}),
 ]
 
 
@@ -125,14 +125,15 @@ def test_edit_fold_and_its_stream_agree(spark, tmp_path):
     out = {r.card_id: r for r in edits.apply_edits(cards, spark.createDataFrame(EDITS, LOG)).collect()}
     assert (out[1].note_type, out[1].front, out[1].back, out[1].cloze_text, out[1].applied, out[1].refused) == ("cloze", None, None, "{{c1::x}}", 2, 2)
     assert (out[2].note_type, out[2].front, out[2].back, out[2].applied, out[2].refused) == ("diagram", "q", "named", 1, 3)
-    assert (out[3].is_deleted, out[3].front, out[3].last_reason) == (True, "q", "Card not found.") and out[4].applied == 0 and len(out) == 4
+    assert (out[3].is_deleted, out[3].front, out[3].last_reason) == (True, "q", "Card not found.") and out[4].applied == 2 and len(out) == 4
+    assert {k: r.needs_page_image for k, r in out.items()} == {1: True, 2: False, 3: False, 4: None}
     created = [(r.card_id, 0, "create", {k: v for k, v in r.asDict().items() if k in ("note_type", "front", "back", "cloze_text") and v is not None}) for r in cards.collect()]
     stream = run_stream(spark, tmp_path, spark.createDataFrame(created + EDITS, LOG), streams.edits_stream, "edits_stream")
     last = {}
     for r in sorted(stream.collect(), key=lambda r: r.seq):
         last[r.card_id] = r
     for k, r in out.items():
-        assert (last[k].note_type, last[k].front, last[k].back, last[k].cloze_text, last[k].is_deleted) == (r.note_type, r.front, r.back, r.cloze_text, r.is_deleted)
+        assert (last[k].note_type, last[k].front, last[k].back, last[k].cloze_text, last[k].needs_page_image, last[k].is_deleted) == (r.note_type, r.front, r.back, r.cloze_text, r.needs_page_image, r.is_deleted)
     refused = sorted((r.card_id, r.seq) for r in stream.collect() if r.reason)
     assert refused == [(1, 2), (1, 4), (2, 2), (2, 3), (2, 4), (3, 2), (9, 1)]
 
