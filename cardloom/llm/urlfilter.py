@@ -105,18 +105,18 @@ def candidates(host: str, path: str, lengths: Iterable[int]) -> list[bytes]:
 
 
 def _longest(index: DigestArray, hosts: list[str], paths: list[str]) -> np.ndarray:
+    """Index of the longest entry that covers each url, or -1. Each different host and path of a batch is looked up once."""
     lengths = index.path_lengths()
-    owner, strings = [], []
-    for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
-        found = candidates(h, p, lengths) if h else []
-        owner += [i] * len(found)
-        strings += found
-    hit = index.probe(np.array([xxhash.xxh64_intdigest(s) for s in strings], np.uint64), strings)
-    best = np.full(len(hosts), -1, np.int64)
-    for i, j in zip(np.asarray(owner, np.int64)[hit >= 0], hit[hit >= 0], strict=True):
-        if best[i] < 0 or len(index.entry(j)) > len(index.entry(best[i])):
-            best[i] = j
-    return best
+    pairs = {pair: i for i, pair in enumerate(dict.fromkeys(zip(hosts, paths, strict=True)))}
+    found = [candidates(h, p, lengths) if h else [] for h, p in pairs]
+    strings = [s for f in found for s in f]
+    hit = index.probe(np.fromiter(map(xxhash.xxh64_intdigest, strings), np.uint64, len(strings)), strings)
+    owner, hit = np.repeat(np.arange(len(found)), [len(f) for f in found])[hit >= 0], hit[hit >= 0]
+    order = np.lexsort((index.offsets[hit + 1] - index.offsets[hit], owner))
+    last = np.append(owner[order][1:] != owner[order][:-1], True)[: len(order)]
+    best = np.full(len(found), -1, np.int64)
+    best[owner[order][last]] = hit[order][last]
+    return best[[pairs[pair] for pair in zip(hosts, paths, strict=True)]]
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, most_bytes: int = 64 << 20) -> DataFrame:
@@ -144,8 +144,8 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, most_bytes
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             best = _longest(mapped, hosts, paths)
-            rule = [mapped.entry(i).decode() if i >= 0 else None for i in best]
-            verdict = [("block" if mapped.verdicts[i] else "allow") if i >= 0 else UNLISTED for i in best]
+            rules_of = {i: (mapped.entry(i).decode(), "block" if mapped.verdicts[i] else "allow") if i >= 0 else (None, UNLISTED) for i in set(best.tolist())}
+            rule, verdict = ([rules_of[i][k] for i in best.tolist()] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
     return urls.mapInArrow(run, urls.schema.simpleString()[7:-1].replace(":", " ") + ", rule string, verdict string")
