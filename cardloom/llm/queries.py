@@ -97,13 +97,23 @@ _KNOWN = ", ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(license_sca
 
 #: DuckDB SQL with the same rows, where SQL can express the operator. The others are tested against brute force,
 #: an official library or held-out accuracy: balanced maps (op1), trained models (op2, op8), sketches of an engine's
-#: own hash (op3), merge ranks (op4), byte windows (op6), and word-aligned overlaps (op9).
+#: own hash (op3), merge ranks (op4), and word-aligned overlaps (op9).
 ORACLE: dict[str, str] = {
     "op5_sorted_digests": f"""WITH rules AS (SELECT * FROM (VALUES {_RULES}) r(v, h, p, rule)),
  u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
  s AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
  m AS (SELECT s.*, r.rule, r.v, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC) AS n FROM s LEFT JOIN rules r ON (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, r.p))
  SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1""",
+    # every window of 200 bytes is counted by its MD5; removed runs are islands of windows that lie no further apart than one
+    "op6_suffix_family": """WITH b AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+ w AS (SELECT r, i, md5_number(array_slice(x, i, i + 199)) AS s FROM (SELECT r, x, unnest(range(1, n - 198)) AS i FROM b WHERE n >= 200)),
+ hit AS (SELECT r, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+ marked AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, true)::INT AS new FROM hit),
+ runs AS (SELECT r, min(i) AS a, max(i) + 199 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM marked) GROUP BY r, run),
+ ends AS (SELECT r, a, z FROM runs UNION ALL SELECT r, n + 1, n FROM b),
+ parts AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a, z), 0) + 1 AS low FROM ends),
+ kept AS (SELECT r, string_agg(CASE WHEN a > low THEN hex(array_slice(x, low, a - 1)) ELSE '' END, '' ORDER BY a, z) AS h, (sum(z - a + 1))::BIGINT AS n_removed, (count(*) - 1)::BIGINT AS n_spans FROM parts JOIN b USING (r) GROUP BY r)
+ SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(h)) AS kept_sha256 FROM b JOIN kept USING (r)""",
     "op7_license_digests": f"""WITH known AS (SELECT sha256({_canonical("t")}) AS digest, arg_min(k, i) AS license FROM (VALUES {_KNOWN}) v(i, k, t) GROUP BY 1),
  whole AS (SELECT doc_id, sha256({_canonical("text")}) AS text_sha256 FROM documents),
  lines AS (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
