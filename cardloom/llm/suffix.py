@@ -266,7 +266,7 @@ def _bodies(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, hot: int = HOT, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """``KEY, cardloom_spans`` for ``KEY, text``: the byte ranges (``start``, ``stop``) of each text that repeated windows cover, as found (they may overlap).
+    """``KEY, cardloom_spans`` for ``KEY, text``: the byte ranges (``start``, ``stop``) of each text that repeated windows cover, as maximal runs.
 
     ``anchors`` are k-mer sizes, growing to ``length``: the fragments of a hot anchor are taken as texts in their
     own right with the next size, so their windows spread over many anchors.
@@ -302,11 +302,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ..
     found = _fragment_rows(docs, length, k).join(verdicts, ["anchor", "whole"]).select(*KEY, F.shiftright("place", 32).cast("int").alias("first"), F.explode("runs").alias("run"))
     start = F.col("first") + F.col("run.skip")
     spans = found.select(*KEY, F.struct(start.alias("start"), (start + F.col("run.windows") - 1 + length).alias("stop")).alias("span"))
-    out = cut(spans.groupBy(*KEY).agg(F.collect_list("span").alias("cardloom_spans")), "spans")
+    out = cut(_joined(spans.groupBy(*KEY).agg(F.collect_list("span").alias("cardloom_spans"))), "spans")
     drop_table(verdicts)
     return out
 
 
+def _joined(spans: DataFrame) -> DataFrame:
+    """The spans of each row as their maximal runs: what covers the same bytes, in as few spans as there can be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_maximal(x) for x in batch.column("cardloom_spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(found, batch.schema.field("cardloom_spans").type)], names=[*KEY, "cardloom_spans"])
+
+    return spans.select(*KEY, "cardloom_spans").mapInArrow(run, spans.schema)
+
+
+def _maximal(spans: list[dict]) -> list[dict]:
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["start"], s["stop"])):
+        if out and s["start"] <= out[-1]["stop"]:
+            out[-1]["stop"] = max(out[-1]["stop"], s["stop"])
+        else:
+            out.append(dict(s))
+    return out
+
+
 def _kept(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
     """``(bytes that stay, bytes removed, maximal removed runs)``."""
     if not spans:
