@@ -32,11 +32,11 @@ from .common import cut, drop_table
 LENGTH = 200
 #: Sizes of the anchors; the later ones only for what shares a hot anchor of the one before. A window is its own last anchor.
 ANCHORS = (100, 184, 200)
-#: Different fragments of one anchor that are still compared in one partition.
-HOT = 200
 #: Bytes of fragments that one family takes in, and that one of its batches has.
 FAMILY_BYTES = 8 << 20
 BATCH_BYTES = 2 << 20
+#: Different fragments of one anchor that are still compared in one partition: what fills it.
+HOT = 20_000
 #: By which spans find their row again: the id, and a hash of id and text.
 KEY = ("cardloom_id", "cardloom_key")
 
@@ -299,10 +299,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ..
     drop_table(bodies)
     if inner is not None:
         drop_table(inner)
-    found = _fragment_rows(docs, length, k).join(verdicts, ["anchor", "whole"]).select(*KEY, F.shiftright("place", 32).cast("int").alias("first"), F.explode("runs").alias("run"))
-    start = F.col("first") + F.col("run.skip")
-    spans = found.select(*KEY, F.struct(start.alias("start"), (start + F.col("run.windows") - 1 + length).alias("stop")).alias("span"))
-    out = cut(_joined(spans.groupBy(*KEY).agg(F.collect_list("span").alias("cardloom_spans"))), "spans")
+    found = _fragment_rows(docs, length, k).join(verdicts, ["anchor", "whole"])
+    first = F.shiftright("place", 32).cast("int")
+    covered = F.transform("runs", lambda r: F.struct((first + r["skip"]).alias("start"), (first + r["skip"] + r["windows"] - 1 + length).alias("stop")))
+    spans = found.select(*KEY, covered.alias("spans")).groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("cardloom_spans"))
+    out = cut(_joined(spans), "spans")
     drop_table(verdicts)
     return out
 
