@@ -22,7 +22,7 @@ from .common import held_out, sample_order
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 #: Most labelled documents of each class that the model is fitted on.
-SAMPLE = 1200
+SAMPLE = 800
 #: Documents with this score or more are predicted to be of class 1.
 THRESHOLD = 0.3
 
@@ -129,7 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     if len({b[0] for b in bags}) < 2:
         p = min(max(float(np.mean(ys)) if len(ys) else 0.5, 0.01), 0.99)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
-    return fit(bags)
+    model = fit(bags)
+    del rows, bags
+    pa.default_memory_pool().release_unused()  # the driver has more to do
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
