@@ -15,7 +15,6 @@ import pyarrow.compute as pc
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: A random odd 64-bit value for each byte.
 _BYTE = np.random.default_rng(20240611).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _SPACE = np.zeros(256, bool)
@@ -72,13 +71,13 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of substrings of one byte array."""
+    """Hashes of substrings of one byte array; another odd ``base`` gives other hashes."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = _BASE):
         n = len(data)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power(_BASE, n), out=self.prefix[1:]) if n else None
-        self.back = _power(_INVERSE, n + 1)
+        np.cumsum(_BYTE[data] * _power(base, n), out=self.prefix[1:]) if n else None
+        self.back = _power(pow(base, -1, 1 << 64), n + 1)
 
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of ``data[start:end]`` for each pair."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, langid, license_scan, quality, sharding, sketch, suffix, urlfilter
+from . import bpe, collocations, decontam, fim, jaccard, langid, license_scan, mixture, quality, sharding, sketch, suffix, urlfilter
 from ..sources.corpus import spread
 from .common import drop_path, read, scratch_path, tune
 
@@ -69,6 +69,21 @@ def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_classes(_docs(spark, sf_dir))
 
 
+def op11_dynamic_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return collocations.mine(_docs(spark, sf_dir))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return mixture.mix(_docs(spark, sf_dir))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return fim.digests(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_virtual_slots": op1_virtual_slots,
     "op2_crf_language": op2_crf_language,
@@ -80,6 +95,9 @@ QUERIES = {
     "op8_subword_quality": op8_subword_quality,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_prefix_join": op10_prefix_join,
+    "op11_dynamic_counting": op11_dynamic_counting,
+    "op12_source_mix": op12_source_mix,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 
@@ -127,4 +145,30 @@ ORACLE: dict[str, str] = {
  edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
  reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
  SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = d.doc_id), d.doc_id)) AS component_id FROM documents d LEFT JOIN n USING (doc_id)""",
+    # every phrase of up to five words counted in one go
+    "op11_dynamic_counting": r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS a FROM p),
+ n AS (SELECT lang, sum(len(a))::BIGINT AS n FROM w GROUP BY lang),
+ g AS (SELECT lang, k, array_to_string(a[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, a, k, unnest(range(1, len(a) - k + 2)) AS i FROM w, range(1, 6) r(k)) GROUP BY ALL HAVING count(*) >= 100),
+ c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1),
+ cuts AS (SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, n.n, ((1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score, l.k AS cut_after
+   FROM c JOIN n USING (lang) JOIN g l ON l.lang = c.lang AND l.k < c.k AND l.phrase = array_to_string(c.ws[1 : l.k], ' ') JOIN g r ON r.lang = c.lang AND r.k = c.k - l.k AND r.phrase = array_to_string(c.ws[l.k + 1 :], ' ')),
+ low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_after) = 1),
+ sub AS (SELECT DISTINCT lang, a AS around, array_to_string(ws[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, a, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM c, range(2, 5) r(m) WHERE m < k)),
+ kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM sub WHERE sub.lang = low.lang AND sub.phrase = low.phrase AND 100 * sub.around >= 100 * low.a))
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, cut_after::INT AS cut_after FROM kept QUALIFY rank <= 2000""",
+    # targets by rounds: whoever is above twice its size stops there, and the rest is shared anew
+    "op12_source_mix": r"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS key FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS words, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+ level AS (SELECT 0 AS i, source, words, weight, false AS capped, 0::DOUBLE AS target, 0::HUGEINT AS part, 1::HUGEINT AS of_ FROM s
+  UNION ALL SELECT i + 1, source, words, weight, capped OR weight * free > 200 * words::HUGEINT * unmet, CASE WHEN capped THEN target WHEN weight * free > 200 * words::HUGEINT * unmet THEN 2.0 * words ELSE weight * free / (100.0 * unmet) END, CASE WHEN capped THEN part WHEN weight * free > 200 * words::HUGEINT * unmet THEN 2 * words ELSE weight * free END, CASE WHEN capped THEN of_ WHEN weight * free > 200 * words::HUGEINT * unmet THEN 1 ELSE 100 * unmet END
+  FROM (SELECT *, 150 * sum(words) OVER () - coalesce(sum(200 * words) FILTER (capped) OVER (), 0) AS free, sum(weight) FILTER (NOT capped) OVER () AS unmet FROM level) WHERE i < 60),
+ t AS (SELECT source, words, target, (part // of_)::BIGINT AS budget FROM level WHERE i = 60),
+ o AS (SELECT d.*, words, target, budget, CASE WHEN words > 0 THEN budget // words ELSE 0 END AS epochs, (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+ SELECT doc_id, size, words AS source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * words - before)))::BIGINT AS taken, source, before, epochs::BIGINT AS epochs FROM o""",
+    "op13_fill_in_middle": r"""WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+ x AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b, ('0x' || h[25:32])::BIGINT % 100 AS h4, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain FROM h),
+ c AS (SELECT doc_id, n, text, CASE WHEN plain THEN 'plain' WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form, array_to_string(u[1 : least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1 : greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1 :], '') AS s FROM x)
+ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM c""",
 }
