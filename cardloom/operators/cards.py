@@ -6,26 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, is_valid_cloze, normalize_text
+from ..sources.versions import Versions
 
 OCCLUSION_TYPES = ("diagram", "text_occlusion")
 #: Most code points in a field of a draft.
 FIELD_LIMIT = 2000
 PAGES_PER_GROUP = 10
-PAGES_PER_CHUNK = 5
+#: Words on each side of a gap; a page with fewer words than ``SHORT_PAGE`` needs its image.
+AROUND = 4
+SHORT_PAGE = 20
 
 
 def is_occlusion(note_type: str = "note_type") -> Column:
     return F.col(note_type).isin(*OCCLUSION_TYPES)
 
 
-def violation(note_type: str = "note_type", front: str = "front", back: str = "back", cloze_text: str = "cloze_text") -> Column:
-    """What breaks the rules of a card's type, or NULL. The messages are fixed values."""
-    kind = F.col(note_type)
-    out = F.when((kind == "basic") & is_blank(F.col(front)), "Basic cards require a non-empty 'front'.")
-    out = out.when((kind == "basic") & is_blank(F.col(back)), "Basic cards require a non-empty 'back'.")
-    out = out.when((kind == "cloze") & ~F.coalesce(is_valid_cloze(F.col(cloze_text)), F.lit(False)), "Cloze cards require non-empty 'cloze_text' with valid {{c1::...}} syntax.")
-    out = out.when(is_occlusion(note_type) & is_blank(F.col(front)), "Occlusion cards require a non-empty 'front'.")
-    return out.when(is_occlusion(note_type) & is_blank(F.col(back)), "Occlusion cards require a non-empty 'back'.")
+#: The rules of the card types, in order: types, field, check (not blank, or a gap as well), message. The messages are fixed values.
+RULES = (
+    (("basic",), "front", "text", "Basic cards require a non-empty 'front'."),
+    (("basic",), "back", "text", "Basic cards require a non-empty 'back'."),
+    (("cloze",), "cloze_text", "cloze", "Cloze cards require non-empty 'cloze_text' with valid {{c1::...}} syntax."),
+    (OCCLUSION_TYPES, "front", "text", "Occlusion cards require a non-empty 'front'."),
+    (OCCLUSION_TYPES, "back", "text", "Occlusion cards require a non-empty 'back'."),
+)
+
+
+def violation() -> Column:
+    """What breaks the rules of a card's type (columns ``note_type, front, back, cloze_text``), or NULL."""
+    out = [
+        F.when(F.col("note_type").isin(*types) & (is_blank(F.col(field)) if check == "text" else ~F.coalesce(is_valid_cloze(F.col(field)), F.lit(False))), message)
+        for types, field, check, message in RULES
+    ]
+    return F.coalesce(*out)
 
 
 def valid_drafts(drafts: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -62,32 +74,22 @@ def page_groups(pages: DataFrame, size: int = PAGES_PER_GROUP) -> DataFrame:
 
 
 def draft_cards(groups: DataFrame) -> DataFrame:
-    """Rule-based drafts: three cards for each chunk of five pages of a group (``job_id, deck_name, group_no, pages``), asking
-    for the first word of the chunk, for its last one, and leaving a gap for the first in the words around it.
+    """Rule-based drafts: for each page of a group (``job_id, group_no, pages``) that has words, a gap for its longest word,
+    the first of several, in the words around it.
 
-    Returns drafts with ``group_no`` and ``ord``, their order within the group.
+    Returns drafts with ``group_no`` and ``ord``, the page's place in the group.
     """
-    chunks = groups.select("job_id", "deck_name", "group_no", "pages", F.explode(F.sequence(F.lit(0), F.floor((F.size("pages") - 1) / PAGES_PER_CHUNK).cast("int"))).alias("chunk"))
-    part = F.slice("pages", F.col("chunk") * PAGES_PER_CHUNK + 1, F.lit(PAGES_PER_CHUNK))
-    ends = chunks.select("job_id", "deck_name", "group_no", "chunk", F.element_at(part, 1).alias("a"), F.element_at(part, -1).alias("b"))
-    opening = F.substring_index("a.text", " ", 8)
-    words = ends.select(
-        "job_id", "deck_name", "group_no", "chunk", F.col("a.page_number").alias("first"), F.col("b.page_number").alias("last"),
-        F.substring_index("a.text", " ", 1).alias("opens"), F.substring_index("b.text", " ", -1).alias("closes"), opening.alias("opening"),
+    pages = groups.select("job_id", "group_no", F.posexplode("pages").alias("ord", "page"))
+    words = pages.select("job_id", "group_no", "ord", F.col("page.page_number").alias("source_page"), F.filter(F.split("page.text", " "), lambda w: w != "").alias("words")).where(F.size("words") > 0)
+    longest = F.array_max(F.transform("words", lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("at"))))
+    found = words.withColumn("at", -longest["at"])
+    before, after = F.slice("words", F.greatest(F.col("at") - AROUND + 1, F.lit(1)), F.least(F.col("at"), F.lit(AROUND))), F.slice("words", F.col("at") + 2, F.lit(AROUND))
+    gap = F.concat(F.lit("{{c1::"), F.element_at("words", (F.col("at") + 1).cast("int")), F.lit("}}"))
+    text, none = F.array_join(F.concat(before, F.array(gap), after), " "), F.lit(None).cast("string")
+    return found.select(
+        "job_id", "group_no", F.col("ord").cast("long").alias("ord"), F.lit("cloze").alias("note_type"), none.alias("front"), none.alias("back"),
+        text.alias("cloze_text"), "source_page", (F.size("words") < SHORT_PAGE).alias("needs_page_image"),
     )
-    none, deck = F.lit(None).cast("string"), F.col("deck_name")
-
-    def card(n: int, kind: str, front: Column, back: Column, cloze: Column, page: str, image: Column) -> Column:
-        return F.struct(F.lit(n).alias("n"), F.lit(kind).alias("note_type"), front.alias("front"), back.alias("back"), cloze.alias("cloze_text"), F.col(page).alias("source_page"), image.alias("needs_page_image"))
-
-    gap = F.concat(F.lit("{{c1::"), F.col("opens"), F.lit("}}"), F.substring(F.col("opening"), F.length("opens") + 1, F.length("opening")))
-    three = F.array(
-        card(0, "basic", F.concat(F.lit("Which word opens page "), F.col("first"), F.lit(" of "), deck, F.lit("?")), F.col("opens"), none, "first", F.col("chunk") == 0),
-        card(1, "basic", F.concat(F.lit("Which word closes page "), F.col("last"), F.lit(" of "), deck, F.lit("?")), F.col("closes"), none, "last", F.lit(False)),
-        card(2, "cloze", none, none, gap, "first", F.lit(False)),
-    )
-    cards = words.select("job_id", "group_no", "chunk", F.explode(three).alias("c"))
-    return cards.select("job_id", "group_no", (F.col("chunk") * 3 + F.col("c.n")).cast("long").alias("ord"), "c.note_type", "c.front", "c.back", "c.cloze_text", "c.source_page", "c.needs_page_image")
 
 
 def flagged_pages(groups: DataFrame) -> DataFrame:
@@ -116,6 +118,9 @@ def card_counts(jobs: DataFrame, cards: DataFrame) -> DataFrame:
     return jobs.join(counts, "job_id", "left").withColumn("card_count", F.coalesce("card_count", F.lit(0)).cast("long"))
 
 
-def write_cards(cards: DataFrame, path: str) -> None:
-    """Card sink: a directory for each deck, so later reads prune by deck."""
-    cards.repartition("job_id").write.mode("append").partitionBy("job_id").parquet(path)
+def write_cards(cards: DataFrame, path: str, run: str) -> int:
+    """Card sink: the cards of a run as one part of the versions under ``path``; returns the version. A run that is repeated
+    replaces its cards. Files are sorted by deck, so the statistics of the files lead a reader of one deck to its own, and a
+    large deck has several."""
+    laid = cards.repartitionByRange("job_id", "id").sortWithinPartitions("job_id", "id")
+    return Versions(cards.sparkSession, path).publish(laid, run)

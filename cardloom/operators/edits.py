@@ -1,71 +1,118 @@
-"""Card edits: a log of patches and deletions folded over the cards."""
+"""Card edits: a log of creations, patches and deletions folded over the cards, in a batch and on a stream by one set of rules."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import re
+from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
-from ..functions.text import is_blank, is_valid_cloze
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-STATE = "note_type string, front string, back string, cloze_text string, needs_page_image boolean, is_deleted boolean, applied long, refused long, last_reason string"
-FIELDS = [f.split()[0] for f in STATE.split(", ")]
+from .cards import OCCLUSION_TYPES, RULES
 
+FIELDS = "note_type string, front string, back string, cloze_text string, needs_page_image boolean, is_deleted boolean"
+LOG = "card_id long, seq long, op string, patch map<string,string>"
+#: Texts that count as true and as false; any other is NULL.
+FLAGS = {**dict.fromkeys(("t", "true", "y", "yes", "1"), True), **dict.fromkeys(("f", "false", "n", "no", "0"), False)}
+_BLANK = re.compile(r"[\s\x1c-\x1f\x85]*", re.UNICODE)
+_CLOZE = re.compile("\\{\\{c[0-9]+::[^\n\r\x85  ]+?\\}\\}")
 
-def _state(**columns: Column) -> Column:
-    return F.struct(*[columns[f].cast(t).alias(f) for f, t in (x.split() for x in STATE.split(", "))])
 
+class Card(NamedTuple):
+    note_type: str | None
+    front: str | None
+    back: str | None
+    cloze_text: str | None
+    needs_page_image: bool | None
+    is_deleted: bool
 
-def edit_reason(s: Column, e: Column) -> Column:
-    """Why an edit (``op, patch``) does not apply to a card's state, or NULL. Keys of the patch that are there are set, even to NULL."""
-    occluded = s["note_type"].isin("diagram", "text_occlusion")
-    kind = F.when(F.map_contains_key(e["patch"], "note_type"), e["patch"]["note_type"]).otherwise(s["note_type"])
-    switch = kind.isNull() | ((occluded | kind.isin("diagram", "text_occlusion")) & (kind != s["note_type"]))
-    return F.when(s["is_deleted"], "Card not found.").when(F.map_contains_key(e["patch"], "occlusion"), "Occlusion geometry cannot be edited.").when((e["op"] == "patch") & switch, "Card cannot change to this note type.")
 
+def flag(text: str | None) -> bool | None:
+    return None if text is None else FLAGS.get(text.strip().lower())
 
-def apply_edit(s: Column, e: Column) -> Column:
-    """The state after one edit; a refused one changes only the counters."""
-    patch = e["patch"]
 
-    def after(key: str) -> Column:
-        return F.when(F.map_contains_key(patch, key), patch[key]).otherwise(s[key])
+def broken_rule(card: Card) -> str | None:
+    """The message of the first of ``cards.RULES`` that a card breaks."""
+    for types, field, check, message in RULES:
+        if card.note_type in types:
+            text = getattr(card, field)
+            blank = text is None or _BLANK.fullmatch(text) is not None
+            if blank or (check == "cloze" and _CLOZE.search(text) is None):
+                return message
+    return None
 
-    merged = F.struct(after("note_type").alias("note_type"), after("front").alias("front"), after("back").alias("back"), after("cloze_text").alias("cloze_text"))
-    # a one-element array binds the merged fields once
-    broken = F.get(F.transform(F.array(merged), lambda m: _violation_of(m)), F.lit(0))
-    reason = F.coalesce(edit_reason(s, e), F.when(e["op"] == "patch", broken))
-    occluded = s["note_type"].isin("diagram", "text_occlusion")
-    cloze, basic = merged["note_type"] == "cloze", merged["note_type"] == "basic"
-    patched = _state(
-        note_type=merged["note_type"], front=F.when(cloze & ~occluded, F.lit(None)).otherwise(merged["front"]), back=F.when(cloze & ~occluded, F.lit(None)).otherwise(merged["back"]),
-        cloze_text=F.when(basic, F.lit(None)).when(occluded, s["cloze_text"]).otherwise(merged["cloze_text"]),
-        needs_page_image=F.when(~occluded & F.map_contains_key(patch, "needs_page_image"), patch["needs_page_image"].try_cast("boolean")).otherwise(s["needs_page_image"]),
-        is_deleted=s["is_deleted"], applied=s["applied"] + 1, refused=s["refused"], last_reason=s["last_reason"],
-    )
-    same = {f: s[f] for f in FIELDS}
-    deleted = _state(**{**same, "is_deleted": F.lit(True), "applied": s["applied"] + 1})
-    refused = _state(**{**same, "refused": s["refused"] + 1, "last_reason": reason})
-    return F.when(reason.isNotNull(), refused).when(e["op"] == "delete", deleted).otherwise(patched)
 
+def after_edit(card: Card | None, op: str, patch: dict[str, str | None]) -> tuple[Card | None, str | None]:
+    """The card after one edit, and why the edit was refused, if it was; a refused edit changes nothing.
 
-def _violation_of(m: Column) -> Column:
-    """The rules of a card's type on a struct of its fields."""
-    kind = m["note_type"]
-    out = F.when((kind == "basic") & is_blank(m["front"]), "Basic cards require a non-empty 'front'.").when((kind == "basic") & is_blank(m["back"]), "Basic cards require a non-empty 'back'.")
-    out = out.when((kind == "cloze") & ~F.coalesce(is_valid_cloze(m["cloze_text"]), F.lit(False)), "Cloze cards require non-empty 'cloze_text' with valid {{c1::...}} syntax.")
-    both = kind.isin("diagram", "text_occlusion")
-    return out.when(both & is_blank(m["front"]), "Occlusion cards require a non-empty 'front'.").when(both & is_blank(m["back"]), "Occlusion cards require a non-empty 'back'.")
+    ``create`` sets a card; keys of a patch that are there are set, even to NULL; an unknown or deleted card (None) has
+    nothing to change. Type and geometry of an occlusion card are fixed.
+    """
+    if op == "create":
+        return Card(patch.get("note_type"), patch.get("front"), patch.get("back"), patch.get("cloze_text"), flag(patch.get("needs_page_image", "false")), flag(patch.get("is_deleted")) is True), None
+    if card is None or card.is_deleted:
+        return card, "Card not found."
+    if "occlusion" in patch:
+        return card, "Occlusion geometry cannot be edited."
+    if op == "delete":
+        return card._replace(is_deleted=True), None
+    kind = patch.get("note_type", card.note_type)
+    occluded = card.note_type in OCCLUSION_TYPES
+    if kind is None or ((occluded or kind in OCCLUSION_TYPES) and kind != card.note_type):
+        return card, "Card cannot change to this note type."
+    new = card._replace(note_type=kind, **{f: patch[f] for f in ("front", "back", "cloze_text") if f in patch})
+    message = broken_rule(new)
+    if message:
+        return card, message
+    if occluded:
+        return new._replace(cloze_text=card.cloze_text), None
+    # a text card keeps the fields of its type only
+    new = new._replace(front=None, back=None) if kind == "cloze" else new._replace(cloze_text=None) if kind == "basic" else new
+    return new._replace(needs_page_image=flag(patch["needs_page_image"])) if "needs_page_image" in patch else new, None
+
+
+def creations(cards: DataFrame) -> DataFrame:
+    """Cards (``card_id`` and ``FIELDS``) as the first entries of a log."""
+    names = [f.split()[0] for f in FIELDS.split(", ")]
+    patch = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("value")) for n in names]))
+    return cards.select("card_id", F.lit(None).cast("long").alias("seq"), F.lit("create").alias("op"), patch.alias("patch"))
 
 
 def apply_edits(cards: DataFrame, edits: DataFrame) -> DataFrame:
-    """``cards`` (``card_id`` and the state's fields) after their edits (``card_id, seq, op, patch``), with counters and the last reason.
+    """``cards`` (``card_id`` and ``FIELDS``) after their edits (``LOG``), with ``applied``, ``refused`` and ``last_reason``.
 
-    Edits of a card are folded in order of ``seq``; edits of unknown cards have no row to change and are left out.
+    A card and its edits come to a task in order of ``seq`` (cards first), sorted by Spark, and the task holds the present
+    card and two counters, however long its log is. Edits of unknown cards have no card to change and are left out.
     """
-    logs = edits.groupBy("card_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", F.map_entries("patch").alias("entries")))).alias("log"))
-    start = _state(**{f: F.col(f) for f in FIELDS[:6]}, applied=F.lit(0), refused=F.lit(0), last_reason=F.lit(None))
-    both = cards.join(logs, "card_id", "left")
-    log = F.coalesce("log", F.array().cast("array<struct<seq:bigint,op:string,entries:array<struct<key:string,value:string>>>>"))
-    folded = F.aggregate(log, start, lambda s, e: apply_edit(s, F.struct(e["op"].alias("op"), F.map_from_entries(e["entries"]).alias("patch"))))
-    return both.select("card_id", F.explode(F.array(folded)).alias("s")).select("card_id", "s.*")
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, card, applied, refused, reason = None, None, 0, 0, None
+        for batch in batches:
+            out = []
+            ids, ops, patches = (batch.column(c).to_pylist() for c in ("card_id", "op", "patch"))
+            for own, group in groupby(range(len(ids)), ids.__getitem__):
+                if own != key:
+                    if card is not None:
+                        out.append((key, *card, applied, refused, reason))
+                    key, card, applied, refused, reason = own, None, 0, 0, None
+                for i in group:
+                    card, why = after_edit(card, ops[i], dict(patches[i] or ()))
+                    if ops[i] != "create" and card is not None:
+                        applied, refused, reason = (applied + 1, refused, reason) if why is None else (applied, refused + 1, why)
+            yield from rows(out)
+        if card is not None:
+            yield from rows([(key, *card, applied, refused, reason)])
+
+    schema = f"card_id long, {FIELDS}, applied long, refused long, last_reason string"
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    names, types = zip(*(f.split() for f in schema.split(", ")), strict=True)
+
+    def rows(values: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if values:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*values, strict=True), types, strict=True)], names=list(names))
+
+    log = creations(cards).unionByName(edits.select("card_id", "seq", "op", "patch")).where("card_id is not null")
+    return log.repartition("card_id").sortWithinPartitions("card_id", F.col("op") != "create", "seq").mapInArrow(fold, schema)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.text import deck_id, html_escape
+from ..sources.versions import Versions
 
 #: Note models by id.
 BASIC_MODEL = 1607392319
@@ -23,10 +22,19 @@ def card_media(job: Column, card: Column) -> Column:
     return F.format_string("sb-job%d-card%d.png", job, card)
 
 
-@F.pandas_udf(StringType())
-def four_places(x: pd.Series) -> pd.Series:
-    """A number with four decimals, rounded on its exact binary value (the built-in formatter rounds its shortest decimal)."""
-    return x.map(lambda v: None if pd.isna(v) else f"{v:.4f}")
+def four_places(x: Column) -> Column:
+    """A number with four decimals, rounded on its exact binary value, half to even; meant for shares, below 2**13.
+
+    The built-in formatter rounds the shortest decimal instead. The number is cut into whole 2**-26 and the rest; ten thousand
+    times either is exact, and so is the comparison of their fractions with a half.
+    """
+    size = F.abs(x)
+    high = F.floor(size * 2.0**26).cast("double") / 2.0**26
+    whole = F.floor(high * 10000.0)
+    over, rest = high * 10000.0 - whole.cast("double") - 0.5, (high - size) * 10000.0
+    up = (over > rest) | ((over == rest) & (whole % 2 == 1))
+    n = whole + F.when(up, 1).otherwise(0)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 10000).cast("string"), F.lit("."), F.lpad((n % 10000).cast("string"), 4, "0"))
 
 
 def occlusions_field(cards: DataFrame, key: list[str]) -> DataFrame:
@@ -56,7 +64,7 @@ def text_notes(cards: DataFrame, jobs: DataFrame, images: DataFrame) -> DataFram
     """
     ready = jobs.where("status = 'ready'").select("job_id", deck_id(F.col("deck_name")).alias("deck_id"))
     shown = cards.where(~F.col("is_deleted") & F.col("note_type").isin("basic", "cloze")).join(ready, "job_id")
-    have = images.select("job_id", F.col("page_number").alias("source_page"), F.lit(True).alias("there"))
+    have = images.select("job_id", F.col("page_number").alias("source_page"), F.lit(True).alias("there")).distinct()
     both = shown.join(have, ["job_id", "source_page"], "left")
     media = F.when(F.col("needs_page_image") & F.coalesce("there", F.lit(False)), page_media(F.col("job_id"), F.col("source_page")))
     both = both.withColumn("media", media)
@@ -84,6 +92,7 @@ def readiness(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("refusal", F.when(F.col("status").isNull(), "Job not found.").when(F.col("status") != "ready", "Job is not ready for export."))
 
 
-def write_export(notes: DataFrame, path: str) -> None:
-    """Notes by deck; exporting a deck again replaces that deck only."""
-    notes.repartition("deck_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("deck_id").parquet(path)
+def write_export(notes: DataFrame, path: str, part: str = "all") -> int:
+    """Note sink: an export replaces the one before it under the same name, decks without notes included; returns the version."""
+    laid = notes.repartitionByRange("deck_id", "card_id").sortWithinPartitions("deck_id", "card_id")
+    return Versions(notes.sparkSession, path).publish(laid, part)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,11 +35,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends there, and a lost executor
-    costs a re-read instead of a recomputation."""
+    costs a re-read instead of a recomputation. ``partition_by`` lays it out in a folder for each value."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.cardloom_path = path
     return table

@@ -1,8 +1,12 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from cardloom.functions import text as t
 from cardloom.operators import cards
+from cardloom.sources.versions import Versions
 
 DRAFT = "job_id string, ord long, note_type string, front string, back string, cloze_text string, source_page long, needs_page_image boolean"
 
@@ -31,10 +35,13 @@ def test_slug_html_and_deck_id(spark):
 
 
 def test_word_spans_table_function(spark):
-    t.register_word_spans(spark)
-    spark.createDataFrame([("Overview of Abdomen",), ("  a  b ",), ("",)], "x string").createOrReplaceTempView("texts")
-    rows = spark.sql("SELECT x, s.char_start, s.char_length FROM texts, LATERAL word_spans(x) s ORDER BY x, char_start").collect()
-    assert [tuple(r) for r in rows] == [("  a  b ", 2, 1), ("  a  b ", 5, 1), ("Overview of Abdomen", 0, 8), ("Overview of Abdomen", 9, 2), ("Overview of Abdomen", 12, 7)]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab \t\n\u2003\u3000é😀\x1c\u200b") for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, "", " a\u00a0b"]
+    t.register_word_spans(spark, "i int")
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = spark.sql("SELECT * FROM word_spans(TABLE({rows}))", rows=rows).collect()
+    assert sorted(map(tuple, got)) == [(i, m.start(), m.end() - m.start()) for i, x in enumerate(texts) for m in re.finditer(r"\S+", x or "")]
+    assert spark.sql("SELECT * FROM word_spans(TABLE({rows}))", rows=rows.limit(0)).count() == 0
 
 
 def test_violations_name_the_broken_rule(spark):
@@ -59,14 +66,15 @@ def test_dedupe_shares_one_key_space_ignores_backs_and_keeps_empty_keys(spark):
 
 
 def test_groups_and_rule_based_cards(spark):
-    pages = spark.createDataFrame([(1, p, f"open{p} " + "mid " * 9 + f"end{p}") for p in range(1, 13)], "job_id long, page_number long, text string")
+    texts = ["a bb ccc dd e ff ggg hh i jj", "", "one", "x " * 30 + "longest middle", *["p q"] * 8]
+    pages = spark.createDataFrame([(1, p, t) for p, t in enumerate(texts, 1)], "job_id long, page_number long, text string")
     groups = cards.page_groups(pages)
     assert sorted((r.group_no, len(r.pages)) for r in groups.collect()) == [(0, 10), (1, 2)]
-    made = cards.draft_cards(groups.withColumn("deck_name", F.lit("D"))).orderBy("group_no", "ord").collect()
-    assert len(made) == 9 and [r.source_page for r in made] == [1, 5, 1, 6, 10, 6, 11, 12, 11]
-    assert [r.needs_page_image for r in made] == [True, False, False, False, False, False, True, False, False]
-    assert (made[0].front, made[0].back, made[1].back) == ("Which word opens page 1 of D?", "open1", "end5") and made[2].cloze_text == "{{c1::open1}}" + " mid" * 7
-    assert all(r.violation is None for r in spark.createDataFrame(made).select(cards.violation().alias("violation")).collect())
+    drafts = cards.draft_cards(groups)
+    made = drafts.orderBy("group_no", "ord").collect()
+    assert [(r.group_no, r.ord, r.source_page, r.needs_page_image) for r in made] == [((p - 1) // 10, (p - 1) % 10, p, p != 4) for p in range(1, 13) if p != 2]
+    assert [r.cloze_text for r in made[:3]] == ["a bb {{c1::ccc}} dd e ff ggg", "{{c1::one}}", "x x x x {{c1::longest}} middle"]
+    assert drafts.where(cards.violation().isNotNull()).count() == 0
     assert sorted(r.page_number for r in cards.flagged_pages(groups).collect()) == [1, 11]
 
 
@@ -76,10 +84,14 @@ def test_listing_puts_cards_without_a_page_first(spark):
     assert [r.id for r in listed.collect()] == [1, 2, 3]
 
 
-def test_sink_prunes_by_deck(spark, tmp_path):
-    df = spark.createDataFrame([(1, 10), (2, 20)], "job_id long, id long")
-    cards.write_cards(df, str(tmp_path / "cards"))
-    assert [r.id for r in spark.read.parquet(str(tmp_path / "cards")).where("job_id = 2").collect()] == [20]
+def test_a_repeated_run_counts_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, 10), (2, 20), (2, 21)], "job_id long, id long")
+    store = Versions(spark, str(tmp_path / "cards"))
+    for _ in range(2):
+        cards.write_cards(df, store.path, "monday")
+    assert cards.write_cards(df.where("id = 20").withColumn("id", F.lit(99).cast("long")), store.path, "tuesday") == 3
+    assert sorted(r.id for r in store.read().where("job_id = 2").collect()) == [20, 21, 99]
+    assert "PushedFilters: [IsNotNull(job_id), EqualTo(job_id,2)]" in store.read().where("job_id = 2")._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("n", [0, 1])
