@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BOX = "struct<left:double,top:double,width:double,height:double>"
@@ -30,10 +33,18 @@ def bottom(b: Column) -> Column:
     return b["top"] + b["height"]
 
 
+def rules(b: Column) -> dict[str, Column]:
+    """What a box must be, by name, in order. The right and lower edges may exceed 1."""
+    return {
+        "corner": (b["left"] >= 0) & (b["left"] <= 1) & (b["top"] >= 0) & (b["top"] <= 1),
+        "extent": (b["width"] > 0) & (b["height"] > 0),
+        "size": (b["width"] <= 1) & (b["height"] <= 1),
+    }
+
+
 def is_valid(b: Column) -> Column:
-    """Corner within the page, extents within (0, 1]; NULL is not valid. The right and lower edges may exceed 1."""
-    inside = (b["left"] >= 0) & (b["left"] <= 1) & (b["top"] >= 0) & (b["top"] <= 1) & (b["width"] > 0) & (b["width"] <= 1) & (b["height"] > 0) & (b["height"] <= 1)
-    return F.coalesce(inside, F.lit(False))
+    """Corner within the page, extents within (0, 1]; NULL is not valid."""
+    return F.coalesce(reduce(and_, rules(b).values()), F.lit(False))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -86,18 +97,3 @@ def resized(width: Column, height: Column, limit: int) -> tuple[Column, Column]:
     scale = F.lit(float(limit)) / F.greatest(width, height)
     fit = lambda n: F.when(F.greatest(width, height) > limit, F.bround(n * scale).cast("long")).otherwise(n.cast("long"))
     return fit(width), fit(height)
-
-
-def overlapping_pairs(boxes: DataFrame, key: list[str], ident: str, bands: int = 20) -> DataFrame:
-    """Pairs of one page's boxes that overlap: ``key, a, b`` with ``a < b``.
-
-    A page is cut into ``bands`` across, and boxes meet in the first band that both reach, so a box is compared with
-    those of its own height only. Page and band are the equi key: the plan is a hash or merge join.
-    """
-    b = F.col("box")
-    first, last = F.floor(b["top"] * bands).cast("int"), F.floor(bottom(b) * bands).cast("int")
-    rows = boxes.select(*key, F.col(ident).alias("ident"), "box", first.alias("first"), F.explode(F.sequence(first, last)).alias("band"))
-    left = rows.select(*key, "band", F.col("ident").alias("a"), F.col("box").alias("box_a"), F.col("first").alias("first_a"))
-    other = rows.select(*key, "band", F.col("ident").alias("b"), F.col("box").alias("box_b"), F.col("first").alias("first_b"))
-    met = left.join(other, [*key, "band"]).where((F.col("a") < F.col("b")) & (F.greatest("first_a", "first_b") == F.col("band")))
-    return met.where(overlaps(F.col("box_a"), F.col("box_b"))).select(*key, "a", "b")

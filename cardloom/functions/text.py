@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +51,14 @@ def is_stopwords_only(text: Column) -> Column:
     return F.coalesce(F.forall(words, lambda w: (w == "") | w.isin(*STOPWORDS)), F.lit(True))
 
 
+def token_is_stopword(token: Column) -> Column:
+    """The same for a token that is not empty: most have more letters than any stop word, or no blank within, and are told by
+    one lookup."""
+    bare = F.translate(F.lower(token), PUNCTUATION, "")
+    one = (bare == "") | bare.isin(*STOPWORDS)
+    return F.when(~token.rlike(SPACE), one).otherwise(is_stopwords_only(token))
+
+
 def html_escape(text: Column) -> Column:
     """The five characters that matter to HTML, ampersand first."""
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
@@ -84,14 +94,41 @@ def line_word_offsets(text: Column) -> Column:
     return F.get(F.transform(F.array(word_pieces(text)), places), F.lit(0))
 
 
+#: Code points that are white space to a text editor.
+_BLANKS = np.array([*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+
+
+def word_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, start, length)`` in code points of the words of an Arrow column of texts, all rows at once; NULL has none."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begin = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy())]).astype(np.int64)
+    if not len(points):
+        return (np.zeros(0, np.int64),) * 3
+    solid = np.append(~np.isin(points, _BLANKS), False)
+    edge = np.zeros(len(points) + 1, bool)
+    edge[begin] = True
+    starts = np.flatnonzero(solid & (np.append(True, ~solid[:-1]) | edge))
+    ends = np.flatnonzero(solid[:-1] & (~solid[1:] | edge[1:])) + 1
+    row = np.searchsorted(begin, starts, "right") - 1
+    return row, starts - begin[row], ends - starts
+
+
 class WordSpans:
-    """Table function: ``(char_start, char_length)`` of each word, for use in ``LATERAL word_spans(text)``."""
+    """Table function of a table with a column ``text``: its other columns and ``char_start, char_length``, a row for each word.
+
+    A call handles an Arrow batch of rows.
+    """
 
-    def eval(self, text: str) -> Iterator[tuple[int, int]]:
-        for word in re.finditer(r"\S+", text or ""):
-            yield word.start(), word.end() - word.start()
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        row, start, length = word_places(batch.column("text"))
+        rows = pa.array(row)
+        kept = {n: batch.column(n).take(rows) for n in batch.schema.names if n not in ("text", "char_start", "char_length")}
+        yield pa.table({**kept, "char_start": pa.array(start.astype(np.int32)), "char_length": pa.array(length.astype(np.int32))})
 
 
-def register_word_spans(spark) -> None:
-    """Make ``word_spans`` known to SQL."""
-    spark.udtf.register("word_spans", F.udtf(WordSpans, returnType="char_start int, char_length int"))
+def register_word_spans(spark, keys: str = "", name: str = "word_spans") -> None:
+    """Make the table function known to SQL, for use as ``word_spans(TABLE(...))``; ``keys`` are the table's columns besides
+    ``text``, with their types and in their order."""
+    schema = ", ".join(filter(None, [keys, "char_start int, char_length int"]))
+    spark.udtf.register(name, F.arrow_udtf(WordSpans, returnType=schema))

@@ -17,16 +17,21 @@ def merge_passes(groups: DataFrame, items: DataFrame) -> DataFrame:
 
     ``groups`` has ``job_id, page_number, pass, group_ord, item_indices, label_text``; ``items`` has ``job_id,
     page_number, n_items``. Returns ``job_id, page_number, label_ord, indices, label_text``; the order is that of
-    first appearance. The subset test is an equi join as well.
+    first appearance. Sets are looked up by the item that fewest sets of their page hold, so an item that all of them share
+    brings no two together; bit signatures then tell most of those that do meet apart.
     """
     known = groups.join(items, _PAGE).withColumn("indices", F.array_sort(F.array_distinct(F.filter("item_indices", lambda i: (i >= 0) & (i < F.col("n_items"))))))
     first = F.struct("pass", "group_ord")
     kept = known.where(F.size("indices") > 0).groupBy(*_PAGE, "indices").agg(F.min(first).alias("seen"), F.min_by("label_text", first).alias("label_text"))
-    # a larger set that holds a set holds its first index: sets meet by page and that index only
-    smaller = kept.withColumn("item", F.element_at("indices", 1))
-    other = kept.select(*_PAGE, F.col("indices").alias("larger"), F.explode("indices").alias("item"))
-    strict = (F.size("indices") < F.size("larger")) & (F.size(F.array_except("indices", "larger")) == 0)
-    left = smaller.join(other, [smaller[c] == other[c] for c in (*_PAGE, "item")] + [strict], "left_anti")
+    signed = kept.withColumn("signature", F.aggregate("indices", F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int")))))
+    items_of = signed.select(*_PAGE, "indices", "signature", F.explode("indices").alias("item"))
+    counted = items_of.withColumn("sets", F.count("*").over(Window.partitionBy(*_PAGE, "item")))
+    rarest = counted.groupBy(*_PAGE, "indices", "signature").agg(F.min(F.struct("sets", "item"))["item"].alias("item"))
+    # a larger set that holds a set holds its rarest item: sets meet by page and that item only
+    other = items_of.select(*_PAGE, F.col("indices").alias("larger"), F.col("signature").alias("other"), "item")
+    strict = (F.size("indices") < F.size("larger")) & (F.col("signature").bitwiseAND(F.bitwise_not("other")) == 0) & (F.size(F.array_except("indices", "larger")) == 0)
+    held = rarest.join(other, [*_PAGE, "item"]).where(strict).select(*_PAGE, "indices").distinct()
+    left = kept.join(held, [*_PAGE, "indices"], "left_anti")
     return left.select(*_PAGE, (F.col("seen.pass") * 1_000_000 + F.col("seen.group_ord")).cast("long").alias("label_ord"), "indices", "label_text")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import pyarrow as pa
@@ -34,14 +34,71 @@ def with_boundaries(rows: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.coalesce(F.sum("weight").over(earlier), F.lit(0.0)))
 
 
-def state(events: DataFrame) -> DataFrame:
+#: Events that end a deck's run.
+ENDS = ("ready", "failed")
+#: Time without an event after which what is known of a deck is forgotten.
+IDLE_MICROS = 3_600_000_000
+
+
+def run_of(kinds: list[str], micros: list[int], known: tuple[int, int, bool] | None, idle: int = IDLE_MICROS) -> tuple[list[int | None], tuple[int, int, bool] | None]:
+    """The run that each of a deck's events, in order, belongs to, and what is then known: start of the run, its last event,
+    and whether that ended it.
+
+    A run is called by the time of its first event. It goes on until nothing has come for more than ``idle``; an event within
+    that time after the one that ended it is late and belongs to none.
+    """
+    out: list[int | None] = []
+    for kind, now in zip(kinds, micros, strict=True):
+        if known is None or now - known[1] > idle:
+            known = (now, now, kind in ENDS)
+        elif known[2]:
+            out.append(None)
+            continue
+        else:
+            known = (known[0], now, kind in ENDS)
+        out.append(known[0])
+    return out, known
+
+
+def runs(events: DataFrame, idle: int = IDLE_MICROS) -> DataFrame:
+    """``events`` (``job_id, n, kind, ts`` and others) with ``run``, the time its run began (:func:`run_of`); NULL for late ones.
+
+    Tasks stream over a deck's sorted events and hold three values.
+    """
+    rows = events.withColumn("run", F.unix_micros(F.col("ts").cast("timestamp")))
+    place = rows.columns.index("run")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, known = None, None
+        for batch in batches:
+            jobs, kinds, micros = (batch.column(c).to_pylist() for c in ("job_id", "kind", "run"))
+            out: list[int | None] = []
+            for key, group in groupby(range(len(jobs)), jobs.__getitem__):
+                own = list(group)
+                found, known = run_of([kinds[i] for i in own], [micros[i] for i in own], known if key == job else None, idle)
+                job = key
+                out += found
+            yield batch.set_column(place, "run", pa.array(out, pa.int64()))
+
+    marked = rows.repartition("job_id").sortWithinPartitions("job_id", "n").mapInArrow(mark, rows.schema)
+    return marked.withColumn("run", F.timestamp_micros("run"))
+
+
+def run_states(events: DataFrame, idle: int = IDLE_MICROS) -> DataFrame:
+    """Counters after each event (:func:`state`) within its run; ``run`` and the counters of late events are NULL."""
+    marked = runs(events, idle)
+    late = marked.where("run is null").withColumns({"stage_ord": F.lit(None).cast("long"), "completed": F.lit(None).cast("long"), "stage_total": F.lit(None).cast("long"), "skipped": F.lit(None).cast("boolean")})
+    return state(marked.where("run is not null"), ["job_id", "run"]).unionByName(late)
+
+
+def state(events: DataFrame, by: Sequence[str] = ("job_id",)) -> DataFrame:
     """Counters after each event (``job_id, n, stage_ord, kind, total, amount``): a stage event enters its stage at 0 of
     ``total`` (NULL: unknown), unless the total is 0 or less, which skips the stage; an advance adds ``amount`` (one if NULL).
 
     ``stage_ord`` becomes that of the stage a deck is in (NULL before the first); adds ``completed, stage_total`` and
-    ``skipped``. Running sums of one window for each deck.
+    ``skipped``. Running sums of one window for each deck, or each group of ``by``.
     """
-    run = Window.partitionBy("job_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*by).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     enters = (F.col("kind") == "stage") & F.coalesce(F.col("total") > 0, F.lit(True))
     amount = F.when(F.col("kind") == "advance", F.coalesce("amount", F.lit(1))).otherwise(0)
     # what was added up before a stage was entered does not count for it

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import full_page, overlaps, union_of
-from ..functions.text import SPACE, is_stopwords_only, normalize_text, strip
+from ..functions.geometry import full_page, union_of
+from ..functions.text import SPACE, is_stopwords_only, normalize_text, strip, token_is_stopword
 
 MIN_CONFIDENCE = 0.5
 MOST_WORDS = 5
@@ -137,9 +141,10 @@ def select_spans(lines: DataFrame) -> DataFrame:
     Returns ``job_id, page_number, span_ord, ref_ord, line_index, char_start, char_length, text``.
     """
     sure = lines.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.size("tokens") > 1))
-    # each token is looked at once: its words, its characters, and whether it is stop words only
-    words = lambda t: F.size(F.filter(F.split(t, f"{SPACE}+"), lambda w: w != ""))
-    flags = F.transform("tokens", lambda t: F.struct(words(t).alias("words"), F.length(F.replace(t, F.lit(" "), F.lit(""))).alias("chars"), is_stopwords_only(t).alias("stop")))
+    # each token is looked at once: its words (more than one only if it holds an unusual blank), its characters, and whether it
+    # is stop words only
+    words = lambda t: F.when(~t.rlike(SPACE), 1).otherwise(F.size(F.filter(F.split(t, f"{SPACE}+"), lambda w: w != "")))
+    flags = F.transform("tokens", lambda t: F.struct(words(t).alias("words"), F.length(F.replace(t, F.lit(" "), F.lit(""))).alias("chars"), token_is_stopword(t).alias("stop")))
     flagged = sure.select(*_LINE, "tokens", F.explode(F.array(flags)).alias("flags"))
     n = F.size("tokens")
 
@@ -164,19 +169,36 @@ def accept_spans(passing: DataFrame, cap: int = SPANS_PER_PAGE) -> DataFrame:
     """At most ``cap`` spans of a page, in order: a span goes if its normalised text was accepted before, it has no
     box, or a box of it overlaps an accepted one. A rejected span reserves nothing.
 
-    ``passing`` has ``job_id, page_number, span_ord, text, boxes`` of the spans that pass the gate. What a page's
-    fold sees is bounded by the page.
+    ``passing`` has ``job_id, page_number, span_ord, text, boxes`` of the spans that pass the gate. Spark sorts the spans of a
+    page; a task reads them in order, knows the accepted ones of one page, and passes over the rest of it once there are
+    ``cap``, so a page may have any number of spans.
     """
-    spans = passing.where(F.size("boxes") > 0).select(*_SPAN, "text", normalize_text(F.col("text")).alias("key"), "boxes")
-    per_page = spans.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(F.struct("span_ord", "text", "key", "boxes"))).alias("spans"))
-    kind = "array<struct<span_ord:bigint,text:string,key:string,boxes:array<struct<left:double,top:double,width:double,height:double>>>>"
-
-    def step(kept: Column, span: Column) -> Column:
-        clash = F.exists(kept, lambda k: (k["key"] == span["key"]) | F.exists(k["boxes"], lambda a: F.exists(span["boxes"], lambda b: overlaps(a, b))))
-        return F.when((F.size(kept) >= cap) | clash, kept).otherwise(F.concat(kept, F.array(span)))
-
-    folded = per_page.select(*_PAGE, F.explode(F.aggregate("spans", F.array().cast(kind), step)).alias("s"))
-    return folded.select(*_PAGE, "s.span_ord", "s.text", "s.boxes")
+    names = [*_SPAN, "text", "boxes"]
+    spans = passing.where(F.size("boxes") > 0).select(*names, normalize_text(F.col("text")).alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, keys, areas = None, set(), []
+        for batch in batches:
+            pages = list(zip(*(batch.column(c).to_pylist() for c in _PAGE), strict=True))
+            key, boxes, kept, i = batch.column("key"), batch.column("boxes"), [], 0
+            while i < len(pages):
+                if pages[i] != page:
+                    page, keys, areas = pages[i], set(), []
+                if len(keys) == cap:  # nothing more of this page
+                    i = bisect_right(pages, page, i) if pages[-1] != page else len(pages)
+                    continue
+                own = key[i].as_py()
+                if own not in keys:
+                    new = [(b["left"], b["left"] + b["width"], b["top"], b["top"] + b["height"]) for b in boxes[i].as_py()]
+                    if not any(min(a[1], b[1]) - max(a[0], b[0]) > 0 and min(a[3], b[3]) - max(a[2], b[2]) > 0 for a in areas for b in new):
+                        keys.add(own)
+                        areas += new
+                        kept.append(i)
+                i += 1
+            yield batch.take(pa.array(kept, pa.int64())).select(names)
+
+    ordered = spans.where(" and ".join(f"{c} is not null" for c in _PAGE)).repartition(*_PAGE).sortWithinPartitions(*_SPAN)
+    return ordered.mapInArrow(run, spans.select(*names).schema)
 
 
 def text_occlusions(accepted: DataFrame) -> DataFrame:

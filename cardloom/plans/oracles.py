@@ -204,11 +204,11 @@ ORACLE: dict[str, str] = {
     "valid_drafts": f"WITH {CARDS}, {_VALID} SELECT doc_id, line_no, note_type, source_page FROM valid",
     "dedupe_cards": f"WITH {CARDS}, {_VALID}, {_KEPT} SELECT job_id, doc_id, line_no, note_type FROM kept",
     "cards_per_source": f"WITH {CARDS}, {_VALID}, {_KEPT} SELECT d.source, count(*) AS cards, sum((note_type = 'cloze')::INT)::BIGINT AS cloze_cards FROM kept JOIN documents d USING (doc_id) GROUP BY d.source",
-    "generate_cards": f"""WITH {WORDS}, chunks AS (SELECT job_id, (page_number - 1) // 10 AS group_no, ((page_number - 1) % 10) // 5 AS chunk, min(page_number) AS a, max(page_number) AS b,
-  string_split(arg_min(text, page_number), ' ') AS head, string_split(arg_max(text, page_number), ' ') AS tail FROM pages GROUP BY ALL)
- SELECT job_id, group_no, chunk * 3 AS ord, 'basic' AS note_type, 'Which word opens page ' || a || ' of Deck ' || job_id || '?' AS front, head[1] AS back, NULL::VARCHAR AS cloze_text, a AS source_page, chunk = 0 AS needs_page_image FROM chunks
- UNION ALL SELECT job_id, group_no, chunk * 3 + 1, 'basic', 'Which word closes page ' || b || ' of Deck ' || job_id || '?', tail[-1], NULL, b, false FROM chunks
- UNION ALL SELECT job_id, group_no, chunk * 3 + 2, 'cloze', NULL, NULL, '{{{{c1::' || head[1] || '}}}}' || substr(array_to_string(head[1:8], ' '), length(head[1]) + 1), a, false FROM chunks""",
+    "generate_cards": f"""WITH {WORDS}, w AS (SELECT job_id, page_number, line_index * 8 + word_index AS i, text, count(*) OVER (PARTITION BY job_id, page_number) AS n FROM words),
+ best AS (SELECT job_id, page_number, n, i AS spot FROM w QUALIFY row_number() OVER (PARTITION BY job_id, page_number ORDER BY length(text) DESC, i) = 1)
+ SELECT job_id, (page_number - 1) // 10 AS group_no, (page_number - 1) % 10 AS ord, 'cloze' AS note_type, NULL::VARCHAR AS front, NULL::VARCHAR AS back,
+  string_agg(CASE WHEN i = spot THEN '{{{{c1::' || text || '}}}}' ELSE text END, ' ' ORDER BY i) AS cloze_text, page_number AS source_page, any_value(best.n) < 20 AS needs_page_image
+ FROM best JOIN w USING (job_id, page_number) WHERE i BETWEEN spot - 4 AND spot + 4 GROUP BY job_id, page_number""",
     "diagram_shortlist": f"WITH {WORDS}, {_SHORT} SELECT job_id, page_number FROM shortlist",
     "stage_plan": f"""WITH {WORDS}, {_SHORT}, n AS (SELECT job_id, count(*) AS c FROM shortlist GROUP BY job_id)
  SELECT job_id, job_id % 2 = 0 AS runs_cards, job_id % 2 <> 0 AS runs_text_masks, job_id % 5 <> 0 AND coalesce(c, 0) > 0 AS runs_diagrams, coalesce(c, 0)::BIGINT AS diagram_pages FROM jobs LEFT JOIN n USING (job_id) WHERE page_count <= {LIMIT}""",
@@ -227,7 +227,7 @@ ORACLE: dict[str, str] = {
     "box_overlaps": f"""WITH {WORDS}, b AS (SELECT job_id, page_number, line_index, line_index * 8 + word_index AS ident, l, t, CASE WHEN char_length > 4 THEN 0.6::DOUBLE ELSE 0.1::DOUBLE END AS w, CASE WHEN char_length % 2 = 0 THEN 0.07::DOUBLE ELSE 0.05::DOUBLE END AS h FROM words),
  -- boxes are at most 0.07 high and lines 0.05 apart: only words of one line and of the next can overlap
  p AS (SELECT *, line_index + step AS other FROM b, (VALUES (0), (1)) v(step))
- SELECT p.job_id, p.page_number, p.ident AS a, q.ident AS b FROM p JOIN b q ON p.job_id = q.job_id AND p.page_number = q.page_number AND p.other = q.line_index AND p.ident < q.ident WHERE least(p.l + p.w, q.l + q.w) - greatest(p.l, q.l) > 0 AND least(p.t + p.h, q.t + q.h) - greatest(p.t, q.t) > 0""",
+ SELECT p.job_id, p.page_number, p.ident // 8 AS line_index, count(*) AS pairs, sum((p.ident * 7919 + q.ident * 104729) % 999983)::BIGINT AS checksum FROM p JOIN b q ON p.job_id = q.job_id AND p.page_number = q.page_number AND p.other = q.line_index AND p.ident < q.ident WHERE least(p.l + p.w, q.l + q.w) - greatest(p.l, q.l) > 0 AND least(p.t + p.h, q.t + q.h) - greatest(p.t, q.t) > 0 GROUP BY ALL""",
     "accept_spans": f"WITH RECURSIVE {_FULL} SELECT job_id, page_number, span_ord, text, len(boxes)::BIGINT AS n_boxes FROM accepted",
     "text_occlusions": f"WITH RECURSIVE {_FULL} SELECT job_id, page_number, span_ord AS ord, 'Fill in the blank' AS front, text AS label, (place - 1)::BIGINT AS place, b.l AS \"left\", b.t AS top, b.w AS width, b.h AS height FROM (SELECT *, unnest(boxes) AS b, generate_subscripts(boxes, 1) AS place FROM accepted)",
     "label_union": f"WITH {WORDS}, {PASSES} SELECT job_id, page_number, label_ord, array_to_string(indices, ',') AS indices, label_text FROM merged",
@@ -313,3 +313,18 @@ ORACLE: dict[str, str] = {
      ELSE {_violation("kind", "nf", "nb", "nc")} END AS reason) b, LATERAL (SELECT reason IS NULL AND NOT del AS ok) c)
  SELECT card_id, note_type, front, back, cloze_text, is_deleted, applied, refused, last_reason FROM fold f WHERE n = (SELECT max(n) FROM log l WHERE l.card_id = f.card_id)""",
 }
+
+ORACLE["stored_job_summary"] = f"SELECT job_id, status, stage, card_count FROM ({ORACLE['job_summary']})"
+_REASON = "CASE WHEN NOT (x >= 0 AND x <= 1 AND y >= 0 AND y <= 1) THEN 'corner' WHEN NOT (w > 0 AND h > 0) THEN 'extent' WHEN NOT (w <= 1 AND h <= 1) THEN 'size' END"
+ORACLE["rejected_boxes"] = f"WITH {_RAW} SELECT k1, k2, k3, k4, reason, count(*) AS boxes FROM (SELECT *, {_REASON} AS reason FROM raw_boxes) WHERE reason IS NOT NULL GROUP BY ALL"
+ORACLE["quarantine_counts"] = f"""WITH {_RAW}, r AS (SELECT {_REASON} AS reason FROM raw_boxes), c AS (SELECT reason, count(*) AS n FROM r GROUP BY reason)
+ SELECT v.reason, coalesce(n, 0)::BIGINT AS counted, coalesce(n, 0)::BIGINT AS rows FROM (VALUES ('corner'), ('extent'), ('size')) v(reason) LEFT JOIN c USING (reason) UNION ALL SELECT 'seen', count(*), count(*) FROM r"""
+ORACLE["published_notes"] = f"""SELECT deck_id, model_id, job_id, card_id, nullif(regexp_extract(field1, 'sb-job[0-9]+-page[0-9]+\\.png'), '') AS media, 2::BIGINT AS n_fields, md5(field1) AS fields_md5 FROM ({ORACLE['export_notes']})
+ UNION ALL SELECT deck_id, model_id, job_id, card_id, media, 5::BIGINT, md5(image || '|' || header || '|' || back_extra || '|') FROM ({ORACLE['export_occlusion_notes']})"""
+# a deck's events are gone through one after the other; counters then restart with each run and each stage that is entered
+ORACLE["run_progress"] = f"""WITH RECURSIVE {EVENTS}, e AS (SELECT job_id, n, epoch_us(ts) AS us, named, total, amount, CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'failed' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'ready' ELSE kind END AS kind FROM ev3),
+ walk AS (SELECT job_id, n, us AS run, us AS last, kind IN ('ready', 'failed') AS ended, false AS late FROM e WHERE n = 1
+  UNION ALL SELECT e.job_id, e.n, CASE WHEN us - last > 43200000000 THEN us ELSE run END, CASE WHEN ended AND us - last <= 43200000000 THEN last ELSE us END, (ended AND us - last <= 43200000000) OR kind IN ('ready', 'failed'), ended AND us - last <= 43200000000 FROM walk w JOIN e ON e.job_id = w.job_id AND e.n = w.n + 1),
+ own AS (SELECT e.*, run, max(CASE WHEN kind = 'stage' AND (total IS NULL OR total > 0) THEN n END) OVER (PARTITION BY job_id, run ORDER BY n ROWS UNBOUNDED PRECEDING) AS entry FROM e JOIN walk USING (job_id, n) WHERE NOT late)
+ SELECT o.job_id, o.n, o.run, s.named AS stage_ord, sum(CASE WHEN o.kind = 'advance' THEN o.amount ELSE 0 END) OVER (PARTITION BY o.job_id, o.run, o.entry ORDER BY o.n ROWS UNBOUNDED PRECEDING)::BIGINT AS completed, s.total::BIGINT AS stage_total, o.kind = 'stage' AND o.n IS DISTINCT FROM o.entry AS skipped FROM own o LEFT JOIN e s ON s.job_id = o.job_id AND s.n = o.entry
+ UNION ALL SELECT job_id, n, NULL, NULL, NULL, NULL, NULL FROM walk WHERE late"""

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import cards, crop, edits, export, labels, masks, options, progress, providers, spans
+from ..operators import cards, crop, edits, export, labels, masks, options, overlaps, progress, providers, quarantine, spans
 from ..sources import corpus as c
-from ..sources.scratch import cut
+from ..sources.scratch import cut, scratch_path
+from ..sources.versions import Versions, save_bucketed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,9 +79,10 @@ def word_offsets(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def word_spans(s: SparkSession, d: str) -> DataFrame:
-    """The table function, for each turn of a conversation."""
-    t.register_word_spans(s)
-    return s.sql("SELECT conv_id, turn, char_start, char_length FROM {turns}, LATERAL word_spans(text)", turns=c.read(s, d, "conversations"))
+    """The table function, over the turns of conversations."""
+    turns = c.read(s, d, "conversations").select("conv_id", "turn", "text")
+    t.register_word_spans(s, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in turns.schema if f.name != "text"))
+    return s.sql("SELECT * FROM word_spans(TABLE({turns}))", turns=turns)
 
 
 @query
@@ -191,6 +193,19 @@ def job_summary(s: SparkSession, d: str) -> DataFrame:
     return progress.progress(jobs, s).select("job_id", "status", "stage", "stage_label", "card_count")
 
 
+@query
+def stored_job_summary(s: SparkSession, d: str) -> DataFrame:
+    """The same over the card store, whose files lie by deck: cards are counted and joined where they are."""
+    return _stored_summary(s, d).select("job_id", "status", "stage", "card_count")
+
+
+def _stored_summary(s: SparkSession, d: str, buckets: int = 16) -> DataFrame:
+    path = scratch_path(s, "card-store")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    stored = save_bucketed(_deck_cards(s, d).select("job_id", "id", "note_type", "source_page", "is_deleted"), name, "job_id", buckets, path)
+    return cards.card_counts(_job_table(s, d).repartition(buckets, "job_id"), stored)
+
+
 @query
 def job_cards(s: SparkSession, d: str) -> DataFrame:
     return cards.job_cards(_deck_cards(s, d)).select("job_id", "id", "note_type", "source_page")
@@ -281,7 +296,9 @@ def _overlap_boxes(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def box_overlaps(s: SparkSession, d: str) -> DataFrame:
-    return g.overlapping_pairs(_overlap_boxes(s, d), _PAGE, "ident")
+    """How many boxes overlap with the boxes of a line and come after them, with a sum over the pairs."""
+    pairs = overlaps.overlapping_pairs(_overlap_boxes(s, d), _PAGE, "ident")
+    return pairs.groupBy(*_PAGE, F.floor(F.col("a") / 8).alias("line_index")).agg(F.count("*").alias("pairs"), F.sum((F.col("a") * 7919 + F.col("b") * 104729) % 999983).alias("checksum"))
 
 
 def _accepted(s: SparkSession, d: str) -> DataFrame:
@@ -433,6 +450,26 @@ def box_validity(s: SparkSession, d: str) -> DataFrame:
     return _raw_box(s, d).groupBy(*_KEYS).agg(F.count("*").alias("boxes"), F.sum(g.is_valid(F.col("box")).cast("int")).alias("valid"))
 
 
+def _box_split(s: SparkSession, d: str) -> quarantine.Split:
+    return quarantine.split(_raw_box(s, d).select(*_KEYS, "box"), g.rules(F.col("box")), "boxes")
+
+
+@query
+def rejected_boxes(s: SparkSession, d: str) -> DataFrame:
+    """Boxes in quarantine, with the first rule that each breaks."""
+    return _box_split(s, d).rejected.groupBy(*_KEYS, "reason").agg(F.count("*").alias("boxes"))
+
+
+@query
+def quarantine_counts(s: SparkSession, d: str) -> DataFrame:
+    """The counters that were taken while good and rejected boxes were written, beside the rows that are there."""
+    found = _box_split(s, d)
+    counted = s.createDataFrame(list(found.counts.items()), "reason string, counted long")  # a row for each rule
+    there = found.rejected.groupBy("reason").agg(F.count("*").alias("rows"))
+    whole = found.good.select(F.lit(quarantine.SEEN).alias("reason")).unionByName(found.rejected.select(F.lit(quarantine.SEEN).alias("reason"))).groupBy("reason").agg(F.count("*").alias("rows"))
+    return counted.join(there.unionByName(whole), "reason", "left").select("reason", "counted", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 @query
 def flip_boxes(s: SparkSession, d: str) -> DataFrame:
     x, y, w, h = (F.col(n) for n in "xywh")
@@ -512,6 +549,19 @@ def upgrade_occlusions(s: SparkSession, d: str) -> DataFrame:
 # --- progress --------------------------------------------------------------------------------------------------
 
 
+def _run_events(s: SparkSession, d: str) -> DataFrame:
+    """Progress events of which some end a deck's run."""
+    k = F.col("event_id")
+    ends = F.when((F.col("event_type") == "error") & (k % 2 == 0), "failed").when((F.col("event_type") == "purchase") & (k % 3 == 0), "ready")
+    return c.progress_events(s, d).withColumn("kind", F.coalesce(ends, "kind")).select("job_id", "n", "stage_ord", "kind", "ts", "total", "amount")
+
+
+@query
+def run_progress(s: SparkSession, d: str) -> DataFrame:
+    """Counters within a deck's runs, which end with an event or in silence; late events have none."""
+    return progress.run_states(_run_events(s, d), 12 * progress.IDLE_MICROS).select("job_id", "n", F.unix_micros("run").alias("run"), "stage_ord", "completed", "stage_total", "skipped")
+
+
 @query
 def stage_boundaries(s: SparkSession, d: str) -> DataFrame:
     """What is done when a deck enters each of its stages."""
@@ -620,12 +670,29 @@ def export_media(s: SparkSession, d: str) -> DataFrame:
     return _text_notes(s, d).where("media is not null").select("deck_id", "media").distinct()
 
 
-@query
-def export_occlusion_notes(s: SparkSession, d: str) -> DataFrame:
+def _occlusion_notes(s: SparkSession, d: str) -> DataFrame:
     made = _text_pending(s, d).select("job_id", (F.col("page_number") * 1000 + F.col("ord")).alias("card_id"), "front", F.array_join("occlusion.labels", ", ").alias("back"), "occlusion", (F.col("ord") % 7 == 3).alias("is_deleted"))
     jobs = made.select("job_id").distinct().select("job_id", F.concat(F.lit("Deck "), "job_id").alias("deck_name"), F.when(F.col("job_id") % 4 == 0, "failed").otherwise("ready").alias("status"))
+    return export.occlusion_notes(made, jobs, made.where("card_id % 5 <> 0").select("job_id", "card_id"))
+
+
+@query
+def export_occlusion_notes(s: SparkSession, d: str) -> DataFrame:
     f = F.col("fields")
-    return export.occlusion_notes(made, jobs, made.where("card_id % 5 <> 0").select("job_id", "card_id")).select("deck_id", "model_id", "job_id", "card_id", "media", F.get(f, F.lit(1)).alias("image"), F.get(f, F.lit(2)).alias("header"), F.get(f, F.lit(3)).alias("back_extra"))
+    return _occlusion_notes(s, d).select("deck_id", "model_id", "job_id", "card_id", "media", F.get(f, F.lit(1)).alias("image"), F.get(f, F.lit(2)).alias("header"), F.get(f, F.lit(3)).alias("back_extra"))
+
+
+@query
+def published_notes(s: SparkSession, d: str) -> DataFrame:
+    """Notes as a reader of the export finds them: text and occlusion notes are parts of one table, and the text notes have
+    been exported twice, at first without those that need no image."""
+    store = Versions(s, scratch_path(s, "export"))
+    text, occluded = cut(_text_notes(s, d), "text-notes"), _occlusion_notes(s, d)
+    export.write_export(text.where("media is not null"), store.path, "text")
+    export.write_export(occluded, store.path, "occlusion")
+    export.write_export(text, store.path, "text")
+    store.clean()
+    return store.read().select("deck_id", "model_id", "job_id", "card_id", "media", F.size("fields").cast("long").alias("n_fields"), F.md5(F.array_join(F.slice("fields", 2, 4), "|").cast("binary")).alias("fields_md5"))
 
 
 @query

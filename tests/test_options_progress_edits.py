@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import time
 import struct
 import zlib
 
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import geometry as g
 from cardloom.operators import crop, edits, export, options, progress, providers
+from cardloom.sources.versions import Versions
 from cardloom.streaming import state as streams
 
 
@@ -76,9 +79,15 @@ def events(spark):
 def run_stream(spark, tmp_path, df, build, name):
     path = str(tmp_path / name)
     df.repartition(1).write.parquet(path)
-    stream = build(spark.readStream.schema(df.schema).parquet(path))
+    stream = spark.readStream.schema(df.schema).parquet(path)
+    stream = build(stream.withWatermark("ts", "1 second") if "ts" in df.columns else stream)
     q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-cp")).start()
-    q.processAllAvailable()
+    if "ts" in df.columns:
+        q.processAllAvailable()
+    else:  # state that ends by the clock keeps a query going
+        begun = time.time()
+        while spark.table(name).count() < df.count() and q.isActive and time.time() - begun < 60:
+            time.sleep(0.5)
     q.stop()
     return spark.table(name)
 
@@ -90,7 +99,8 @@ def test_counters_follow_totals_and_amounts_and_skip_empty_stages(spark):
 
 
 def test_progress_stream_equals_batch(spark, tmp_path):
-    batch = progress.state(events(spark))
+    batch = progress.run_states(events(spark))
+    assert {r.run for r in batch.collect()} == {dt.datetime(2024, 1, 1, microsecond=300_000)}
     stream = run_stream(spark, tmp_path, events(spark), streams.progress_stream, "progress_stream")
     pick = lambda df: sorted((r.job_id, r.n, r.stage_ord or -1, r.completed, r.stage_total or -1, r.skipped) for r in df.collect())
     assert pick(stream) == pick(batch)
@@ -185,15 +195,21 @@ def test_export_notes(spark, tmp_path):
     images = spark.createDataFrame([(1, 1)], "job_id long, page_number long")
     notes = {r.card_id: r for r in export.text_notes(cards, jobs, images).collect()}
     assert set(notes) == {1, 2} and notes[1].fields == ["a&lt;b", 'x<br><img src="sb-job1-page1.png">'] and notes[2].fields == ["{{c1::k}}", ""]
-    export.write_export(export.text_notes(cards, jobs, images), str(tmp_path / "out"))
-    export.write_export(export.text_notes(cards.where("card_id = 1"), jobs, images), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    store = Versions(spark, str(tmp_path / "out"))
+    export.write_export(export.text_notes(cards, jobs, images.union(images)), store.path)
+    assert store.read().count() == 2
+    for left in ("card_id = 1", "false"):  # an export without notes leaves none of the one before
+        export.write_export(export.text_notes(cards.where(left), jobs, images), store.path)
+        assert sorted(r.card_id for r in store.read().collect()) == ([1] if left != "false" else [])
     assert [r.refusal for r in export.readiness(jobs).orderBy("job_id").collect()] == [None, "Job is not ready for export."]
 
 
 def test_fields_round_on_the_exact_value(spark):
-    rows = spark.createDataFrame([(0.00015,), (0.03125,), (None,)], "x double")
-    assert [r[0] for r in rows.select(export.four_places("x")).collect()] == ["0.0001", "0.0312", None]
+    rng = random.Random(3)
+    values = [0.00015, 0.03125, None, 0.0, 1.0, -0.25, -0.00005, 0.99995, 0.99994999, 7.5, 1e-9, 5e-5, 123.00005] + [rng.random() * 2 - 0.5 for _ in range(400)] + [k / 2**n for n in (4, 5, 9, 20) for k in range(-9, 40)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = [r[0] for r in rows.orderBy("i").select(export.four_places(F.col("x"))).collect()]
+    assert got == [None if v is None else f"{v:.4f}" for v in values]
 
 
 def test_providers(spark):
