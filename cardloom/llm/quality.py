@@ -21,8 +21,12 @@ from .common import held_out, sample_order
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
-#: Most labelled documents of each class that the model is fitted on.
+#: Most labelled documents of each class that the model is fitted on; and bytes of their texts after which no more are
+#: taken (nor any that is longer by itself), so what reaches the driver is bounded, however long texts are.
 SAMPLE = 800
+SAMPLE_BYTES = 2 << 20
+#: Odd factor that tells the first word of a pair from the second.
+_PAIR = U(0x9FB21C651E98DF25)
 #: Documents with this score or more are predicted to be of class 1.
 THRESHOLD = 0.3
 
@@ -33,9 +37,8 @@ def features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
     starts, ends, first = word_bounds(data, off)
     words, own = hasher.at(starts, ends), np.repeat(np.arange(len(off) - 1), np.diff(first))
     yield own, (words % U(BUCKETS)).astype(np.int64)
-    # a pair is hashed by the difference of its words' hashes: a word and itself make one pair, whichever word it is
     inside = own[1:] == own[:-1]
-    yield own[1:][inside], (mix(words[1:] - words[:-1])[inside] % U(BUCKETS)).astype(np.int64)
+    yield own[1:][inside], (mix(words[:-1] * _PAIR + words[1:])[inside] % U(BUCKETS)).astype(np.int64)
     chars = char_starts(data)
     owner = np.searchsorted(off, chars[:-1], "right") - 1
     for n in GRAMS:
@@ -107,8 +110,8 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 12, epochs: i
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` documents of each class, chosen by a hash of their ids among those not held out.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most ``sample`` documents and ``2 * sample_bytes`` bytes of each class, chosen by a hash of their ids among those not held out.
 
     Labels other than 0 and 1, NULL ids and repeated labels of an id (the smallest counts) are ignored; without
     labelled documents of both classes the model gives the share of class 1 (0.5 if there is none at all).
@@ -120,7 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     near = known.where(F.pmod(F.xxhash64(F.lit("cut"), "doc_id"), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20))
     ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(*sample_order())))
     chosen = ranked.where(F.col("n") <= sample).select("doc_id", "label")  # at most 2 * sample rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("label").orderBy(*sample_order(), "text").rowsBetween(Window.unboundedPreceding, -1))
+    texts = texts.where(F.col("size") <= sample_bytes).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_bytes)
     rows = texts.select("label", "text").mapInArrow(_bags, "label int, buckets array<int>, weights array<float>").toArrow()
     ys = rows.column("label").to_numpy()
     bags = [(int(y), b.values.to_numpy(), w.values.to_numpy()) for y, b, w in zip(ys, rows.column("buckets"), rows.column("weights"), strict=True)]

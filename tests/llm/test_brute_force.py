@@ -98,7 +98,7 @@ def test_quality_scores_equal_a_plain_loop(spark):
     def plain(text):
         words, total = [hashed(w.encode()) for w in (text or "").split()], []
         total += [w % quality.BUCKETS for w in words]
-        total += [int(quality.mix(np.array([(b - a) % (1 << 64)], np.uint64))[0]) % quality.BUCKETS for a, b in itertools.pairwise(words)]
+        total += [int(quality.mix(np.array([(a * int(quality._PAIR) + b) % (1 << 64)], np.uint64))[0]) % quality.BUCKETS for a, b in itertools.pairwise(words)]
         total += [hashed((text or "")[i : i + n].encode()) % quality.BUCKETS for n in quality.GRAMS for i in range(len(text or "") - n + 1)]
         return 1 / (1 + np.exp(-(float(np.mean(model.table[total])) if total else 0.0) - model.bias))
 
@@ -160,3 +160,93 @@ def test_url_rules_do_not_depend_on_how_they_are_looked_up(spark, most):
 
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(rows, RULES, most).collect()}
     assert got == {i: plain(u) for i, u in enumerate(urls)}
+
+
+def judged(url, rules):
+    """The rules gone over one by one."""
+    if url is None or "://" not in url:
+        return None, "allow"
+    rest = url[url.index("://") + 3 :]
+    host = re.match("[^/?#]*", rest)[0]
+    path, host = re.match("[^?#]*", rest[len(host) :])[0], host.lower()
+    fits = []
+    for entry, verdict in {e: v for v, e in rules}.items():
+        h, p = (entry[: entry.index("/")], entry[entry.index("/") :]) if "/" in entry else (entry, "")
+        if host and (host == h or host.endswith("." + h)) and path.startswith(p):
+            fits.append((len(entry.encode()), len(h.encode()), entry, verdict))
+    return max(fits)[2:] if fits else (None, "allow")
+
+
+def test_ties_and_entries_without_a_path(spark):
+    rng = np.random.default_rng(8)
+    pick = lambda values, least, most: list(rng.choice(values, int(rng.integers(least, most))))
+    rules = [("allow", "com/xyz"), ("block", "a.com/x"), ("block", "b.com"), ("allow", "b.com/"), ("block", "é")]
+    rules += [(str(rng.choice(["allow", "block"])), ".".join(pick(["a", "b", "com", "é"], 1, 4)) + ("/" + "".join(pick(["x", "y", "é", "/"], 0, 4)) if rng.random() < 0.8 else "")) for _ in range(150)]
+    urls = ["http://a.com/xyz", "http://b.com", "http://q.b.com/", "http://b.com?x", "http:///b.com"]
+    urls += ["http://" + ".".join(pick(["a", "b", "com", "A", "é"], 1, 5)) + "/" + "".join(pick(["x", "y", "é", "/"], 0, 6)) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = {i: judged(u, rules) for i, u in enumerate(urls)}
+    for most in (0, 64 << 20):
+        assert {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(rows, rules, most).collect()} == want
+    assert want[0] == ("a.com/x", "block") or want[0][0].startswith("a.com")
+
+
+def test_many_entries_cost_a_batch_no_more(tmp_path):
+    import time
+
+    took = []
+    for n in (5, 100_000):
+        urlfilter.DigestArray.build([("block", f"h{i}.com/p{i % 7}") for i in range(n)]).save(str(tmp_path / str(n)))
+        index = urlfilter.DigestArray.map(str(tmp_path / str(n)))
+        hosts = [f"h{i % 5}.com" for i in range(512)]
+        urlfilter._longest(index, hosts, ["/p1x"] * 512)
+        begun = time.perf_counter()
+        urlfilter._longest(index, hosts, ["/p1x"] * 512)
+        took.append(time.perf_counter() - begun)
+        assert index.lengths.tolist() == [3]
+    assert took[1] < 20 * took[0] + 0.05
+
+
+def test_training_equals_a_plain_loop():
+    rng = np.random.default_rng(5)
+    bags = [(int(i % 2), np.unique(rng.integers(0, 40, 9)).astype(np.int32), None) for i in range(12)] + [(1, np.zeros(0, np.int32), np.zeros(0, np.float32))]
+    bags = [(y, b, np.full(len(b), 1 / max(1, len(b)), np.float32) if w is None else w) for y, b, w in bags]
+    got = quality.fit(bags, dim=3, epochs=2, rate=0.1, seed=4)
+    rng = np.random.default_rng(4)
+    vectors = ((rng.random((quality.BUCKETS, 3)) - 0.5) / 3)[:40].tolist()
+    out, bias = [[0.0, 0.0] for _ in range(3)], [0.0, 0.0]
+    ones, done = sum(y for y, _, _ in bags), 0
+    share = [len(bags) / (2 * (len(bags) - ones)), len(bags) / (2 * ones)]
+    for _ in range(2):
+        for i in rng.permutation(len(bags)):
+            y, idx, weight = bags[i]
+            done += 1
+            if not len(idx):
+                continue
+            step = 0.1 * share[y] * (1 - done / (2 * len(bags) + 1))
+            mean = [sum(w * vectors[b][d] for b, w in zip(idx, weight, strict=True)) for d in range(3)]
+            score = [sum(mean[d] * out[d][c] for d in range(3)) + bias[c] for c in (0, 1)]
+            e = [np.exp(s - max(score)) for s in score]
+            slope = [e[c] / sum(e) - (c == y) for c in (0, 1)]
+            back = [sum(out[d][c] * slope[c] for c in (0, 1)) for d in range(3)]
+            for d in range(3):
+                for c in (0, 1):
+                    out[d][c] -= step * mean[d] * slope[c]
+            for c in (0, 1):
+                bias[c] -= 0.1 * step * slope[c]
+            scale = step * min(20.0, 1 / sum(w * w for w in weight))
+            for b, w in zip(idx, weight, strict=True):
+                for d in range(3):
+                    vectors[b][d] -= scale * w * back[d]
+    want = [sum(v[d] * (out[d][1] - out[d][0]) for d in range(3)) for v in vectors]
+    assert np.allclose(got.table[:40], want, rtol=1e-3, atol=1e-5) and abs(got.bias - (bias[1] - bias[0])) < 1e-5
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags: seen.append(len(bags)) or quality.Model(np.zeros(quality.BUCKETS, np.float32), 0.0))
+    docs = spark.createDataFrame([(i, "word " * (400 if i % 10 else 9000)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    quality.train(docs, labels, sample_bytes=20_000)  # texts of 2000 bytes; those of 45000 are over the bound by themselves
+    quality.train(docs, labels, sample=7)
+    assert seen == [20, 14]
