@@ -98,8 +98,8 @@ def with_next(docs: DataFrame, made: Column, bucket_rows: int, most_buckets: int
     """Each row (``doc_id``, ``text``) with ``sketch`` (``made``, an expression of its text) and with ``next_text, next_sketch``
     of the next row by descending ``doc_id``; the last one's next is the first.
 
-    Ids are cut into ranges of about ``bucket_rows`` rows, as many as ``most_buckets`` (the numbers the driver holds);
-    beyond that ranges grow. A range of a single id is cut further by a hash of the text. Each range's window also sees
+    Ids are cut into ranges of about ``bucket_rows`` rows, as many as ``most_buckets``; beyond that ranges grow. A range of
+    a single id is cut further by a hash of the text, into its share of ``most_buckets`` at most, so the driver holds twice that number of rows. Each range's window also sees
     the first row of the one after it, so no task sees more than one range. NULL ids come last; equal ids follow one
     another by that hash, then by text.
     """
@@ -111,8 +111,9 @@ def with_next(docs: DataFrame, made: Column, bucket_rows: int, most_buckets: int
     keyed = keyed.withColumn("range", _range_of(F.col("id"), cuts).cast("int"))
     sizes = keyed.groupBy("range").agg(F.count("*").alias("n"), (F.min("id") == F.max("id")).alias("single")).collect()  # a row for each range
     parts = [1] * (len(cuts) + 1)
-    for r in sizes:
-        parts[r["range"]] = max(1, r["n"] // bucket_rows) if r["single"] else 1
+    total = sum(r["n"] for r in sizes)
+    for r in sizes:  # no more than most_buckets in all
+        parts[r["range"]] = max(1, min(r["n"] // bucket_rows, most_buckets * r["n"] // total)) if r["single"] else 1
     share = (F.col("tie").cast("double") + 2.0**63) / 2.0**64
     keyed = keyed.withColumn("part", F.floor(F.least(share, F.lit(1 - 1e-12)) * F.get(_longs(parts), F.col("range"))).cast("int"))
     tops = keyed.groupBy("range", "part").agg(F.max(F.struct("id", F.bitwise_not("tie").alias("back"))).alias("top")).collect()  # likewise
