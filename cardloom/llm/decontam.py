@@ -99,14 +99,14 @@ def seed_filter(items: DataFrame, bits: int) -> np.ndarray:
             for factor in _PROBES:
                 table[(seeds * factor >> U(64 - bits)).astype(np.int64)] = True
         if table.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part.tobytes() for part in table.reshape(SLICES, width)], pa.binary())], names=["slice", "marks"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([np.packbits(part).tobytes() for part in table.reshape(SLICES, width)], pa.binary())], names=["slice", "marks"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column("slice").to_pylist(), batch.column("marks"), strict=True):
-                found[k] = found.get(k, np.zeros(width, bool)) | np.frombuffer(part.as_buffer(), bool)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(t).tobytes() for t in found.values()], pa.binary())], names=["slice", "marks"])
+                found[k] = found.get(k, np.uint8(0)) | np.frombuffer(part.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([t.tobytes() for t in found.values()], pa.binary())], names=["slice", "marks"])
 
     table = np.zeros((SLICES, width), bool)
     for row in items.select("seeds").mapInArrow(mark, "slice int, marks binary").repartition(SLICES, "slice").mapInArrow(join, "slice int, marks binary").collect():  # one table of fixed size
