@@ -28,8 +28,8 @@ from .components import components
 
 #: Buckets of the shingle counts: a table of fixed size, whatever the corpus.
 COUNT_BITS = 20
-#: Parts in which they are summed.
-SLICES = 128
+#: Slices in which they are summed, and least number of tasks that sum them.
+SLICES, SUMMERS = 4096, 128
 WORDS = 5
 
 
@@ -55,9 +55,11 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
     """How many documents have a shingle in each bucket, over all of ``docs``.
 
     Each task counts into one array of fixed size and cuts it into slices; slices are dealt out and summed each in its
-    own place, so what one task reads is a hundredth of the arrays, and the driver gets one array.
+    own place, by as many tasks as the session shuffles into (``SUMMERS`` at least, ``SLICES`` at most), and the driver
+    gets one array.
     """
     size, width = 1 << COUNT_BITS, (1 << COUNT_BITS) // SLICES
+    summers = min(SLICES, max(SUMMERS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)  # a task has fewer documents than that
@@ -74,7 +76,7 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
                 totals[k] = totals.get(k, np.zeros(width, np.uint64)) + np.frombuffer(part.as_buffer(), np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["slice", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary")
+    parts = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(summers, "slice").mapInArrow(add, "slice int, counts binary")
     total = np.zeros((SLICES, width), np.uint64)
     for row in parts.collect():  # SLICES rows, one array of fixed size in all
         total[row["slice"]] = np.frombuffer(row["counts"], np.uint64)
