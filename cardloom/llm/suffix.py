@@ -34,6 +34,8 @@ LENGTH = 200
 ANCHORS = (100, 184, 200)
 #: Bytes of fragments that one family takes in, and that one of its batches has.
 FAMILY_BYTES = 8 << 20
+#: Most partitions of the fragments; beyond, a partition has several families, one after the other.
+MOST_PARTS = 20_000
 BATCH_BYTES = 2 << 20
 #: Different fragments of one anchor that are still compared in one partition: what fills it.
 HOT = 20_000
@@ -208,34 +210,43 @@ def _runs(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _compared(bodies: DataFrame, length: int, k: int, batch_bytes: int) -> DataFrame:
-    """``anchor, whole, skip, windows``: runs of repeated windows within the fragments of each partition, by its family."""
+    """``anchor, whole, skip, windows``: runs of repeated windows within the fragments of each partition, whose anchors come in
+    order. A family takes in anchors until it has ``FAMILY_BYTES``; the next anchor begins another one, so a partition may be
+    of any size."""
+
+    def compared(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        family, columns = Family(length, k), []
+        held, size = [], 0
+        for i, part in enumerate(parts):
+            held.append(part)
+            size += part.column("body").nbytes
+            if size >= batch_bytes or i == len(parts) - 1:
+                for batch in pa.Table.from_batches(held).combine_chunks().to_batches():
+                    group, whole, place = (batch.column(c).to_numpy() for c in ("anchor", "whole", "place"))
+                    family.add(batch.column("body").to_pylist(), place & 65535, group, batch.column("copied").to_numpy(zero_copy_only=False))
+                    columns.append((group, whole, place & 65535))
+                held, size = [], 0
+        entry, before = np.nonzero(family.windows)
+        anchors, wholes, places = (np.concatenate(x) for x in zip(*columns, strict=True)) if columns else (np.zeros(0, np.int64),) * 3
+        at, first, count = _runs(entry, places[entry] - before)
+        return pa.RecordBatch.from_arrays([pa.array(anchors[at], pa.int64()), pa.array(wholes[at], pa.int64()), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names=["anchor", "whole", "skip", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, held, size = Family(length, k), [], 0
-        anchors, wholes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def flush() -> None:
-            nonlocal held, size
-            part = pa.Table.from_batches(held).combine_chunks().to_batches()
-            for batch in part:
-                group, whole, place = (batch.column(c).to_numpy() for c in ("anchor", "whole", "place"))
-                family.add(batch.column("body").to_pylist(), place & 65535, group, batch.column("copied").to_numpy(zero_copy_only=False))
-                anchors.append(group)
-                wholes.append(whole)
-                places.append(place & 65535)
-            held, size = [], 0
-
+        parts, size, last = [], 0, None
         for batch in batches:
-            held.append(batch)
-            size += batch.column("body").nbytes
-            if size >= batch_bytes:
-                flush()
-        if held:
-            flush()
-        entry, before = np.nonzero(family.windows)
-        place = np.concatenate(places)
-        at, first, count = _runs(entry, place[entry] - before)
-        yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)[at], pa.int64()) for x in (anchors, wholes)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names=["anchor", "whole", "skip", "windows"])
+            while batch.num_rows:
+                own = batch.num_rows
+                if size >= FAMILY_BYTES:  # only the last anchor's own fragments still join this family
+                    own = int(np.searchsorted(batch.column("anchor").to_numpy(), last, "right"))
+                    if not own:
+                        yield compared(parts)
+                        parts, size = [], 0
+                        continue
+                parts.append(batch.slice(0, own))
+                size += parts[-1].column("body").nbytes
+                last, batch = batch.column("anchor")[own - 1].as_py(), batch.slice(own)
+        if parts:
+            yield compared(parts)
 
     return bodies.select("anchor", "whole", "place", "copied", "body").mapInArrow(run, "anchor long, whole long, skip int, windows int")
 
@@ -287,7 +298,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ..
     bodies = cut(_bodies(wanted, docs, length), "bodies")
     drop_table(wanted)
     size = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    edges = _compared(bodies.where("not hot").repartition(1 + size // FAMILY_BYTES, "anchor"), length, k, batch_bytes)
+    parts = min(1 + size // FAMILY_BYTES, MOST_PARTS)
+    edges = _compared(bodies.where("not hot").repartition(parts, "anchor").sortWithinPartitions("anchor"), length, k, batch_bytes)
     inner = None
     if len(anchors) > 1 and not bodies.where("hot").isEmpty():
         again = bodies.where("hot").select(F.col("anchor").alias(KEY[0]), F.col("whole").alias(KEY[1]), F.col("body").alias("text"))
