@@ -5,9 +5,10 @@ the first one; a longer phrase is counted from the scan after both its subphrase
 word) have reached the threshold, at whatever shard that is, until it has seen every shard once. So lengths
 interleave, and most of a corpus' phrases are complete after two rounds instead of five.
 
-What has reached the threshold is a table in the shared folder, however large. Tasks look it up in a bit table of fixed
-size, which has no false negatives: a false positive is counted without need, but counted right, since a task always
-counts all occurrences of a phrase in its shard. Each phrase remembers which shards it has seen, so none counts twice.
+Counters are a table in the shared folder, however large. What has reached the threshold, and at which of the last scans,
+tasks look up in bit tables of fixed size, which have no false negatives: a false positive is counted without need, but
+counted right, since a task always counts all occurrences of a phrase in its shard. Each counter remembers which shards it
+has seen, so none counts twice, and goes when its cycle is over without reaching the threshold.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytetext import Hasher, U, lower_ascii, mix, pieces
@@ -30,8 +31,12 @@ LEAST = 100
 #: A phrase goes if a longer one around it has so many hundredths of its occurrences.
 COVERED = 100
 TOP = 2000
-#: Bits of the table that tasks look phrases up in: 8 MB, whatever the corpus.
-FILTER_BITS = 26
+#: Bits of a table that tasks look phrases up in: 4 MB, whatever the corpus; there are ``SHARDS`` + 1.
+FILTER_BITS = 25
+#: Different phrases that a task sums up before it hands them on.
+HELD = 1 << 21
+#: Words that a task goes over, at least where there are enough cores: the more, the fewer rows it hands on.
+TASK_WORDS = 6_000_000
 _SECOND_BASE = 0xD1342543DE82EF95
 _FACTORS = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
 
@@ -73,62 +78,54 @@ def _runs(keys: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[begin], np.diff(np.append(begin, len(order)))
 
 
-SHARD_SCHEMA = "shard int, langs array<string>, words array<string>, counts array<long>, h1 array<long>, h2 array<long>, tokens binary"
+#: A stretch of a task's texts: its languages with their numbers of words; its different words with language (a number),
+#: count and 128-bit key; and the texts as numbers of these words, with -1 where a piece ends.
+SHARD_SCHEMA = "shard int, langs array<string>, n_words array<long>, words array<string>, own array<int>, counts array<long>, h1 array<long>, h2 array<long>, tokens binary"
 
 
-def write_shards(docs: DataFrame, path: str, shards: int, piece: int = 1 << 20) -> None:
-    """``docs`` (``lang``, ``text``) as rows of ``SHARD_SCHEMA``, a row for each ``piece`` bytes of a task's texts, laid out by shard.
-
-    A row has its different words (by language), their counts and 128-bit keys, and the texts as numbers of these words,
-    with -1 where a piece ends.
-    """
+def write_shards(docs: DataFrame, path: str, shards: int, piece: int = 1 << 22) -> None:
+    """``docs`` (``lang``, ``text``) as rows of ``SHARD_SCHEMA``, a row for each ``piece`` bytes of a task's texts, laid out by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         for batch in batches:
             names = batch.column("lang").dictionary_encode()
-            codes, langs = names.indices.to_numpy(), names.dictionary.to_pylist()
+            codes, langs = names.indices.to_numpy(), names.dictionary
             for lo, hi, data, off in pieces(batch.column("text"), piece):
                 low = lower_ascii(data)
                 starts, ends, text, new = _tokens(low, off)
                 own = codes[lo:hi][text]
-                keys = []
-                for base, seeds in zip((None, _SECOND_BASE), zip(*map(_language_seed, langs), strict=True), strict=True):
-                    hashed = (Hasher(low) if base is None else Hasher(low, base)).at(starts, ends)
-                    keys.append(mix(hashed ^ np.array(seeds, np.uint64)[own]))
+                seeds = [np.array(x, np.uint64) for x in zip(*map(_language_seed, langs.to_pylist()), strict=True)]
+                keys = [mix(h.at(starts, ends) ^ seed[own]) for h, seed in zip((Hasher(low), Hasher(low, _SECOND_BASE)), seeds, strict=True)]
                 first, counts = _runs((keys[0], keys[1]))
                 number = np.empty(len(starts), np.int32)
-                order = np.argsort(keys[0], kind="stable")
-                number[order] = np.repeat(np.arange(len(first), dtype=np.int32), counts)
-                tokens = np.insert(number, np.flatnonzero(new), -1)
+                number[np.argsort(keys[0], kind="stable")] = np.repeat(np.arange(len(first), dtype=np.int32), counts)
                 raw = low.tobytes()
-                words = pa.array([raw[a:b] for a, b in zip(starts[first], ends[first], strict=True)], pa.binary())
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), values)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard % shards], pa.int32()), one(pa.array([langs[i] for i in own[first]], pa.string())), one(words), one(pa.array(counts, pa.int64())),
-                     one(pa.array(keys[0][first].view(np.int64))), one(pa.array(keys[1][first].view(np.int64))), pa.array([tokens.tobytes()], pa.binary())],
-                    names=["shard", "langs", "words", "counts", "h1", "h2", "tokens"],
-                )
+                columns = [
+                    langs, pa.array(np.bincount(own, minlength=len(langs))), pa.array([raw[a:b] for a, b in zip(starts[first], ends[first], strict=True)], pa.binary()),
+                    pa.array(own[first], pa.int32()), pa.array(counts, pa.int64()), *[pa.array(k[first].view(np.int64)) for k in keys],
+                ]
+                whole = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array([shard % shards], pa.int32()), *whole, pa.array([np.insert(number, np.flatnonzero(new), -1).tobytes()], pa.binary())], names=[c.split()[0] for c in SHARD_SCHEMA.split(", ")])
                 shard += 1
 
-    schema = SHARD_SCHEMA.replace("words array<string>", "words array<binary>")
-    made = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, schema)
+    made = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, SHARD_SCHEMA.replace("words array<string>", "words array<binary>"))
     made.withColumn("words", F.col("words").cast("array<string>")).write.partitionBy("shard").parquet(path)
 
 
 class Bits:
-    """Bit tables of the keys that reached the threshold, one for each recent scan and one for all before."""
+    """Bit tables of the keys that reached the threshold: one of all, and one for each of the last scans."""
 
     def __init__(self, bits: int):
         self.bits = bits
         self.every = np.zeros(1 << bits - 6, np.uint64)
         self.recent: dict[int, np.ndarray] = {}
 
-    def add(self, boxes: DataFrame, step: int) -> None:
-        """Set the two bits of each of ``boxes`` (``h1``). Tasks fold keys of one 64-bit word before the shuffle, and the
+    def add(self, keys: DataFrame, step: int) -> None:
+        """Set the two bits of each of ``keys`` (``h1``). Tasks fold keys of one 64-bit word before the shuffle, and the
         driver gets a row for each word at most: the table's fixed size."""
         places = F.array(F.shiftrightunsigned("h1", 64 - self.bits), F.col("h1").bitwiseAND((1 << self.bits) - 1))
-        spots = boxes.select(F.explode(places).alias("at"))
+        spots = keys.select(F.explode(places).alias("at"))
         words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
         table = np.zeros_like(self.every)
         table[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
@@ -138,11 +135,8 @@ class Bits:
     def forget(self, step: int) -> None:
         self.recent = {s: t for s, t in self.recent.items() if s >= step}
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        recent = np.zeros_like(self.every)
-        for t in self.recent.values():
-            recent |= t
-        return self.every, recent
+    def anew(self) -> bool:
+        return any(t.any() for t in self.recent.values())
 
 
 def _has(table: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
@@ -152,123 +146,182 @@ def _has(table: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _active(batches: Iterator[pa.RecordBatch], every: np.ndarray, recent: np.ndarray, bits: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """``PHRASE`` and ``n`` of the phrases in a shard both of whose subphrases reached the threshold, one of them lately."""
+def _latest(recent: dict[int, np.ndarray], bits: int, keys: np.ndarray) -> np.ndarray:
+    """The last of the steps whose table has each key, or -1."""
+    out = np.full(len(keys), -1, np.int16)
+    for step, table in sorted(recent.items()):
+        out[_has(table, bits, keys)] = step
+    return out
+
+
+def _phrases(batch: pa.RecordBatch, table: Bits, longest: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """For each length from 2, at the places where both subphrases reached the threshold: ``(length, keys, step, keys of the
+    first and of the second subphrase)``; ``step`` is the last at which one of them did, or -1 if that is long ago."""
+    for h1, h2, raw in zip(batch.column("h1"), batch.column("h2"), batch.column("tokens"), strict=True):
+        words = [h.values.to_numpy(zero_copy_only=False).view(np.uint64) for h in (h1, h2)]
+        tokens = np.frombuffer(raw.as_buffer(), np.int32)
+        known, late = _has(table.every, table.bits, words[0]), _latest(table.recent, table.bits, words[0])
+        at = np.flatnonzero(tokens >= 0)
+        at = at[known[tokens[at]]]  # where a known phrase of the present length begins
+        step, keys = late[tokens[at]], [w[tokens[at]] for w in words]
+        for n in range(2, longest + 1):
+            # a phrase of n words begins where one of n - 1 does and another one word later
+            pair = np.flatnonzero(at[1:] == at[:-1] + 1)
+            if not len(pair):
+                break
+            subs = [[k[pair] for k in keys], [k[pair + 1] for k in keys]]
+            last = tokens[at[pair] + n - 1]
+            # the key folds that of the first n - 1 words and the last word's
+            keys = [mix(k * f + w[last] + U(n)) for k, f, w in zip(subs[0], _FACTORS, words, strict=True)]
+            yield n, keys, np.maximum(step[pair], step[pair + 1]), *subs
+            at = at[pair]
+            keep = _has(table.every, table.bits, keys[0])
+            at, keys = at[keep], [k[keep] for k in keys]
+            step = _latest(table.recent, table.bits, keys[0])
+
+
+COUNTS = "len byte, h1 long, h2 long, since short, n long"
+
+
+def _counted(batches: Iterator[pa.RecordBatch], table: Bits, longest: int, words: bool) -> Iterator[pa.RecordBatch]:
+    """``COUNTS`` of what is counted in a shard: words, if they still are, and the phrases one of whose subphrases reached the
+    threshold at one of the last scans. ``since`` is the scan after that."""
+    held: list[list[np.ndarray]] = []
+
+    def summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        length, h1, h2, since, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        order = np.argsort(h1, kind="stable")  # rows of one hash that differ otherwise may stay apart
+        length, h1, h2, since, n = (x[order] for x in (length, h1, h2, since, n))
+        new = np.ones(len(h1), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (length[1:] != length[:-1])
+        begin = np.flatnonzero(new)
+        return [length[begin], h1[begin], h2[begin], np.maximum.reduceat(since, begin), np.add.reduceat(n, begin)] if len(begin) else [length, h1, h2, since, n]
+
+    def out(part: list[np.ndarray]) -> pa.RecordBatch:
+        length, h1, h2, since, n = part
+        return pa.RecordBatch.from_arrays([pa.array(length), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(since), pa.array(n)], names=[c.split()[0] for c in COUNTS.split(", ")])
+
     for batch in batches:
-        for h1, h2, raw in zip(batch.column("h1"), batch.column("h2"), batch.column("tokens"), strict=True):
-            words = [h.values.to_numpy(zero_copy_only=False).view(np.uint64) for h in (h1, h2)]
-            tokens = np.frombuffer(raw.as_buffer(), np.int32)
-            known, late = _has(every, bits, words[0]), _has(recent, bits, words[0])
-            at = np.flatnonzero(tokens >= 0)
-            at = at[known[tokens[at]]]  # where a known phrase of the present length begins
-            fresh = late[tokens[at]]
-            keys = [w[tokens[at]] for w in words]
-            for n in range(2, longest + 1):
-                # a phrase of n words begins where one of n - 1 does and another one word later
-                pair = np.flatnonzero(at[1:] == at[:-1] + 1)
-                if not len(pair):
-                    break
-                sub = [(k[pair], k[pair + 1]) for k in keys]
-                # the key folds the first n - 1 words' key and the last word's
-                last = tokens[at[pair] + n - 1]
-                keys = [mix(s[0] * f + w[last] + U(n)) for s, f, w in zip(sub, _FACTORS, words, strict=True)]
-                count = fresh[pair] | fresh[pair + 1]
-                if count.any():
-                    some = np.flatnonzero(count)
-                    first, counts = _runs((keys[0][some], keys[1][some]))
-                    one = some[first]
-                    columns = [keys[0][one], keys[1][one], sub[0][0][one], sub[1][0][one], sub[0][1][one], sub[1][1][one]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), n, np.int32)), *[pa.array(c.view(np.int64)) for c in columns], pa.array(counts, pa.int64())], names=[*PHRASE, "n"])
-                at = at[pair]
-                keep = _has(every, bits, keys[0])
-                late_now = _has(recent, bits, keys[0])
-                at, keys, fresh = at[keep], [k[keep] for k in keys], late_now[keep]
-
-
-#: A phrase: number of words, key, key of all but its last word, key of all but its first.
-PHRASE = ["len", "h1", "h2", "p1", "p2", "s1", "s2"]
-
-
-def _updated(state: DataFrame | None, found: DataFrame, keys: list[str], others: list[str], shard: int, step: int, least: int) -> DataFrame:
-    """The counters after a scan: ``keys, others, seen`` (shards, as bits), ``total``, ``box`` (the step at which ``least`` was reached)."""
+        if words:
+            for h1, h2, n in zip(batch.column("h1"), batch.column("h2"), batch.column("counts"), strict=True):
+                keys = [h.values.to_numpy(zero_copy_only=False).view(np.uint64) for h in (h1, h2)]
+                held.append([np.ones(len(keys[0]), np.int8), *keys, np.zeros(len(keys[0]), np.int16), n.values.to_numpy(zero_copy_only=False)])
+        for length, keys, step, *_ in _phrases(batch, table, longest):
+            some = np.flatnonzero(step >= 0)
+            if len(some):
+                first, counts = _runs((keys[0][some], keys[1][some]))
+                one = some[first]
+                held.append([np.full(len(one), length, np.int8), keys[0][one], keys[1][one], step[one] + np.int16(1), counts])
+        if sum(len(x[0]) for x in held) > HELD:
+            part = summed(held)
+            if len(part[0]) > HELD // 2:
+                yield out(part)
+            else:
+                held.append(part)
+            del part
+    if held:
+        yield out(summed(held))
+
+
+def _updated(state: DataFrame | None, found: DataFrame, shard: int, step: int, shards: int, least: int) -> DataFrame:
+    """The counters after a scan: ``len, h1, h2, since, seen`` (shards, as bits), ``total``, ``box`` (the step at which ``least`` was reached).
+
+    Of a phrase, all occurrences in the shard are added, unless it has seen the shard. Where a cycle has ended without
+    ``least``, the counter goes.
+    """
     bit = 1 << shard
-    new = found.select(*keys, *others, F.lit(None).cast("int").alias("seen"), F.lit(None).cast("long").alias("total"), F.lit(None).cast("int").alias("box"), "n")
+    new = found.withColumns({"seen": F.lit(None).cast("int"), "total": F.lit(None).cast("long"), "box": F.lit(None).cast("short")})
     both = new if state is None else state.withColumn("n", F.lit(None).cast("long")).unionByName(new)
-    merged = both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in others], F.max("seen").alias("seen"), F.max("total").alias("total"), F.max("box").alias("box"), F.sum("n").alias("n"))
+    merged = both.groupBy("len", "h1", "h2").agg(*[F.max(c).alias(c) for c in ("since", "seen", "total", "box")], F.sum("n").alias("n"))
     seen, total = F.coalesce("seen", F.lit(0)), F.coalesce("total", F.lit(0))
     fresh = F.col("n").isNotNull() & (seen.bitwiseAND(bit) == 0)
     now = total + F.when(fresh, F.col("n")).otherwise(0)
-    return merged.select(
-        *keys, *others, F.when(fresh, seen.bitwiseOR(bit)).otherwise(seen).alias("seen"), now.alias("total"), F.coalesce("box", F.when(now >= least, step)).alias("box"),
+    open_ = F.lit(step) < F.col("since") + shards - 1
+    return merged.where((now >= least) | open_).select(
+        "len", "h1", "h2", "since", F.when(fresh, seen.bitwiseOR(bit)).otherwise(seen).alias("seen"), now.alias("total"), F.coalesce("box", F.when(now >= least, step).cast("short")).alias("box"),
     )
 
 
-def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
-    """``(words, phrases)`` that occur ``least`` times or more, as tables in the shared folder.
+LINKS = "len byte, h1 long, h2 long, p1 long, p2 long, s1 long, s2 long, lang string, word string"
 
-    ``words`` has ``lang, word, h1, h2, total, n`` (``n``: all words of the language), ``phrases`` has ``PHRASE`` and ``total``.
-    """
+
+def _linked(batches: Iterator[pa.RecordBatch], table: Bits, wanted: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
+    """``LINKS`` of what ``wanted`` has, once for each row of a shard: keys of both subphrases of a phrase, language and text of a word."""
+    names = [c.split()[0] for c in LINKS.split(", ")]
+    long = lambda values: pa.array(values.view(np.int64))
+    for batch in batches:
+        for langs, words, own, h1, h2 in zip(*(batch.column(c) for c in ("langs", "words", "own", "h1", "h2")), strict=True):
+            keys = [h.values.to_numpy(zero_copy_only=False).view(np.uint64) for h in (h1, h2)]
+            some = pa.array(np.flatnonzero(_has(wanted, table.bits, keys[0])))
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int8)), *(long(k).take(some) for k in keys), none, none, none, none, langs.values.take(own.values.take(some)), words.values.take(some)], names=names)
+        for length, keys, _, left, right in _phrases(batch, table, longest):
+            some = np.flatnonzero(_has(wanted, table.bits, keys[0]))
+            one = some[_runs((keys[0][some], keys[1][some]))[0]]
+            empty = pa.nulls(len(one), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), length, np.int8)), *(long(k[one]) for k in (*keys, *left, *right)), empty, empty], names=names)
+
+
+def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """``(phrases, totals)``: words and phrases that occur ``least`` times or more, as ``LINKS`` with ``a``, their number; and
+    ``lang, n``, the words of each language. Both are tables in the shared folder."""
     spark = docs.sparkSession
     path = scratch_path(spark, "shards")
     write_shards(docs, path, shards)
     schema = SHARD_SCHEMA.replace("shard int, ", "")
-    table = Bits(bits)
-    words = phrases = None
-    step = 0
-    known = {f.getPath().getName() for f in _listed(spark, path)}
-    while True:
+    there = {f.getPath().getName() for f in _listed(spark, path)}
+    every = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    totals = cut(every.select(F.inline(F.arrays_zip("langs", "n_words"))).groupBy(F.col("langs").alias("lang")).agg(F.sum("n_words").alias("n")), "word-totals")
+    tasks = max(spark.sparkContext.defaultParallelism, (totals.agg(F.sum("n")).first()[0] or 0) // shards // TASK_WORDS)
+    shard_rows = lambda k: spark.read.schema(schema).parquet(f"{path}/shard={k}").coalesce(tasks) if f"shard={k}" in there else spark.createDataFrame([], schema)
+    table, state, step = Bits(bits), None, 0
+    while step < shards or table.anew():
         shard = step % shards
-        scan = spark.read.schema(schema).parquet(f"{path}/shard={shard}") if f"shard={shard}" in known else spark.createDataFrame([], schema)
-        boxes = []
-        if step < shards:
-            listed = scan.select(F.inline(F.arrays_zip("langs", "words", "h1", "h2", "counts"))).withColumnsRenamed({"langs": "lang", "words": "word", "counts": "n"})
-            words, old = cut(_updated(words, listed, ["lang", "word"], ["h1", "h2"], shard, step, least), "words"), words
-            boxes.append(words.where(F.col("box") == step).select("h1"))
-            if old is not None:
-                drop_table(old)
-        every, recent = table.tables()
-        if recent.any():
-            shared = spark.sparkContext.broadcast((every, recent))  # two tables of fixed size
-            found = scan.select("h1", "h2", "tokens").mapInArrow(lambda b, s=shared: _active(b, *s.value, bits, longest), ", ".join(f"{c} {'int' if c == 'len' else 'long'}" for c in PHRASE) + ", n long")
-            phrases, old = cut(_updated(phrases, found, PHRASE[:3], PHRASE[3:], shard, step, least), "phrases"), phrases
-            # phrases of most words are part of no longer one
-            boxes.append(phrases.where((F.col("box") == step) & (F.col("len") < longest)).select("h1"))
-            if old is not None:
-                drop_table(old)
-            shared.destroy()
+        shared = spark.sparkContext.broadcast(table)  # tables of fixed size
+        found = shard_rows(shard).select("h1", "h2", "counts", "tokens").mapInArrow(lambda b, t=shared, w=step < shards: _counted(b, t.value, longest, w), COUNTS)
+        state, old = cut(_updated(state, found, shard, step, shards, least), "counters"), state
+        if old is not None:
+            drop_table(old)
+        shared.destroy()
+        # phrases of most words are part of no longer one
         table.forget(step + 1 - shards)
-        fresh = boxes[0] if len(boxes) == 1 else boxes[0].unionByName(boxes[1]) if boxes else None
-        if fresh is not None:
-            table.add(fresh, step)
+        table.add(state.where((F.col("box") == step) & (F.col("len") < longest)).select("h1"), step)
         step += 1
-        if step >= shards and not any(t.any() for t in table.recent.values()):
-            break
+    frequent = state.where(F.col("total") >= least).select("len", "h1", "h2", "seen", F.col("total").alias("a"))
+    # what a phrase consists of is looked up in the first shard that has it: one more scan of one shard, mostly
+    table.recent, keys = {}, ["len", "h1", "h2"]
+    links, sent = spark.createDataFrame([], LINKS), []
+    for k in range(shards):
+        first = Bits(bits)
+        first.add(frequent.where(F.col("seen").bitwiseAND((2 << k) - 1) == 1 << k), step)
+        if first.every.any():
+            sent.append(spark.sparkContext.broadcast((table, first.every)))
+            links = links.unionByName(shard_rows(k).select("langs", "words", "own", "h1", "h2", "tokens").mapInArrow(lambda b, t=sent[-1]: _linked(b, *t.value, longest), LINKS))
+    links = links.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("p1", "p2", "s1", "s2", "lang", "word")])
+    phrases = cut(links.join(frequent.drop("seen"), keys), "frequent")
+    for t in sent:
+        t.destroy()
+    drop_table(state)
     drop_path(path)
-    totals = words.groupBy("lang").agg(F.sum("total").alias("n"))
-    frequent = cut(words.where(F.col("total") >= least).drop("seen", "box").join(totals, "lang"), "frequent-words")
-    drop_table(words)
-    if phrases is None:
-        return frequent, spark.createDataFrame([], ", ".join(f"{c} {'int' if c == 'len' else 'long'}" for c in PHRASE) + ", total long")
-    out = cut(phrases.where(F.col("total") >= least).drop("seen", "box"), "frequent-phrases")
-    drop_table(phrases)
-    return frequent, out
+    return phrases, totals
 
 
-def _listed(spark, path: str):
+def _listed(spark: SparkSession, path: str) -> list:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
 
 
-def _spelled(words: DataFrame, phrases: DataFrame, longest: int) -> list[DataFrame]:
+def _spelled(phrases: DataFrame, totals: DataFrame, longest: int) -> list[DataFrame]:
     """Tables of the phrases of 1, 2, ... words with their text: ``lang, phrase, last, h1, h2, a, n, lefts, rights`` and the keys of
     their subphrases. ``lefts`` and ``rights`` hold the counts of the phrase's beginnings and of its ends, shortest first."""
     none = F.array().cast("array<bigint>")
-    level = words.select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "h1", "h2", F.col("total").alias("a"), "n", none.alias("lefts"), none.alias("rights"))
+    level = phrases.where("len = 1").join(totals, "lang").select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "h1", "h2", "a", "n", none.alias("lefts"), none.alias("rights"))
     out = [level]
     for n in range(2, longest + 1):
         left = level.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), "lang", "n", F.col("phrase").alias("head"), F.concat("lefts", F.array("a")).alias("lefts"))
         right = level.select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "last", F.concat("rights", F.array("a")).alias("rights"))
-        own = phrases.where(F.col("len") == n).withColumnRenamed("total", "a").drop("len")
+        own = phrases.where(F.col("len") == n).drop("len", "lang", "word")
         level = cut(own.join(left, ["p1", "p2"]).join(right, ["s1", "s2"]).withColumn("phrase", F.concat_ws(" ", "head", "last")).drop("head"), f"phrases-{n}")
         out.append(level)
     return out
@@ -294,8 +347,8 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
     """
     if longest < 2 or not 1 <= shards <= 30:
         raise ValueError("phrases have two words or more, shards are 1 to 30")
-    words, phrases = count_phrases(docs, least, longest, shards, bits)
-    levels = _spelled(words, phrases, longest)
+    phrases, totals = count_phrases(docs, least, longest, shards, bits)
+    levels = _spelled(phrases, totals, longest)
     both = levels[1]
     for t in levels[2:]:
         both = both.unionByName(t)
@@ -307,6 +360,6 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
     out = ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").cast("long").alias("score"), F.col("best.k").alias("cut_after"))
     result = cut(out, "collocations")
-    for t in (words, phrases, *levels[1:]):
+    for t in (phrases, totals, *levels[1:]):
         drop_table(t)
     return result
