@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 import struct
 
@@ -9,9 +10,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from cardloom.llm import langid, quality, sharding, sketch, urlfilter
+from cardloom.llm import decontam, langid, quality, sharding, sketch, urlfilter
 from cardloom.llm.bytetext import Hasher
-from cardloom.llm.common import tune
+from cardloom.llm.common import held_out, tune
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -250,3 +251,32 @@ def test_the_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
     quality.train(docs, labels, sample_bytes=20_000)  # texts of 2000 bytes; those of 45000 are over the bound by themselves
     quality.train(docs, labels, sample=7)
     assert seen == [20, 14]
+
+
+def test_no_single_feature_decides(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    rows = docs.join(labels.where("quality in (0, 1)"), "doc_id").where(held_out()).select("text", "quality").collect()
+    texts = [np.frombuffer((r.text or "").encode(), np.uint8) for r in rows]
+    decided = lambda m: np.array([m.score(t, np.array([0, len(t)]))[0] >= quality.THRESHOLD for t in texts])
+    first = decided(model)
+    assert np.mean(first == np.array([r.quality == 1 for r in rows])) > 0.9
+    for bucket in np.argsort(-np.abs(model.table))[:4]:
+        table = model.table.copy()
+        table[bucket] = 0
+        assert np.mean(decided(quality.Model(table, model.bias)) != first) < 0.02
+
+
+@pytest.mark.parametrize(("n", "changed", "least"), [(15, 2, 0.999), (15, 3, 0.98), (20, 4, 0.98), (40, 8, 0.999)])
+def test_masks_find_overlaps_with_changed_words(n, changed, least):
+    rng = np.random.default_rng(n + changed)
+    found, trials = 0, 2000
+    for _ in range(trials):
+        words = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        other = words.copy()
+        other[rng.choice(n, changed, replace=False)] ^= np.uint64(1)
+        found += any((decontam._masked(words, m) == decontam._masked(other, m)).any() for m in decontam.MASKS)
+    assert found / trials >= least
