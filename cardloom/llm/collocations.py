@@ -34,7 +34,7 @@ TOP = 2000
 #: Bits of a table that tasks look phrases up in: 4 MB, whatever the corpus; there are ``SHARDS`` + 1.
 FILTER_BITS = 25
 #: Different phrases that a task sums up before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Words that a task goes over, at least where there are enough cores: the more, the fewer rows it hands on.
 TASK_WORDS = 6_000_000
 _SECOND_BASE = 0xD1342543DE82EF95
