@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import cut, drop_path, drop_table, scratch_path, shared_dir
 
-__all__ = ["cut", "drop_path", "drop_table", "held_out", "read", "sample_order", "scratch_path", "shared_dir", "ship", "tune", "without"]
+__all__ = ["cut", "drop_path", "drop_table", "give_back", "held_out", "read", "sample_order", "scratch_path", "shared_dir", "ship", "tune", "without"]
 
 #: Most rows, and bytes, in one Arrow batch handed to Python. Texts may be long, so batches stay small.
 ARROW_ROWS = 512
@@ -43,6 +44,13 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def give_back(spark: SparkSession) -> None:
+    """Collect the driver's garbage between the jobs of a long run: Spark drops the broadcasts, shuffle records and generated
+    classes of ended jobs only then, and a driver with room in its heap would put that off."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table
+from .common import cut, drop_table, give_back
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,6 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
         drop_table(edges)
         edges = new
+        give_back(edges.sparkSession)
         if state == seen:
             break
         seen = state

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import Hasher, U, lists, lower_ascii, mix, pieces, shingles, word_bounds
-from .common import cut, drop_table
+from .common import cut, drop_table, give_back
 from .components import components
 
 #: Buckets of the shingle counts: a table of fixed size, whatever the corpus.
@@ -230,6 +230,7 @@ def link_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Data
     shared = cut(tokens.join(leaders, "token").select("token", "head", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("place"), "lead"), "shared")
     table = cut(whole.select("doc_id", "n_shingles", "d1", "d2"), "digests")
     drop_table(whole)
+    give_back(docs.sparkSession)
 
     first = shared.where(F.col("head") == F.col("lead")).select("token", F.col("n").alias("lead_n"), F.col("place").alias("lead_place"))
     stars = shared.where(F.col("head") != F.col("lead")).join(first, "token").where(_could_link("n", "lead_n", "place", "lead_place", percent)).select(F.col("lead").alias("a"), F.col("head").alias("b"))
@@ -242,6 +243,7 @@ def link_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Data
     once = docs.join(tied, "doc_id", "left_semi").withColumn("digest", F.xxhash64("text")).dropDuplicates(["doc_id", "digest"])
     sets = cut(set_table(once, words), "sets")
     links = cut(verified(pairs, sets, percent).select("a", "b"), "links")
+    give_back(docs.sparkSession)
     found = components(links)
 
     # what is left: sets that share a prefix shingle, or a group, and lie in different components
@@ -253,6 +255,7 @@ def link_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Data
     pairs2 = cut((rest if own is None else rest.unionByName(own)).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     for t in (shared, pairs, members):
         drop_table(t)
+    give_back(docs.sparkSession)
     links2 = cut(verified(pairs2, sets, percent).select("a", "b"), "links")
     drop_table(sets)
     final = components(links.unionByName(links2))
