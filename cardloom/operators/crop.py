@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,18 @@ def text_images(lines: DataFrame, rows: int = 20, pitch: int = 4) -> DataFrame:
     its line; spaces and all else are white. Columns as of :func:`read_page_images`.
     """
     page = lines.groupBy(*_PAGE).agg(F.max(F.length("text")).cast("int").alias("width"), F.map_from_entries(F.collect_list(F.struct(F.col("line_index").cast("int").alias("i"), "text"))).alias("by_line"))
+    return _drawn(page, rows, pitch)
+
+
+def page_images(pages: DataFrame, rows: int = 20, pitch: int = 4) -> DataFrame:
+    """The same where a page's ``lines`` (``array<struct<line_index, text, ...>>``) are in its row; other columns stay. No shuffle."""
+    entries = F.map_from_entries(F.transform("lines", lambda l: F.struct(l["line_index"].cast("int").alias("i"), l["text"].alias("text"))))  # noqa: E741
+    width = F.array_max(F.transform("lines", lambda l: F.length(l["text"]))).cast("int")  # noqa: E741
+    others = [n for n in pages.columns if n != "lines"]
+    return _drawn(pages.select(*others, width.alias("width"), F.explode(F.array(entries)).alias("by_line")), rows, pitch)
+
+
+def _drawn(page: DataFrame, rows: int, pitch: int) -> DataFrame:
     white = lambda n: F.repeat(F.lit("\u00ff"), n)
 
     def band(i: Column) -> Column:
@@ -48,11 +60,15 @@ def text_images(lines: DataFrame, rows: int = 20, pitch: int = 4) -> DataFrame:
         return F.concat(row, row, white(F.col("width") * (pitch - 2)))
 
     pixels = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), band), "")
-    return page.where("width > 0").select(*_PAGE, F.col("width").cast("long").alias("width"), F.lit(rows * pitch).cast("long").alias("height"), F.lit(1).alias("channels"), F.encode(pixels, "ISO-8859-1").alias("data"))
+    others = [n for n in page.columns if n not in ("width", "by_line")]
+    return page.where("width > 0").select(*others, F.col("width").cast("long").alias("width"), F.lit(rows * pitch).cast("long").alias("height"), F.lit(1).alias("channels"), F.encode(pixels, "ISO-8859-1").alias("data"))
 
 
 def ink_profile(images: DataFrame) -> DataFrame:
-    """Rows and columns with ink, and the luminance histogram, of each image (``read_page_images``)."""
+    """Rows and columns with ink, and the luminance histogram, of each image (``read_page_images``); other columns stay."""
+    taken = {"width", "height", "channels", "data", *_PAGE}
+    others = [f for f in images.schema if f.name not in taken]
+    known = T._parse_datatype_string(PROFILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,9 +82,10 @@ def ink_profile(images: DataFrame) -> DataFrame:
                 cols.append(ink.any(0))
                 counts.append(np.bincount(grey.ravel(), minlength=256))
             out = [_lists(x, t) for x, t in ((rows, pa.bool_()), (cols, pa.bool_()), (counts, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (*_PAGE, "width", "height")), *out], names=[*_PAGE, "width", "height", "row_ink", "col_ink", "hist"])
+            more = [f.name for f in others]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (*_PAGE, "width", "height")), *out, *(batch.column(n) for n in more)], names=[*known.names, *more])
 
-    return images.mapInArrow(run, PROFILE)
+    return images.mapInArrow(run, T.StructType([*known, *others]))
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -156,8 +173,8 @@ def gutters(profiles: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
     return profiles.mapInArrow(run, T.StructType([*profiles.schema, *(T.StructField(n, T.LongType()) for n in added)]))
 
 
-def derive_crop(profiles: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
-    """``job_id, page_number, crop_box``: the page where there are no boxes, the paper is dark or the crop would be most of it."""
+def derive_crop(profiles: DataFrame, min_gap: int = MIN_GAP, keep: Sequence[str] = ()) -> DataFrame:
+    """``job_id, page_number, crop_box`` and the columns of ``keep``: the page where there are no boxes, the paper is dark or the crop would be most of it."""
     w, h = F.col("width"), F.col("height")
     unit = lambda x, hi: F.greatest(F.lit(0.0), F.least(hi, x))
     edges = gutters(profiles, min_gap).withColumns({"left": unit(F.col("left_px") / w, F.lit(1.0)), "top": unit(F.col("top_px") / h, F.lit(1.0))})
@@ -165,4 +182,4 @@ def derive_crop(profiles: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
     edges = edges.withColumns({"wide": unit((F.col("right_px") - F.col("left_px")) / w, 1.0 - left), "tall": unit((F.col("bottom_px") - F.col("top_px")) / h, 1.0 - top)})
     wide, tall = F.col("wide"), F.col("tall")
     usable = F.col("left_px").isNotNull() & (F.size("boxes") > 0) & (F.col("median") >= LIGHT_FROM) & (wide > 0) & (tall > 0) & (wide * tall <= LARGEST)
-    return edges.select(*_PAGE, F.when(F.coalesce(usable, F.lit(False)), box(left, top, wide, tall)).otherwise(full_page()).alias("crop_box"))
+    return edges.select(*_PAGE, *keep, F.when(F.coalesce(usable, F.lit(False)), box(left, top, wide, tall)).otherwise(full_page()).alias("crop_box"))

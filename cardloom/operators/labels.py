@@ -2,37 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.geometry import full_page, union_box
+from ..functions.geometry import full_page, union_box, union_of
 from .masks import occlusion_is_valid
 
 _PAGE = ["job_id", "page_number"]
 
 
+#: Labels of a page as :func:`merge_pages` gives them.
+MERGED = "array<struct<label_ord:bigint,indices:array<bigint>,label_text:string>>"
+
+
+def _largest(sets: list[tuple]) -> list[int]:
+    """Places of the sets (sorted tuples, each once) that no other one strictly holds. A set is held by one with its rarest item
+    only, so an item that all of them share brings no two together."""
+    holders: dict = {}
+    for s in sets:
+        for i in s:
+            holders.setdefault(i, []).append(frozenset(s))
+    kept = []
+    for at, s in enumerate(sets):
+        own = frozenset(s)
+        if not any(own < other for other in holders[min(s, key=lambda i: len(holders[i]))]):
+            kept.append(at)
+    return kept
+
+
+def merge_pages(pages: DataFrame) -> DataFrame:
+    """:func:`merge_passes` where a page's groups are in its row: ``groups`` (``array<struct<pass, group_ord, item_indices,
+    label_text>>``) and ``n_items`` become ``labels`` (``label_ord, indices, label_text``); other columns stay. No shuffle."""
+    schema = T.StructType([*[f for f in pages.schema if f.name not in ("groups", "labels")], T.StructField("labels", T._parse_datatype_string(MERGED))])
+    rest = schema.names[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, sizes = batch.column("groups"), batch.column("n_items").to_pylist()
+            flat = lists.flatten()
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+            ranks, ords, items = (flat.field(n).to_pylist() for n in ("pass", "group_ord", "item_indices"))
+            label, chosen, texts, begin, lo = [], [], [], [0], 0
+            for n, count in zip(sizes, counts, strict=True):
+                seen: dict[tuple, int] = {}
+                for g in sorted(range(lo, lo + count), key=lambda g: (ranks[g], ords[g])):
+                    own = tuple(sorted({i for i in items[g] or () if i is not None and 0 <= i < n}))
+                    if own:
+                        seen.setdefault(own, g)
+                found = list(seen.items())
+                for at in _largest(list(seen)):
+                    own, g = found[at]
+                    label.append(ranks[g] * 1_000_000 + ords[g])
+                    chosen.append(own)
+                    texts.append(g)
+                lo += count
+                begin.append(len(label))
+            named = flat.field("label_text").take(pa.array(texts, pa.int64()))
+            rows = pa.StructArray.from_arrays([pa.array(label, pa.int64()), pa.array(chosen, pa.list_(pa.int64())), named], names=["label_ord", "indices", "label_text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), rows)], names=[*rest, "labels"])
+
+    return pages.select(*rest, "groups").mapInArrow(run, schema)
+
+
 def merge_passes(groups: DataFrame, items: DataFrame) -> DataFrame:
     """Label groups of all passes of a page as index sets: unknown indices go, the first text of a set stays, and a
     set that is a strict subset of another goes.
 
     ``groups`` has ``job_id, page_number, pass, group_ord, item_indices, label_text``; ``items`` has ``job_id,
     page_number, n_items``. Returns ``job_id, page_number, label_ord, indices, label_text``; the order is that of
-    first appearance. Sets are looked up by the item that fewest sets of their page hold, so an item that all of them share
-    brings no two together; bit signatures then tell most of those that do meet apart.
+    first appearance. A page's groups come together once, in one row; see :func:`merge_pages` for those that are.
     """
-    known = groups.join(items, _PAGE).withColumn("indices", F.array_sort(F.array_distinct(F.filter("item_indices", lambda i: (i >= 0) & (i < F.col("n_items"))))))
-    first = F.struct("pass", "group_ord")
-    kept = known.where(F.size("indices") > 0).groupBy(*_PAGE, "indices").agg(F.min(first).alias("seen"), F.min_by("label_text", first).alias("label_text"))
-    signed = kept.withColumn("signature", F.aggregate("indices", F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int")))))
-    items_of = signed.select(*_PAGE, "indices", "signature", F.explode("indices").alias("item"))
-    counted = items_of.withColumn("sets", F.count("*").over(Window.partitionBy(*_PAGE, "item")))
-    rarest = counted.groupBy(*_PAGE, "indices", "signature").agg(F.min(F.struct("sets", "item"))["item"].alias("item"))
-    # a larger set that holds a set holds its rarest item: sets meet by page and that item only
-    other = items_of.select(*_PAGE, F.col("indices").alias("larger"), F.col("signature").alias("other"), "item")
-    strict = (F.size("indices") < F.size("larger")) & (F.col("signature").bitwiseAND(F.bitwise_not("other")) == 0) & (F.size(F.array_except("indices", "larger")) == 0)
-    held = rarest.join(other, [*_PAGE, "item"]).where(strict).select(*_PAGE, "indices").distinct()
-    left = kept.join(held, [*_PAGE, "indices"], "left_anti")
-    return left.select(*_PAGE, (F.col("seen.pass") * 1_000_000 + F.col("seen.group_ord")).cast("long").alias("label_ord"), "indices", "label_text")
+    group = F.struct(F.col("pass").cast("long").alias("pass"), F.col("group_ord").cast("long").alias("group_ord"), F.col("item_indices").cast("array<bigint>").alias("item_indices"), "label_text")
+    pages = groups.groupBy(*_PAGE).agg(F.collect_list(group).alias("groups")).join(items.select(*_PAGE, F.col("n_items").cast("long").alias("n_items")), _PAGE)
+    return merge_pages(pages.select(*_PAGE, "n_items", "groups")).select(*_PAGE, F.explode("labels").alias("l")).select(*_PAGE, "l.*")
 
 
 def label_boxes(merged: DataFrame, lines: DataFrame) -> DataFrame:
@@ -41,16 +88,34 @@ def label_boxes(merged: DataFrame, lines: DataFrame) -> DataFrame:
     return items.join(lines.select(*_PAGE, "line_index", "box"), [*_PAGE, "line_index"]).groupBy(*_PAGE, "label_ord", "label_text").agg(union_box(F.col("box")).alias("box")).where("box is not null")
 
 
+def boxes_of(labels: Column, lines: Column) -> Column:
+    """The same within a page's row: ``array<struct<label_ord, label_text, box>>`` of its ``labels`` and ``lines``."""
+    own = lambda l: F.transform(F.filter(lines, lambda x: F.array_contains(l["indices"], x["line_index"])), lambda x: x["box"])  # noqa: E731, E741
+    # an array of one element binds the boxes of a label once
+    boxed = F.transform(labels, lambda l: F.struct(l["label_ord"].alias("label_ord"), l["label_text"].alias("label_text"), F.get(F.transform(F.array(own(l)), union_of), F.lit(0)).alias("box")))  # noqa: E741
+    return F.filter(boxed, lambda l: l["box"].isNotNull())  # noqa: E741
+
+
 def page_flags(passes: DataFrame) -> DataFrame:
     """Whether any pass holds a page for a labelled diagram, and the first pass's box that is not NULL."""
     return passes.groupBy(*_PAGE).agg(F.max("is_labeled_diagram").alias("is_labeled_diagram"), F.min_by("diagram_box", F.when(F.col("diagram_box").isNotNull(), F.col("pass"))).alias("diagram_box"))
 
 
+def flags_of(passes: Column) -> Column:
+    """:func:`page_flags` within a page's row, from its passes in order: ``struct<is_labeled_diagram, diagram_box>``."""
+    hints = F.filter(F.transform(passes, lambda p: p["diagram_box"]), lambda b: b.isNotNull())
+    return F.struct(F.array_max(F.transform(passes, lambda p: p["is_labeled_diagram"])).alias("is_labeled_diagram"), F.get(hints, F.lit(0)).alias("diagram_box"))
+
+
+def is_low(n_labels: Column, n_items: Column) -> Column:
+    return n_labels <= F.greatest(F.lit(1), F.floor(n_items / 10))
+
+
 def low_yield(flags: DataFrame, boxes: DataFrame, items: DataFrame) -> DataFrame:
     """Flagged pages with suspiciously few labels for their number of items: ``n_labels, n_items``."""
     counts = boxes.groupBy(*_PAGE).agg(F.count("*").alias("n_labels"))
     both = flags.where("is_labeled_diagram").select(*_PAGE).join(items, _PAGE).join(counts, _PAGE, "left").withColumn("n_labels", F.coalesce("n_labels", F.lit(0)).cast("long"))
-    return both.where(F.col("n_labels") <= F.greatest(F.lit(1), F.floor(F.col("n_items") / 10))).select(*_PAGE, "n_labels", "n_items")
+    return both.where(is_low(F.col("n_labels"), F.col("n_items"))).select(*_PAGE, "n_labels", "n_items")
 
 
 #: Labels that the rule-based detector takes from a page.
@@ -74,7 +139,17 @@ def diagram_occlusions(labels: DataFrame, crops: DataFrame) -> DataFrame:
     ``labels`` has ``job_id, page_number, label_ord, label_text, box``; ``crops`` has ``job_id, page_number, crop_box``.
     """
     masks = labels.groupBy(*_PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("label_ord", "box"))), lambda b: b["box"]).alias("mask_boxes"))
-    rows = labels.join(masks, _PAGE).join(crops.select(*_PAGE, "crop_box"), _PAGE, "left")
+    return _revealed(labels.join(masks, _PAGE).join(crops.select(*_PAGE, "crop_box"), _PAGE, "left"))
+
+
+def page_occlusions(pages: DataFrame) -> DataFrame:
+    """The same where a page's ``labels`` (``array<struct<label_ord, label_text, box>>``) and ``crop_box`` are in its row."""
+    masks = F.transform(F.array_sort(F.transform("labels", lambda l: F.struct(l["label_ord"].alias("label_ord"), l["box"].alias("box")))), lambda b: b["box"])  # noqa: E741
+    rows = pages.select(*_PAGE, "crop_box", F.explode(F.array(masks)).alias("mask_boxes"), "labels")
+    return _revealed(rows.select(*_PAGE, "crop_box", "mask_boxes", F.explode("labels").alias("l")).select(*_PAGE, "crop_box", "mask_boxes", "l.*"))
+
+
+def _revealed(rows: DataFrame) -> DataFrame:
     occlusion = F.struct(
         F.lit("diagram").alias("kind"), F.lit("identify").alias("direction"), F.array("label_text").alias("labels"),
         F.coalesce("crop_box", full_page()).alias("crop_box"), F.array("box").alias("target_boxes"), F.col("mask_boxes"),
