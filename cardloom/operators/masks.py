@@ -35,22 +35,24 @@ def group_masks(pending: DataFrame, options: DataFrame) -> DataFrame:
     both = pending.join(options, "job_id")
     mode = F.when(F.col("note_type") == "diagram", F.col("diagram_mask_grouping")).when(F.col("note_type") == "text_occlusion", F.col("text_mask_grouping")).otherwise("individual")
     rows = both.withColumn("merged", mode == "grouped").withColumn("plain", (F.col("diagram_mask_grouping") != "grouped") & (F.col("text_mask_grouping") != "grouped"))
-    key = [*_PAGE, "note_type"]
-    bucket = rows.where("not plain").groupBy(*key).agg(F.min("ord").alias("bucket_ord"))
-    single = rows.where("not merged").join(bucket, key, "left").select(*_PAGE, "ord", "note_type", "front", "occlusion", F.coalesce("bucket_ord", "ord").alias("bucket_ord"))
-    listed = rows.where("merged").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "occlusion"))).alias("all"))
-    first = F.element_at("all", 1)["occlusion"]
+    rows = rows.where(F.col("merged").isNotNull())
+    listed = rows.groupBy(*_PAGE, "note_type", "merged", "plain").agg(F.array_sort(F.collect_list(F.struct("ord", "front", "occlusion"))).alias("all"))
+    first = F.element_at("all", 1)
 
     def joined(name: str) -> Column:
         return F.flatten(F.transform("all", lambda r: r["occlusion"][name]))
 
     one = F.struct(
-        first["kind"].alias("kind"), first["direction"].alias("direction"), joined("labels").alias("labels"), first["crop_box"].alias("crop_box"),
+        first["occlusion"]["kind"].alias("kind"), first["occlusion"]["direction"].alias("direction"), joined("labels").alias("labels"), first["occlusion"]["crop_box"].alias("crop_box"),
         F.array_distinct(joined("target_boxes")).alias("target_boxes"), F.array_distinct(joined("mask_boxes")).alias("mask_boxes"),
     )
     front = F.when(F.col("note_type") == "diagram", GROUPED_FRONT["diagram"]).otherwise(GROUPED_FRONT["text_occlusion"])
-    grouped = listed.select(*_PAGE, F.element_at("all", 1)["ord"].alias("ord"), "note_type", front.alias("front"), one.alias("occlusion")).withColumn("bucket_ord", F.col("ord"))
-    return single.unionByName(grouped)
+    grouped = F.struct(first["ord"].alias("ord"), front.alias("front"), one.alias("occlusion"), first["ord"].alias("bucket_ord"))
+    own = lambda r: F.when(~F.col("plain") & F.col("note_type").isNotNull(), first["ord"]).otherwise(r["ord"])
+    single = F.transform("all", lambda r: F.struct(r["ord"].alias("ord"), r["front"].alias("front"), r["occlusion"].alias("occlusion"), own(r).alias("bucket_ord")))
+    # rows meet once: what stays single and what is merged come from the same group
+    out = listed.select(*_PAGE, "note_type", F.explode(F.when(F.col("merged"), F.array(grouped)).otherwise(single)).alias("r"))
+    return out.select(*_PAGE, "r.ord", "note_type", "r.front", "r.occlusion", "r.bucket_ord")
 
 
 def occlusion_cards(pending: DataFrame) -> DataFrame:

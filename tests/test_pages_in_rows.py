@@ -36,3 +36,13 @@ def test_merging_in_a_row_keeps_the_largest_sets(spark):
     rows = spark.createDataFrame([(1, 1, *x) for x in groups], "job_id long, page_number long, pass long, group_ord long, item_indices array<long>, label_text string")
     one = rows.groupBy("job_id", "page_number").agg(F.collect_list(F.struct("pass", "group_ord", "item_indices", "label_text")).alias("groups")).withColumn("n_items", F.lit(7).cast("long"))
     assert sorted((r.label_ord, r.indices, r.label_text) for r in labels.merge_pages(one).first().labels) == want
+
+
+def test_grouping_reads_its_rows_once(spark, capsys):
+    from cardloom.operators import masks
+
+    pending = spark.range(4).select(F.lit(1).cast("long").alias("job_id"), F.lit(1).cast("long").alias("page_number"), F.col("id").alias("ord"), F.lit("diagram").alias("note_type"), F.lit("f").alias("front"), F.from_json(F.lit('{"kind":"diagram","labels":["a"],"target_boxes":[],"mask_boxes":[]}'), masks.OCCLUSION).alias("occlusion"))
+    opts = spark.createDataFrame([(1, "grouped", "individual")], "job_id long, diagram_mask_grouping string, text_mask_grouping string")
+    out = masks.group_masks(pending, opts)
+    assert plan(capsys, out).count("Range (") == 1
+    assert [(r.ord, r.bucket_ord, r.occlusion.labels) for r in out.collect()] == [(0, 0, ["a"] * 4)]
