@@ -46,3 +46,9 @@ def test_grouping_reads_its_rows_once(spark, capsys):
     out = masks.group_masks(pending, opts)
     assert plan(capsys, out).count("Range (") == 1
     assert [(r.ord, r.bucket_ord, r.occlusion.labels) for r in out.collect()] == [(0, 0, ["a"] * 4)]
+
+
+def test_box_overlaps_returns_every_pair(spark):
+    if DATA.is_dir():
+        rows = QUERIES["box_overlaps"](spark, str(DATA))
+        assert rows.columns == ["job_id", "page_number", "a", "b"] and rows.count() == rows.where("a < b").distinct().count() > 0
