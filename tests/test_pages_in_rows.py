@@ -52,3 +52,9 @@ def test_box_overlaps_returns_every_pair(spark):
     if DATA.is_dir():
         rows = QUERIES["box_overlaps"](spark, str(DATA))
         assert rows.columns == ["job_id", "page_number", "a", "b"] and rows.count() == rows.where("a < b").distinct().count() > 0
+
+
+@pytest.mark.parametrize("name", ["dedupe_cards", "cards_per_source", "valid_drafts"])
+def test_drafts_are_not_dealt_out_by_their_few_decks(spark, capsys, name):
+    out = plan(capsys, QUERIES[name](spark, str(DATA)))
+    assert "BroadcastHashJoin" in out and "SortMergeJoin" not in out
