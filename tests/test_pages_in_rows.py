@@ -58,3 +58,14 @@ def test_box_overlaps_returns_every_pair(spark):
 def test_drafts_are_not_dealt_out_by_their_few_decks(spark, capsys, name):
     out = plan(capsys, QUERIES[name](spark, str(DATA)))
     assert "BroadcastHashJoin" in out and "SortMergeJoin" not in out
+
+
+def test_candidates_are_counted_where_their_line_is(spark, capsys):
+    from cardloom.operators import spans
+
+    lines = [["ab", "c", "the"], ["x"], [], ["a b", "\U0001f600", "café", "d", "e", "f"]]
+    df = spark.createDataFrame([(1, 1, i, x) for i, x in enumerate(lines)], "job_id long, page_number long, line_index long, tokens array<string>")
+    got = {r.line_index: tuple(r)[3:] for r in spans.count_candidates(df).collect()}
+    rows = spans.candidates(df).groupBy("line_index").agg(F.count("*"), F.sum(spans.fitting_size(F.col("text")).cast("int")), F.sum(F.length("text")), F.max("text"))
+    assert got == {r.line_index: tuple(r)[1:] for r in rows.collect()}
+    assert "Exchange hashpartitioning" not in plan(capsys, QUERIES["candidate_spans"](spark, str(DATA)))
