@@ -69,3 +69,9 @@ def test_candidates_are_counted_where_their_line_is(spark, capsys):
     rows = spans.candidates(df).groupBy("line_index").agg(F.count("*"), F.sum(spans.fitting_size(F.col("text")).cast("int")), F.sum(F.length("text")), F.max("text"))
     assert got == {r.line_index: tuple(r)[1:] for r in rows.collect()}
     assert "Exchange hashpartitioning" not in plan(capsys, QUERIES["candidate_spans"](spark, str(DATA)))
+
+
+@pytest.mark.parametrize("name", ["ref_words", "span_text", "span_boxes", "span_gate"])
+def test_references_meet_their_lines_where_the_deck_lies(spark, capsys, name):
+    out = plan(capsys, QUERIES[name](spark, str(DATA)))
+    assert all("REPARTITION_BY_NUM" in x for x in out.splitlines() if "Exchange hashpartitioning" in x)
