@@ -35,6 +35,9 @@ TOP = 2000
 FILTER_BITS = 25
 #: Different phrases that a task sums up before it hands them on.
 HELD = 1 << 20
+#: Words of a stretch that are counted at a time, and rows of one batch that a task hands on: both bound a task's memory.
+PART_WORDS = 1 << 18
+OUT_ROWS = 1 << 15
 #: Words that a task goes over, at least where there are enough cores: the more, the fewer rows it hands on.
 TASK_WORDS = 6_000_000
 _SECOND_BASE = 0xD1342543DE82EF95
@@ -154,30 +157,41 @@ def _latest(recent: dict[int, np.ndarray], bits: int, keys: np.ndarray) -> np.nd
     return out
 
 
-def _phrases(batch: pa.RecordBatch, table: Bits, longest: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+def _parts(tokens: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """``tokens`` cut where pieces end, into parts of about ``most``; a longer piece is a part of its own."""
+    ends, lo = np.flatnonzero(tokens < 0), 0
+    while lo < len(tokens):
+        i = int(np.searchsorted(ends, lo + most))
+        hi = int(ends[i]) if i < len(ends) else len(tokens)
+        yield tokens[lo:hi]
+        lo = hi
+
+
+def _phrases(batch: pa.RecordBatch, table: Bits, longest: int, most: int = 1 << 62) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, list[np.ndarray], list[np.ndarray]]]:
     """For each length from 2, at the places where both subphrases reached the threshold: ``(length, keys, step, keys of the
-    first and of the second subphrase)``; ``step`` is the last at which one of them did, or -1 if that is long ago."""
+    first and of the second subphrase)``; ``step`` is the last at which one of them did, or -1 if that is long ago. A stretch of
+    texts is gone over in parts of ``most`` words."""
     for h1, h2, raw in zip(batch.column("h1"), batch.column("h2"), batch.column("tokens"), strict=True):
         words = [h.values.to_numpy(zero_copy_only=False).view(np.uint64) for h in (h1, h2)]
-        tokens = np.frombuffer(raw.as_buffer(), np.int32)
         known, late = _has(table.every, table.bits, words[0]), _latest(table.recent, table.bits, words[0])
-        at = np.flatnonzero(tokens >= 0)
-        at = at[known[tokens[at]]]  # where a known phrase of the present length begins
-        step, keys = late[tokens[at]], [w[tokens[at]] for w in words]
-        for n in range(2, longest + 1):
-            # a phrase of n words begins where one of n - 1 does and another one word later
-            pair = np.flatnonzero(at[1:] == at[:-1] + 1)
-            if not len(pair):
-                break
-            subs = [[k[pair] for k in keys], [k[pair + 1] for k in keys]]
-            last = tokens[at[pair] + n - 1]
-            # the key folds that of the first n - 1 words and the last word's
-            keys = [mix(k * f + w[last] + U(n)) for k, f, w in zip(subs[0], _FACTORS, words, strict=True)]
-            yield n, keys, np.maximum(step[pair], step[pair + 1]), *subs
-            at = at[pair]
-            keep = _has(table.every, table.bits, keys[0])
-            at, keys = at[keep], [k[keep] for k in keys]
-            step = _latest(table.recent, table.bits, keys[0])
+        for tokens in _parts(np.frombuffer(raw.as_buffer(), np.int32), most):
+            at = np.flatnonzero(tokens >= 0)
+            at = at[known[tokens[at]]]  # where a known phrase of the present length begins
+            step, keys = late[tokens[at]], [w[tokens[at]] for w in words]
+            for n in range(2, longest + 1):
+                # a phrase of n words begins where one of n - 1 does and another one word later
+                pair = np.flatnonzero(at[1:] == at[:-1] + 1)
+                if not len(pair):
+                    break
+                subs = [[k[pair] for k in keys], [k[pair + 1] for k in keys]]
+                last = tokens[at[pair] + n - 1]
+                # the key folds that of the first n - 1 words and the last word's
+                keys = [mix(k * f + w[last] + U(n)) for k, f, w in zip(subs[0], _FACTORS, words, strict=True)]
+                yield n, keys, np.maximum(step[pair], step[pair + 1]), *subs
+                at = at[pair]
+                keep = _has(table.every, table.bits, keys[0])
+                at, keys = at[keep], [k[keep] for k in keys]
+                step = _latest(table.recent, table.bits, keys[0])
 
 
 COUNTS = "len byte, h1 long, h2 long, since short, n long"
@@ -189,39 +203,52 @@ def _counted(batches: Iterator[pa.RecordBatch], table: Bits, longest: int, words
     held: list[list[np.ndarray]] = []
 
     def summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-        length, h1, h2, since, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        columns = [list(x) for x in zip(*parts, strict=True)]
         parts.clear()
+
+        def joined(i: int) -> np.ndarray:  # a column at a time, so that the parts are there once only
+            whole = np.concatenate(columns[i])
+            columns[i].clear()
+            return whole
+
+        h1 = joined(1)
         order = np.argsort(h1, kind="stable")  # rows of one hash that differ otherwise may stay apart
-        length, h1, h2, since, n = (x[order] for x in (length, h1, h2, since, n))
+        h1 = h1[order]
+        length, h2, since, n = (joined(i)[order] for i in (0, 2, 3, 4))
+        del order
         new = np.ones(len(h1), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (length[1:] != length[:-1])
         begin = np.flatnonzero(new)
         return [length[begin], h1[begin], h2[begin], np.maximum.reduceat(since, begin), np.add.reduceat(n, begin)] if len(begin) else [length, h1, h2, since, n]
 
-    def out(part: list[np.ndarray]) -> pa.RecordBatch:
-        length, h1, h2, since, n = part
-        return pa.RecordBatch.from_arrays([pa.array(length), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(since), pa.array(n)], names=[c.split()[0] for c in COUNTS.split(", ")])
+    def out(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(part[0]), OUT_ROWS):
+            length, h1, h2, since, n = (x[lo : lo + OUT_ROWS] for x in part)
+            yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(since), pa.array(n)], names=[c.split()[0] for c in COUNTS.split(", ")])
+
+    def full() -> Iterator[pa.RecordBatch]:
+        if sum(len(x[0]) for x in held) > HELD:
+            part = summed(held)
+            if len(part[0]) > HELD // 2:
+                yield from out(part)
+            else:
+                held.append(part)
 
     for batch in batches:
         if words:
             for h1, h2, n in zip(batch.column("h1"), batch.column("h2"), batch.column("counts"), strict=True):
                 keys = [h.values.to_numpy(zero_copy_only=False).view(np.uint64) for h in (h1, h2)]
                 held.append([np.ones(len(keys[0]), np.int8), *keys, np.zeros(len(keys[0]), np.int16), n.values.to_numpy(zero_copy_only=False)])
-        for length, keys, step, *_ in _phrases(batch, table, longest):
+                yield from full()
+        for length, keys, step, *_ in _phrases(batch, table, longest, PART_WORDS):
             some = np.flatnonzero(step >= 0)
             if len(some):
                 first, counts = _runs((keys[0][some], keys[1][some]))
                 one = some[first]
                 held.append([np.full(len(one), length, np.int8), keys[0][one], keys[1][one], step[one] + np.int16(1), counts])
-        if sum(len(x[0]) for x in held) > HELD:
-            part = summed(held)
-            if len(part[0]) > HELD // 2:
-                yield out(part)
-            else:
-                held.append(part)
-            del part
+                yield from full()
     if held:
-        yield out(summed(held))
+        yield from out(summed(held))
 
 
 def _updated(state: DataFrame | None, found: DataFrame, shard: int, step: int, shards: int, least: int) -> DataFrame:
@@ -233,7 +260,8 @@ def _updated(state: DataFrame | None, found: DataFrame, shard: int, step: int, s
     bit = 1 << shard
     new = found.withColumns({"seen": F.lit(None).cast("int"), "total": F.lit(None).cast("long"), "box": F.lit(None).cast("short")})
     both = new if state is None else state.withColumn("n", F.lit(None).cast("long")).unionByName(new)
-    merged = both.groupBy("len", "h1", "h2").agg(*[F.max(c).alias(c) for c in ("since", "seen", "total", "box")], F.sum("n").alias("n"))
+    # tasks have summed up what they found: summing again before the shuffle would hold all of it and fold next to nothing
+    merged = both.repartition("len", "h1", "h2").groupBy("len", "h1", "h2").agg(*[F.max(c).alias(c) for c in ("since", "seen", "total", "box")], F.sum("n").alias("n"))
     seen, total = F.coalesce("seen", F.lit(0)), F.coalesce("total", F.lit(0))
     fresh = F.col("n").isNotNull() & (seen.bitwiseAND(bit) == 0)
     now = total + F.when(fresh, F.col("n")).otherwise(0)

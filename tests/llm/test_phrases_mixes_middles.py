@@ -6,6 +6,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cardloom.llm import collocations, fim, mixture
@@ -62,6 +63,32 @@ def test_mined_phrases_equal_brute_force(spark, least, longest, top, covered, sh
     assert got == mined(rows, least, longest, top, covered) and got
 
 
+def test_counts_do_not_depend_on_parts_and_batches_are_bounded(monkeypatch):
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(-1, 6, 3000).astype(np.int32)
+    keys = [rng.integers(1, 1 << 62, 6) for _ in range(2)]
+    batch = pa.RecordBatch.from_arrays([*(pa.array([k]) for k in keys), pa.array([np.bincount(tokens[tokens >= 0])]), pa.array([tokens.tobytes()], pa.binary())], names=["h1", "h2", "counts", "tokens"])
+    table = collocations.Bits(12)
+    table.every[:] = np.uint64(2**64 - 1)
+    table.recent = {0: table.every}
+
+    def counted():
+        got, rows = Counter(), []
+        for out in collocations._counted(iter([batch]), table, 5, True):
+            rows.append(out.num_rows)
+            for length, h1, h2, _, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                got[length, h1, h2] += n
+        return got, max(rows)
+
+    whole, _ = counted()
+    pieces = "".join(chr(97 + t) if t >= 0 else " " for t in tokens).split()
+    assert sorted(whole.values()) == sorted(Counter(p[i : i + k] for k in range(1, 6) for p in pieces for i in range(len(p) - k + 1)).values())
+    for name, value in (("PART_WORDS", 7), ("OUT_ROWS", 5), ("HELD", 50)):
+        monkeypatch.setattr(collocations, name, value)
+    parts, most = counted()
+    assert parts == whole and most <= 5
+
+
 def test_a_phrase_that_gets_frequent_in_the_last_shard_is_counted_in_all(spark, monkeypatch):
     """Each text is a shard of its own, so words, pairs and triples reach the threshold one round after another."""
     monkeypatch.setattr(collocations, "write_shards", lambda docs, path, shards, real=collocations.write_shards: real(docs, path, shards, 1))
