@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
+BASE = 0x9E3779B97F4A7C15
 #: A random odd 64-bit value for each byte.
 _BYTE = np.random.default_rng(20240611).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _SPACE = np.zeros(256, bool)
@@ -73,7 +73,7 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 class Hasher:
     """Hashes of substrings of one byte array; another odd ``base`` gives other hashes."""
 
-    def __init__(self, data: np.ndarray, base: int = _BASE):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         n = len(data)
         self.prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * _power(base, n), out=self.prefix[1:]) if n else None

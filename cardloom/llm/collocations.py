@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytetext import Hasher, U, lower_ascii, mix, pieces
+from .bytetext import BASE, Hasher, U, lower_ascii, mix, pieces
 from .common import cut, drop_path, drop_table, scratch_path
 
 SHARDS = 4
@@ -40,7 +40,7 @@ PART_WORDS = 1 << 18
 OUT_ROWS = 1 << 15
 #: Words that a task goes over, at least where there are enough cores: the more, the fewer rows it hands on.
 TASK_WORDS = 6_000_000
-_SECOND_BASE = 0xD1342543DE82EF95
+_BASES = (BASE, 0xD1342543DE82EF95)
 _FACTORS = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
 
 _BREAK = np.zeros(256, bool)
@@ -81,6 +81,23 @@ def _runs(keys: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[begin], np.diff(np.append(begin, len(order)))
 
 
+def _stretch(texts: pa.Array, codes: np.ndarray, seeds: list[np.ndarray]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """``(raw, starts, ends, own, new, keys)`` of the words of ``texts``: their bytes and places in them, their language (as in
+    ``codes``), whether a piece begins with them, and both halves of their keys. Texts are hashed a few at a time, since hashing
+    takes many times their size: a task's memory does not hold that for a whole stretch."""
+    raw, parts, at = [], [], 0
+    for lo, hi, data, off in pieces(texts):
+        low = lower_ascii(data)
+        starts, ends, text, new = _tokens(low, off)
+        own = codes[lo:hi][text]
+        keys = [mix(Hasher(low, base).at(starts, ends) ^ seed[own]) for base, seed in zip(_BASES, seeds, strict=True)]
+        raw.append(low.tobytes())
+        parts.append([starts + at, ends + at, own, new, *keys])
+        at += len(low)
+    starts, ends, own, new, *keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return b"".join(raw), starts, ends, own, new, keys
+
+
 #: A stretch of a task's texts: its languages with their numbers of words; its different words with language (a number),
 #: count and 128-bit key; and the texts as numbers of these words, with -1 where a piece ends.
 SHARD_SCHEMA = "shard int, langs array<string>, n_words array<long>, words array<string>, own array<int>, counts array<long>, h1 array<long>, h2 array<long>, tokens binary"
@@ -94,16 +111,12 @@ def write_shards(docs: DataFrame, path: str, shards: int, piece: int = 1 << 22)
         for batch in batches:
             names = batch.column("lang").dictionary_encode()
             codes, langs = names.indices.to_numpy(), names.dictionary
-            for lo, hi, data, off in pieces(batch.column("text"), piece):
-                low = lower_ascii(data)
-                starts, ends, text, new = _tokens(low, off)
-                own = codes[lo:hi][text]
-                seeds = [np.array(x, np.uint64) for x in zip(*map(_language_seed, langs.to_pylist()), strict=True)]
-                keys = [mix(h.at(starts, ends) ^ seed[own]) for h, seed in zip((Hasher(low), Hasher(low, _SECOND_BASE)), seeds, strict=True)]
+            seeds = [np.array(x, np.uint64) for x in zip(*map(_language_seed, langs.to_pylist()), strict=True)]
+            for lo, hi, *_ in pieces(batch.column("text"), piece):
+                raw, starts, ends, own, new, keys = _stretch(batch.column("text").slice(lo, hi - lo), codes[lo:hi], seeds)
                 first, counts = _runs((keys[0], keys[1]))
                 number = np.empty(len(starts), np.int32)
                 number[np.argsort(keys[0], kind="stable")] = np.repeat(np.arange(len(first), dtype=np.int32), counts)
-                raw = low.tobytes()
                 columns = [
                     langs, pa.array(np.bincount(own, minlength=len(langs))), pa.array([raw[a:b] for a, b in zip(starts[first], ends[first], strict=True)], pa.binary()),
                     pa.array(own[first], pa.int32()), pa.array(counts, pa.int64()), *[pa.array(k[first].view(np.int64)) for k in keys],
