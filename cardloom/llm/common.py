@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +50,34 @@ def tune(spark: SparkSession) -> None:
 
 def give_back(spark: SparkSession) -> None:
     """Collect the driver's garbage between the jobs of a long run: Spark drops the broadcasts, shuffle records and generated
-    classes of ended jobs only then, and a driver with room in its heap would put that off."""
+    classes of ended jobs only then, and a driver with room in its heap would put that off. What Python and the driver's JVM
+    have freed outside that heap goes back to the system as well, where the C library can do that."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
     spark._jvm.System.gc()
+    with contextlib.suppress(Py4JError):  # a JVM without that command keeps what it has
+        _trim_java(spark)
+
+
+def _trim_java(spark: SparkSession) -> str:
+    """What ``jcmd System.trim_native_heap`` does: the compiler's freed memory, which the C library would keep for each of
+    the driver's hundreds of threads, goes back to the system."""
+    new, java = spark.sparkContext._gateway.new_array, spark._jvm.java.lang
+
+    def array(kind: object, items: tuple = ()) -> object:
+        out = new(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    bean = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    kinds = [java.Class.forName(n) for n in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    invoke = java.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(java.Class, tuple(kinds)))
+    command = array(java.Object, (bean, "systemTrimNativeHeap", array(java.Object), array(java.String)))
+    return invoke.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), command)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

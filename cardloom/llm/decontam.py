@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import Hasher, U, lists, mix, pieces, word_bounds
-from .common import cut, drop_table
+from .common import cut, drop_table, give_back
 
 #: Word positions that count (1); each mask has six of them.
 MASKS = ("1111011", "110110011", "1011010101", "1100101011", "111111")
@@ -108,10 +108,10 @@ def seed_filter(items: DataFrame, bits: int) -> np.ndarray:
                 found[k] = found.get(k, np.uint8(0)) | np.frombuffer(part.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([t.tobytes() for t in found.values()], pa.binary())], names=["slice", "marks"])
 
-    table = np.zeros((SLICES, width), bool)
+    table = np.zeros((SLICES, (width + 7) // 8), np.uint8)  # packed, as it is used: the driver holds no byte for each bit
     for row in items.select("seeds").mapInArrow(mark, "slice int, marks binary").repartition(SLICES, "slice").mapInArrow(join, "slice int, marks binary").collect():  # one table of fixed size
-        table[row["slice"]] = np.unpackbits(np.frombuffer(row["marks"], np.uint8))[:width]
-    return np.packbits(table.ravel())
+        table[row["slice"]] = np.frombuffer(row["marks"], np.uint8)
+    return table.ravel() if width % 8 == 0 else np.packbits(np.unpackbits(table, axis=1)[:, :width].ravel())
 
 
 def _hits(docs: DataFrame, table: Broadcast, bits: int, short: list[int]) -> DataFrame:
@@ -191,7 +191,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BI
     items = cut(item_table(benchmark), "items")
     short = sorted(r[0] for r in items.where(F.col("n_words") <= len(SHORT)).select("n_words").distinct().collect())  # at most five numbers
     table = docs.sparkSession.sparkContext.broadcast(seed_filter(items, filter_bits))  # of fixed size
+    give_back(docs.sparkSession)
     hits = cut(_hits(docs, table, filter_bits, short), "hits")
+    give_back(docs.sparkSession)
     left, right = hits.select(*KEY, F.explode("seeds").alias("seed")), items.select("item", F.explode("seeds").alias("seed"))
     pairs = left.join(right, "seed").select(*KEY, "item").distinct()
     both = pairs.join(hits.select(*KEY, F.col("words").alias("text_words")), list(KEY)).join(items.select("item", "item_id", "words"), "item")
@@ -206,6 +208,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BI
     found = cut(both.select(*KEY, "item_id", "text_words", "words").mapInArrow(run, f"{KEY[0]} long, {KEY[1]} long, item_id long, overlap_words long, equal_words long"), "overlaps")
     drop_table(items)
     drop_table(hits)
+    give_back(docs.sparkSession)
     return found
 
 

@@ -207,6 +207,13 @@ def _within_groups(members: DataFrame, docs: DataFrame, counts: Broadcast, words
     return left.join(right, ["head", "token"]).where("a < b and ac <> bc").select("a", "b")
 
 
+def _between(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``links`` (``a``, ``b``) as links between the components of their ends."""
+    own = members.select("rep", "component").distinct()  # different sets of one id are one document
+    left, right = own.withColumnsRenamed({"rep": "a", "component": "ac"}), own.withColumnsRenamed({"rep": "b", "component": "bc"})
+    return links.join(left, "a").join(right, "b").select(F.col("ac").alias("a"), F.col("bc").alias("b"))
+
+
 def link_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
     """Component of each row of ``docs`` (``doc_id``, ``text``; others are ignored) under links of Jaccard similarity ``percent`` / 100 or more.
 
@@ -219,6 +226,7 @@ def link_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Data
     docs = docs.select("doc_id", "text")
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, words))  # an array of fixed size
     whole = cut(prefixes(docs, counts, words, percent), "prefixes")
+    give_back(docs.sparkSession)
     # one representative for each set, and one for each group of equal prefix and size
     reps = cut(whole.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("grp").alias("grp")), "reps")
     groups = reps.groupBy("grp").agg(F.min("rep").alias("head"), F.count("*").alias("members"))
@@ -228,6 +236,7 @@ def link_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Data
     tokens = tokens.select("token", "head", (F.shiftleft("n_shingles", 32) + F.col("place")).alias("at"))
     leaders = tokens.groupBy("token").agg(F.min("head").alias("lead"), F.count("*").alias("times")).where("times > 1").select("token", "lead")
     shared = cut(tokens.join(leaders, "token").select("token", "head", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("place"), "lead"), "shared")
+    give_back(docs.sparkSession)
     table = cut(whole.select("doc_id", "n_shingles", "d1", "d2"), "digests")
     drop_table(whole)
     give_back(docs.sparkSession)
@@ -236,34 +245,41 @@ def link_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Data
     stars = shared.where(F.col("head") != F.col("lead")).join(first, "token").where(_could_link("n", "lead_n", "place", "lead_place", percent)).select(F.col("lead").alias("a"), F.col("head").alias("b"))
     inner = reps.join(groups.where("members > 1"), "grp").where(F.col("rep") != F.col("head")).select(F.col("head").alias("a"), F.col("rep").alias("b"))
     pairs = cut(stars.unionByName(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    give_back(docs.sparkSession)
 
     # whole sets only of documents that some prefix shingle ties to another
     tied = shared.select(F.col("head").alias("doc_id")).unionByName(inner.select(F.col("a").alias("doc_id"))).unionByName(inner.select(F.col("b").alias("doc_id"))).distinct()
     # repeated rows go before the sets are made, while the rows are still together by id
     once = docs.join(tied, "doc_id", "left_semi").withColumn("digest", F.xxhash64("text")).dropDuplicates(["doc_id", "digest"])
     sets = cut(set_table(once, words), "sets")
+    give_back(docs.sparkSession)
     links = cut(verified(pairs, sets, percent).select("a", "b"), "links")
     give_back(docs.sparkSession)
     found = components(links)
 
     # what is left: sets that share a prefix shingle, or a group, and lie in different components
     member = reps.join(groups.select("grp", "head"), "grp").join(found, reps["rep"] == found["node"], "left")
-    members = cut(member.select("head", "rep", "d1", "d2", F.coalesce("component", "rep").alias("component")), "members")
+    members = cut(member.select("head", "rep", "d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component")), "members")
     drop_table(found)
+    give_back(docs.sparkSession)
     rest = _still_open(members.select("head", "rep", "component"), shared, percent)
     own = _within_groups(members, docs, counts, words, percent)
     pairs2 = cut((rest if own is None else rest.unionByName(own)).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    for t in (shared, pairs, members):
+    for t in (shared, pairs):
         drop_table(t)
     give_back(docs.sparkSession)
     links2 = cut(verified(pairs2, sets, percent).select("a", "b"), "links")
     drop_table(sets)
-    final = components(links.unionByName(links2))
+    give_back(docs.sparkSession)
 
-    label = reps.select("d1", "d2", "n_shingles", "rep").join(final, reps["rep"] == final["node"], "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    # these links tie components that are known by now, so only those are joined; mostly there are none
+    final = None if links2.isEmpty() else components(_between(links2, members))
+    label = members.select("d1", "d2", "n_shingles", "component")
+    if final is not None:
+        label = label.join(final.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("d1", "d2", "n_shingles", F.coalesce("least", "component").alias("component"))
     out = table.select("doc_id", "n_shingles", "d1", "d2").join(label, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     result = cut(out, "classes")
-    for t in (table, pairs2, links, links2, reps, final):
+    for t in (table, pairs2, links, links2, reps, members, *([] if final is None else [final])):
         drop_table(t)
     return result
 

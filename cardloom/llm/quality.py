@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import Hasher, U, char_starts, lists, mix, pieces, word_bounds
-from .common import held_out, sample_order
+from .common import give_back, held_out, sample_order
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -126,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
     before = F.sum("size").over(Window.partitionBy("label").orderBy(*sample_order(), "text").rowsBetween(Window.unboundedPreceding, -1))
     texts = texts.where(F.col("size") <= sample_bytes).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_bytes)
+    give_back(docs.sparkSession)
     rows = texts.select("label", "text").mapInArrow(_bags, "label int, buckets array<int>, weights array<float>").toArrow()
     ys = rows.column("label").to_numpy()
     bags = [(int(y), b.values.to_numpy(), w.values.to_numpy()) for y, b, w in zip(ys, rows.column("buckets"), rows.column("weights"), strict=True)]
@@ -136,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
     model = fit(bags)
     del rows, bags
-    pa.default_memory_pool().release_unused()  # the driver has more to do
+    give_back(docs.sparkSession)  # the driver has more to do
     return model
 
 
