@@ -37,18 +37,20 @@ def four_places(x: Column) -> Column:
     return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 10000).cast("string"), F.lit("."), F.lpad((n % 10000).cast("string"), 4, "0"))
 
 
+def occlusions_of(occlusion: Column) -> Column:
+    """Every target box of an occlusion, in shares of its crop, under one card index; empty without any."""
+    c = occlusion["crop_box"]
+
+    def shape(b: Column) -> Column:
+        shares = {"left": (b["left"] - c["left"]) / c["width"], "top": (b["top"] - c["top"]) / c["height"], "width": b["width"] / c["width"], "height": b["height"] / c["height"]}
+        return F.concat(F.lit("{{c1::image-occlusion:rect"), *[x for name, v in shares.items() for x in (F.lit(f":{name}="), four_places(v))], F.lit(":oi=1}}"))
+
+    return F.array_join(F.transform(occlusion["target_boxes"], shape), "<br>")
+
+
 def occlusions_field(cards: DataFrame, key: list[str]) -> DataFrame:
-    """``key, occlusions_field``: every target box, in shares of the crop, under one card index."""
-    crop = F.col("occlusion.crop_box")
-    rows = cards.select(*key, F.posexplode("occlusion.target_boxes").alias("place", "b"), crop.alias("c"))
-    parts = {
-        "l": (F.col("b.left") - F.col("c.left")) / F.col("c.width"), "t": (F.col("b.top") - F.col("c.top")) / F.col("c.height"),
-        "w": F.col("b.width") / F.col("c.width"), "h": F.col("b.height") / F.col("c.height"),
-    }
-    texts = rows.select(*key, "place", *[four_places(v).alias(k) for k, v in parts.items()])
-    shape = F.concat(F.lit("{{c1::image-occlusion:rect:left="), "l", F.lit(":top="), "t", F.lit(":width="), "w", F.lit(":height="), "h", F.lit(":oi=1}}"))
-    listed = texts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", shape.alias("shape")))).alias("all"))
-    return listed.select(*key, F.array_join(F.transform("all", lambda r: r["shape"]), "<br>").alias("occlusions_field"))
+    """``key, occlusions_field`` of the cards that have a target box; a card is a row, so nothing is shuffled."""
+    return cards.where(F.size("occlusion.target_boxes") > 0).select(*key, occlusions_of(F.col("occlusion")).alias("occlusions_field"))
 
 
 def _image(name: Column) -> Column:
@@ -79,12 +81,16 @@ def text_notes(cards: DataFrame, jobs: DataFrame, images: DataFrame) -> DataFram
 def occlusion_notes(cards: DataFrame, jobs: DataFrame, composed: DataFrame) -> DataFrame:
     """Notes of the visible occlusion cards of ready decks whose answer image was composed (``job_id, card_id``)."""
     ready = jobs.where("status = 'ready'").select("job_id", deck_id(F.col("deck_name")).alias("deck_id"))
-    shown = cards.where(~F.col("is_deleted")).join(composed, ["job_id", "card_id"], "left_semi").join(ready, "job_id")
-    with_field = shown.join(occlusions_field(shown, ["job_id", "card_id"]), ["job_id", "card_id"])
+    return shown_notes(cards.where(~F.col("is_deleted")).join(composed, ["job_id", "card_id"], "left_semi").join(ready, "job_id"))
+
+
+def shown_notes(cards: DataFrame) -> DataFrame:
+    """The same of cards that are all shown and have their ``deck_id`` in their row: no shuffle."""
+    shown = cards.where(F.size("occlusion.target_boxes") > 0)
     media = card_media(F.col("job_id"), F.col("card_id"))
     esc = lambda c: html_escape(F.coalesce(c, F.lit("")))
-    fields = F.array("occlusions_field", _image(media), esc(F.col("front")), esc(F.col("back")), F.lit(""))
-    return with_field.select("deck_id", F.lit(OCCLUSION_MODEL).cast("long").alias("model_id"), "job_id", "card_id", fields.alias("fields"), media.alias("media"))
+    fields = F.array(occlusions_of(F.col("occlusion")), _image(media), esc(F.col("front")), esc(F.col("back")), F.lit(""))
+    return shown.select("deck_id", F.lit(OCCLUSION_MODEL).cast("long").alias("model_id"), "job_id", "card_id", fields.alias("fields"), media.alias("media"))
 
 
 def readiness(jobs: DataFrame) -> DataFrame:
