@@ -114,6 +114,12 @@ def word_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, starts - begin[row], ends - starts
 
 
+def lines_of(text: str, line_words: int) -> list[str]:
+    """The lines of a text whose words are parted by single blanks."""
+    words = text.split(" ")
+    return [" ".join(words[i : i + line_words]) for i in range(0, len(words), line_words)]
+
+
 class WordSpans:
     """Table function of a table with a column ``text``: its other columns and ``char_start, char_length``, a row for each word.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import box, full_page
+from ..functions.text import lines_of
 
 INK_BELOW = 230
 LIGHT_FROM = 128
@@ -64,6 +65,19 @@ def _drawn(page: DataFrame, rows: int, pitch: int) -> DataFrame:
     return page.where("width > 0").select(*others, F.col("width").cast("long").alias("width"), F.lit(rows * pitch).cast("long").alias("height"), F.lit(1).alias("channels"), F.encode(pixels, "ISO-8859-1").alias("data"))
 
 
+def _profile(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with ink, columns with ink, histogram."""
+    ink = grey < INK_BELOW
+    return ink.any(1), ink.any(0), np.bincount(grey.ravel(), minlength=256)
+
+
+def _image(lines: list[str], rows: int, pitch: int) -> np.ndarray:
+    """The image of :func:`text_images` of one page's lines."""
+    width = max(map(len, lines))
+    drawn = [x.encode("latin-1", "replace").replace(b" ", b"\xff").ljust(width, b"\xff") * 2 + b"\xff" * (width * (pitch - 2)) for x in lines[:rows]]
+    return np.frombuffer(b"".join(drawn).ljust(width * rows * pitch, b"\xff"), np.uint8).reshape(rows * pitch, width)
+
+
 def ink_profile(images: DataFrame) -> DataFrame:
     """Rows and columns with ink, and the luminance histogram, of each image (``read_page_images``); other columns stay."""
     taken = {"width", "height", "channels", "data", *_PAGE}
@@ -77,10 +91,8 @@ def ink_profile(images: DataFrame) -> DataFrame:
             for i, data in enumerate(batch.column("data")):
                 pixels = np.frombuffer(data.as_buffer(), np.uint8).reshape(h[i], w[i], c[i])
                 grey = pixels[:, :, 0] if c[i] == 1 else (pixels[:, :, 2].astype(np.int64) * 299 + pixels[:, :, 1].astype(np.int64) * 587 + pixels[:, :, 0].astype(np.int64) * 114 + 500) // 1000
-                ink = grey < INK_BELOW
-                rows.append(ink.any(1))
-                cols.append(ink.any(0))
-                counts.append(np.bincount(grey.ravel(), minlength=256))
+                for one, all_ in zip(_profile(grey), (rows, cols, counts), strict=True):
+                    all_.append(one)
             out = [_lists(x, t) for x, t in ((rows, pa.bool_()), (cols, pa.bool_()), (counts, pa.int64()))]
             more = [f.name for f in others]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (*_PAGE, "width", "height")), *out, *(batch.column(n) for n in more)], names=[*known.names, *more])
@@ -124,10 +136,8 @@ def _down(ink: np.ndarray, start: int, gap: int) -> int:
 
 
 def _first_gap(ink: np.ndarray, gap: int) -> int:
-    """Index at which the first run of ``gap`` blanks begins, or -1: the inked places in front of long enough runs tell."""
-    edges = np.concatenate([[-1], np.flatnonzero(ink), [len(ink)]])
-    long = np.flatnonzero(np.diff(edges) > gap)
-    return int(edges[long[0]]) + 1 if len(long) else -1
+    """Index at which the first run of ``gap`` blanks begins, or -1."""
+    return ink.tobytes().find(bytes(gap))
 
 
 def _edges(ink: np.ndarray, low: float, high: float, size: int, min_gap: int) -> tuple[int, int]:
@@ -138,15 +148,41 @@ def _edges(ink: np.ndarray, low: float, high: float, size: int, min_gap: int) ->
     return _up(ink, start, gap), _down(ink, stop, gap)
 
 
-def _seed(boxes: list[dict]) -> dict | None:
-    """The box around all boxes; None without any, or without extent."""
+def _seed(boxes: list[tuple]) -> dict | None:
+    """The box around all boxes (left, top, width, height); None without any, or without extent."""
     if not boxes:
         return None
-    left, top = min(b["left"] for b in boxes), min(b["top"] for b in boxes)
-    width, height = max(b["left"] + b["width"] for b in boxes) - left, max(b["top"] + b["height"] for b in boxes) - top
+    left, top = min([b[0] for b in boxes]), min([b[1] for b in boxes])
+    width, height = max([b[0] + b[2] for b in boxes]) - left, max([b[1] + b[3] for b in boxes]) - top
     return {"left": left, "top": top, "right": left + width, "bottom": top + height} if width > 0 and height > 0 else None
 
 
+def _found(rows: np.ndarray, cols: np.ndarray, hist: np.ndarray, boxes: list[tuple], min_gap: int) -> tuple:
+    """Edges of a page's crop in pixels, NULL without a seed, and its median luminance."""
+    seed = _seed(boxes)
+    x = _edges(cols, seed["left"], seed["right"], len(cols), min_gap) if seed else (None, None)
+    y = _edges(rows, seed["top"], seed["bottom"], len(rows), min_gap) if seed else (None, None)
+    return *x, *y, _median(hist)
+
+
+#: What :func:`gutters` adds.
+EDGES = ("left_px", "right_px", "top_px", "bottom_px", "median")
+
+
+def text_edges(min_gap: int, rows: int = 20, pitch: int = 4) -> Callable[[list[str], list[tuple]], tuple]:
+    """What tells ``TEXT_EDGES`` by the lines of a page and its boxes: the ``width, height`` of the image of :func:`text_images`,
+    which is gone when its page is done, and what :func:`gutters` adds."""
+
+    def edges(lines: list[str], boxes: list[tuple]) -> tuple:
+        grey = _image(lines, rows, pitch)
+        return grey.shape[1], grey.shape[0], *_found(*_profile(grey), boxes, min_gap)
+
+    return edges
+
+
+TEXT_EDGES = ("width", "height", *EDGES)
+
+
 def gutters(profiles: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
     """Edges of the crop of each page in pixels, from its label boxes and hint (``boxes`` with the hint among them), and
     the page's ``median`` luminance: one pass over the pages.
@@ -154,19 +190,15 @@ def gutters(profiles: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
     ``profiles`` has ``width, height, row_ink, col_ink, hist, boxes``. Adds ``left_px, right_px, top_px, bottom_px``
     (NULL without a seed) and ``median``.
     """
-    added = ("left_px", "right_px", "top_px", "bottom_px", "median")
+    added = EDGES
     profiles = profiles.drop(*added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            w, h = batch.column("width").to_pylist(), batch.column("height").to_pylist()
             for i, boxes in enumerate(batch.column("boxes").to_pylist()):
                 rows, cols, hist = (batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("row_ink", "col_ink", "hist"))
-                seed = _seed(boxes or [])
-                x = _edges(cols, seed["left"], seed["right"], w[i], min_gap) if seed else (None, None)
-                y = _edges(rows, seed["top"], seed["bottom"], h[i], min_gap) if seed else (None, None)
-                out.append((*x, *y, _median(hist)))
+                out.append(_found(rows, cols, hist, [(b["left"], b["top"], b["width"], b["height"]) for b in boxes or []], min_gap))
             columns = zip(*out, strict=True) if out else [[]] * len(added)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, *added])
 
@@ -175,11 +207,17 @@ def gutters(profiles: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
 
 def derive_crop(profiles: DataFrame, min_gap: int = MIN_GAP, keep: Sequence[str] = ()) -> DataFrame:
     """``job_id, page_number, crop_box`` and the columns of ``keep``: the page where there are no boxes, the paper is dark or the crop would be most of it."""
+    return crop_boxes(gutters(profiles, min_gap), keep)
+
+
+def crop_boxes(edges: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The same where the edges are known (:func:`gutters`)."""
     w, h = F.col("width"), F.col("height")
     unit = lambda x, hi: F.greatest(F.lit(0.0), F.least(hi, x))
-    edges = gutters(profiles, min_gap).withColumns({"left": unit(F.col("left_px") / w, F.lit(1.0)), "top": unit(F.col("top_px") / h, F.lit(1.0))})
+    edges = edges.withColumns({"left": unit(F.col("left_px") / w, F.lit(1.0)), "top": unit(F.col("top_px") / h, F.lit(1.0))})
     left, top = F.col("left"), F.col("top")
     edges = edges.withColumns({"wide": unit((F.col("right_px") - F.col("left_px")) / w, 1.0 - left), "tall": unit((F.col("bottom_px") - F.col("top_px")) / h, 1.0 - top)})
     wide, tall = F.col("wide"), F.col("tall")
-    usable = F.col("left_px").isNotNull() & (F.size("boxes") > 0) & (F.col("median") >= LIGHT_FROM) & (wide > 0) & (tall > 0) & (wide * tall <= LARGEST)
+    # there are edges if and only if there are boxes with an extent
+    usable = F.col("left_px").isNotNull() & (F.col("median") >= LIGHT_FROM) & (wide > 0) & (tall > 0) & (wide * tall <= LARGEST)
     return edges.select(*_PAGE, *keep, F.when(F.coalesce(usable, F.lit(False)), box(left, top, wide, tall)).otherwise(full_page()).alias("crop_box"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geometry import full_page, union_box, union_of
-from .masks import occlusion_is_valid
+from ..functions.geometry import BOX, full_page, union_box, union_of
+from ..functions.text import lines_of
+from .masks import exploded, occlusion_is_valid
 
 _PAGE = ["job_id", "page_number"]
 
@@ -20,21 +23,35 @@ _PAGE = ["job_id", "page_number"]
 MERGED = "array<struct<label_ord:bigint,indices:array<bigint>,label_text:string>>"
 
 
-def _largest(sets: list[tuple]) -> list[int]:
-    """Places of the sets (sorted tuples, each once) that no other one strictly holds. A set is held by one with its rarest item
-    only, so an item that all of them share brings no two together."""
-    holders: dict = {}
+def _largest(sets: list[frozenset]) -> list[int]:
+    """Places of the sets (each once) that no other one strictly holds. A set is held by one with its rarest item only, so an
+    item that all of them share brings no two together."""
+    holders: dict = defaultdict(list)
     for s in sets:
         for i in s:
-            holders.setdefault(i, []).append(frozenset(s))
+            holders[i].append(s)
     kept = []
-    for at, s in enumerate(sets):
-        own = frozenset(s)
-        if not any(own < other for other in holders[min(s, key=lambda i: len(holders[i]))]):
+    for at, own in enumerate(sets):
+        for other in min([holders[i] for i in own], key=len):
+            if own < other:
+                break
+        else:
             kept.append(at)
     return kept
 
 
+def merged_groups(groups: Sequence[tuple], n_items: int) -> list[tuple[int, list[int], int]]:
+    """Label groups of a page (``pass, group_ord, item_indices``) merged as :func:`merge_passes` says: ``label_ord``, indices in
+    order, and the place of the group whose text stays."""
+    seen: dict[frozenset, int] = {}
+    for g in sorted(range(len(groups)), key=[x[:2] for x in groups].__getitem__):
+        own = frozenset([i for i in groups[g][2] or () if i is not None and 0 <= i < n_items])
+        if own:
+            seen.setdefault(own, g)
+    found = list(seen.items())
+    return [(groups[g][0] * 1_000_000 + groups[g][1], sorted(own), g) for own, g in map(found.__getitem__, _largest(list(seen)))]
+
+
 def merge_pages(pages: DataFrame) -> DataFrame:
     """:func:`merge_passes` where a page's groups are in its row: ``groups`` (``array<struct<pass, group_ord, item_indices,
     label_text>>``) and ``n_items`` become ``labels`` (``label_ord, indices, label_text``); other columns stay. No shuffle."""
@@ -46,20 +63,13 @@ def merge_pages(pages: DataFrame) -> DataFrame:
             lists, sizes = batch.column("groups"), batch.column("n_items").to_pylist()
             flat = lists.flatten()
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
-            ranks, ords, items = (flat.field(n).to_pylist() for n in ("pass", "group_ord", "item_indices"))
+            groups = list(zip(*(flat.field(n).to_pylist() for n in ("pass", "group_ord", "item_indices")), strict=True))
             label, chosen, texts, begin, lo = [], [], [], [0], 0
             for n, count in zip(sizes, counts, strict=True):
-                seen: dict[tuple, int] = {}
-                for g in sorted(range(lo, lo + count), key=lambda g: (ranks[g], ords[g])):
-                    own = tuple(sorted({i for i in items[g] or () if i is not None and 0 <= i < n}))
-                    if own:
-                        seen.setdefault(own, g)
-                found = list(seen.items())
-                for at in _largest(list(seen)):
-                    own, g = found[at]
-                    label.append(ranks[g] * 1_000_000 + ords[g])
-                    chosen.append(own)
-                    texts.append(g)
+                for ord_, indices, g in merged_groups(groups[lo : lo + count], n):
+                    label.append(ord_)
+                    chosen.append(indices)
+                    texts.append(lo + g)
                 lo += count
                 begin.append(len(label))
             named = flat.field("label_text").take(pa.array(texts, pa.int64()))
@@ -69,6 +79,57 @@ def merge_pages(pages: DataFrame) -> DataFrame:
     return pages.select(*rest, "groups").mapInArrow(run, schema)
 
 
+#: Labels of a page with their boxes.
+BOXED = f"array<struct<label_ord:bigint,label_text:string,box:{BOX}>>"
+#: Pages whose merging is kept in a task: pages whose groups name the same items differ in their texts only.
+KEPT = 1024
+Groups = Callable[[int, list[str]], tuple[tuple, list[str]]]
+
+
+def label_batches(groups_of: Groups, place: Callable[[int], tuple], edges: Callable[[list[str], list[tuple]], tuple], line_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step on batches of pages, each a row with its words in order as ``text``, parted by single blanks, ``line_words`` to a
+    line, ``flagged`` if it is held for a diagram, and a ``hint``, a box or NULL. Adds ``labels`` (``BOXED``), the groups of all
+    passes merged, with the boxes around their lines, and ``edges`` (NULL without labels); pages without a flag have neither.
+
+    ``groups_of`` gives the groups of a page by its number and lines, as ``pass, group_ord, item_indices`` in a tuple, and their
+    texts; ``place`` the box of a line; ``edges`` whole numbers by the lines and the boxes of labels and hint.
+    """
+
+    def boxed(groups: tuple, n_items: int) -> list[tuple]:
+        out = []
+        for ord_, indices, g in merged_groups(groups, n_items):
+            boxes = [place(i) for i in indices]
+            left, top = min([b[0] for b in boxes]), min([b[1] for b in boxes])
+            high, low = max([b[0] + b[2] for b in boxes]), max([b[1] + b[3] for b in boxes])
+            if high > left and low > top:
+                out.append((ord_, g, (left, top, high - left, low - top)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(KEPT)(boxed)
+        for batch in batches:
+            ords, texts, flat, begin, found = [], [], [], [0], []
+            for number, text, flagged, hint in zip(*(batch.column(n).to_pylist() for n in ("page_number", "text", "flagged", "hint")), strict=True):
+                made: tuple | None = None
+                if flagged:
+                    lines = lines_of(text, line_words)
+                    groups, named = groups_of(number, lines)
+                    own = known(groups, len(lines))
+                    ords += [x[0] for x in own]
+                    texts += [named[x[1]] for x in own]
+                    boxes = [x[2] for x in own]
+                    flat += boxes
+                    made = edges(lines, [*boxes, tuple(hint.values())] if hint else boxes) if boxes else None
+                found.append(made)
+                begin.append(len(ords))
+            sides = zip(*flat, strict=True) if flat else [[]] * 4
+            box = pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in sides], names=["left", "top", "width", "height"])
+            rows = pa.StructArray.from_arrays([pa.array(ords, pa.int64()), pa.array(texts, pa.string()), box], names=["label_ord", "label_text", "box"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(begin, pa.int32()), rows), pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "labels", "edges"])
+
+    return run
+
+
 def merge_passes(groups: DataFrame, items: DataFrame) -> DataFrame:
     """Label groups of all passes of a page as index sets: unknown indices go, the first text of a set stays, and a
     set that is a strict subset of another goes.
@@ -144,17 +205,35 @@ def diagram_occlusions(labels: DataFrame, crops: DataFrame) -> DataFrame:
 
 def page_occlusions(pages: DataFrame) -> DataFrame:
     """The same where a page's ``labels`` (``array<struct<label_ord, label_text, box>>``) and ``crop_box`` are in its row."""
-    masks = F.transform(F.array_sort(F.transform("labels", lambda l: F.struct(l["label_ord"].alias("label_ord"), l["box"].alias("box")))), lambda b: b["box"])  # noqa: E741
-    rows = pages.select(*_PAGE, "crop_box", F.explode(F.array(masks)).alias("mask_boxes"), "labels")
-    return _revealed(rows.select(*_PAGE, "crop_box", "mask_boxes", F.explode("labels").alias("l")).select(*_PAGE, "crop_box", "mask_boxes", "l.*"))
+    return exploded(page_pending(pages).withColumn("note_type", F.lit("diagram")))
 
 
-def _revealed(rows: DataFrame) -> DataFrame:
-    occlusion = F.struct(
-        F.lit("diagram").alias("kind"), F.lit("identify").alias("direction"), F.array("label_text").alias("labels"),
-        F.coalesce("crop_box", full_page()).alias("crop_box"), F.array("box").alias("target_boxes"), F.col("mask_boxes"),
+def page_pending(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """:func:`page_occlusions` with those of a page in its row: ``job_id, page_number``, the columns of ``keep`` and ``pending``
+    (``array<struct<ord, front, occlusion>>``), in order."""
+    # generators of one row: labels are put in order once, and occlusions once
+    rows = pages.select(*_PAGE, *keep, F.coalesce("crop_box", full_page()).alias("crop_box"), F.explode(F.array(F.array_sort("labels"))).alias("labels"))
+    rows = rows.select("*", F.explode(F.array(F.col("labels.box"))).alias("mask_boxes"))
+    made = F.transform("labels", lambda l: F.struct(l["label_ord"].alias("ord"), F.lit(FRONT).alias("front"), _occlusion(l).alias("occlusion")))  # noqa: E741
+    listed = F.filter(made, lambda r: occlusion_is_valid(r["occlusion"]))
+    return rows.select(*_PAGE, *keep, F.explode(F.array(listed)).alias("pending"))
+
+
+#: Front of a card that asks for one label.
+FRONT = "What is this?"
+
+
+def _occlusion(label: Column) -> Column:
+    """One label revealed (``label_text, box``) among ``mask_boxes`` in ``crop_box``."""
+    return F.struct(
+        F.lit("diagram").alias("kind"), F.lit("identify").alias("direction"), F.array(label["label_text"]).alias("labels"),
+        F.col("crop_box"), F.array(label["box"]).alias("target_boxes"), F.col("mask_boxes"),
     )
-    out = rows.select(*_PAGE, F.col("label_ord").alias("ord"), F.lit("diagram").alias("note_type"), F.lit("What is this?").alias("front"), occlusion.alias("occlusion"))
+
+
+def _revealed(rows: DataFrame) -> DataFrame:
+    one = _occlusion(F.struct("label_text", "box"))
+    out = rows.withColumn("crop_box", F.coalesce("crop_box", full_page())).select(*_PAGE, F.col("label_ord").alias("ord"), F.lit("diagram").alias("note_type"), F.lit(FRONT).alias("front"), one.alias("occlusion"))
     return out.where(occlusion_is_valid(F.col("occlusion")))
 
 

@@ -32,15 +32,25 @@ def group_masks(pending: DataFrame, options: DataFrame) -> DataFrame:
     the first. Returns the same columns plus ``bucket_ord``: the bucket's first ``ord``, by which buckets are ordered
     (if nothing is grouped in a deck, each row's own ``ord``).
     """
-    both = pending.join(options, "job_id")
+    rows = grouping_of(pending.join(options, "job_id"))
+    return group_pages(rows.groupBy(*_PAGE, "note_type", "merged", "plain").agg(F.array_sort(F.collect_list(F.struct("ord", "front", "occlusion"))).alias("pending")))
+
+
+def grouping_of(rows: DataFrame) -> DataFrame:
+    """Rows with a ``note_type`` and the options of their deck: adds ``merged``, whether the occlusions of a page are, and ``plain``,
+    whether nothing is grouped in the deck; rows whose option is not known are left out."""
     mode = F.when(F.col("note_type") == "diagram", F.col("diagram_mask_grouping")).when(F.col("note_type") == "text_occlusion", F.col("text_mask_grouping")).otherwise("individual")
-    rows = both.withColumn("merged", mode == "grouped").withColumn("plain", (F.col("diagram_mask_grouping") != "grouped") & (F.col("text_mask_grouping") != "grouped"))
-    rows = rows.where(F.col("merged").isNotNull())
-    listed = rows.groupBy(*_PAGE, "note_type", "merged", "plain").agg(F.array_sort(F.collect_list(F.struct("ord", "front", "occlusion"))).alias("all"))
-    first = F.element_at("all", 1)
+    both = rows.withColumn("merged", mode == "grouped").withColumn("plain", (F.col("diagram_mask_grouping") != "grouped") & (F.col("text_mask_grouping") != "grouped"))
+    return both.where(F.col("merged").isNotNull())
+
+
+def group_pages(rows: DataFrame) -> DataFrame:
+    """:func:`group_masks` where the occlusions of a page and kind are in a row, as ``pending`` (``array<struct<ord, front,
+    occlusion>>``) in order, with ``merged`` and ``plain`` (:func:`grouping_of`): no shuffle."""
+    first = F.element_at("pending", 1)
 
     def joined(name: str) -> Column:
-        return F.flatten(F.transform("all", lambda r: r["occlusion"][name]))
+        return F.flatten(F.transform("pending", lambda r: r["occlusion"][name]))
 
     one = F.struct(
         first["occlusion"]["kind"].alias("kind"), first["occlusion"]["direction"].alias("direction"), joined("labels").alias("labels"), first["occlusion"]["crop_box"].alias("crop_box"),
@@ -49,12 +59,17 @@ def group_masks(pending: DataFrame, options: DataFrame) -> DataFrame:
     front = F.when(F.col("note_type") == "diagram", GROUPED_FRONT["diagram"]).otherwise(GROUPED_FRONT["text_occlusion"])
     grouped = F.struct(first["ord"].alias("ord"), front.alias("front"), one.alias("occlusion"), first["ord"].alias("bucket_ord"))
     own = lambda r: F.when(~F.col("plain") & F.col("note_type").isNotNull(), first["ord"]).otherwise(r["ord"])
-    single = F.transform("all", lambda r: F.struct(r["ord"].alias("ord"), r["front"].alias("front"), r["occlusion"].alias("occlusion"), own(r).alias("bucket_ord")))
+    single = F.transform("pending", lambda r: F.struct(r["ord"].alias("ord"), r["front"].alias("front"), r["occlusion"].alias("occlusion"), own(r).alias("bucket_ord")))
     # rows meet once: what stays single and what is merged come from the same group
-    out = listed.select(*_PAGE, "note_type", F.explode(F.when(F.col("merged"), F.array(grouped)).otherwise(single)).alias("r"))
+    out = rows.select(*_PAGE, "note_type", F.explode(F.when(F.col("merged"), F.array(grouped)).otherwise(single)).alias("r"))
     return out.select(*_PAGE, "r.ord", "note_type", "r.front", "r.occlusion", "r.bucket_ord")
 
 
+def exploded(pages: DataFrame) -> DataFrame:
+    """A row for each of the ``pending`` occlusions of a page and kind."""
+    return pages.select(*_PAGE, "note_type", F.explode("pending").alias("r")).select(*_PAGE, "r.ord", "note_type", "r.front", "r.occlusion")
+
+
 def occlusion_cards(pending: DataFrame) -> DataFrame:
     """Cards of pending occlusions: an id from the card's place, the answer (labels joined) and the occlusion as JSON."""
     return pending.select(

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import export, masks, spans
+from cardloom.operators import crop, export, labels, masks, spans
 from cardloom.plans import queries as q
 
 #: Stop words, marks alone, words with marks, unusual blanks within a word, letters whose lower case is a case of its own.
@@ -59,3 +60,32 @@ def test_notes_by_keys_are_those_of_rows(spark):
     shape = "{{{{c1::image-occlusion:rect:left={}:top={}:width={}:height={}:oi=1}}}}".format
     field = shape("0.2500", "0.5000", "0.5000", "0.2500") + "<br>" + shape("0.0000", "0.0000", "1.0000", "1.0000")
     assert [(r.job_id, r.card_id, r.fields) for r in got] == [(0, 2, [field, '<img src="sb-job0-card2.png">', "f", "&lt;b&gt;", ""])]
+
+
+def test_grouping_in_rows_is_grouping_by_keys(spark, tmp_path, monkeypatch, capsys):
+    d = documents(spark, tmp_path, [None, *range(-5, 60)])
+    df = q.QUERIES["mask_grouping"](spark, d)
+    df.explain()
+    assert "Exchange hashpartitioning" not in capsys.readouterr().out
+    found = sorted(map(tuple, df.collect()))
+    monkeypatch.setattr(q.c, "is_row_decks", lambda *_: False)
+    assert found == sorted(map(tuple, q.QUERIES["mask_grouping"](spark, d).collect())) and len({r[4:6] for r in found}) == 4
+
+
+def test_labels_and_crops_of_texts_are_those_of_images(spark, tmp_path):
+    d = documents(spark, tmp_path, [None, *range(-5, 60)])
+    by_image = labels.page_occlusions(crop.derive_crop(q._profiles(spark, d).where("flags.is_labeled_diagram"), 2, ["labels"]))
+    fields = ["job_id", "page_number", "ord", "note_type", "front", F.col("occlusion").cast("string")]
+    got, want = (sorted(map(tuple, x.where("job_id is not null").select(*fields).collect())) for x in (q._diagram_pending(spark, d), by_image))
+    assert got == want and len({r[-1] for r in got}) > 20
+
+
+@pytest.mark.parametrize("gap", [1, 2, 3, 9])
+def test_the_first_gap_is_that_of_a_plain_loop(gap):
+    rng = random.Random(gap)
+    for _ in range(200):
+        ink = np.array([rng.random() < 0.4 for _ in range(rng.randint(0, 12))], bool)
+        want = next((i for i in range(len(ink) - gap + 1) if not ink[i : i + gap].any()), -1)
+        assert crop._first_gap(ink, gap) == want
+        back = next((i for i in range(len(ink) - gap, -1, -1) if not ink[i : i + gap].any()), None)
+        assert crop._up(ink, len(ink), gap) == (0 if back is None else back + gap)
